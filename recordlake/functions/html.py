@@ -12,14 +12,13 @@ Column calls.
 
 from __future__ import annotations
 
-import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BANNER_HINTS, SKIP_TAGS
-from .text import WHITE, WHITE_CHARS
+from .sqltext import collapse, cut, let, match, match_all, q, replace, strip, text_map, weave
 
 # Control characters that mark structure while a page is being rendered.
 _CELL_OPEN, _CELL_CLOSE = "\x01", "\x02"
@@ -64,53 +63,6 @@ _TAG_TEXT = {
 }
 
 
-def _q(text: str) -> str:
-    """SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _let(value: str, name: str, body: str) -> str:
-    """Evaluate ``value`` once and use it as ``name`` in ``body``."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
-def _all(text: str, pattern: str, group: int = 0) -> str:
-    return f"regexp_extract_all({text}, {_q(pattern)}, {group})"
-
-
-def _get(text: str, pattern: str, group: int = 1) -> str:
-    return f"regexp_extract({text}, {_q(pattern)}, {group})"
-
-
-def _drop(text: str, pattern: str, by: str = "") -> str:
-    return f"regexp_replace({text}, {_q(pattern)}, {_q(by)})"
-
-
-def _cut(text: str, pattern: str) -> str:
-    return f"split({text}, {_q(pattern)}, -1)"
-
-
-def _strip(text: str) -> str:
-    return f"btrim({text}, {_q(WHITE_CHARS)})"
-
-
-def _collapse(text: str) -> str:
-    return _strip(_drop(text, WHITE + "+", " "))
-
-
-def _weave(between: str, tokens: str) -> str:
-    """Text pieces and the tokens between them, back in order."""
-    return (
-        f"array_join(flatten(zip_with({between}, {tokens}, "
-        "(s, t) -> array(coalesce(s, ''), coalesce(t, '')))), '')"
-    )
-
-
-def _text_map(pairs: dict[str, str]) -> str:
-    """A constant map, folded at plan time."""
-    return f"from_json({_q(json.dumps(pairs))}, 'map<string,string>')"
-
-
 # ------------------------------------------------------------------ entities
 _ENTITY = r"&(?:#[0-9]{1,8};?|#[xX][0-9A-Fa-f]{1,7};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
 
@@ -132,30 +84,30 @@ def _unescape(text: str) -> str:
     bare = {n: chr(c) for n, c in name2codepoint.items() if c < 256}
     hexadecimal = "^&#[xX]([0-9A-Fa-f]+)"
     number = (
-        f"CASE WHEN e RLIKE {_q(hexadecimal)} THEN try_cast(conv({_get('e', hexadecimal)}, 16, 10) AS BIGINT) "
-        f"ELSE try_cast({_get('e', '^&#([0-9]+)')} AS BIGINT) END"
+        f"CASE WHEN e RLIKE {q(hexadecimal)} THEN try_cast(conv({match('e', hexadecimal)}, 16, 10) AS BIGINT) "
+        f"ELSE try_cast({match('e', '^&#([0-9]+)')} AS BIGINT) END"
     )
     character = (
         "CASE WHEN n IS NULL OR n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN '\ufffd' "
-        f"WHEN n BETWEEN 128 AND 159 THEN element_at({_text_map(_windows_1252())}, cast(n AS STRING)) "
+        f"WHEN n BETWEEN 128 AND 159 THEN element_at({text_map(_windows_1252())}, cast(n AS STRING)) "
         "ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END"
     )
     prefix = "^&(" + "|".join(sorted(bare, key=len, reverse=True)) + ")"
     one = (
         "CASE WHEN e = '&amp;' THEN '&' WHEN e = '&nbsp;' THEN '\xa0' WHEN e = '&lt;' THEN '<' "
-        f"WHEN e = '&gt;' THEN '>' WHEN e = '&quot;' THEN {_q(chr(34))} "
-        f"WHEN startswith(e, '&#') THEN {_let(number, 'n', character)} "
+        f"WHEN e = '&gt;' THEN '>' WHEN e = '&quot;' THEN {q(chr(34))} "
+        f"WHEN startswith(e, '&#') THEN {let(number, 'n', character)} "
         "ELSE coalesce("
-        f"CASE WHEN endswith(e, ';') THEN try_element_at({_text_map(named)}, {_get('e', '^&([A-Za-z][A-Za-z0-9]*)')}) END, "
-        + _let(
-            _get("e", prefix),
+        f"CASE WHEN endswith(e, ';') THEN try_element_at({text_map(named)}, {match('e', '^&([A-Za-z][A-Za-z0-9]*)')}) END, "
+        + let(
+            match("e", prefix),
             "p",
-            f"CASE WHEN p <> '' THEN concat(try_element_at({_text_map(bare)}, p), substr(e, length(p) + 2)) END",
+            f"CASE WHEN p <> '' THEN concat(try_element_at({text_map(bare)}, p), substr(e, length(p) + 2)) END",
         )
         + ", e) END"
     )
-    woven = _weave(_cut("u", _ENTITY), f"transform({_all('u', _ENTITY)}, e -> {one})")
-    return _let(text, "u", f"CASE WHEN contains(u, '&') THEN {woven} ELSE u END")
+    woven = weave(cut("u", _ENTITY), f"transform({match_all('u', _ENTITY)}, e -> {one})")
+    return let(text, "u", f"CASE WHEN contains(u, '&') THEN {woven} ELSE u END")
 
 
 # --------------------------------------------------------------- boilerplate
@@ -167,7 +119,7 @@ def _kept_after(tags: str, banner_scope: str) -> str:
     """
     code = (
         "CASE WHEN g ILIKE '<div%' THEN "
-        f"CASE WHEN g RLIKE {_q(_BANNER)} THEN 3 ELSE 2 END "
+        f"CASE WHEN g RLIKE {q(_BANNER)} THEN 3 ELSE 2 END "
         "WHEN g ILIKE '</div%' THEN -2 WHEN startswith(g, '</') THEN -1 WHEN endswith(g, '/>') THEN 0 ELSE 1 END"
     )
     depth = "CASE c WHEN 1 THEN s.d + 1 WHEN -1 THEN greatest(s.d - 1, 0) ELSE s.d END"
@@ -177,7 +129,7 @@ def _kept_after(tags: str, banner_scope: str) -> str:
     if banner_scope == "rest":
         depth = "CASE WHEN c IN (1, 3) THEN s.d + 1 WHEN c = -1 THEN greatest(s.d - 1, 0) ELSE s.d END"
         banner = "0"
-    step = _let(
+    step = let(
         f"named_struct('d', {depth}, 'b', {banner})",
         "z",
         "named_struct('d', z.d, 'b', z.b, 'k', concat(s.k, array(z.d = 0 AND z.b = 0)))",
@@ -186,28 +138,28 @@ def _kept_after(tags: str, banner_scope: str) -> str:
         f"aggregate(slice(codes, blk * {_BLOCK} + 1, {_BLOCK}), "
         f"named_struct('d', o.d, 'b', o.b, 'k', cast(array() AS ARRAY<BOOLEAN>)), (s, c) -> {step})"
     )
-    outer = _let(inner, "w", "named_struct('d', w.d, 'b', w.b, 'k', concat(o.k, array(w.k)))")
+    outer = let(inner, "w", "named_struct('d', w.d, 'b', w.b, 'k', concat(o.k, array(w.k)))")
     walk = (
         f"flatten(aggregate(sequence(0, cast((size(codes) - 1) DIV {_BLOCK} AS INT)), "
         f"named_struct('d', 0, 'b', 0, 'k', cast(array() AS ARRAY<ARRAY<BOOLEAN>>)), (o, blk) -> {outer}).k)"
     )
-    return _let(f"transform({tags}, g -> {code})", "codes", walk)
+    return let(f"transform({tags}, g -> {code})", "codes", walk)
 
 
 def _drop_boilerplate(html: str, banner_scope: str) -> str:
     def tokens(pattern: str) -> str:
-        return f"named_struct('tags', {_all('page', pattern)}, 'parts', {_cut('page', pattern)})"
+        return f"named_struct('tags', {match_all('page', pattern)}, 'parts', {cut('page', pattern)})"
 
     chosen = (
-        f"CASE WHEN page RLIKE {_q(_BANNER_ANYWHERE)} THEN {tokens(_SKIP_OR_DIV)} ELSE {tokens(_SKIP)} END"
+        f"CASE WHEN page RLIKE {q(_BANNER_ANYWHERE)} THEN {tokens(_SKIP_OR_DIV)} ELSE {tokens(_SKIP)} END"
     )
-    joined = _let(
+    joined = let(
         _kept_after("tok.tags", banner_scope),
         "kept",
         "array_join(filter(tok.parts, (part, i) -> i = 0 OR get(kept, i - 1)), '')",
     )
-    cut = _let(chosen, "tok", f"CASE WHEN size(tok.tags) = 0 THEN page ELSE {joined} END")
-    return _let(_drop(f"translate({html}, {_q(_MARKS)}, '')", _OPAQUE), "page", cut)
+    outside = let(chosen, "tok", f"CASE WHEN size(tok.tags) = 0 THEN page ELSE {joined} END")
+    return let(replace(f"translate({html}, {q(_MARKS)}, '')", _OPAQUE), "page", outside)
 
 
 # ---------------------------------------------------------------------- links
@@ -221,18 +173,18 @@ def _without_dots(path: str) -> str:
         "CASE seg WHEN '.' THEN acc WHEN '..' THEN slice(acc, 1, greatest(size(acc) - 1, 1)) "
         "ELSE concat(acc, array(seg)) END)"
     )
-    tail = f"CASE WHEN p RLIKE {_q(r'/[.]{1,2}$')} THEN '/' ELSE '' END"
-    joined = _let(
+    tail = f"CASE WHEN p RLIKE {q(r'/[.]{1,2}$')} THEN '/' ELSE '' END"
+    joined = let(
         f"concat(array_join({walked}, '/'), {tail})", "j", "CASE WHEN j = '' THEN '/' ELSE j END"
     )
-    return _let(path, "p", f"CASE WHEN contains(p, '/.') THEN {joined} ELSE p END")
+    return let(path, "p", f"CASE WHEN contains(p, '/.') THEN {joined} ELSE p END")
 
 
 def _resolve(base: str, href: str) -> str:
     """Absolute form of a link found on the page ``base`` (RFC 3986)."""
-    site = _let(
-        f"named_struct('scheme', lower({_get(base, _PARTS, 1)}), 'host', {_get(base, _PARTS, 2)}, "
-        f"'path', coalesce(nullif({_get(base, _PARTS, 3)}, ''), '/'), 'query', {_get(base, _PARTS, 4)})",
+    site = let(
+        f"named_struct('scheme', lower({match(base, _PARTS, 1)}), 'host', {match(base, _PARTS, 2)}, "
+        f"'path', coalesce(nullif({match(base, _PARTS, 3)}, ''), '/'), 'query', {match(base, _PARTS, 4)})",
         "b",
         "CASE WHEN startswith(r, '//') THEN concat(b.scheme, ':', r) "
         "WHEN startswith(r, '?') THEN concat(b.scheme, '://', b.host, b.path, r) "
@@ -240,13 +192,13 @@ def _resolve(base: str, href: str) -> str:
         "CASE WHEN b.query = '' THEN '' ELSE concat('?', b.query) END, r) "
         "ELSE concat(b.scheme, '://', b.host, "
         + _without_dots(
-            f"CASE WHEN startswith(r, '/') THEN {_get('r', '^([^?#]*)')} "
-            f"ELSE concat({_get('b.path', '^(.*/)[^/]*$')}, {_get('r', '^([^?#]*)')}) END"
+            f"CASE WHEN startswith(r, '/') THEN {match('r', '^([^?#]*)')} "
+            f"ELSE concat({match('b.path', '^(.*/)[^/]*$')}, {match('r', '^([^?#]*)')}) END"
         )
-        + f", {_get('r', '^[^?#]*(.*)$')}) END",
+        + f", {match('r', '^[^?#]*(.*)$')}) END",
     )
-    return _let(
-        f"translate({_strip(href)}, '\t\n\r', '')",
+    return let(
+        f"translate({strip(href)}, '\t\n\r', '')",
         "r",
         f"CASE WHEN r = '' THEN {base} WHEN r RLIKE '^[A-Za-z][A-Za-z0-9+.-]*:' THEN r ELSE {site} END",
     )
@@ -254,31 +206,31 @@ def _resolve(base: str, href: str) -> str:
 
 def _resolve_marked(text: str, base: str) -> str:
     pattern = f"{_HREF_OPEN}([^{_HREF_CLOSE}]*){_HREF_CLOSE}"
-    hrefs = f"transform({_all('m', pattern, 1)}, h -> concat('(', {_resolve(base, 'h')}, ')'))"
-    return _let(
-        text, "m", f"CASE WHEN contains(m, {_q(_HREF_OPEN)}) THEN {_weave(_cut('m', pattern), hrefs)} ELSE m END"
+    hrefs = f"transform({match_all('m', pattern, 1)}, h -> concat('(', {_resolve(base, 'h')}, ')'))"
+    return let(
+        text, "m", f"CASE WHEN contains(m, {q(_HREF_OPEN)}) THEN {weave(cut('m', pattern), hrefs)} ELSE m END"
     )
 
 
 # ----------------------------------------------------------------- rendering
 def _render_tags(text: str) -> str:
     alt = ", ".join(
-        f"nullif({_get('g', alt_pattern)}, '')"
+        f"nullif({match('g', alt_pattern)}, '')"
         for alt_pattern in (
             r"(?i)\salt\s*=\s*" + quoted for quoted in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")
         )
     )
     # A list item is indented once a list has been opened before it.
-    literal = _let(
-        f"lower({_get('g', r'^<(/?[A-Za-z][^' + chr(92) + 's/>]*)')})",
+    literal = let(
+        f"lower({match('g', r'^<(/?[A-Za-z][^' + chr(92) + 's/>]*)')})",
         "n",
         f"CASE WHEN n = 'img' THEN coalesce(concat('![', coalesce({alt}), ']'), '') "
         "WHEN n = 'li' THEN CASE WHEN at > 0 AND i >= at THEN '\n - ' ELSE '\n- ' END "
-        f"ELSE coalesce(try_element_at({_text_map(_TAG_TEXT)}, n), '') END",
+        f"ELSE coalesce(try_element_at({text_map(_TAG_TEXT)}, n), '') END",
     )
-    woven = _weave(_cut("x", _TAG), f"transform(tags, (g, i) -> {literal})")
-    first_list = f"array_position(transform(tags, g -> g RLIKE {_q('(?i)^<[uo]l')}), true)"
-    return _let(text, "x", _let(_all("x", _TAG), "tags", _let(first_list, "at", woven)))
+    woven = weave(cut("x", _TAG), f"transform(tags, (g, i) -> {literal})")
+    first_list = f"array_position(transform(tags, g -> g RLIKE {q('(?i)^<[uo]l')}), true)"
+    return let(text, "x", let(match_all("x", _TAG), "tags", let(first_list, "at", woven)))
 
 
 _TABLE = f"{_TABLE_OPEN}([^{_TABLE_OPEN}{_TABLE_CLOSE}]*){_TABLE_CLOSE}"
@@ -287,11 +239,11 @@ _CELL = f"{_CELL_OPEN}([^{_CELL_OPEN}{_CELL_CLOSE}]*){_CELL_CLOSE}"
 
 def _table_rows(body: str) -> str:
     """Closed rows of a marked table with their closed cells; blank rows left out."""
-    cells = f"transform({_all(f'substring_index(r, {_q(_ROW_OPEN)}, -1)', _CELL, 1)}, c -> {_collapse('c')})"
-    closed = _let(
-        _cut(body, _ROW_CLOSE),
+    cells = f"transform({match_all(f'substring_index(r, {q(_ROW_OPEN)}, -1)', _CELL, 1)}, c -> {collapse('c')})"
+    closed = let(
+        cut(body, _ROW_CLOSE),
         "pieces",
-        f"filter(slice(pieces, 1, size(pieces) - 1), r -> contains(r, {_q(_ROW_OPEN)}))",
+        f"filter(slice(pieces, 1, size(pieces) - 1), r -> contains(r, {q(_ROW_OPEN)}))",
     )
     return f"filter(transform({closed}, r -> {cells}), row -> exists(row, c -> c <> ''))"
 
@@ -302,23 +254,23 @@ def _render_tables(text: str) -> str:
         "array_join(concat(r, array_repeat('', width - size(r))), ' | '), ' |'))"
     )
     rule = "concat('|', array_join(array_repeat(' --- ', width), '|'), '|')"
-    drawn = _let(
+    drawn = let(
         "array_max(transform(rows, r -> size(r)))",
         "width",
-        _let(padded, "p", f"array_join(concat(slice(p, 1, 1), array({rule}), slice(p, 2, size(p))), '\n')"),
+        let(padded, "p", f"array_join(concat(slice(p, 1, 1), array({rule}), slice(p, 2, size(p))), '\n')"),
     )
-    table = _let(
+    table = let(
         _table_rows("body"),
         "rows",
-        f"concat({_drop('body', _CELL)}, CASE WHEN size(rows) > 0 THEN concat('\n', {drawn}, '\n') ELSE '\n\n' END)",
+        f"concat({replace('body', _CELL)}, CASE WHEN size(rows) > 0 THEN concat('\n', {drawn}, '\n') ELSE '\n\n' END)",
     )
-    woven = _weave(_cut("x", _TABLE), f"transform({_all('x', _TABLE, 1)}, body -> {table})")
-    rendered = _let(text, "x", f"CASE WHEN contains(x, {_q(_TABLE_OPEN)}) THEN {woven} ELSE x END")
-    return f"translate({rendered}, {_q(_MARKS)}, '')"
+    woven = weave(cut("x", _TABLE), f"transform({match_all('x', _TABLE, 1)}, body -> {table})")
+    rendered = let(text, "x", f"CASE WHEN contains(x, {q(_TABLE_OPEN)}) THEN {woven} ELSE x END")
+    return f"translate({rendered}, {q(_MARKS)}, '')"
 
 
 def _tidy(text: str) -> str:
-    return _strip(_drop(_drop(text, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    return strip(replace(replace(text, "[ \t]+", " "), "\n{3,}", "\n\n"))
 
 
 # ------------------------------------------------------------ public functions
@@ -339,13 +291,13 @@ def drop_boilerplate(html: str, banner_scope: str = "element") -> Column:
 
 
 def page_title(kept: str) -> Column:
-    titles = f"array_join({_all(kept, _TITLE, 1)}, '')"
-    return F.expr(_strip(_unescape(_drop(titles, _TAG))))
+    titles = f"array_join({match_all(kept, _TITLE, 1)}, '')"
+    return F.expr(strip(_unescape(replace(titles, _TAG))))
 
 
 def to_markdown(kept: str, base_url: str) -> Column:
     """Markdown of a page whose boilerplate is already gone."""
-    linked = _drop(_drop(kept, _TITLE), _ANCHOR, f"<a>$4</a>{_HREF_OPEN}$1$2$3{_HREF_CLOSE}")
+    linked = replace(replace(kept, _TITLE), _ANCHOR, f"<a>$4</a>{_HREF_OPEN}$1$2$3{_HREF_CLOSE}")
     rendered = _render_tags(_resolve_marked(linked, base_url))
     # Character references are decoded in the text and once more in the result.
     return F.expr(_tidy(_unescape(_render_tables(_unescape(rendered)))))
@@ -353,15 +305,15 @@ def to_markdown(kept: str, base_url: str) -> Column:
 
 def table_rows(kept: str) -> Column:
     """``array<array<array<string>>>``: tables, rows, cells of a cleaned page."""
-    tables = f"transform({_all(_unescape(_render_tags(kept)), _TABLE, 1)}, body -> {_table_rows('body')})"
-    return F.expr(f"CASE WHEN {kept} RLIKE {_q('(?i)<table[ >]')} THEN {tables} END")
+    tables = f"transform({match_all(_unescape(_render_tags(kept)), _TABLE, 1)}, body -> {_table_rows('body')})"
+    return F.expr(f"CASE WHEN {kept} RLIKE {q('(?i)<table[ >]')} THEN {tables} END")
 
 
 def anchors(kept: str, base_url: str) -> Column:
     """``array<struct<text, href>>``: links of a cleaned page in reading order."""
-    href = "concat(" + ", ".join(_get("a", _ANCHOR, g) for g in (1, 2, 3)) + ")"
+    href = "concat(" + ", ".join(match("a", _ANCHOR, g) for g in (1, 2, 3)) + ")"
     one = (
-        f"named_struct('text', {_collapse(_unescape(_drop(_get('a', _ANCHOR, 4), _TAG)))}, "
+        f"named_struct('text', {collapse(_unescape(replace(match('a', _ANCHOR, 4), _TAG)))}, "
         f"'href', {_resolve(base_url, _unescape(href))})"
     )
-    return F.expr(f"transform({_all(kept, _ANCHOR)}, a -> {one})")
+    return F.expr(f"transform({match_all(kept, _ANCHOR)}, a -> {one})")

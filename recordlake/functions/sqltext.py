@@ -1,0 +1,59 @@
+"""Small builders of Spark SQL text, for expressions with many nested lambdas.
+
+The same helpers exist for Columns in ``functions.text``; large expressions are
+written as text because one parsed string costs the driver far less than
+thousands of Column calls.
+"""
+
+from __future__ import annotations
+
+import json
+
+from .text import WHITE, WHITE_CHARS
+
+
+def q(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` in ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def match_all(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {q(pattern)}, {group})"
+
+
+def match(text: str, pattern: str, group: int = 1) -> str:
+    return f"regexp_extract({text}, {q(pattern)}, {group})"
+
+
+def replace(text: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({text}, {q(pattern)}, {q(by)})"
+
+
+def cut(text: str, pattern: str) -> str:
+    return f"split({text}, {q(pattern)}, -1)"
+
+
+def strip(text: str) -> str:
+    return f"btrim({text}, {q(WHITE_CHARS)})"
+
+
+def collapse(text: str) -> str:
+    return strip(replace(text, WHITE + "+", " "))
+
+
+def weave(between: str, tokens: str) -> str:
+    """Text pieces and the tokens between them, back in order."""
+    return (
+        f"array_join(flatten(zip_with({between}, {tokens}, "
+        "(s, t) -> array(coalesce(s, ''), coalesce(t, '')))), '')"
+    )
+
+
+def text_map(pairs: dict[str, str]) -> str:
+    """A constant map, folded at plan time."""
+    return f"from_json({q(json.dumps(pairs))}, 'map<string,string>')"
