@@ -112,3 +112,15 @@ def wide_row_number(
         .withColumn(rank, F.col("__before") + F.col("__rn"))
         .drop("__before", "__rn", "__slice")
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of a few small files one partition per core.
+
+    Rendering a page costs far more than moving it, and a file with one row group
+    is read by one task.  A scan that already has enough partitions, as any large
+    corpus has, is left alone, so bodies are never shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    scanned = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if scanned < cores else df
