@@ -128,9 +128,11 @@ def to_date(text: Column) -> Column:
 
 def to_array(text: Column, kind: Column | None = None, items: Column | None = None) -> Column:
     def parse(t: Column) -> Column:
+        # A second value behind the list would make the outer array longer.
+        nested = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit(",0]"))), "$", "array<variant>")
         listed = F.when(
             t.startswith("["),
-            F.try_variant_get(F.try_parse_json(t), "$", "array<string>"),
+            let(nested, lambda n: F.when(F.size(n) == 2, F.try_variant_get(n[0], "$", "array<string>"))),
         )
         parts = F.filter(F.transform(F.split(t, "[,;|]"), strip), lambda p: p != "")
         return F.coalesce(

@@ -57,3 +57,20 @@ def weave(between: str, tokens: str) -> str:
 def text_map(pairs: dict[str, str]) -> str:
     """A constant map, folded at plan time."""
     return f"from_json({q(json.dumps(pairs))}, 'map<string,string>')"
+
+
+_END = "\x1fend"
+
+
+def parse_json(text: str) -> str:
+    """``try_parse_json`` that rejects anything behind the value.
+
+    Spark's parser stops at the end of the first value.  Inside an array that
+    ends with a marker, a second value or trailing text makes the whole invalid.
+    """
+    wrapped = f"try_variant_get(try_parse_json(concat('[', {text}, {q(',' + json.dumps(_END) + ']')})), '$', 'array<variant>')"
+    return let(
+        wrapped,
+        "jsn",
+        f"CASE WHEN size(jsn) = 2 AND try_variant_get(jsn[1], '$', 'string') = {q(_END)} THEN jsn[0] END",
+    )

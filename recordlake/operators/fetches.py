@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BLOCK_STATUS, BLOCKED_URL_PATTERNS, REASON_CHARS, STATUS_IN_TEXT
-from ..functions.text import blank_to_null, extract, strip
+from ..functions.text import blank_to_null, extract, let, strip
 from ..functions.urls import is_blocked_url
 from ..plans.stages import first_per_key
 
@@ -27,18 +27,19 @@ def engine_rank(engine: Column, order: Sequence[str]) -> Column:
 
 def service_reply(body: Column) -> Column:
     """``struct<markdown, error>`` of a scrape service's JSON answer."""
-    v = F.try_parse_json(body)
-
-    def text(path: str) -> Column:
-        return blank_to_null(F.try_variant_get(v, path, "string"))
+    def read(v: Column) -> Column:
+        def text(path: str) -> Column:
+            return blank_to_null(F.try_variant_get(v, path, "string"))
+
+        inner = F.try_variant_get(v, "$.data", "map<string,variant>").isNotNull()
+        markdown = F.when(inner, F.coalesce(text("$.data.markdown"), text("$.data.content"))).otherwise(text("$.markdown"))
+        error = F.when(
+            F.try_variant_get(v, "$.success", "boolean") == F.lit(False),
+            F.left(F.coalesce(text("$.error"), F.lit("scrape failed")), F.lit(REASON_CHARS)),
+        )
+        return F.struct(markdown.alias("markdown"), error.alias("error"))
 
-    inner = F.try_variant_get(v, "$.data", "map<string,variant>").isNotNull()
-    markdown = F.when(inner, F.coalesce(text("$.data.markdown"), text("$.data.content"))).otherwise(text("$.markdown"))
-    error = F.when(
-        F.try_variant_get(v, "$.success", "boolean") == F.lit(False),
-        F.left(F.coalesce(text("$.error"), F.lit("scrape failed")), F.lit(REASON_CHARS)),
-    )
-    return F.struct(markdown.alias("markdown"), error.alias("error"))
+    return let(F.try_parse_json(body), read)
 
 
 def judge_attempts(attempts: DataFrame, *, block_status: Sequence[int] = BLOCK_STATUS) -> DataFrame:
@@ -124,11 +125,12 @@ def fetch_outcomes(
         }
     ).filter("__rank > 0")
     final = F.col("outcome") != "error"
-    step = F.col("__rank") * 1_000_000 + F.col("attempt")
+    # The first settled attempt counts, or the last failed one.
+    direction = F.when(final, 1).otherwise(-1)
     chosen = first_per_key(
-        settled.withColumns({"__open": (~final).cast("int"), "__step": F.when(final, step).otherwise(-step)}),
+        settled,
         keys,
-        ["__open", "__step"],
+        [(~final).cast("int"), F.col("__rank") * direction, F.col("attempt") * direction],
     )
     return chosen.select(
         *keys,

@@ -18,6 +18,7 @@ def configure(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on; all can change at run time."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(_GROUP_LIMIT))
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark

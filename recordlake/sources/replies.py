@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_QUERIES_REPLY
-from ..functions.sqltext import let, match, match_all, q, strip
+from ..functions.sqltext import let, match, match_all, parse_json, q, strip
 from ..functions.text import blank_to_null
 from ..functions.text import strip as strip_column
 from ..spec import RecordSpec
@@ -27,7 +27,9 @@ def reply_parts(log: DataFrame, *, session: str = "session", seq: str = "seq", l
     parsed = log.select(
         session,
         seq,
-        F.when(text_line.startswith("{"), F.try_parse_json(text_line)).alias("__v"),
+        text_line.alias("__line"),
+    ).select(
+        session, seq, F.expr(f"CASE WHEN startswith(__line, '{{') THEN {parse_json('__line')} END").alias("__v")
     )
     kind = F.try_variant_get("__v", "$.type", "string")
     is_text = F.expr("schema_of_variant(try_variant_get(__v, '$.part.text', 'variant')) = 'STRING'")
@@ -93,14 +95,14 @@ def _between(text: str, opener: str, closer: str) -> str:
     start, end = f"locate({q(opener)}, {text})", f"(length({text}) - locate({q(closer)}, reverse({text})) + 1)"
     return (
         f"CASE WHEN {start} > 0 AND contains({text}, {q(closer)}) AND {end} > {start} "
-        f"THEN try_parse_json(substr({text}, {start}, {end} - {start} + 1)) END"
+        f"THEN {parse_json(f'substr({text}, {start}, {end} - {start} + 1)')} END"
     )
 
 
 def json_in_prose(text: str) -> Column:
     """First JSON value of a reply: bare, fenced, or wrapped in prose; else null."""
     fenced = f"CASE WHEN t RLIKE {q(_FENCE)} THEN {strip(match('t', _FENCE))} ELSE t END"
-    value = f"coalesce(try_parse_json(b), {_between('b', '{', '}')}, {_between('b', '[', ']')})"
+    value = f"coalesce({parse_json('b')}, {_between('b', '{', '}')}, {_between('b', '[', ']')})"
     return F.expr(let(strip(text), "t", let(fenced, "b", value)))
 
 
@@ -112,13 +114,13 @@ def json_payloads(text: str) -> Column:
             "CASE WHEN contains(x, '[') THEN length(x) - locate(']', reverse(x)) + 1 "
             "ELSE length(x) - locate('}', reverse(x)) + 1 END"
         )
-        cut = f"try_parse_json(substr(x, {start}, greatest({bound} - {start} + 1, 0)))"
+        cut = parse_json(f"substr(x, {start}, greatest({bound} - {start} + 1, 0))")
         objects = (
             "CASE WHEN try_variant_get(v, '$', 'array<variant>') IS NOT NULL "
             "THEN filter(try_variant_get(v, '$', 'array<variant>'), o -> schema_of_variant(o) LIKE 'OBJECT%') "
             "WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN array(v) ELSE cast(array() AS ARRAY<VARIANT>) END"
         )
-        return let(strip(t), "x", let(f"coalesce(try_parse_json(x), {cut})", "v", objects))
+        return let(strip(t), "x", let(f"coalesce({parse_json('x')}, {cut})", "v", objects))
 
     blocks = f"flatten(transform({match_all(text, _FENCE, 1)}, blk -> {container('blk')}))"
     return F.expr(let(blocks, "found", f"CASE WHEN size(found) > 0 THEN found ELSE {container(text)} END"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MAX_RESULTS_PER_QUERY, MAX_RESULTS_SERVER
-from ..functions.sqltext import let, match_all, q, strip
+from ..functions.sqltext import let, match_all, parse_json, q, strip
 from ..functions.text import LINE_BREAK
 from ..functions.text import strip as strip_column
 from ..functions.urls import canonical_url, is_http
@@ -80,7 +80,7 @@ def payload_items(payload: str) -> Column:
     )
     by_line = (
         f"filter(transform(filter(transform(split(t, {q(LINE_BREAK)}), l -> {strip('l')}), "
-        "l -> startswith(l, '{')), l -> try_parse_json(l)), l -> l IS NOT NULL)"
+        f"l -> startswith(l, '{{')), l -> {parse_json('l')}), o -> o IS NOT NULL)"
     )
     by_url = f"transform({match_all('t', _URLS)}, u -> parse_json(to_json(named_struct('url', u))))"
     loose = let(by_line, "rows", f"CASE WHEN size(rows) > 0 THEN rows ELSE {by_url} END")
@@ -88,7 +88,7 @@ def payload_items(payload: str) -> Column:
         let(
             strip(payload),
             "t",
-            let("try_parse_json(t)", "v", f"CASE WHEN v IS NOT NULL THEN {parsed} ELSE {loose} END"),
+            let(parse_json("t"), "v", f"CASE WHEN v IS NOT NULL THEN {parsed} ELSE {loose} END"),
         )
     )
 
