@@ -32,7 +32,7 @@ def _canonical_sql(url: str) -> str:
 
 @query(f"SELECT page_id, url, {_canonical_sql('url')} AS canonical FROM pages")
 def canonical_urls(spark, load):
-    return load("pages").select("page_id", "url", canonical_url(F.col("url")).alias("canonical"))
+    return load("pages").select("page_id", "url", F.expr(canonical_url("url")).alias("canonical"))
 
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '')"
@@ -46,10 +46,10 @@ _HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.
 )
 def host_rollup(spark, load):
     """Hosts and pages per registrable host."""
-    hosts = load("pages").select(strip_www(host_of(F.col("url"))).alias("host"))
+    hosts = load("pages").select(F.expr(strip_www(host_of("url"))).alias("host"))
     # Two partial aggregations instead of a distinct count in one group.
     per_host = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    return per_host.groupBy(registrable_host(F.col("host")).alias("site")).agg(
+    return per_host.groupBy(F.expr(registrable_host("host")).alias("site")).agg(
         F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("pages")
     )
 
@@ -67,7 +67,7 @@ def redirect_targets(spark, load):
     encoded = F.replace(F.replace(F.replace(F.replace(target, F.lit(":"), F.lit("%3A")), F.lit("/"), F.lit("%2F")), F.lit("?"), F.lit("%3F")), F.lit("="), F.lit("%3D"))
     wrapped = F.concat(F.lit("https://www.google.com/url?sa=D&q="), encoded, F.lit("&ust=1"))
     url = F.when(F.col("page_id") % 2 == 0, wrapped).otherwise(F.col("url"))
-    return load("pages").select("page_id", unwrap_redirect(url).alias("target"))
+    return load("pages").select("page_id", url.alias("url")).select("page_id", F.expr(unwrap_redirect("url")).alias("target"))
 
 
 # Pages as search results: the intent is made of syllables that occur in them.
@@ -162,7 +162,7 @@ def frontier_dedupe(spark, load):
             F.lit("utm_medium=mail"),
         ).alias("url"),
     )
-    urls = pages.unionByName(tracked).select("page_id", canonical_url(F.col("url")).alias("canonical"))
+    urls = pages.unionByName(tracked).select("page_id", F.expr(canonical_url("url")).alias("canonical"))
     return first_per_key(urls, ["canonical"], ["page_id"]).select("canonical", F.col("page_id").alias("first_id"))
 
 
@@ -310,7 +310,7 @@ def planned_queries(spark, load):
 )
 def content_tokens(spark, load):
     """Distinct content words of every document."""
-    tokens = load("documents").select("doc_id", intent_tokens(F.col("text")).alias("t"))
+    tokens = load("documents").select("doc_id", F.expr(intent_tokens("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..constants import ERROR_TITLE, SKIP_TAGS
 from ..functions.headings import first_heading, name_heading
-from ..functions.names import best_name, is_org_name
+from ..functions.contacts import emails
+from ..functions.names import best_name, is_org_name, trim_separator
 from ..operators.page_text import extractor_input, page_links, page_tables, page_text
 from ..plans.stages import spread
 from ..sources.corpora import directory_pages
@@ -78,8 +79,8 @@ def page_headings(spark, load):
     text = _text(load)
     return text.select(
         "page_id",
-        first_heading(F.col("markdown")).alias("heading"),
-        name_heading(F.col("markdown")).alias("name_heading"),
+        F.expr(first_heading("markdown")).alias("heading"),
+        F.expr(name_heading("markdown")).alias("name_heading"),
     )
 
 
@@ -215,11 +216,11 @@ _GATE = r"""
 def page_names(spark, load):
     """Best entity name of every page: title, heading or host."""
     text = _text(load).withColumn("title", F.coalesce("title", F.lit("")))
-    heading = F.coalesce(name_heading(F.col("markdown")), F.lit(""))
+    heading = f"coalesce({name_heading('markdown')}, '')"
     return text.select(
         "page_id",
-        is_org_name(F.regexp_replace("title", r"\s*[|\-–—·•]\s*$", "")).alias("title_is_name"),
-        best_name(F.col("title"), heading, F.col("url")).alias("best_name"),
+        F.expr(is_org_name(trim_separator("title"))).alias("title_is_name"),
+        F.expr(best_name("title", heading, "url")).alias("best_name"),
     )
 
 
@@ -231,8 +232,5 @@ def page_names(spark, load):
 )
 def email_scan(spark, load):
     """Every e-mail address in every document, in order."""
-    from ..functions.contacts import EMAIL
-    from ..functions.text import extract_all
-
-    found = load("documents").select("doc_id", F.posexplode_outer(extract_all(F.col("text"), EMAIL)).alias("pos", "mail"))
-    return found.filter(F.col("mail").isNotNull()).select("doc_id", F.col("pos").cast("long").alias("pos"), F.lower("mail").alias("email"))
+    found = load("documents").select("doc_id", F.posexplode_outer(F.expr(emails("text"))).alias("pos", "email"))
+    return found.filter(F.col("email").isNotNull()).select("doc_id", F.col("pos").cast("long").alias("pos"), "email")

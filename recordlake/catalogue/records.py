@@ -120,9 +120,8 @@ def coerce_types(spark, load):
         ("mail", "email"): F.concat(F.lit("mail: Buyer"), F.col("o_custkey").cast("string"), F.lit("@Shop.TEST now")),
         ("link", "url"): F.concat(F.lit("see https://shop.test/o/"), key.cast("string"), F.lit(".")),
     }
-    typed = load("orders").select(
-        "o_orderkey", *[coerce(FieldSpec(n, t), text).alias(n) for (n, t), text in cells.items()]
-    )
+    raw = load("orders").select("o_orderkey", *[text.alias(n) for (n, _), text in cells.items()])
+    typed = raw.select("o_orderkey", *[F.expr(coerce(FieldSpec(n, t), n)).alias(n) for n, t in cells])
     return typed.withColumn("listed", F.array_join("listed", "/"))
 
 
@@ -344,7 +343,7 @@ def lead_backfill(spark, load):
 def email_preference(spark, load):
     """Preferred address of every document that has one."""
     host = F.when(F.col("doc_id") % 2 == 0, "www.example.com").otherwise("other.test")
-    best = load("documents").select("doc_id", preferred_email(F.col("text"), host).alias("email"))
+    best = load("documents").withColumn("host", host).select("doc_id", F.expr(preferred_email("text", "host")).alias("email"))
     return best.filter(F.col("email").isNotNull())
 
 

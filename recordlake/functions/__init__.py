@@ -1 +1 @@
-"""Column-level building blocks; every function returns a Column."""
+"""Building blocks as SQL text; operators pass them to ``F.expr``."""

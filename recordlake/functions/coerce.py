@@ -1,6 +1,6 @@
 """Typed coercion of raw cell text.
 
-Every function maps unusable input to null and never raises.  ``kind`` is null
+Every function maps unusable input to null and never raises.  ``kind`` is absent
 for text cells; cells that came from JSON carry the JSON type (``bool``,
 ``int``, ``float``, ``list`` or ``text``) because numbers and lists are treated
 differently from text there.
@@ -8,92 +8,68 @@ differently from text there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..constants import (
-    BARE_DOMAIN,
-    FALSE_WORDS,
-    NUMBER_IN_TEXT,
-    TRUE_WORDS,
-    URL_IN_TEXT,
-    YEAR_IN_TEXT,
-)
+from ..constants import FALSE_WORDS, NUMBER_IN_TEXT, TRUE_WORDS, URL_IN_TEXT, YEAR_IN_TEXT
 from ..spec import FieldSpec
 from .contacts import first_email, is_placeholder_email
-from .text import blank_to_null, collapse, extract, first_match, let, rstrip_chars, strip
+from .text import bind, blank_to_null, collapse, extract, match, one_of, q, replace, strip, strip_end
 from .urls import promote_bare_domain, unwrap_redirect
 
 
-def present(text: Column) -> Column:
+def present(text: str) -> str:
     """Blank text counts as missing."""
     return blank_to_null(strip(text))
 
 
-def to_email(text: Column) -> Column:
-    return let(F.lower(first_email(text)), lambda e: F.when(~is_placeholder_email(e), e))
+def to_email(text: str) -> str:
+    return bind(f"lower({first_email(text)})", lambda e: f"CASE WHEN NOT {is_placeholder_email(e)} THEN {e} END")
 
 
-def to_url(text: Column, page_link: Column | None = None) -> Column:
+def to_url(text: str, page_link: str | None = None) -> str:
     """A url in the text, else the page link that goes with it, else a bare domain."""
-    literal = unwrap_redirect(rstrip_chars(extract(text, URL_IN_TEXT), ".,;"))
-    promoted = promote_bare_domain(text, BARE_DOMAIN)
-    return F.coalesce(literal, promoted) if page_link is None else F.coalesce(literal, page_link, promoted)
-
-
-def link_for(text: Column, links: Column) -> Column:
-    """First page link whose label contains, or is contained in, the text.
 
-    ``links`` is ``array<struct<label, href>>`` with lower-case labels.  Text
-    that already holds a url never looks at the links.
-    """
+    def pick(t: str) -> str:
+        literal = unwrap_redirect(strip_end(extract(t, URL_IN_TEXT), ".,;"))
+        return f"coalesce({literal}, {page_link or 'NULL'}, {promote_bare_domain(t)})"
 
-    def pick(t: Column) -> Column:
-        hit = first_match(links, lambda l: l["label"].contains(t) | t.contains(l["label"]))
-        return rstrip_chars(hit["href"], ".,;")
+    return bind(present(text), pick)
 
-    cleaned = present(text)
-    return F.when(cleaned.isNotNull() & ~cleaned.rlike(URL_IN_TEXT), let(F.lower(cleaned), pick))
 
-
-def to_number(text: Column, kind: Column | None = None) -> Column:
-    parsed = F.replace(extract(text, NUMBER_IN_TEXT), F.lit(","), F.lit("")).try_cast("double")
+def to_number(text: str, kind: str | None = None) -> str:
+    parsed = f"try_cast(replace({extract(text, NUMBER_IN_TEXT)}, ',', '') AS DOUBLE)"
     if kind is None:
         return parsed
     return (
-        F.when(kind == "bool", F.when(F.lower(text) == "true", 1.0).otherwise(0.0))
-        .when(kind.isin("int", "float"), text.try_cast("double"))
-        .otherwise(parsed)
+        f"CASE WHEN {kind} = 'bool' THEN CASE WHEN lower({text}) = 'true' THEN 1D ELSE 0D END "
+        f"WHEN {kind} IN ('int', 'float') THEN try_cast({text} AS DOUBLE) ELSE {parsed} END"
     )
 
 
-def to_integer(text: Column, kind: Column | None = None) -> Column:
+def to_integer(text: str, kind: str | None = None) -> str:
     # Text rounds half to even; a JSON fraction is cut off.
-    rounded = F.bround(to_number(text), 0).try_cast("long")
+    rounded = f"try_cast(bround({to_number(text)}, 0) AS BIGINT)"
     if kind is None:
         return rounded
     return (
-        F.when(kind == "bool", F.when(F.lower(text) == "true", 1).otherwise(0).cast("long"))
-        .when(kind == "int", text.try_cast("long"))
-        .when(kind == "float", text.try_cast("double").try_cast("long"))
-        .otherwise(rounded)
+        f"CASE WHEN {kind} = 'bool' THEN CASE WHEN lower({text}) = 'true' THEN 1L ELSE 0L END "
+        f"WHEN {kind} = 'int' THEN try_cast({text} AS BIGINT) "
+        f"WHEN {kind} = 'float' THEN try_cast(try_cast({text} AS DOUBLE) AS BIGINT) ELSE {rounded} END"
     )
 
 
-def to_boolean(text: Column) -> Column:
-    return let(
-        F.lower(strip(text)),
-        lambda t: F.when(t.isin(*TRUE_WORDS), True).when(t.isin(*FALSE_WORDS), False),
+def to_boolean(text: str) -> str:
+    return bind(
+        f"lower({strip(text)})",
+        lambda t: f"CASE WHEN {one_of(t, TRUE_WORDS)} THEN true WHEN {one_of(t, FALSE_WORDS)} THEN false END",
     )
 
 
-# Accepted date shapes, tried in this order; each pattern captures the parts
-# named next to it.
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 _FULL_MONTHS = "january february march april may june july august september october november december"
 _DAY = r"(3[01]|[12][0-9]|0[1-9]|[1-9])"
 _MONTH = r"(1[0-2]|0[1-9]|[1-9])"
 _YEAR = r"([0-9]{4})"
+# Accepted date shapes in the order they are tried: year, month, day, or b for
+# the name of a month, in the order of their groups.
 _DATE_SHAPES = (
     (rf"^{_YEAR}-{_MONTH}-{_DAY}$", "ymd"),
     (rf"(?i)^{_DAY}\s+({'|'.join(_MONTHS.split())})\s+{_YEAR}$", "dby"),
@@ -105,74 +81,67 @@ _DATE_SHAPES = (
 )
 
 
-def _month_number(name: Column) -> Column:
-    position = F.instr(F.lit(_MONTHS), F.lower(F.left(name, F.lit(3))))
-    return ((position - 1) / 4 + 1).cast("int").cast("string")
-
-
-def to_date(text: Column) -> Column:
+def to_date(text: str) -> str:
     """ISO date for a known shape, else the first year in the text."""
 
-    def parse(t: Column) -> Column:
+    def parse(t: str) -> str:
         tries = []
         for pattern, order in _DATE_SHAPES:
-            parts = {p: F.regexp_extract(t, pattern, i + 1) for i, p in enumerate(order)}
-            month = _month_number(parts["b"]) if "b" in parts else parts.get("m", F.lit("1"))
-            day = parts.get("d", F.lit("1"))
-            iso = F.concat_ws("-", parts["y"], F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-            tries.append(F.when(t.rlike(pattern), F.date_format(iso.try_cast("date"), "yyyy-MM-dd")))
-        return F.coalesce(*tries, extract(t, YEAR_IN_TEXT, 1))
+            part = {p: match(t, pattern, i + 1) for i, p in enumerate(order)}
+            month = part.get("m", "'1'")
+            if "b" in part:
+                month = f"cast((instr({q(_MONTHS)}, lower(left({part['b']}, 3))) - 1) DIV 4 + 1 AS STRING)"
+            iso = f"concat_ws('-', {part['y']}, lpad({month}, 2, '0'), lpad({part.get('d', chr(39) + '1' + chr(39))}, 2, '0'))"
+            tries.append(f"CASE WHEN {t} RLIKE {q(pattern)} THEN date_format(try_cast({iso} AS DATE), 'yyyy-MM-dd') END")
+        return f"coalesce({', '.join(tries)}, {extract(t, YEAR_IN_TEXT, 1)})"
 
-    return let(strip(text), parse)
+    return bind(strip(text), parse)
 
 
-def to_array(text: Column, kind: Column | None = None, items: Column | None = None) -> Column:
-    def parse(t: Column) -> Column:
+def to_array(text: str, kind: str | None = None, items: str | None = None) -> str:
+    def parse(t: str) -> str:
         # A second value behind the list would make the outer array longer.
-        nested = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit(",0]"))), "$", "array<variant>")
-        listed = F.when(
-            t.startswith("["),
-            let(nested, lambda n: F.when(F.size(n) == 2, F.try_variant_get(n[0], "$", "array<string>"))),
-        )
-        parts = F.filter(F.transform(F.split(t, "[,;|]"), strip), lambda p: p != "")
-        return F.coalesce(
-            F.transform(listed, strip),
-            F.when(F.size(parts) > 0, parts),
+        outer = f"try_variant_get(try_parse_json(concat('[', {t}, ',0]')), '$', 'array<variant>')"
+        listed = bind(outer, lambda n: f"CASE WHEN size({n}) = 2 THEN try_variant_get({n}[0], '$', 'array<string>') END")
+        parts = f"filter(transform(split({t}, '[,;|]'), p -> {strip('p')}), p -> p <> '')"
+        return (
+            f"coalesce(CASE WHEN startswith({t}, '[') THEN transform({listed}, p -> {strip('p')}) END, "
+            + bind(parts, lambda p: f"CASE WHEN size({p}) > 0 THEN {p} END")
+            + ")"
         )
 
-    parsed = let(present(text), parse)
+    parsed = bind(present(text), parse)
     if kind is None:
         return parsed
-    kept = F.filter(F.transform(items, strip), lambda p: p != "")
-    return F.when(kind == "list", kept).otherwise(parsed)
+    kept = f"filter(transform({items}, p -> {strip('p')}), p -> p <> '')"
+    return f"CASE WHEN {kind} = 'list' THEN {kept} ELSE {parsed} END"
 
 
-def to_text(text: Column) -> Column:
-    return blank_to_null(collapse(F.regexp_replace(strip(text), r"\[([^\]]*)\]\([^)]*\)", "$1")))
+def to_text(text: str) -> str:
+    return blank_to_null(collapse(replace(strip(text), r"\[([^\]]*)\]\([^)]*\)", "$1")))
 
 
 def coerce(
     field: FieldSpec,
-    text: Column,
+    text: str,
     *,
-    page_link: Column | None = None,
-    kind: Column | None = None,
-    items: Column | None = None,
-) -> Column:
+    page_link: str | None = None,
+    kind: str | None = None,
+    items: str | None = None,
+) -> str:
     """Value of ``field`` in its Spark type, null when the text cannot give one."""
-    value = F.when(present(text).isNotNull(), text)
     if field.type == "email":
-        return to_email(value)
+        return to_email(text)
     if field.type == "url":
-        return to_url(present(text), page_link)
+        return to_url(text, page_link)
     if field.type == "number":
-        return to_number(value, kind)
+        return to_number(text, kind)
     if field.type == "integer":
-        return to_integer(value, kind)
+        return to_integer(text, kind)
     if field.type == "boolean":
-        return to_boolean(value)
+        return to_boolean(text)
     if field.type == "date":
-        return to_date(value)
+        return to_date(text)
     if field.type == "array":
-        return to_array(value, kind, items)
-    return to_text(value)
+        return to_array(text, kind, items)
+    return to_text(text)

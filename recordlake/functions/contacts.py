@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..constants import EMAIL_CHARS, PLACEHOLDER_EMAIL_DOMAINS, PLACEHOLDER_EMAIL_LOCALS
-from .text import extract, extract_all, let
+from .text import bind, extract, match_all, one_of
 from .urls import email_domain, is_free_mail, registrable_host
 
 # The look-behind keeps the scan linear on long runs of address characters; \G
@@ -14,39 +11,35 @@ from .urls import email_domain, is_free_mail, registrable_host
 EMAIL = rf"(?:\G|(?<![{EMAIL_CHARS}]))[{EMAIL_CHARS}]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"
 
 
-def first_email(text: Column) -> Column:
+def first_email(text: str) -> str:
     return extract(text, EMAIL)
 
 
-def is_placeholder_email(email: Column) -> Column:
-    return email_domain(email).isin(*PLACEHOLDER_EMAIL_DOMAINS) | F.substring_index(email, "@", 1).isin(
-        *PLACEHOLDER_EMAIL_LOCALS
+def is_placeholder_email(email: str) -> str:
+    return (
+        f"({one_of(email_domain(email), PLACEHOLDER_EMAIL_DOMAINS)} OR "
+        f"{one_of(f'''substring_index({email}, '@', 1)''', PLACEHOLDER_EMAIL_LOCALS)})"
     )
 
 
-def usable_emails(text: Column) -> Column:
-    """Every address in reading order, lower case, placeholders left out."""
-    return F.filter(
-        F.transform(extract_all(text, EMAIL), F.lower),
-        lambda e: ~is_placeholder_email(e),
-    )
+def emails(text: str) -> str:
+    """Every address in reading order, lower case."""
+    return f"transform({match_all(text, EMAIL)}, e -> lower(e))"
+
+
+def preferred_email(text: str, host: str) -> str:
+    """Own-domain address first, then any that is not free mail, then the first.
 
+    Placeholder addresses do not count.
+    """
 
-def preferred_email(text: Column, host: Column) -> Column:
-    """Own-domain address first, then any that is not free mail, then the first."""
-
-    def pick(site: Column) -> Column:
-        ranked = F.transform(
-            usable_emails(text),
-            lambda e, i: F.struct(
-                F.when((site != "") & (registrable_host(email_domain(e)) == site), 0)
-                .when(~is_free_mail(email_domain(e)), 1)
-                .otherwise(2)
-                .alias("cls"),
-                i.alias("pos"),
-                e.alias("email"),
-            ),
+    def pick(site: str) -> str:
+        domain = email_domain("e")
+        usable = f"filter({emails(text)}, e -> NOT {is_placeholder_email('e')})"
+        return (
+            f"array_min(transform({usable}, (e, i) -> named_struct("
+            f"'cls', CASE WHEN {site} <> '' AND {registrable_host(domain)} = {site} THEN 0 "
+            f"WHEN NOT {is_free_mail(domain)} THEN 1 ELSE 2 END, 'pos', i, 'email', e))).email"
         )
-        return F.array_min(ranked)["email"]
 
-    return let(registrable_host(host), pick)
+    return bind(registrable_host(host), pick)

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .text import LINE_BREAK, extract, q, strip
 
-from .text import LINE_BREAK, extract, let, strip
 
-
-def first_heading(markdown: Column) -> Column:
+def first_heading(markdown: str) -> str:
     """First level 1-3 heading, else the first non-blank line (120 characters)."""
-    line = F.left(
-        strip(let(strip(markdown), lambda t: F.get(F.split(t, LINE_BREAK, 2), F.lit(0)))), F.lit(120)
-    )
-    return F.coalesce(strip(extract(markdown, r"(?md)^#{1,3}\s+(.+)$", 1)), line)
+    line = f"left({strip(f'split({strip(markdown)}, {q(LINE_BREAK)}, 2)[0]')}, 120)"
+    return f"coalesce({strip(extract(markdown, HEADING_3, 1))}, {line})"
 
 
-def name_heading(markdown: Column) -> Column:
+def name_heading(markdown: str) -> str:
     """First level 1-2 heading, else null."""
-    return strip(extract(markdown, r"(?md)^#{1,2}\s+(.+)$", 1))
+    return strip(extract(markdown, HEADING_2, 1))
+
+
+HEADING_3 = r"(?md)^#{1,3}\s+(.+)$"
+HEADING_2 = r"(?md)^#{1,2}\s+(.+)$"

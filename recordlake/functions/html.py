@@ -4,21 +4,15 @@ A page becomes text inside one task without a shuffle and without Python
 workers.  All steps are linear in the page: tokens are cut with regular
 expressions, every tag is mapped to its Markdown literal, and only the nesting
 depth of dropped elements is walked in order.
-
-The expressions are written as SQL text: they are large, and handing Spark one
-string per page function is much cheaper for the driver than thousands of
-Column calls.
 """
 
 from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..constants import BANNER_HINTS, SKIP_TAGS
-from .sqltext import collapse, cut, let, match, match_all, q, replace, strip, text_map, weave
+from .text import collapse, cut, let, match, match_all, q, replace, strip, text_map, weave
+from .urls import PARTS
 
 # Control characters that mark structure while a page is being rendered.
 _CELL_OPEN, _CELL_CLOSE = "\x01", "\x02"
@@ -78,7 +72,8 @@ def _windows_1252() -> dict[str, str]:
     return table
 
 
-def _unescape(text: str) -> str:
+def unescape(text: str) -> str:
+    """Named (HTML 4) and numeric character references decoded."""
     named = {**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"}
     # Latin-1 names also count without the semicolon.
     bare = {n: chr(c) for n, c in name2codepoint.items() if c < 256}
@@ -146,7 +141,15 @@ def _kept_after(tags: str, banner_scope: str) -> str:
     return let(f"transform({tags}, g -> {code})", "codes", walk)
 
 
-def _drop_boilerplate(html: str, banner_scope: str) -> str:
+def drop_boilerplate(html: str, banner_scope: str = "element") -> str:
+    """Page without comments, scripts, navigation, forms and the like.
+
+    Any skip tag raises the depth and any closing one lowers it (never below
+    zero); text counts only at depth zero.  A banner ``div`` is dropped up to
+    its own end (``banner_scope="element"``), or raises the depth for good
+    (``"rest"``), which hides the remainder of the page.
+    """
+
     def tokens(pattern: str) -> str:
         return f"named_struct('tags', {match_all('page', pattern)}, 'parts', {cut('page', pattern)})"
 
@@ -163,9 +166,6 @@ def _drop_boilerplate(html: str, banner_scope: str) -> str:
 
 
 # ---------------------------------------------------------------------- links
-_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-
-
 def _without_dots(path: str) -> str:
     # The empty first segment stands for the root and is never removed.
     walked = (
@@ -183,8 +183,8 @@ def _without_dots(path: str) -> str:
 def _resolve(base: str, href: str) -> str:
     """Absolute form of a link found on the page ``base`` (RFC 3986)."""
     site = let(
-        f"named_struct('scheme', lower({match(base, _PARTS, 1)}), 'host', {match(base, _PARTS, 2)}, "
-        f"'path', coalesce(nullif({match(base, _PARTS, 3)}, ''), '/'), 'query', {match(base, _PARTS, 4)})",
+        f"named_struct('scheme', lower({match(base, PARTS, 1)}), 'host', {match(base, PARTS, 2)}, "
+        f"'path', coalesce(nullif({match(base, PARTS, 3)}, ''), '/'), 'query', {match(base, PARTS, 4)})",
         "b",
         "CASE WHEN startswith(r, '//') THEN concat(b.scheme, ':', r) "
         "WHEN startswith(r, '?') THEN concat(b.scheme, '://', b.host, b.path, r) "
@@ -274,46 +274,30 @@ def _tidy(text: str) -> str:
 
 
 # ------------------------------------------------------------ public functions
-def unescape(column: str) -> Column:
-    """Named (HTML 4) and numeric character references decoded."""
-    return F.expr(_unescape(column))
-
-
-def drop_boilerplate(html: str, banner_scope: str = "element") -> Column:
-    """Page without comments, scripts, navigation, forms and the like.
-
-    Any skip tag raises the depth and any closing one lowers it (never below
-    zero); text counts only at depth zero.  A banner ``div`` is dropped up to
-    its own end (``banner_scope="element"``), or raises the depth for good
-    (``"rest"``), which hides the remainder of the page.
-    """
-    return F.expr(_drop_boilerplate(html, banner_scope))
-
-
-def page_title(kept: str) -> Column:
+def page_title(kept: str) -> str:
     titles = f"array_join({match_all(kept, _TITLE, 1)}, '')"
-    return F.expr(strip(_unescape(replace(titles, _TAG))))
+    return strip(unescape(replace(titles, _TAG)))
 
 
-def to_markdown(kept: str, base_url: str) -> Column:
+def to_markdown(kept: str, base_url: str) -> str:
     """Markdown of a page whose boilerplate is already gone."""
     linked = replace(replace(kept, _TITLE), _ANCHOR, f"<a>$4</a>{_HREF_OPEN}$1$2$3{_HREF_CLOSE}")
     rendered = _render_tags(_resolve_marked(linked, base_url))
     # Character references are decoded in the text and once more in the result.
-    return F.expr(_tidy(_unescape(_render_tables(_unescape(rendered)))))
+    return _tidy(unescape(_render_tables(unescape(rendered))))
 
 
-def table_rows(kept: str) -> Column:
+def table_rows(kept: str) -> str:
     """``array<array<array<string>>>``: tables, rows, cells of a cleaned page."""
-    tables = f"transform({match_all(_unescape(_render_tags(kept)), _TABLE, 1)}, body -> {_table_rows('body')})"
-    return F.expr(f"CASE WHEN {kept} RLIKE {q('(?i)<table[ >]')} THEN {tables} END")
+    tables = f"transform({match_all(unescape(_render_tags(kept)), _TABLE, 1)}, body -> {_table_rows('body')})"
+    return f"CASE WHEN {kept} RLIKE {q('(?i)<table[ >]')} THEN {tables} END"
 
 
-def anchors(kept: str, base_url: str) -> Column:
+def anchors(kept: str, base_url: str) -> str:
     """``array<struct<text, href>>``: links of a cleaned page in reading order."""
     href = "concat(" + ", ".join(match("a", _ANCHOR, g) for g in (1, 2, 3)) + ")"
     one = (
-        f"named_struct('text', {collapse(_unescape(replace(match('a', _ANCHOR, 4), _TAG)))}, "
-        f"'href', {_resolve(base_url, _unescape(href))})"
+        f"named_struct('text', {collapse(unescape(replace(match('a', _ANCHOR, 4), _TAG)))}, "
+        f"'href', {_resolve(base_url, unescape(href))})"
     )
-    return F.expr(f"transform({match_all(kept, _ANCHOR)}, a -> {one})")
+    return f"transform({match_all(kept, _ANCHOR)}, a -> {one})"

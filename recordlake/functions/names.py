@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..constants import (
     ERROR_TITLE,
     GENERIC_TITLES,
@@ -15,47 +12,42 @@ from ..constants import (
     SLOGAN_TAIL,
     TRAILING_SEPARATOR,
 )
-from .text import WHITE, escape_alternation, let, rstrip_chars, strip
+from .text import WHITE, alternation, bind, cut, one_of, q, replace, strip, strip_end
 from .urls import host_name, host_of
 
 
-def is_error_title(title: Column) -> Column:
+def is_error_title(title: str) -> str:
     """Titles of challenge, denial and error pages."""
-    return F.coalesce(title.rlike(ERROR_TITLE), F.lit(False))
+    return f"coalesce({title} RLIKE {q(ERROR_TITLE)}, false)"
 
 
-def is_org_name(name: Column) -> Column:
+def is_org_name(name: str) -> str:
     """False for taglines, headlines and slogans; null input is false."""
 
-    def gate(s: Column) -> Column:
-        words = F.size(F.split(s, WHITE + "+"))
-        rejected = (
-            (s == "")
-            | (F.length(s) > 60)
-            | s.rlike(PICTOGRAM)
-            | s.endswith("!")
-            | s.contains("?")
-            | s.rlike(NON_LATIN)
-            | (words > 6)
-            | (s.rlike(SLOGAN_OPENER) & (words > 2))
-            | s.rlike(SLOGAN_TAIL)
-            | F.concat(F.lit(" "), F.lower(s), F.lit(" ")).rlike(escape_alternation(PROSE_MARKERS))
+    def gate(s: str) -> str:
+        words = f"size({cut(s, WHITE + '+')})"
+        return (
+            f"NOT ({s} = '' OR length({s}) > 60 OR {s} RLIKE {q(PICTOGRAM)} OR endswith({s}, '!') OR contains({s}, '?') "
+            f"OR {s} RLIKE {q(NON_LATIN)} OR {words} > 6 OR ({s} RLIKE {q(SLOGAN_OPENER)} AND {words} > 2) "
+            f"OR {s} RLIKE {q(SLOGAN_TAIL)} "
+            f"OR concat(' ', lower({s}), ' ') RLIKE {q(alternation(PROSE_MARKERS))})"
         )
-        return ~rejected
 
-    return F.coalesce(let(strip(name), gate), F.lit(False))
+    return f"coalesce({bind(strip(name), gate)}, false)"
+
+
+def trim_separator(text: str) -> str:
+    return strip(replace(strip(text), TRAILING_SEPARATOR))
 
 
-def best_name(title: Column, heading: Column, url: Column) -> Column:
+def best_name(title: str, heading: str, url: str) -> str:
     """A usable title, else a usable first heading, else the host's first label."""
 
-    def usable(text: Column) -> Column:
-        cleaned = strip(F.regexp_replace(strip(text), TRAILING_SEPARATOR, ""))
-        return let(
-            cleaned,
-            lambda c: F.when(
-                (c != "") & ~rstrip_chars(F.lower(c), "!").isin(*GENERIC_TITLES) & is_org_name(c), c
-            ),
+    def usable(text: str) -> str:
+        return bind(
+            trim_separator(text),
+            lambda c: f"CASE WHEN {c} <> '' AND NOT {one_of(strip_end(f'lower({c})', '!'), GENERIC_TITLES)} "
+            f"AND {is_org_name(c)} THEN {c} END",
         )
 
-    return F.coalesce(usable(title), usable(heading), host_name(host_of(url)))
+    return f"coalesce({usable(title)}, {usable(heading)}, {host_name(host_of(url))})"

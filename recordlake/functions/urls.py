@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..constants import (
+    BARE_DOMAIN,
     BINARY_URL,
     BLOCKED_URL_PATTERNS,
     FREE_MAIL_DOMAINS,
@@ -17,138 +15,139 @@ from ..constants import (
     SITE_SEARCH_PATH,
     TRACKING_PREFIXES,
 )
-from .text import escape_alternation, let, rstrip_chars, strip
+from .text import alternation, bind, match, one_of, q, replace, strip, strip_end
 
 # scheme, authority, path, query, fragment
-_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 
 
-def is_http(url: Column) -> Column:
-    return url.startswith("http://") | url.startswith("https://")
+def is_http(url: str) -> str:
+    return f"(startswith({url}, 'http://') OR startswith({url}, 'https://'))"
 
 
-def _decode_form(c: Column) -> Column:
+def _decode_form(text: str) -> str:
     # A percent sign that starts no escape stands for itself.
-    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return f"try_url_decode({replace(text, '%(?![0-9A-Fa-f]{2})', '%25')})"
 
 
-def _encode_form(c: Column) -> Column:
-    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+def _encode_form(text: str) -> str:
+    return f"replace(replace(url_encode({text}), '*', '%2A'), '%7E', '~')"
 
 
-def decode_percent(c: Column) -> Column:
+def decode_percent(text: str) -> str:
     """Percent decoding that leaves ``+`` alone."""
-    return _decode_form(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return _decode_form(f"replace({text}, '+', '%2B')")
 
 
-def canonical_url(url: Column) -> Column:
+def canonical_url(url: str) -> str:
     """Lower-case host, no fragment, no trailing slash, no tracking parameters."""
-    clean = F.translate(strip(url), "\t\n\r", "")
-    tracking = "^(?:" + escape_alternation(TRACKING_PREFIXES) + ")"
-
-    def pair(p: Column) -> Column:
-        return F.struct(
-            _decode_form(F.regexp_extract(p, r"^([^=]*)=", 1)).alias("k"),
-            _decode_form(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v"),
-        )
+    tracking = f"^(?:{alternation(TRACKING_PREFIXES)})"
 
-    def build(u: Column) -> Column:
-        query = F.regexp_extract(u, _PARTS, 4)
-        pairs = F.filter(
-            F.transform(F.filter(F.split(query, "&"), lambda p: p.contains("=")), pair),
-            lambda kv: (kv["v"] != "") & ~F.lower(kv["k"]).rlike(tracking),
+    def query(u: str) -> str:
+        pairs = (
+            f"filter(transform(filter(split({match(u, PARTS, 4)}, '&'), p -> contains(p, '=')), p -> named_struct("
+            f"'k', {_decode_form(match('p', '^([^=]*)='))}, 'v', {_decode_form(match('p', '^[^=]*=(.*)$'))})), "
+            f"p -> p.v <> '' AND NOT lower(p.k) RLIKE {q(tracking)})"
         )
-        text = F.array_join(
-            F.transform(pairs, lambda kv: F.concat(_encode_form(kv["k"]), F.lit("="), _encode_form(kv["v"]))),
-            "&",
-        )
-        path = rstrip_chars(F.regexp_extract(u, _PARTS, 3), "/")
-        return F.concat(
-            F.lower(F.regexp_extract(u, _PARTS, 1)),
-            F.lit("://"),
-            F.lower(F.regexp_extract(u, _PARTS, 2)),
-            F.when(path == "", "/").otherwise(path),
-            F.when(query == "", "").otherwise(let(text, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))),
+        text = f"array_join(transform({pairs}, p -> concat({_encode_form('p.k')}, '=', {_encode_form('p.v')})), '&')"
+        kept = bind(text, lambda t: f"CASE WHEN {t} = '' THEN '' ELSE concat('?', {t}) END")
+        return f"CASE WHEN contains({u}, '?') THEN {kept} ELSE '' END"
+
+    def build(u: str) -> str:
+        path = strip_end(match(u, PARTS, 3), "/")
+        return (
+            f"CASE WHEN contains({u}, '://') THEN concat(lower({match(u, PARTS, 1)}), '://', lower({match(u, PARTS, 2)}), "
+            f"coalesce(nullif({path}, ''), '/'), {query(u)}) ELSE {u} END"
         )
 
-    return let(clean, lambda u: F.when(u.contains("://"), build(u)).otherwise(u))
+    return bind(f"translate({strip(url)}, {q(chr(9) + chr(10) + chr(13))}, '')", build)
 
 
-def host_of(url: Column) -> Column:
-    """Lower-case host name without user, port; '' when the url has none."""
-    return F.lower(F.regexp_extract(url, _HOST, 1))
+def host_of(url: str) -> str:
+    """Lower-case host name without user and port; '' when the url has none."""
+    return f"lower({match(url, _HOST)})"
 
 
-def strip_www(host: Column) -> Column:
-    return F.regexp_replace(host, r"^www\.", "")
+def strip_www(host: str) -> str:
+    return replace(host, r"^www\.", "")
 
 
-def registrable_host(host: Column) -> Column:
+def registrable_host(host: str) -> str:
     """Last two labels (no public-suffix list), '' for a single label."""
-    bare = strip_www(F.lower(host))
-    return F.when(bare.contains("."), F.substring_index(bare, ".", -2)).otherwise("")
+    return bind(
+        strip_www(f"lower({host})"),
+        lambda h: f"CASE WHEN contains({h}, '.') THEN substring_index({h}, '.', -2) ELSE '' END",
+    )
 
 
-def path_of(url: Column) -> Column:
-    path = F.regexp_extract(url, _PARTS, 3)
-    return F.when(path == "", "/").otherwise(path)
+def path_of(url: str) -> str:
+    return f"coalesce(nullif({match(url, PARTS, 3)}, ''), '/')"
 
 
-def query_of(url: Column) -> Column:
-    return F.regexp_extract(url, _PARTS, 4)
+def query_of(url: str) -> str:
+    return match(url, PARTS, 4)
 
 
-def is_blocked_url(url: Column, patterns: Sequence[str] = BLOCKED_URL_PATTERNS) -> Column:
+def is_blocked_url(url: str, patterns: Sequence[str] = BLOCKED_URL_PATTERNS) -> str:
     if not patterns:
-        return F.lit(False)
-    return F.lower(url).rlike(escape_alternation(p.lower() for p in patterns))
+        return "false"
+    return f"lower({url}) RLIKE {q(alternation(p.lower() for p in patterns))}"
 
 
-def is_binary_url(url: Column) -> Column:
-    return F.lower(url).rlike(BINARY_URL)
+def is_binary_url(url: str) -> str:
+    return f"lower({url}) RLIKE {q(BINARY_URL)}"
 
 
-def is_site_search(url: Column) -> Column:
+def is_site_search(url: str) -> str:
     """Pages that echo the search phrase back."""
-    path = path_of(url)
-    return path.rlike(SITE_SEARCH_PATH) | (rstrip_chars(path, "/").endswith("/search") & (query_of(url) != ""))
+    return (
+        f"({path_of(url)} RLIKE {q(SITE_SEARCH_PATH)} "
+        f"OR (endswith({strip_end(path_of(url), '/')}, '/search') AND {query_of(url)} <> ''))"
+    )
 
 
-def unwrap_redirect(url: Column) -> Column:
+def unwrap_redirect(url: str) -> str:
     """Target of a search engine's ``/url?q=`` wrapper."""
-    target = decode_percent(F.regexp_extract(url, REDIRECT_URL, 1))
-    return F.when(url.contains("/url?"), let(target, lambda t: F.when(is_http(t), t).otherwise(url))).otherwise(url)
+    return bind(
+        url,
+        lambda u: f"CASE WHEN contains({u}, '/url?') THEN "
+        + bind(decode_percent(match(u, REDIRECT_URL)), lambda t: f"CASE WHEN {is_http(t)} THEN {t} ELSE {u} END")
+        + f" ELSE {u} END",
+    )
 
 
-def is_free_mail(domain: Column) -> Column:
+def is_free_mail(domain: str) -> str:
     return (
-        domain.isin(*FREE_MAIL_DOMAINS)
-        | registrable_host(domain).isin(*FREE_MAIL_DOMAINS)
-        | F.substring_index(domain, ".", 1).isin(*FREE_MAIL_STEMS)
+        f"({one_of(domain, FREE_MAIL_DOMAINS)} OR {one_of(registrable_host(domain), FREE_MAIL_DOMAINS)} "
+        f"OR {one_of(f'''substring_index({domain}, '.', 1)''', FREE_MAIL_STEMS)})"
     )
 
 
-def is_platform_host(host: Column) -> Column:
-    return registrable_host(host).isin(*PLATFORM_HOSTS)
+def is_platform_host(host: str) -> str:
+    return one_of(registrable_host(host), PLATFORM_HOSTS)
 
 
-def host_name(host: Column) -> Column:
+def host_name(host: str) -> str:
     """Entity name guessed from a host: its first label, capitalised."""
-    bare = strip_www(F.lower(host))
-    stem = F.substring_index(bare, ".", 1)
-    usable = bare.contains(".") & (F.length(stem) >= 3) & ~stem.rlike("^[0-9]+$")
-    return F.when(usable, F.concat(F.upper(F.left(stem, F.lit(1))), F.substr(stem, F.lit(2))))
+    return bind(
+        strip_www(f"lower({host})"),
+        lambda h: bind(
+            f"substring_index({h}, '.', 1)",
+            lambda s: f"CASE WHEN contains({h}, '.') AND length({s}) >= 3 AND NOT {s} RLIKE '^[0-9]+$' "
+            f"THEN concat(upper(left({s}, 1)), substr({s}, 2)) END",
+        ),
+    )
 
 
-def email_domain(email: Column) -> Column:
-    return F.substring_index(email, "@", -1)
+def email_domain(email: str) -> str:
+    return f"substring_index({email}, '@', -1)"
 
 
-def contact_urls(site: Column) -> Column:
+def contact_urls(site: str) -> str:
     """Pages of a site where an address is looked for, in this order."""
-    return F.array(site, F.concat(rstrip_chars(site, "/"), F.lit("/contact")))
+    return f"array({site}, concat({strip_end(site, '/')}, '/contact'))"
 
 
-def promote_bare_domain(text: Column, pattern: str) -> Column:
-    return F.when(text.rlike(pattern), F.concat(F.lit("https://"), text))
+def promote_bare_domain(text: str) -> str:
+    return f"CASE WHEN {text} RLIKE {q(BARE_DOMAIN)} THEN concat('https://', {text}) END"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import MAX_LEADS_PER_JOB, MAX_RECORDS_DEFAULT
 from ..functions.coerce import coerce
 from ..functions.contacts import preferred_email
-from ..functions.text import blank_to_null, rstrip_chars, strip
+from ..functions.text import blank_to_null, strip, strip_end
 from ..functions.urls import canonical_url, contact_urls, host_of
 from ..plans.stages import first_per_key, top_per_key
 from ..spec import RecordSpec
@@ -31,12 +31,14 @@ def collect_leads(
         )
     have = set(candidates.columns)
 
-    def value(f) -> object:
-        return coerce(
-            f,
-            F.col(f"raw.{f.name}"),
-            kind=F.col(f"kind.{f.name}") if "kind" in have else None,
-            items=F.col(f"items.{f.name}") if "items" in have else None,
+    def value(f):
+        return F.expr(
+            coerce(
+                f,
+                f"raw.`{f.name}`",
+                kind=f"kind.`{f.name}`" if "kind" in have else None,
+                items=f"items.`{f.name}`" if "items" in have else None,
+            )
         )
 
     read = candidates.select(
@@ -44,14 +46,14 @@ def collect_leads(
         *order,
         url,
         value(email).alias("__email"),
-        blank_to_null(strip(F.col(f"raw.{name.name}"))).alias("company"),
+        F.expr(blank_to_null(strip(f"raw.`{name.name}`"))).alias("company"),
         value(site).alias("website"),
     )
     near = read.filter(
-        F.col("__email").isNull()
-        & F.col("company").isNotNull()
-        & F.col("website").isNotNull()
-        & (rstrip_chars(F.col("website"), "/") != rstrip_chars(F.col(url), "/"))
+        F.expr(
+            "__email IS NULL AND company IS NOT NULL AND website IS NOT NULL "
+            f"AND {strip_end('website', '/')} <> {strip_end(f'`{url}`', '/')}"
+        )
     ).select("job_id", *order, "website", "company")
     return first_per_key(near, ["job_id", "website"], order)
 
@@ -78,8 +80,8 @@ def open_leads(
             wanted = wanted.join(targets.select("job_id", "max_records"), "job_id", "left")
         limit = F.coalesce("max_records", F.lit(MAX_RECORDS_DEFAULT)) if targets is not None else F.lit(MAX_RECORDS_DEFAULT)
         wanted = wanted.filter(F.coalesce("n_records", F.lit(0)) < limit).drop("n_records", "max_records")
-    seen = visited.select("job_id", canonical_url(F.col("url")).alias("__page")).distinct()
-    pages = F.transform(contact_urls(F.col("website")), canonical_url)
+    seen = visited.select("job_id", F.expr(canonical_url("url")).alias("__page")).distinct()
+    pages = F.expr(f"transform({contact_urls('website')}, x -> {canonical_url('x')})")
     hit = (
         wanted.select("job_id", "website", F.explode_outer(pages).alias("__page"))
         .join(seen, ["job_id", "__page"], "left_semi")
@@ -97,8 +99,8 @@ def lead_pages(leads: DataFrame) -> DataFrame:
         "website",
         "company",
         "lead_no",
-        F.posexplode_outer(contact_urls(F.col("website"))).alias("page_no", "page"),
-    ).withColumn("canonical", canonical_url(F.col("page")))
+        F.posexplode_outer(F.expr(contact_urls("website"))).alias("page_no", "page"),
+    ).withColumn("canonical", F.expr(canonical_url("page")))
 
 
 def page_contacts(text: DataFrame, *, url: str = "url") -> DataFrame:
@@ -108,8 +110,8 @@ def page_contacts(text: DataFrame, *, url: str = "url") -> DataFrame:
     """
     usable = text.filter(F.col("reject").isNull())
     found = usable.select(
-        canonical_url(F.col(url)).alias("canonical"),
-        preferred_email(F.col("markdown"), host_of(canonical_url(F.col(url)))).alias("email"),
+        F.expr(canonical_url(f"`{url}`")).alias("canonical"),
+        F.expr(preferred_email("markdown", host_of(f"`{url}`"))).alias("email"),
     )
     return found.filter(F.col("email").isNotNull())
 

@@ -4,62 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, strip
+from ..constants import MAX_RECORDS_DEFAULT, MAX_RECORDS_HARD
+from ..functions.text import bind, q, strip
 from ..functions.urls import email_domain, host_of, strip_www
 from ..plans.stages import first_per_key, top_per_key
-from ..constants import MAX_RECORDS_DEFAULT, MAX_RECORDS_HARD
 from ..spec import FieldSpec, RecordSpec
 
 _ITEM_SEPARATOR = "\x1f"  # between the items of an array inside a key
 
 
-def _key_part(f: FieldSpec) -> Column:
+def _key_part(f: FieldSpec) -> str:
     """Text of a value inside the full-row key; zero, false and [] count as blank."""
-    value = F.col(f.name)
     if f.type == "array":
-        text = F.array_join(value, _ITEM_SEPARATOR)
+        text = f"array_join(`{f.name}`, {q(_ITEM_SEPARATOR)})"
     elif f.type in ("number", "integer"):
-        text = F.when(value != 0, value.cast("string"))
+        text = f"CASE WHEN `{f.name}` <> 0 THEN cast(`{f.name}` AS STRING) END"
     elif f.type == "boolean":
-        text = F.when(value, "true")
+        text = f"CASE WHEN `{f.name}` THEN 'true' END"
     else:
-        text = value
-    return F.coalesce(F.lower(strip(text)), F.lit(""))
+        text = f"`{f.name}`"
+    return f"coalesce(lower({strip(text)}), '')"
 
 
-def organisation_key(spec: RecordSpec) -> Column:
+def organisation_key(spec: RecordSpec) -> str:
     """``org|domain|host`` when the e-mail and the website share a domain."""
     email, site = spec.first("email"), spec.first("url")
     if email is None or site is None:
-        return F.lit(None).cast("string")
-    pair = F.struct(
-        email_domain(F.lower(strip(F.col(email.name)))).alias("domain"),
-        strip_www(host_of(strip(F.col(site.name)))).alias("host"),
+        return "cast(NULL AS STRING)"
+    pair = (
+        f"named_struct('domain', {email_domain(f'lower({strip(email.name)})')}, "
+        f"'host', {strip_www(host_of(strip(site.name)))})"
+    )
+    return bind(
+        pair,
+        lambda p: f"CASE WHEN contains({email.name}, '@') AND contains({p}.host, '.') AND ({p}.domain = {p}.host "
+        f"OR endswith({p}.domain, concat('.', {p}.host)) OR endswith({p}.host, concat('.', {p}.domain))) "
+        f"THEN concat_ws('|', 'org', {p}.domain, {p}.host) END",
     )
-
-    def same(p: Column) -> Column:
-        related = (
-            (p["domain"] == p["host"])
-            | p["domain"].endswith(F.concat(F.lit("."), p["host"]))
-            | p["host"].endswith(F.concat(F.lit("."), p["domain"]))
-        )
-        return F.when(
-            F.col(email.name).contains("@") & p["host"].contains(".") & related,
-            F.concat_ws("|", F.lit("org"), p["domain"], p["host"]),
-        )
-
-    return let(pair, same)
 
 
-def entity_key(spec: RecordSpec) -> Column:
+def entity_key(spec: RecordSpec) -> str:
     parts = [_key_part(f) for f in spec.fields]
-    blank = F.lit(True)
-    for p in parts:
-        blank = blank & (p == "")
-    return F.coalesce(organisation_key(spec), F.when(blank, "empty").otherwise(F.concat_ws("|", *parts)))
+    whole = bind(
+        f"array({', '.join(parts)})",
+        lambda a: f"CASE WHEN exists({a}, x -> x <> '') THEN array_join({a}, '|') ELSE 'empty' END",
+    )
+    return f"coalesce({organisation_key(spec)}, {whole})"
 
 
 def dedupe_records(
@@ -74,7 +67,7 @@ def dedupe_records(
     One exchange on (job, key), after each map task has already reduced its
     rows to one per key; page text is long gone from the rows.
     """
-    keyed = records.withColumn("__key", entity_key(spec))
+    keyed = records.withColumn("__key", F.expr(entity_key(spec)))
     return first_per_key(keyed, [*job, "__key"], order).drop("__key")
 
 

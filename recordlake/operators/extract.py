@@ -15,8 +15,7 @@ from ..constants import KV_VALUE_CHARS, MARKDOWN_LINK, URL_IN_TEXT
 from ..functions.contacts import EMAIL
 from ..functions.headings import name_heading
 from ..functions.names import best_name
-from ..functions.sqltext import let, match, match_all, q, strip
-from ..functions.text import LINE_BREAK, WHITE
+from ..functions.text import LINE_BREAK, WHITE, compact, let, match, match_all, q, strip
 from ..spec import FieldSpec, RecordSpec
 
 # A header line, a rule line, lines without a pipe, then the rows.
@@ -31,10 +30,6 @@ _KEY_VALUE = (
 )
 
 
-def _compact(text: str) -> str:
-    return f"regexp_replace(lower({text}), '[^a-z0-9]', '')"
-
-
 def _cells(line: str) -> str:
     return f"transform(split(btrim({strip(line)}, '|'), '[|]', -1), c -> {strip('c')})"
 
@@ -97,7 +92,7 @@ def extract_candidates(
     for pattern in _KEY_VALUE:
         entries.append(
             f"transform({match_all('markdown', pattern)}, m -> named_struct("
-            f"'k', {_compact(strip(match('m', pattern, 1)))}, 'v', {strip(match('m', pattern, 2))}))"
+            f"'k', {compact(strip(match('m', pattern, 1)))}, 'v', {strip(match('m', pattern, 2))}))"
         )
     links = (
         f"transform({match_all('markdown', MARKDOWN_LINK)}, m -> named_struct("
@@ -111,9 +106,9 @@ def extract_candidates(
         F.expr(f"filter(concat({', '.join(entries)}), e -> length(e.v) <= {KV_VALUE_CHARS})").alias("__kv"),
         F.expr(links).alias("__links"),
         F.nullif(F.regexp_extract("markdown", EMAIL, 0), F.lit("")).alias("__email"),
-        best_name(F.coalesce("title", F.lit("")), F.coalesce(name_heading(F.col("markdown")), F.lit("")), F.col(url)).alias(
-            "__name"
-        ),
+        F.expr(
+            best_name("coalesce(title, '')", f"coalesce({name_heading('markdown')}, '')", f"`{url}`")
+        ).alias("__name"),
     )
     read = read.select(
         "*",
@@ -126,7 +121,7 @@ def extract_candidates(
     columns, values = [], []
     for f in spec.fields:
         t = targets[f.name]
-        fits = let(_compact("h"), "n", f"n <> '' AND (contains({t}, n) OR contains(n, {t}))")
+        fits = let(compact("h"), "n", f"n <> '' AND (contains({t}, n) OR contains(n, {t}))")
         columns.append(
             F.expr(
                 let(
@@ -194,7 +189,7 @@ def candidates_from_maps(
         F.coalesce(
             F.try_element_at(F.col(raw), F.lit(f.name)),
             F.expr(
-                f"get(filter(map_entries(`{raw}`), e -> {_compact('e.key')} = {q(f.compact)}), 0).value"
+                f"get(filter(map_entries(`{raw}`), e -> {compact('e.key')} = {q(f.compact)}), 0).value"
             ),
         ).alias(f.name)
         for f in spec.fields

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BLOCK_STATUS, BLOCKED_URL_PATTERNS, REASON_CHARS, STATUS_IN_TEXT
-from ..functions.text import blank_to_null, extract, let, strip
+from ..functions.text import bind, blank_to_null, extract, parse_json, strip
 from ..functions.urls import is_blocked_url
 from ..plans.stages import first_per_key
 
@@ -16,30 +16,30 @@ FETCH_ORDER = ("cli", "server", "http")
 SEARCH_ORDER = ("server", "cli", "searxng")
 
 
-def status_from_text(text: Column) -> Column:
+def status_from_text(text: str) -> str:
     """HTTP status mentioned in a log line, 0 when none is."""
-    return F.coalesce(extract(text, STATUS_IN_TEXT, 1).cast("int"), F.lit(0))
+    return f"coalesce(cast({extract(text, STATUS_IN_TEXT, 1)} AS INT), 0)"
 
 
 def engine_rank(engine: Column, order: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(e) for e in order]), engine)
 
 
-def service_reply(body: Column) -> Column:
+def service_reply(body: str) -> str:
     """``struct<markdown, error>`` of a scrape service's JSON answer."""
-    def read(v: Column) -> Column:
-        def text(path: str) -> Column:
-            return blank_to_null(F.try_variant_get(v, path, "string"))
-
-        inner = F.try_variant_get(v, "$.data", "map<string,variant>").isNotNull()
-        markdown = F.when(inner, F.coalesce(text("$.data.markdown"), text("$.data.content"))).otherwise(text("$.markdown"))
-        error = F.when(
-            F.try_variant_get(v, "$.success", "boolean") == F.lit(False),
-            F.left(F.coalesce(text("$.error"), F.lit("scrape failed")), F.lit(REASON_CHARS)),
+
+    def read(v: str) -> str:
+        def text(path: str) -> str:
+            return blank_to_null(f"try_variant_get({v}, '{path}', 'string')")
+
+        return (
+            f"named_struct('markdown', CASE WHEN try_variant_get({v}, '$.data', 'map<string,variant>') IS NOT NULL "
+            f"THEN coalesce({text('$.data.markdown')}, {text('$.data.content')}) ELSE {text('$.markdown')} END, "
+            f"'error', CASE WHEN try_variant_get({v}, '$.success', 'boolean') = false "
+            f"THEN left(coalesce({text('$.error')}, 'scrape failed'), {REASON_CHARS}) END)"
         )
-        return F.struct(markdown.alias("markdown"), error.alias("error"))
 
-    return let(F.try_parse_json(body), read)
+    return bind(parse_json(body), read)
 
 
 def judge_attempts(attempts: DataFrame, *, block_status: Sequence[int] = BLOCK_STATUS) -> DataFrame:
@@ -53,19 +53,19 @@ def judge_attempts(attempts: DataFrame, *, block_status: Sequence[int] = BLOCK_S
     told = attempts.withColumns(
         {
             "__status": F.when(
-                cli, F.when(F.coalesce("exit_code", F.lit(0)) != 0, status_from_text(F.col("log"))).otherwise(200)
+                cli, F.when(F.coalesce("exit_code", F.lit(0)) != 0, F.expr(status_from_text("log"))).otherwise(200)
             ).otherwise(F.coalesce("status", F.lit(200))),
-            "__reply": F.when(server, service_reply(F.col("body"))),
+            "__reply": F.when(server, F.expr(service_reply("body"))),
         }
     )
     failed = cli & (F.coalesce("exit_code", F.lit(0)) != 0)
     blocked = F.col("__status").isin(*block_status)
-    detail = strip(F.coalesce("log", F.lit("")))
+    detail = F.expr(strip("coalesce(log, '')"))
     text = F.when(server, F.col("__reply.markdown")).otherwise(F.col("body"))
     outcome = (
         F.when(blocked, "blocked")
         .when(failed | (~cli & (F.col("__status") >= 400)), "error")
-        .when(strip(F.coalesce(text, F.lit(""))) == "", "error")
+        .when(F.trim(F.coalesce(text, F.lit(""))) == "", "error")
         .otherwise("ok")
     )
     reason = (
@@ -115,7 +115,7 @@ def fetch_outcomes(
     body, so only usable bodies are shuffled, one per url and map task.
     """
     judged = judge_attempts(attempts, block_status=block_status)
-    by_pattern = is_blocked_url(F.col("url"), blocked)
+    by_pattern = F.expr(is_blocked_url("url", blocked))
     settled = judged.withColumns(
         {
             "__rank": engine_rank(F.col("engine"), order),

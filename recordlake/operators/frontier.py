@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -14,26 +14,24 @@ from ..constants import (
     NEWS_HINT,
     STOP_WORDS,
 )
-from ..functions.text import extract_all, strip
+from ..functions.text import match_all, one_of, q, strip
 from ..functions.urls import is_binary_url, is_blocked_url, is_http, is_site_search, path_of
 from ..plans.stages import first_per_key, top_per_key
 
 _ORDER = ["__hits_key", "__hint_key", "__news_key", "rank"]
 
 
-def intent_tokens(intent: Column) -> Column:
+def intent_tokens(intent: str) -> str:
     """Distinct content words of an intent."""
-    words = extract_all(F.lower(F.coalesce(intent, F.lit(""))), "[a-z0-9]{3,}")
-    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)))
+    words = match_all(f"lower(coalesce({intent}, ''))", "[a-z0-9]{3,}")
+    return f"array_distinct(filter({words}, w -> NOT {one_of('w', STOP_WORDS)}))"
 
 
-def relevance_hits(tokens: Column, text: Column) -> Column:
+def relevance_hits(tokens: str, text: str) -> str:
     """How many tokens, or their five-letter stems, the lower-case text contains."""
-    return F.size(
-        F.filter(
-            tokens,
-            lambda t: text.contains(t) | ((F.length(t) >= 5) & text.contains(F.left(t, F.lit(5)))),
-        )
+    return (
+        f"size(filter({tokens}, t -> contains({text}, t) "
+        f"OR (length(t) >= 5 AND contains({text}, left(t, 5)))))"
     )
 
 
@@ -43,39 +41,31 @@ def score_results(results: DataFrame, jobs: DataFrame) -> DataFrame:
     Adds ``tokens``, ``hits``, ``is_seed``, ``thin`` (fewer than three tokens:
     too little to judge by), ``on_topic`` and the sort keys.
     """
-    intents = jobs.select("job_id", intent_tokens(F.col("intent")).alias("tokens"))
-    path = path_of(F.col("url"))
-    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")), path)
-    scored = (
-        results.join(intents, "job_id")
-        .withColumn("__text", text)
-        .withColumns(
-            {
-                "hits": relevance_hits(F.col("tokens"), F.lower("__text")),
-                "is_seed": F.col("engine") == "seed",
-                "thin": F.size("tokens") < 3,
-            }
-        )
+    intents = jobs.select("job_id", F.expr(intent_tokens("intent")).alias("tokens"))
+    text = f"concat_ws(' ', coalesce(title, ''), coalesce(snippet, ''), {path_of('url')})"
+    read = results.join(intents, "job_id").select(
+        "*",
+        F.lower(F.expr(text)).alias("__text"),
+        (F.col("engine") == "seed").alias("is_seed"),
+        (F.size("tokens") < 3).alias("thin"),
     )
-    plain = ~F.col("thin") & ~F.col("is_seed")
-    return scored.withColumns(
-        {
-            "on_topic": F.col("thin")
-            | F.col("is_seed")
-            | (~is_site_search(F.col("url")) & (F.col("hits") >= 2)),
-            "__hits_key": F.when(F.col("thin"), 0).when(F.col("is_seed"), -10000).otherwise(-F.col("hits")),
-            "__hint_key": F.when(plain & F.col("__text").rlike(DIRECTORY_HINT), -1).otherwise(0),
-            "__news_key": F.when(plain & F.col("url").rlike(NEWS_HINT), 1).otherwise(0),
-        }
+    scored = read.select("*", F.expr(relevance_hits("tokens", "__text")).alias("hits"))
+    return scored.selectExpr(
+        "*",
+        f"thin OR is_seed OR (NOT {is_site_search('url')} AND hits >= 2) AS on_topic",
+        "CASE WHEN thin THEN 0 WHEN is_seed THEN -10000 ELSE -hits END AS __hits_key",
+        f"CASE WHEN NOT thin AND NOT is_seed AND __text RLIKE {q(DIRECTORY_HINT)} THEN -1 ELSE 0 END AS __hint_key",
+        f"CASE WHEN NOT thin AND NOT is_seed AND url RLIKE {q(NEWS_HINT)} THEN 1 ELSE 0 END AS __news_key",
     ).drop("__text")
 
 
+def _is_fetchable(blocked: Sequence[str]) -> str:
+    return f"{is_http('url')} AND NOT {is_blocked_url('url', blocked)} AND NOT {is_binary_url('url')}"
+
+
 def fetchable(results: DataFrame, blocked: Sequence[str] = BLOCKED_URL_PATTERNS) -> DataFrame:
     """Results whose url is http(s), not on the block list and not a binary file."""
-    url = F.col("url")
-    return results.withColumn("url", strip(url)).filter(
-        is_http(url) & ~is_blocked_url(url, blocked) & ~is_binary_url(url)
-    )
+    return results.withColumn("url", F.expr(strip("url"))).filter(_is_fetchable(blocked))
 
 
 def build_frontier(
@@ -101,9 +91,8 @@ def frontier_funnel(
     results: DataFrame, jobs: DataFrame, *, blocked: Sequence[str] = BLOCKED_URL_PATTERNS
 ) -> DataFrame:
     """Per job: raw results, on-topic results and unique urls queued."""
-    scored = score_results(results.withColumn("url", strip(F.col("url"))), jobs)
-    url = F.col("url")
-    queued = F.col("on_topic") & is_http(url) & ~is_blocked_url(url, blocked) & ~is_binary_url(url)
+    scored = score_results(results.withColumn("url", F.expr(strip("url"))), jobs)
+    queued = F.expr(f"on_topic AND {_is_fetchable(blocked)}")
     # One row per (job, url) after the partial aggregation, then one per job.
     per_url = scored.groupBy("job_id", "url").agg(
         F.count(F.lit(1)).alias("raw"),

@@ -5,14 +5,14 @@ Everything here is a narrow projection: no shuffle and no Python worker.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EXTRACTOR_INPUT_CHARS
 from ..functions.headings import first_heading
 from ..functions.html import anchors, drop_boilerplate, page_title, table_rows, to_markdown
 from ..functions.names import is_error_title
-from ..functions.text import WHITE, blank_to_null, strip
+from ..functions.text import WHITE, blank_to_null, replace, strip
 from ..plans.stages import fence
 
 
@@ -20,14 +20,7 @@ def clean_pages(pages: DataFrame, *, html: str = "html", banner_scope: str = "el
     """Replace the page body by its ``kept`` part, boilerplate removed."""
     if banner_scope not in ("element", "rest"):
         raise ValueError("banner_scope is 'element' or 'rest'")
-    kept = drop_boilerplate(f"coalesce(`{html}`, '')", banner_scope)
-    return pages.withColumn("kept", kept)
-
-
-def markdown_or_plain(kept: str, url: str, body: Column) -> Column:
-    """Markdown; a page the renderer cannot read gives its bare text."""
-    bare = F.regexp_replace(F.regexp_replace(body, "<[^>]+>", " "), WHITE + "+", " ")
-    return F.coalesce(to_markdown(kept, url), bare)
+    return pages.withColumn("kept", F.expr(drop_boilerplate(f"coalesce(`{html}`, '')", banner_scope)))
 
 
 def page_text(
@@ -43,26 +36,31 @@ def page_text(
     ``reject`` is null for a usable page, else the reason it yields nothing: an
     empty page or an error page.  Bodies that are not HTML pass through trimmed.
     """
-    body = F.coalesce(F.col(html), F.lit(""))
-    marked_up = F.substring(body, 1, 512).contains("<")
+    body = f"coalesce(`{html}`, '')"
+    marked_up = f"contains(substring({body}, 1, 512), '<')"
     if content_type is not None:
-        marked_up = F.coalesce(F.col(content_type).contains("html"), F.lit(False)) | marked_up
+        marked_up = f"(coalesce(contains(`{content_type}`, 'html'), false) OR {marked_up})"
     keep = [c for c in pages.columns if c != html]
-    cleaned = clean_pages(pages.withColumn("__html", marked_up), html=html, banner_scope=banner_scope)
-    rendered = cleaned.select(
+    cleaned = clean_pages(pages.withColumn("__html", F.expr(marked_up)), html=html, banner_scope=banner_scope)
+    # A page the renderer cannot read gives its bare text.
+    bare = replace(replace("__raw", "<[^>]+>", " "), WHITE + "+", " ")
+    rendered = cleaned.withColumn("__raw", F.expr(body)).select(
         *keep,
-        F.when(F.col("__html"), page_title("kept")).otherwise("").alias("__title"),
-        F.when(F.col("__html"), markdown_or_plain("kept", f"`{url}`", body)).otherwise(strip(body)).alias("__body"),
+        F.expr(f"CASE WHEN __html THEN {page_title('kept')} ELSE '' END").alias("__title"),
+        F.expr(
+            f"CASE WHEN __html THEN coalesce({to_markdown('kept', f'`{url}`')}, {bare}) ELSE {strip('__raw')} END"
+        ).alias("markdown"),
     )
     titled = rendered.select(
         *keep,
-        F.col("__body").alias("markdown"),
-        F.coalesce(blank_to_null(F.col("__title")), first_heading(F.col("__body"))).alias("title"),
+        "markdown",
+        F.expr(f"coalesce({blank_to_null('__title')}, {first_heading('markdown')})").alias("title"),
     )
     judged = titled.withColumn(
         "reject",
-        F.when(F.col("markdown") == "", F.concat(F.lit("no extractable content: "), F.col(url))).when(
-            is_error_title(F.col("title")), F.concat(F.lit("error page ("), F.left("title", F.lit(60)), F.lit(")"))
+        F.expr(
+            f"CASE WHEN markdown = '' THEN concat('no extractable content: ', `{url}`) "
+            f"WHEN {is_error_title('title')} THEN concat('error page (', left(title, 60), ')') END"
         ),
     )
     return fence(judged)
@@ -71,7 +69,7 @@ def page_text(
 def page_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """One row per link outside boilerplate: position, label and absolute target."""
     keep = [c for c in pages.columns if c != html]
-    found = clean_pages(pages, html=html).select(*keep, anchors("kept", f"`{url}`").alias("__links"))
+    found = clean_pages(pages, html=html).select(*keep, F.expr(anchors("kept", f"`{url}`")).alias("__links"))
     rows = found.select(*keep, F.posexplode_outer("__links").alias("pos", "__link"))
     return rows.filter(F.col("__link").isNotNull()).select(*keep, "pos", "__link.text", "__link.href")
 
@@ -79,7 +77,7 @@ def page_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
 def page_tables(pages: DataFrame, *, html: str = "html") -> DataFrame:
     """One row per table row: ``table_idx``, ``row_idx`` and ``cells``."""
     keep = [c for c in pages.columns if c != html]
-    found = clean_pages(pages, html=html).select(*keep, table_rows("kept").alias("__tables"))
+    found = clean_pages(pages, html=html).select(*keep, F.expr(table_rows("kept")).alias("__tables"))
     tables = found.select(*keep, F.posexplode_outer("__tables").alias("table_idx", "__rows"))
     rows = tables.select(*keep, "table_idx", F.posexplode_outer("__rows").alias("row_idx", "cells"))
     return rows.filter(F.col("cells").isNotNull())

@@ -2,38 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import INTENT_COUNT, MAX_QUERIES_PLANNED, MAX_RECORDS_HARD, STOP_WORDS
-from ..functions.text import blank_to_null, collapse, extract, extract_all, rstrip_chars
+from ..functions.text import bind, blank_to_null, collapse, extract, match_all, one_of, strip_end
 
 _QUOTED = '"([^"]+)"|“([^”]+)”'
 
 
-def planned_queries(intent: Column, wants_email: Column, wants_url: Column) -> Column:
+def planned_queries(intent: str, wants_email: str, wants_url: str) -> str:
     """Up to eight distinct queries of an intent, first spelling kept."""
-    base = rstrip_chars(collapse(intent), ".!?")
-    words = F.filter(
-        extract_all(base, "[A-Za-z0-9][A-Za-z0-9+.#-]+"), lambda w: ~F.lower(w).isin(*STOP_WORDS)
-    )
-    core = F.coalesce(blank_to_null(F.array_join(F.slice(words, 1, 8), " ")), F.left(base, F.lit(80)))
-    quoted = F.coalesce(extract(intent, _QUOTED, 1), extract(intent, _QUOTED, 2))
-    candidates = F.array(
-        F.concat(quoted, F.lit(" list")),
-        F.left(base, F.lit(150)),
-        F.concat(core, F.lit(" directory")),
-        F.when(wants_email, F.concat(core, F.lit(" contact email"))),
-        F.when(wants_url, F.concat(core, F.lit(" official website"))),
-    )
-    present = F.filter(candidates, lambda x: x.isNotNull() & (x != ""))
-    return F.transform(F.array(present), _distinct_ignoring_case)[0]
 
+    def with_base(base: str) -> str:
+        words = f"filter({match_all(base, '[A-Za-z0-9][A-Za-z0-9+.#-]+')}, w -> NOT {one_of('lower(w)', STOP_WORDS)})"
+        leading = f"array_join(slice({words}, 1, 8), ' ')"
+        return bind(f"coalesce({blank_to_null(leading)}, left({base}, 80))", lambda core: listed(base, core))
+
+    def listed(base: str, core: str) -> str:
+        quoted = f"coalesce({extract(intent, _QUOTED, 1)}, {extract(intent, _QUOTED, 2)})"
+        queries = (
+            f"array(concat({quoted}, ' list'), left({base}, 150), concat({core}, ' directory'), "
+            f"CASE WHEN {wants_email} THEN concat({core}, ' contact email') END, "
+            f"CASE WHEN {wants_url} THEN concat({core}, ' official website') END)"
+        )
+        return bind(f"filter({queries}, x -> x <> '')", distinct)
+
+    def distinct(queries: str) -> str:
+        return bind(
+            f"transform({queries}, x -> lower(x))",
+            lambda low: f"slice(filter({queries}, (x, i) -> array_position({low}, lower(x)) = i + 1), 1, {MAX_QUERIES_PLANNED})",
+        )
 
-def _distinct_ignoring_case(queries: Column) -> Column:
-    low = F.transform(queries, F.lower)
-    first = F.filter(queries, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
-    return F.slice(first, 1, MAX_QUERIES_PLANNED)
+    return bind(strip_end(collapse(intent), ".!?"), with_base)
 
 
 def plan_queries(jobs: DataFrame) -> DataFrame:
@@ -42,22 +43,22 @@ def plan_queries(jobs: DataFrame) -> DataFrame:
     ``jobs`` has ``job_id``, ``intent`` and ``fields`` (array of structs with a
     ``type``).
     """
-    def wants(kind: str) -> Column:
-        return F.exists("fields", lambda f: f["type"] == kind)
+    def wants(kind: str) -> str:
+        return f"exists(fields, f -> f.type = '{kind}')"
 
     planned = jobs.select(
-        "job_id", planned_queries(F.col("intent"), wants("email"), wants("url")).alias("__queries")
+        "job_id", F.expr(planned_queries("intent", wants("email"), wants("url"))).alias("__queries")
     )
     rows = planned.select("job_id", F.posexplode_outer("__queries").alias("__pos", "query"))
     return rows.filter(F.col("query").isNotNull()).select("job_id", (F.col("__pos") + 1).alias("query_no"), "query")
 
 
-def target_from_intent(intent: Column) -> Column:
+def target_from_intent(intent: str) -> str:
     """Record count named in an intent, null when none or out of range."""
-    stated = F.coalesce(extract(intent, INTENT_COUNT, 1), extract(intent, INTENT_COUNT, 2)).cast("int")
-    return F.when(stated.between(1, MAX_RECORDS_HARD), stated)
+    stated = f"cast(coalesce({extract(intent, INTENT_COUNT, 1)}, {extract(intent, INTENT_COUNT, 2)}) AS INT)"
+    return bind(stated, lambda n: f"CASE WHEN {n} BETWEEN 1 AND {MAX_RECORDS_HARD} THEN {n} END")
 
 
 def with_targets(jobs: DataFrame) -> DataFrame:
     """Fill ``max_records`` from the intent where the job does not set it."""
-    return jobs.withColumn("max_records", F.coalesce("max_records", target_from_intent(F.col("intent"))))
+    return jobs.withColumn("max_records", F.expr(f"coalesce(max_records, {target_from_intent('intent')})"))

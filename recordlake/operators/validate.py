@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CROSS_FILL_FIELDS
 from ..functions.coerce import coerce
 from ..functions.names import is_org_name
-from ..functions.text import let, strip
+from ..functions.text import bind, q, strip
 from ..functions.urls import email_domain, host_name, host_of, is_free_mail, is_platform_host
 from ..plans.stages import fence
 from ..spec import RecordSpec
@@ -16,21 +16,21 @@ from ..spec import RecordSpec
 _STRINGS = ("string", "email", "url", "date")
 
 
-def derived_name(spec: RecordSpec, url: str) -> Column:
+def derived_name(spec: RecordSpec, url: str) -> str:
     """Name taken from the record's own e-mail domain, website or page host."""
     email, site = spec.first("email"), spec.first("url")
 
-    def from_host(address: Column) -> Column:
-        return let(host_of(address), lambda h: F.when(~is_platform_host(h), host_name(h)))
+    def from_host(address: str) -> str:
+        return bind(host_of(address), lambda h: f"CASE WHEN NOT {is_platform_host(h)} THEN {host_name(h)} END")
 
     options = []
     if email is not None:
-        domain = email_domain(F.lower(strip(F.col(email.name))))
-        options.append(let(domain, lambda d: F.when(~is_free_mail(d), host_name(d))))
+        domain = email_domain(f"lower({strip(f'`{email.name}`')})")
+        options.append(bind(domain, lambda d: f"CASE WHEN NOT {is_free_mail(d)} THEN {host_name(d)} END"))
     if site is not None:
-        options.append(from_host(F.col(site.name)))
-    options.append(from_host(F.col(url)))
-    return F.coalesce(*options)
+        options.append(from_host(f"`{site.name}`"))
+    options.append(from_host(f"`{url}`"))
+    return f"coalesce({', '.join(options)})"
 
 
 def validate_records(
@@ -49,31 +49,34 @@ def validate_records(
         *keep,
         may_fill.alias("__may_fill"),
         *[
-            coerce(
-                f,
-                F.col(f"raw.{f.name}"),
-                page_link=F.col(f"page_link.{f.name}") if f.type == "url" and "page_link" in have else None,
-                kind=F.col(f"kind.{f.name}") if "kind" in have else None,
-                items=F.col(f"items.{f.name}") if "items" in have else None,
+            F.expr(
+                coerce(
+                    f,
+                    f"raw.`{f.name}`",
+                    page_link=f"page_link.`{f.name}`" if f.type == "url" and "page_link" in have else None,
+                    kind=f"kind.`{f.name}`" if "kind" in have else None,
+                    items=f"items.`{f.name}`" if "items" in have else None,
+                )
             ).alias(f.name)
             for f in spec.fields
         ],
     )
 
-    def filled(f) -> Column:
-        value = F.col(f.name)
+    def filled(f) -> str:
         if f.type == "url" and f.compact in CROSS_FILL_FIELDS:
-            value = F.coalesce(value, F.when(F.col("__may_fill"), F.col(url)))
-        return value
+            return f"coalesce(`{f.name}`, CASE WHEN __may_fill THEN `{url}` END)"
+        return f"`{f.name}`"
 
     missing = [
-        F.when((filled(f) if accept_filled else F.col(f.name)).isNull(), f"{f.name}: missing")
+        f"CASE WHEN {filled(f) if accept_filled else f'`{f.name}`'} IS NULL THEN {q(f.name + ': missing')} END"
         for f in spec.fields
         if f.required
     ]
-    errors = F.array_compact(F.array(*missing)) if missing else F.array()
+    errors = f"array_compact(array({', '.join(missing)}))" if missing else "array()"
     checked = typed.select(
-        *keep, *[filled(f).alias(f.name) for f in spec.fields], errors.cast("array<string>").alias("errors")
+        *keep,
+        *[F.expr(filled(f)).alias(f.name) for f in spec.fields],
+        F.expr(f"cast({errors} AS ARRAY<STRING>)").alias("errors"),
     )
     named = _settle_name(checked, spec, url, keep)
     final = named.select(
@@ -88,7 +91,9 @@ def _settle_name(rows: DataFrame, spec: RecordSpec, url: str, keep: list[str]) -
     field = spec.name_field
     if field is None or field.type not in _STRINGS:
         return rows
-    replacement = F.when(~is_org_name(F.col(field.name)), derived_name(spec, url))
+    replacement = F.expr(
+        f"CASE WHEN NOT {is_org_name(f'`{field.name}`')} THEN {derived_name(spec, url)} END"
+    )
     others = [c for c in rows.columns if c not in (field.name, "errors")]
     with_new = rows.select(*others, field.name, "errors", replacement.alias("__new"))
     return with_new.select(

@@ -42,7 +42,7 @@ def corpus_by_url(pages: DataFrame, wanted: DataFrame, *, url: str = "url", html
     size, and only pages that survive carry their body through an exchange.
     """
     needed = wanted.select("canonical").distinct()
-    found = pages.select(canonical_url(F.col(url)).alias("canonical"), F.col(url).alias("__captured"), F.col(html).alias("html"))
+    found = pages.select(F.expr(canonical_url(f"`{url}`")).alias("canonical"), F.col(url).alias("__captured"), F.col(html).alias("html"))
     kept = found.join(needed, "canonical", "left_semi")
     return first_per_key(kept, ["canonical"], ["__captured"]).drop("__captured")
 
@@ -64,7 +64,7 @@ def run_harvest(
     snippet, engine, query.  ``pages``: url, html.  ``given`` and ``answered``
     replace the heuristic candidates of answered pages (see ``prefer_given``).
     """
-    frontier = build_frontier(results, jobs, max_pages=max_pages).withColumn("canonical", canonical_url(F.col("url")))
+    frontier = build_frontier(results, jobs, max_pages=max_pages).withColumn("canonical", F.expr(canonical_url("url")))
     frontier = materialise(frontier, "frontier")
     corpus = corpus_by_url(pages, frontier)
     # A page wanted by many jobs is rendered once and joined to them afterwards.

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_QUERIES_REPLY
-from ..functions.sqltext import let, match, match_all, parse_json, q, strip
-from ..functions.text import blank_to_null
-from ..functions.text import strip as strip_column
+from ..functions.text import let, match, match_all, parse_json, q, strip
 from ..spec import RecordSpec
 
 _FENCE = r"(?s)```(?:json)?\s*(.*?)```"
@@ -23,11 +21,10 @@ def reply_parts(log: DataFrame, *, session: str = "session", seq: str = "seq", l
     Lines that are no JSON objects are skipped; a text without a part id is a
     part of its own.
     """
-    text_line = strip_column(F.col(line))
     parsed = log.select(
         session,
         seq,
-        text_line.alias("__line"),
+        F.expr(strip(f"`{line}`")).alias("__line"),
     ).select(
         session, seq, F.expr(f"CASE WHEN startswith(__line, '{{') THEN {parse_json('__line')} END").alias("__v")
     )
@@ -39,7 +36,7 @@ def reply_parts(log: DataFrame, *, session: str = "session", seq: str = "seq", l
         F.when(
             (kind == "text") & is_text,
             F.coalesce(
-                blank_to_null(F.try_variant_get("__v", "$.part.id", "string")),
+                F.nullif(F.try_variant_get("__v", "$.part.id", "string"), F.lit("")),
                 F.concat(F.lit("\x1f"), F.col(seq).cast("string")),
             ),
         ).alias("part"),
@@ -47,7 +44,7 @@ def reply_parts(log: DataFrame, *, session: str = "session", seq: str = "seq", l
         F.when(
             kind == "error",
             F.coalesce(
-                blank_to_null(F.try_variant_get("__v", "$.error.message", "string")),
+                F.nullif(F.try_variant_get("__v", "$.error.message", "string"), F.lit("")),
                 F.to_json(F.try_variant_get("__v", "$.error", "variant")),
                 F.lit("{}"),
             ),
@@ -80,12 +77,13 @@ def merge_replies(log: DataFrame, *, session: str = "session", seq: str = "seq",
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("first_seq"))).alias("__error"),
     )
     whole = blocks.groupBy(session).agg(
-        strip_column(joined("__block", "__text")).alias("text"),
+        joined("__block", "__text").alias("text"),
         F.min_by("__error", F.when(F.col("__error").isNotNull(), F.col("__block"))).alias("error"),
     )
-    return whole.select(
+    trimmed = whole.withColumn("text", F.expr(strip("text")))
+    return trimmed.select(
         session,
-        blank_to_null(F.col("text")).alias("text"),
+        F.nullif("text", F.lit("")).alias("text"),
         F.when(F.col("text") == "", F.col("error")).alias("error"),
     )
 
@@ -99,14 +97,14 @@ def _between(text: str, opener: str, closer: str) -> str:
     )
 
 
-def json_in_prose(text: str) -> Column:
+def json_in_prose(text: str) -> str:
     """First JSON value of a reply: bare, fenced, or wrapped in prose; else null."""
     fenced = f"CASE WHEN t RLIKE {q(_FENCE)} THEN {strip(match('t', _FENCE))} ELSE t END"
     value = f"coalesce({parse_json('b')}, {_between('b', '{', '}')}, {_between('b', '[', ']')})"
-    return F.expr(let(strip(text), "t", let(fenced, "b", value)))
+    return let(strip(text), "t", let(fenced, "b", value))
 
 
-def json_payloads(text: str) -> Column:
+def json_payloads(text: str) -> str:
     """``array<variant>``: the JSON objects of every fenced block, else of the text."""
     def container(t: str) -> str:
         start = "least(nullif(locate('[', x), 0), nullif(locate('{', x), 0))"
@@ -123,12 +121,12 @@ def json_payloads(text: str) -> Column:
         return let(strip(t), "x", let(f"coalesce({parse_json('x')}, {cut})", "v", objects))
 
     blocks = f"flatten(transform({match_all(text, _FENCE, 1)}, blk -> {container('blk')}))"
-    return F.expr(let(blocks, "found", f"CASE WHEN size(found) > 0 THEN found ELSE {container(text)} END"))
+    return let(blocks, "found", f"CASE WHEN size(found) > 0 THEN found ELSE {container(text)} END")
 
 
 def reply_queries(replies: DataFrame, *, keys: Sequence[str] = ("job_id",), text: str = "text") -> DataFrame:
     """Up to ten queries of a planner reply, in order."""
-    parsed = replies.select(*keys, json_in_prose(f"`{text}`").alias("__v"))
+    parsed = replies.select(*keys, F.expr(json_in_prose(f"`{text}`")).alias("__v"))
     listed = parsed.select(
         *keys,
         F.slice(
@@ -147,7 +145,7 @@ def parse_replies(replies: DataFrame, *, text: str = "text") -> DataFrame:
     An object without records is an answer with no rows; a list or a reply that
     holds no JSON is no answer, which leaves the page to the heuristics.
     """
-    value = replies.withColumn("__v", json_in_prose(f"`{text}`"))
+    value = replies.withColumn("__v", F.expr(json_in_prose(f"`{text}`")))
     records = F.expr(
         "CASE WHEN schema_of_variant(__v) LIKE 'OBJECT%' THEN "
         "CASE WHEN try_variant_get(__v, '$.records', 'variant') IS NULL THEN cast(array() AS ARRAY<VARIANT>) "

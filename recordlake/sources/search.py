@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MAX_RESULTS_PER_QUERY, MAX_RESULTS_SERVER
-from ..functions.sqltext import let, match_all, parse_json, q, strip
-from ..functions.text import LINE_BREAK
-from ..functions.text import strip as strip_column
+from ..functions.text import LINE_BREAK, let, match_all, parse_json, q, strip
 from ..functions.urls import canonical_url, is_http
 from ..plans.stages import top_per_key
 
@@ -27,13 +25,13 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """Seed urls, one per line; blank lines are dropped."""
-    lines = spark.read.text(path).select(strip_column(F.col("value")).alias("url"))
+    lines = spark.read.text(path).select(F.expr(strip("value")).alias("url"))
     return lines.filter(F.col("url") != "")
 
 
 def seed_results(jobs: DataFrame) -> DataFrame:
     """Seed urls of every job as search results ahead of all others."""
-    cleaned = F.filter(F.transform("seed_urls", strip_column), lambda u: u != "")
+    cleaned = F.expr(f"filter(transform(seed_urls, u -> {strip('u')}), u -> u <> '')")
     listed = jobs.select("job_id", cleaned.alias("__seeds"))
     rows = listed.select("job_id", F.size("__seeds").alias("__n"), F.posexplode_outer("__seeds").alias("__pos", "url"))
     return rows.filter(F.col("url").isNotNull()).select(
@@ -119,11 +117,11 @@ def load_search_results(
         text_of("url", "link", "href").alias("__url"),
         F.coalesce(text_of("snippet", "description"), F.lit("")).alias("snippet"),
     )
-    return read.filter(is_http(F.col("__url"))).select(
+    return read.filter(is_http("__url")).select(
         *keys,
         "rank",
         F.coalesce("__title", "__url").alias("title"),
-        canonical_url(F.col("__url")).alias("url"),
+        F.expr(canonical_url("__url")).alias("url"),
         "snippet",
     )
 

@@ -80,7 +80,7 @@ class RecordTable:
     def write_batch(self, rows: DataFrame, batch_id: int, targets: DataFrame | None = None) -> None:
         """Add the new entities of one micro-batch, up to each job's target."""
         spark = rows.sparkSession
-        keyed = accepted(rows).withColumn("__key", F.sha2(entity_key(self.spec), 256))
+        keyed = accepted(rows).withColumn("__key", F.sha2(F.expr(entity_key(self.spec)), 256))
         fresh = first_per_key(keyed, ["job_id", "__key"], self.order).withColumn(
             "bucket", F.pmod(F.xxhash64("job_id", "__key"), F.lit(_KEY_BUCKETS)).cast("int")
         )
