@@ -1 +1,137 @@
-"""placeholder"""
+"""Job event and streaming queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators.events import event_counts, is_terminal, latest_status, replay
+from ..plans.stages import checkpoint_root
+from ..spec import RecordSpec
+from ..streaming.ingest import RecordTable, running_counts, running_status, stream_candidates, stream_distinct, write_records
+from .pages import supplier_pages
+from .registry import query
+
+_STATUS = {"signup": "queued", "view": "discovering", "click": "extracting", "purchase": "completed", "error": "failed"}
+
+
+def _events(load):
+    """The event table as job events: user is the job, event type its status."""
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in _STATUS.items() for x in kv]), F.col("event_type"))
+    return load("events").select(
+        F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
+        F.col("event_id").alias("seq"),
+        "ts",
+        F.when(F.col("value") > 18, "summary").when(F.col("event_type") == "error", "error").otherwise("stage").alias("type"),
+        F.when(F.col("event_type") == "error", "warn").otherwise("info").alias("level"),
+        status.alias("status"),
+    )
+
+
+_EVENTS_SQL = """
+    WITH e AS (SELECT 'job-' || user_id AS job_id, event_id AS seq, CASE WHEN value > 18 THEN 'summary' WHEN event_type = 'error' THEN 'error' ELSE 'stage' END AS type,
+      CASE WHEN event_type = 'error' THEN 'warn' ELSE 'info' END AS level,
+      CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'discovering' WHEN 'click' THEN 'extracting' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status FROM events)
+"""
+
+
+@query(
+    _EVENTS_SQL
+    + """, ends AS (SELECT job_id, min(seq) AS last FROM e WHERE type = 'summary' GROUP BY 1)
+    SELECT job_id, seq, type, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS replay_no
+    FROM e LEFT JOIN ends USING (job_id) WHERE last IS NULL OR seq <= last"""
+)
+def event_replay(spark, load):
+    """History of every job up to its first summary."""
+    return replay(_events(load)).select("job_id", "seq", "type", "replay_no")
+
+
+@query(
+    _EVENTS_SQL
+    + "SELECT job_id, arg_max(status, seq) AS status, max(seq) AS last_seq, arg_max(status, seq) IN ('completed', 'failed') AS done FROM e GROUP BY 1"
+)
+def job_status(spark, load):
+    return latest_status(_events(load))
+
+
+@query(_EVENTS_SQL + "SELECT job_id, type, level, count(*) AS n FROM e GROUP BY ALL")
+def event_type_counts(spark, load):
+    return event_counts(_events(load))
+
+
+def _run(spark, stream, mode: str, name: str):
+    """Drive a stream over its files to the end; its result as a table."""
+    base = f"{checkpoint_root(spark)}/recordlake/{name}-{uuid.uuid4().hex}"
+    out = f"{base}/out"
+
+    def keep(rows, batch_id):
+        # The whole result of a complete-mode batch, or the rows of an append one.
+        target = out if mode == "complete" else f"{out}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(target)
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
+    writer.trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _event_stream(spark, load):
+    """The event table cut into files and read as a stream."""
+    path = f"{checkpoint_root(spark)}/recordlake/event-stream-{uuid.uuid4().hex}"
+    events = _events(load)
+    events.repartitionByRange(4, "seq").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query(_EVENTS_SQL + "SELECT DISTINCT job_id, status FROM e")
+def stream_dedupe(spark, load):
+    """One row per key over a whole stream, state carried across batches."""
+    rows = stream_distinct(_event_stream(spark, load).select("job_id", "status"), ["job_id", "status"])
+    return _run(spark, rows, "append", "stream-dedupe").select("job_id", "status")
+
+
+@query(
+    _EVENTS_SQL
+    + "SELECT job_id, arg_max(status, seq) AS status, max(seq) AS last_seq, arg_max(status, seq) IN ('completed', 'failed') AS done FROM e GROUP BY 1"
+)
+def stream_status(spark, load):
+    """Latest status per job, kept up to date by a stream."""
+    last = _run(spark, running_status(_event_stream(spark, load)), "complete", "stream-status")
+    return last.withColumn("done", is_terminal(F.col("status")))
+
+
+_SPEC = RecordSpec.of([("Company Name", "string", True), ("email", "email", True), ("website", "url"), ("balance", "number")])
+
+
+def _page_stream(spark, load):
+    """Directory pages of the suppliers, every page seen twice, as a file stream."""
+    path = f"{checkpoint_root(spark)}/recordlake/page-stream-{uuid.uuid4().hex}"
+    pages = supplier_pages(load).select("job_id", "page_rank", "url", "html")
+    again = pages.withColumn("page_rank", F.col("page_rank") + 1_000_000)
+    both = pages.unionByName(again)
+    both.repartition(4, "page_rank", "job_id").write.parquet(path)
+    return spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query(
+    """SELECT 'nation-' || n_nationkey AS job_id, 'Supplier ' || s_suppkey AS company_name, 'sales@s' || s_suppkey || '.test' AS email,
+    'https://s' || s_suppkey || '.test/' AS website, CAST(s_acctbal AS DOUBLE) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+)
+def stream_records(spark, load):
+    """Pages to records as a stream: every entity is written once."""
+    base = f"{checkpoint_root(spark)}/recordlake/stream-records-{uuid.uuid4().hex}"
+    table = RecordTable(spark, f"{base}/table", _SPEC)
+    candidates = stream_candidates(_page_stream(spark, load), _SPEC)
+    query_ = write_records(candidates, table, checkpoint=f"{base}/state").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return table.read().select("job_id", *_SPEC.headers)
+
+
+@query(
+    """SELECT 'nation-' || n_nationkey AS job_id, 2 * count(*) AS candidates, CAST(0 AS BIGINT) AS invalid
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"""
+)
+def stream_counters(spark, load):
+    """Counters that grow with the stream."""
+    counts = running_counts(stream_candidates(_page_stream(spark, load), _SPEC))
+    return _run(spark, counts, "complete", "stream-counters")

@@ -8,12 +8,12 @@ from ..functions.coerce import coerce
 from ..functions.contacts import preferred_email
 from ..operators.backfill import backfill_candidates, collect_leads, lead_pages, open_leads, page_contacts
 from ..operators.entities import dedupe_records, limit_records
-from ..operators.extract import candidates_from_maps, extract_candidates
+from ..operators.extract import candidates_from_maps, extract_candidates, split_pages
 from ..operators.page_text import page_text
 from ..operators.quality import quality_note, run_stats
 from ..operators.validate import accepted, rejected, validate_records
 from ..plans.harvest import corpus_by_url, run_harvest
-from ..plans.stages import spread
+from ..plans.stages import materialise, spread
 from ..sources.corpora import key_value_page
 from ..spec import FieldSpec, RecordSpec
 from .pages import supplier_cells, supplier_pages
@@ -251,23 +251,20 @@ def entity_dedupe(spark, load):
 def quality_report(spark, load):
     """Counters, validity ratio and note per job."""
     validated = validate_records(supplier_candidates(load), _ENTITY_SPEC)
-    return quality_note(run_stats(validated, dedupe_records(accepted(validated), _ENTITY_SPEC)))
+    return quality_note(run_stats(validated, _ENTITY_SPEC))
 
 
 @query(
     """
-    SELECT 'nation-' || n_nationkey AS job_id, count(DISTINCT s_suppkey // 100) AS pages, count(*) AS candidates, count(*) AS valid,
+    SELECT 'nation-' || n_nationkey AS job_id, count(*) AS candidates, count(*) AS valid,
       CAST(0 AS BIGINT) AS invalid, CAST(0 AS BIGINT) AS duplicates, CAST(1.0 AS DOUBLE) AS validity_ratio
     FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1
     """
 )
 def validity_report(spark, load):
     """Flagship: HTML directory pages to records, with counters per job."""
-    text = page_text(supplier_pages(load))
-    validated = validate_records(extract_candidates(text, SUPPLIERS), SUPPLIERS)
-    records = dedupe_records(accepted(validated), SUPPLIERS)
-    pages = validated.select("job_id", "page_rank").distinct().withColumn("reject", F.lit(None).cast("string"))
-    return run_stats(validated, records, pages)
+    validated = validate_records(extract_candidates(page_text(supplier_pages(load)), SUPPLIERS), SUPPLIERS)
+    return run_stats(validated, SUPPLIERS)
 
 
 @query(
@@ -318,9 +315,8 @@ def _listing_pages(load):
 )
 def lead_backfill(spark, load):
     """Listings without e-mails, completed from the companies' own pages."""
-    listing = page_text(_listing_pages(load))
-    found = extract_candidates(listing, _LEADS)
-    visited = found.select("job_id", "url").distinct()
+    seen = materialise(extract_candidates(page_text(_listing_pages(load)), _LEADS, with_pages=True), "listing")
+    found, visited = split_pages(seen)
     counts = dedupe_records(accepted(validate_records(found, _LEADS)), _LEADS).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_records"))
     leads = open_leads(collect_leads(found, _LEADS), visited, record_counts=counts)
     visits = corpus_by_url(_site_pages(load), lead_pages(leads))

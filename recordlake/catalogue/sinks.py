@@ -1 +1,138 @@
-"""placeholder"""
+"""Export queries: batches, files written and read back, evolving tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..plans.stages import checkpoint_root, wide_row_number
+from ..sinks.export import flatten_records, read_table, sheet_rows, webhook_batches, write_csv, write_json, write_markdown, write_table
+from ..spec import RecordSpec
+from .registry import query
+
+_SPEC = RecordSpec.of([("c_custkey", "integer"), ("c_name", "string"), ("c_acctbal", "number"), ("vip", "boolean"), ("tags", "array")])
+
+
+def _records(load):
+    """Customers as typed records with a boolean, an array and gaps."""
+    return load("customer").select(
+        F.concat(F.lit("segment-"), F.col("c_mktsegment")).alias("job_id"),
+        "c_custkey",
+        F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")).alias("c_name"),
+        "c_acctbal",
+        (F.col("c_custkey") % 2 == 0).alias("vip"),
+        F.array(F.col("c_mktsegment"), (F.col("c_custkey") % 4).cast("string")).alias("tags"),
+    )
+
+
+_FLAT_SQL = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_name ELSE '' END AS c_name,
+    CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS vip, c_mktsegment || ', ' || (c_custkey % 4) AS tags"""
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder next to the other intermediate tables of the run."""
+    return f"{checkpoint_root(spark)}/recordlake/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    """
+    WITH n AS (SELECT 'segment-' || c_mktsegment AS job_id, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer),
+    b AS (SELECT job_id, (rn - 1) // 25 + 1 AS batch, count(*) AS count, min(c_custkey) AS first_key, max(c_custkey) AS last_key FROM n GROUP BY 1, 2)
+    SELECT *, max(batch) OVER (PARTITION BY job_id) AS batches FROM b
+    """
+)
+def webhook_payloads(spark, load):
+    """Payload batches of 25 records per job."""
+    batches = webhook_batches(_records(load), _SPEC.headers, position="c_custkey")
+    body = F.from_json("payload", "count long, batch long, records array<struct<c_custkey: long>>")
+    return batches.withColumn("body", body).select(
+        "job_id",
+        "batch",
+        "batches",
+        F.col("body.count").alias("count"),
+        F.array_min("body.records.c_custkey").alias("first_key"),
+        F.array_max("body.records.c_custkey").alias("last_key"),
+    )
+
+
+@query(
+    """SELECT c_mktsegment AS segment, c_custkey AS k, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer"""
+)
+def wide_ranks(spark, load):
+    """Positions within jobs of any size, numbered slice by slice."""
+    rows = load("customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("k"))
+    return wide_row_number(rows, ["segment"], "k", "rn")
+
+
+@query(_FLAT_SQL + " FROM customer")
+def flattened_records(spark, load):
+    """Record values as text."""
+    return flatten_records(_records(load), ["c_custkey", "c_name", "vip", "tags"])
+
+
+@query(_FLAT_SQL + " FROM customer")
+def csv_roundtrip(spark, load):
+    """CSV files written with a header and read back."""
+    headers = ["c_custkey", "c_name", "vip", "tags"]
+    path = _folder(spark, "csv")
+    write_csv(_records(load), headers, path)
+    schema = ", ".join(f"{h} string" for h in headers)
+    back = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    return back.select(*[F.coalesce(h, F.lit("")).alias(h) for h in headers])
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS c_name, c_acctbal, c_custkey % 2 = 0 AS vip,
+    c_mktsegment || '/' || (c_custkey % 4) AS tags, (SELECT count(*) FROM customer) AS manifest_count FROM customer"""
+)
+def json_roundtrip(spark, load):
+    """JSON rows keep their types; the manifest carries the count."""
+    path = _folder(spark, "json")
+    write_json(_records(load), _SPEC.headers, path, "job-1")
+    back = spark.read.schema(_SPEC.struct).json(f"{path}/records")
+    count = spark.read.schema("count long").json(f"{path}/manifest").select(F.col("count").alias("manifest_count"))
+    # The manifest is one row by construction.
+    return back.withColumn("tags", F.array_join("tags", "/")).join(F.broadcast(count))
+
+
+@query(
+    """
+    SELECT '| c_custkey | c_name | vip |' AS line UNION ALL SELECT '| --- | --- | --- |'
+    UNION ALL SELECT '| ' || c_custkey || ' | ' || CASE WHEN c_custkey % 9 <> 0 THEN c_name || ' \\| x' ELSE '' END || ' | '
+      || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || ' |' FROM customer
+    """
+)
+def markdown_roundtrip(spark, load):
+    """Lines of a Markdown table, escaped, written and read back."""
+    path = _folder(spark, "markdown")
+    records = _records(load).withColumn("c_name", F.concat("c_name", F.lit(" | x")))
+    write_markdown(records, ["c_custkey", "c_name", "vip"], path, order=["c_custkey"])
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(
+    """
+    SELECT 'first' AS job_id, CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(NULL AS VARCHAR) AS email FROM supplier
+    UNION ALL SELECT 'second', CAST(s_suppkey AS VARCHAR), s_name, 'sales@s' || s_suppkey || '.test' FROM supplier
+    """
+)
+def evolving_table(spark, load):
+    """A table that gains a column with its second append."""
+    root = _folder(spark, "table")
+    rows = load("supplier").select("s_suppkey", "s_name")
+    write_table(rows.withColumn("job_id", F.lit("first")), ["s_suppkey", "s_name"], root, "My Suppliers!")
+    email = F.concat(F.lit("sales@s"), F.col("s_suppkey").cast("string"), F.lit(".test"))
+    second = rows.withColumn("job_id", F.lit("second")).withColumn("email", email)
+    write_table(second, ["s_suppkey", "s_name", "email"], root, "My Suppliers!")
+    return read_table(spark, root, "My Suppliers!").select("job_id", "s_suppkey", "s_name", "email")
+
+
+@query(
+    """SELECT CAST(-1 AS BIGINT) AS row_no, 'c_custkey;c_name;vip' AS cells UNION ALL
+    SELECT c_custkey, c_custkey || ';' || CASE WHEN c_custkey % 9 <> 0 THEN c_name ELSE '' END || ';' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END FROM customer"""
+)
+def sheet_value_rows(spark, load):
+    """Header and value rows for a sheet."""
+    rows = sheet_rows(_records(load), ["c_custkey", "c_name", "vip"], position="c_custkey")
+    return rows.select("row_no", F.array_join("values", ";").alias("cells"))

@@ -71,7 +71,12 @@ def _any(columns: Sequence[str]) -> str:
 
 
 def extract_candidates(
-    text: DataFrame, spec: RecordSpec, *, keys: Sequence[str] = ("job_id", "page_rank"), url: str = "url"
+    text: DataFrame,
+    spec: RecordSpec,
+    *,
+    keys: Sequence[str] = ("job_id", "page_rank"),
+    url: str = "url",
+    with_pages: bool = False,
 ) -> DataFrame:
     """Candidate rows of every usable page.
 
@@ -79,8 +84,16 @@ def extract_candidates(
     keys, ``url``, ``cand_idx``, ``source`` (table, kv or bare), ``raw`` (one
     string per field), ``page_link`` (per url field) and ``may_fill`` (the page
     names its own url, so a missing url may be taken from it).
+
+    With ``with_pages`` a page without candidates keeps one row whose
+    ``cand_idx`` is null, and ``reject`` is kept, so that one pass over the pages
+    gives both the candidates and the page log.
     """
-    usable = text.filter(F.col("reject").isNull())
+    if with_pages:
+        keys = [*keys, "reject"]
+        usable = text.withColumn("markdown", F.when(F.col("reject").isNull(), F.col("markdown")))
+    else:
+        usable = text.filter(F.col("reject").isNull())
     targets = {f.name: q(f.compact) for f in spec.fields}
 
     lines = f"regexp_replace(markdown, {q(LINE_BREAK)}, {q(chr(10))})"
@@ -160,7 +173,7 @@ def extract_candidates(
     bare_values = {f.name: d for f in spec.fields if (d := _default(f, url))}
     kv = f"CASE WHEN size(__kv) > 0 AND ({_any(list(kv_values.values()))}) THEN array({_candidate('kv', spec, kv_values)}) END"
     bare = (
-        f"CASE WHEN {_any(list(bare_values.values()))} "
+        f"CASE WHEN {'reject IS NULL AND ' if with_pages else ''}({_any(list(bare_values.values()))}) "
         f"THEN array({_candidate('bare', spec, bare_values, with_links=False)}) END"
     )
     found = mapped.select(
@@ -176,11 +189,20 @@ def extract_candidates(
     )
     rows = found.select(*keys, url, "may_fill", F.posexplode_outer("__all").alias("cand_idx", "__c"))
     extra = ["__c.page_link"] if any(f.type == "url" for f in spec.fields) else []
-    return rows.filter(F.col("__c").isNotNull()).select(
+    if not with_pages:
+        rows = rows.filter(F.col("__c").isNotNull())
+    return rows.select(
         *keys, url, "cand_idx", "__c.source", "__c.raw", *extra, "may_fill"
     )
 
 
+def split_pages(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates and page log of an extraction that kept its pages."""
+    candidates = seen.filter(F.col("cand_idx").isNotNull()).drop("reject")
+    first = F.coalesce(F.col("cand_idx"), F.lit(0)) == 0
+    return candidates, seen.filter(first).select("job_id", "page_rank", "url", "reject")
+
+
 def candidates_from_maps(
     rows: DataFrame, spec: RecordSpec, *, raw: str = "raw", source: str = "given"
 ) -> DataFrame:

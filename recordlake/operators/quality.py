@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import VALIDITY_BAR
+from ..spec import RecordSpec
+from .entities import entity_key
 
 NO_RECORDS = (
     "No valid records matched the schema. Sources were reached but content did not yield the "
@@ -18,20 +20,26 @@ def validity_ratio(valid: Column, invalid: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(valid.cast("double"), (valid + invalid).cast("double")), 4), F.lit(0.0))
 
 
-def run_stats(validated: DataFrame, records: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def run_stats(validated: DataFrame, spec: RecordSpec, pages: DataFrame | None = None) -> DataFrame:
     """Per job: pages, candidates, valid, invalid, duplicates and validity ratio.
 
-    ``validated`` holds every candidate with its errors, ``records`` the
-    deduplicated ones.  Both sides are partial aggregates on ``job_id``.
+    One pass over the candidates.  They are counted per entity first, so rows
+    are reduced inside the map tasks and a job of any size is spread over its
+    keys; the second aggregation adds up one number per task and job.
     """
-    seen = validated.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("candidates"), F.count_if(F.size("errors") > 0).alias("invalid")
+    entity = F.when(F.size("errors") == 0, F.sha2(F.expr(entity_key(spec)), 256))
+    per_entity = (
+        validated.select("job_id", entity.alias("__entity")).groupBy("job_id", "__entity").agg(F.count(F.lit(1)).alias("n"))
+    )
+    stats = per_entity.groupBy("job_id").agg(
+        F.sum("n").alias("candidates"),
+        F.count("__entity").alias("valid"),
+        F.sum(F.when(F.col("__entity").isNull(), F.col("n")).otherwise(0)).alias("invalid"),
     )
-    kept = records.groupBy("job_id").agg(F.count(F.lit(1)).alias("valid"))
-    stats = seen.join(kept, "job_id", "left")
     if pages is not None:
         read = pages.filter(F.col("reject").isNull()).groupBy("job_id").agg(F.count(F.lit(1)).alias("pages"))
         stats = read.join(stats, "job_id", "full")
+
     def number(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(0)).cast("long")
 

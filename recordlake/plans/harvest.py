@@ -11,7 +11,7 @@ from ..constants import MAX_PAGES_PER_JOB, MAX_RECORDS_DEFAULT
 from ..functions.urls import canonical_url
 from ..operators.backfill import backfill_candidates, collect_leads, lead_pages, open_leads, page_contacts
 from ..operators.entities import dedupe_records, limit_records
-from ..operators.extract import extract_candidates, prefer_given
+from ..operators.extract import extract_candidates, prefer_given, split_pages
 from ..operators.fetches import skip_report
 from ..operators.frontier import build_frontier
 from ..operators.page_text import page_text
@@ -70,19 +70,20 @@ def run_harvest(
     # A page wanted by many jobs is rendered once and joined to them afterwards.
     text = page_text(corpus, url="canonical").select("canonical", "markdown", "title", "reject")
     read = frontier.select("job_id", "page_rank", "canonical").join(text, "canonical").withColumnRenamed("canonical", "url")
-    candidates = extract_candidates(read, spec)
+    # One pass over the pages; what is written holds no page text.
+    seen = materialise(extract_candidates(read, spec, with_pages=True), "candidates")
+    candidates, page_log = split_pages(seen)
     if given is not None and answered is not None:
         candidates = prefer_given(candidates, given, answered, ["job_id", "url"])
-    candidates = materialise(candidates, "candidates")
     validated = validate_records(candidates, spec).withColumn("wave", F.lit(1))
     order = ["wave", "page_rank", "cand_idx"]
 
-    rejects = read.select("job_id", "url", "reject")
     missing = (
-        frontier.join(text.select("canonical"), "canonical", "left_anti")
-        .select("job_id", F.col("url"), F.lit("page not in corpus").alias("reason"))
+        frontier.select("job_id", F.col("canonical").alias("url"))
+        .join(page_log, ["job_id", "url"], "left_anti")
+        .withColumn("reason", F.lit("page not in corpus"))
     )
-    skipped = skip_report(missing, rejects)
+    skipped = skip_report(missing, page_log)
 
     first_wave = dedupe_records(accepted(validated), spec, order=order)
     everything = validated
@@ -92,7 +93,7 @@ def run_harvest(
         leads = materialise(
             open_leads(
                 leads,
-                read.filter(F.col("reject").isNull()).select("job_id", "url"),
+                page_log.filter(F.col("reject").isNull()).select("job_id", "url"),
                 record_counts=counts,
                 targets=jobs,
             ),
@@ -100,10 +101,11 @@ def run_harvest(
         )
         visits = corpus_by_url(pages, lead_pages(leads))
         contacts = page_contacts(page_text(visits, url="canonical"), url="canonical")
-        second = validate_records(backfill_candidates(leads, contacts, spec), spec).withColumn("wave", F.lit(2))
+        completed = materialise(backfill_candidates(leads, contacts, spec), "backfill")
+        second = validate_records(completed, spec).withColumn("wave", F.lit(2))
         everything = validated.unionByName(second)
     records = dedupe_records(accepted(everything), spec, order=order)
-    stats = run_stats(everything, records, read)
+    stats = run_stats(everything, spec, page_log)
     limited = limit_records(records, jobs, order=order, default=MAX_RECORDS_DEFAULT)
     summary = job_summary(jobs, stats, limited, frontier=frontier, skipped=skipped)
     return Harvest(frontier, limited, everything, leads, skipped, stats, summary)
