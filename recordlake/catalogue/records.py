@@ -28,14 +28,14 @@ _SUPPLIER_RECORD = """'Supplier ' || s_suppkey AS company_name, 'sales@s' || s_s
 
 
 @query(
-    f"""SELECT 'nation-' || n_nationkey AS job_id, s_suppkey // 100 AS page_rank, 'table' AS source, {_SUPPLIER_RECORD}
+    f"""SELECT 'nation-' || n_nationkey AS job_id, s_suppkey // 100 AS page_rank, 'table' AS candidate_source, {_SUPPLIER_RECORD}
     FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 )
 def directory_extract(spark, load):
     """Directory pages to typed records: what was rendered comes back."""
     found = extract_candidates(page_text(supplier_pages(load)), SUPPLIERS)
     valid = accepted(validate_records(found, SUPPLIERS))
-    return valid.select("job_id", "page_rank", "source", *SUPPLIERS.headers)
+    return valid.select("job_id", "page_rank", "candidate_source", *SUPPLIERS.headers)
 
 
 CUSTOMERS = RecordSpec.of(
@@ -174,8 +174,7 @@ _VALID_SQL = """
 @query(_VALID_SQL + "SELECT k AS page_rank, company_name, email, website, url_value, array_to_string(errors, '; ') AS errors FROM checked")
 def validate_split(spark, load):
     """Every candidate with its values and errors."""
-    rows = customer_candidates(load).withColumnRenamed("url", "page_url")
-    valid = validate_records(rows, _CUSTOMER_SPEC, url="page_url")
+    valid = validate_records(customer_candidates(load), _CUSTOMER_SPEC)
     return valid.select(
         "page_rank", "company_name", "email", "website", F.col("url").alias("url_value"), F.array_join("errors", "; ").alias("errors")
     )
@@ -187,8 +186,7 @@ def validate_split(spark, load):
 )
 def reject_reasons(spark, load):
     """Rejected candidates by reason."""
-    rows = customer_candidates(load).withColumnRenamed("url", "page_url")
-    bad = rejected(validate_records(rows, _CUSTOMER_SPEC, url="page_url"))
+    bad = rejected(validate_records(customer_candidates(load), _CUSTOMER_SPEC))
     return bad.select("job_id", F.explode("errors").alias("error")).groupBy("job_id", "error").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -91,7 +91,7 @@ def reply_records(spark, load):
     """Records of the replies; JSON values and text values are coerced alike or not, as they must."""
     parsed = parse_replies(_replies(load))
     valid = accepted(validate_records(reply_candidates(parsed, _SPEC, keys=["job_id", "url"]), _SPEC))
-    return valid.select("url", "company_name", "size", "price", "active", F.array_join("tags", "/").alias("tags"))
+    return valid.select(F.col("source_url").alias("url"), "company_name", "size", "price", "active", F.array_join("tags", "/").alias("tags"))
 
 
 @query("SELECT 'https://p' || p_partkey || '.test/' AS url, p_partkey % 4 = 2 AS empty FROM part WHERE p_partkey % 4 < 3")

@@ -16,7 +16,7 @@ from ..spec import RecordSpec
 _STRINGS = ("string", "email", "url", "date")
 
 
-def derived_name(spec: RecordSpec, url: str) -> str:
+def derived_name(spec: RecordSpec) -> str:
     """Name taken from the record's own e-mail domain, website or page host."""
     email, site = spec.first("email"), spec.first("url")
 
@@ -29,7 +29,7 @@ def derived_name(spec: RecordSpec, url: str) -> str:
         options.append(bind(domain, lambda d: f"CASE WHEN NOT {is_free_mail(d)} THEN {host_name(d)} END"))
     if site is not None:
         options.append(from_host(f"`{site.name}`"))
-    options.append(from_host(f"`{url}`"))
+    options.append(from_host("source_url"))
     return f"coalesce({', '.join(options)})"
 
 
@@ -38,12 +38,20 @@ def validate_records(
 ) -> DataFrame:
     """Typed columns in schema order plus ``errors``, one row per candidate.
 
+    The page's url becomes ``source_url`` and the candidate's kind
+    ``candidate_source``, since a schema may have fields of its own named url and
+    source.
+
     A missing url field may be filled with the page's url where the page allows
     it (``may_fill``).  A required field that had to be filled still counts as
     missing unless ``accept_filled`` is set.
     """
+    candidates = candidates.withColumnsRenamed({url: "source_url", "source": "candidate_source"})
     have = set(candidates.columns)
     keep = [c for c in candidates.columns if c not in ("raw", "page_link", "may_fill", "kind", "items")]
+    taken = sorted((set(keep) | {"errors"}) & set(spec.headers))
+    if taken:
+        raise ValueError(f"reserved field names: {', '.join(taken)}")
     may_fill = F.col("may_fill") if "may_fill" in have else F.lit(True)
     typed = candidates.select(
         *keep,
@@ -64,7 +72,7 @@ def validate_records(
 
     def filled(f) -> str:
         if f.type == "url" and f.compact in CROSS_FILL_FIELDS:
-            return f"coalesce(`{f.name}`, CASE WHEN __may_fill THEN `{url}` END)"
+            return f"coalesce(`{f.name}`, CASE WHEN __may_fill THEN source_url END)"
         return f"`{f.name}`"
 
     missing = [
@@ -78,7 +86,7 @@ def validate_records(
         *[F.expr(filled(f)).alias(f.name) for f in spec.fields],
         F.expr(f"cast({errors} AS ARRAY<STRING>)").alias("errors"),
     )
-    named = _settle_name(checked, spec, url, keep)
+    named = _settle_name(checked, spec)
     final = named.select(
         *keep,
         *[F.col(f.name).alias(f.name, metadata=dict(f.struct_field.metadata)) for f in spec.fields],
@@ -87,12 +95,12 @@ def validate_records(
     return fence(final)
 
 
-def _settle_name(rows: DataFrame, spec: RecordSpec, url: str, keep: list[str]) -> DataFrame:
+def _settle_name(rows: DataFrame, spec: RecordSpec) -> DataFrame:
     field = spec.name_field
     if field is None or field.type not in _STRINGS:
         return rows
     replacement = F.expr(
-        f"CASE WHEN NOT {is_org_name(f'`{field.name}`')} THEN {derived_name(spec, url)} END"
+        f"CASE WHEN NOT {is_org_name(f'`{field.name}`')} THEN {derived_name(spec)} END"
     )
     others = [c for c in rows.columns if c not in (field.name, "errors")]
     with_new = rows.select(*others, field.name, "errors", replacement.alias("__new"))
