@@ -87,6 +87,35 @@ def kv_extract(spark, load):
     return valid.select("page_rank", *[h for h in CUSTOMERS.headers if h != "tags"], F.array_join("tags", "/").alias("tags"))
 
 
+ORDERS = RecordSpec.of([("order", "integer", True), ("email", "email", True), ("total", "number"), ("placed", "date"), ("shop", "url")])
+
+
+@query(
+    """
+    SELECT o_orderkey AS "order", 'buyer' || o_custkey || '@shop.test' AS email, o_totalprice AS total,
+      strftime(o_orderdate, '%Y-%m-%d') AS placed, 'https://shop.test/orders/' || o_orderkey AS shop
+    FROM orders
+    """
+)
+def order_pages(spark, load):
+    """One page per order: the largest rendered corpus, page to record."""
+    key = F.col("o_orderkey").cast("string")
+    pairs = {
+        "Order": F.concat(F.lit("no. "), key),
+        "Email": F.concat(F.lit("buyer"), F.col("o_custkey").cast("string"), F.lit("@shop.test")),
+        "Total": F.concat(F.lit("$"), F.format_number("o_totalprice", 2)),
+        "Placed": F.date_format(F.col("o_orderdate").cast("date"), "d MMM yyyy"),
+    }
+    pages = load("orders").select(
+        F.lit("orders").alias("job_id"),
+        F.col("o_orderkey").alias("page_rank"),
+        F.concat(F.lit("https://shop.test/orders/"), key).alias("url"),
+        key_value_page(F.concat(F.lit("Order "), key), pairs).alias("html"),
+    )
+    found = extract_candidates(page_text(spread(pages)), ORDERS)
+    return accepted(validate_records(found, ORDERS)).select(*ORDERS.headers)
+
+
 @query(
     """
     SELECT o_orderkey, o_totalprice AS price, CAST(o_orderkey AS BIGINT) * 1000 AS units, CAST(round_even(o_orderkey + 0.5, 0) AS BIGINT) AS halves,
@@ -120,7 +149,7 @@ def coerce_types(spark, load):
         ("mail", "email"): F.concat(F.lit("mail: Buyer"), F.col("o_custkey").cast("string"), F.lit("@Shop.TEST now")),
         ("link", "url"): F.concat(F.lit("see https://shop.test/o/"), key.cast("string"), F.lit(".")),
     }
-    raw = load("orders").select("o_orderkey", *[text.alias(n) for (n, _), text in cells.items()])
+    raw = spread(load("orders")).select("o_orderkey", *[text.alias(n) for (n, _), text in cells.items()])
     typed = raw.select("o_orderkey", *[F.expr(coerce(FieldSpec(n, t), n)).alias(n) for n, t in cells])
     return typed.withColumn("listed", F.array_join("listed", "/"))
 
