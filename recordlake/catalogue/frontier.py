@@ -9,7 +9,7 @@ from ..functions.urls import canonical_url, host_of, registrable_host, strip_www
 from ..operators.fetches import fetch_outcomes, first_answering_engine, skip_report
 from ..operators.frontier import build_frontier, frontier_funnel, intent_tokens, query_counts
 from ..operators.planning import plan_queries, with_targets
-from ..plans.stages import first_per_key
+from ..plans.stages import first_per_key, spread
 from ..sources.search import limit_results, load_search_results, seed_results
 from .registry import query
 
@@ -77,7 +77,7 @@ _TOKENS = ["reliable", "partners", "another", "thing", "entre", "queue", "databa
 
 
 def _results(load):
-    pages = load("pages")
+    pages = spread(load("pages"))
     title = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)
     lead = F.regexp_extract("html", r"(?is)<p>\s*([^<]{0,300})", 1)
     return pages.select(
@@ -221,7 +221,7 @@ def query_result_counts(spark, load):
 
 def _payload(load):
     """Search payloads in every accepted shape, one per page."""
-    page = load("pages").select("page_id", "url", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
+    page = spread(load("pages")).select("page_id", "url", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
     entry = F.to_json(F.struct("url", "title", F.lit("about").alias("snippet")))
     renamed = F.to_json(F.struct(F.col("url").alias("link"), F.col("title").alias("name"), F.lit("about").alias("description")))
     junk = F.to_json(F.struct(F.lit("ftp://files.test/x").alias("url")))
@@ -310,7 +310,7 @@ def planned_queries(spark, load):
 )
 def content_tokens(spark, load):
     """Distinct content words of every document."""
-    tokens = load("documents").select("doc_id", F.expr(intent_tokens("text")).alias("t"))
+    tokens = spread(load("documents")).select("doc_id", F.expr(intent_tokens("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
@@ -345,7 +345,7 @@ def intent_targets(spark, load):
 
 def _attempts(load):
     """Fetch log made of line items: one url per order, one attempt per item."""
-    item = load("lineitem")
+    item = spread(load("lineitem"))
     number = F.col("l_linenumber")
     engine = F.when(number <= 2, "cli").when(number <= 4, "server").otherwise("http")
     fate = (F.col("l_orderkey") * 7 + F.col("l_partkey") + number) % 10

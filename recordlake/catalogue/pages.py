@@ -232,5 +232,5 @@ def page_names(spark, load):
 )
 def email_scan(spark, load):
     """Every e-mail address in every document, in order."""
-    found = load("documents").select("doc_id", F.posexplode_outer(F.expr(emails("text"))).alias("pos", "email"))
+    found = spread(load("documents")).select("doc_id", F.posexplode_outer(F.expr(emails("text"))).alias("pos", "email"))
     return found.filter(F.col("email").isNotNull()).select("doc_id", F.col("pos").cast("long").alias("pos"), "email")

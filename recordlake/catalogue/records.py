@@ -345,7 +345,7 @@ def lead_backfill(spark, load):
     seen = materialise(extract_candidates(page_text(_listing_pages(load)), _LEADS, with_pages=True), "listing")
     found, visited = split_pages(seen)
     counts = dedupe_records(accepted(validate_records(found, _LEADS)), _LEADS).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_records"))
-    leads = open_leads(collect_leads(found, _LEADS), visited, record_counts=counts)
+    leads = materialise(open_leads(collect_leads(found, _LEADS), visited, record_counts=counts), "leads")
     visits = corpus_by_url(_site_pages(load), lead_pages(leads))
     contacts = page_contacts(page_text(visits, url="canonical"), url="canonical")
     completed = validate_records(backfill_candidates(leads, contacts, _LEADS), _LEADS)
@@ -366,7 +366,7 @@ def lead_backfill(spark, load):
 def email_preference(spark, load):
     """Preferred address of every document that has one."""
     host = F.when(F.col("doc_id") % 2 == 0, "www.example.com").otherwise("other.test")
-    best = load("documents").withColumn("host", host).select("doc_id", F.expr(preferred_email("text", "host")).alias("email"))
+    best = spread(load("documents")).withColumn("host", host).select("doc_id", F.expr(preferred_email("text", "host")).alias("email"))
     return best.filter(F.col("email").isNotNull())
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.stages import spread
 from ..operators.validate import accepted, validate_records
 from ..sources.replies import json_payloads, merge_replies, parse_replies, reply_candidates, reply_queries
 from ..spec import RecordSpec
@@ -17,7 +18,7 @@ from .registry import query
 )
 def reply_merge(spark, load):
     """Event log to reply text: every turn is a part that is updated once."""
-    turns = load("conversations")
+    turns = spread(load("conversations"))
     part = F.concat(F.lit("p"), F.col("turn").cast("string"))
 
     def event(text, step):
@@ -76,7 +77,7 @@ def _replies(load):
         .when(F.col("p_partkey") % 4 == 2, '{"records": []}')
         .otherwise("nothing found")
     )
-    return load("part").select(
+    return spread(load("part")).select(
         F.lit("parts").alias("job_id"), F.concat(F.lit("https://p"), key, F.lit(".test/")).alias("url"), text.alias("text")
     )
 

@@ -19,7 +19,7 @@ def append_events(events: DataFrame, path: str) -> None:
     stamp_events(events).write.mode("append").parquet(path)
 
 
-def replay(events: DataFrame, *, seq: str = "seq", slices: int = 64) -> DataFrame:
+def replay(events: DataFrame, *, seq: str = "seq") -> DataFrame:
     """History of every job up to and including its first summary.
 
     The end of a job is one aggregated number, so no task ever holds all events
@@ -29,7 +29,7 @@ def replay(events: DataFrame, *, seq: str = "seq", slices: int = 64) -> DataFram
     kept = events.join(ends, "job_id", "left").filter(
         F.col("__end").isNull() | (F.col(seq) <= F.col("__end"))
     )
-    return wide_row_number(kept.drop("__end"), ["job_id"], seq, "replay_no", slices=slices)
+    return wide_row_number(kept.drop("__end"), ["job_id"], seq, "replay_no")
 
 
 def latest_status(events: DataFrame, *, status: str = "status", seq: str = "seq") -> DataFrame:

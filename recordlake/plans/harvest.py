@@ -18,7 +18,7 @@ from ..operators.page_text import page_text
 from ..operators.quality import job_summary, run_stats
 from ..operators.validate import accepted, validate_records
 from ..spec import RecordSpec
-from .stages import first_per_key, materialise
+from .stages import BROADCAST_URLS, first_per_key, materialise
 
 
 @dataclass
@@ -37,11 +37,14 @@ class Harvest:
 def corpus_by_url(pages: DataFrame, wanted: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """One page per canonical url among the ``wanted`` ones.
 
-    ``wanted`` has the column ``canonical``.  The join side is the distinct list
-    of urls; Spark broadcasts it or builds a runtime filter from its measured
-    size, and only pages that survive carry their body through an exchange.
+    ``wanted`` has the column ``canonical`` and is a written table, so counting its
+    urls is cheap.  A list of up to ``BROADCAST_URLS`` is sent to the scan tasks
+    and only wanted pages carry their body through an exchange; a longer list is
+    joined by shuffle, and the choice of one capture per url reuses that shuffle.
     """
     needed = wanted.select("canonical").distinct()
+    if needed.count() <= BROADCAST_URLS:
+        needed = F.broadcast(needed)
     found = pages.select(F.expr(canonical_url(f"`{url}`")).alias("canonical"), F.col(url).alias("__captured"), F.col(html).alias("html"))
     kept = found.join(needed, "canonical", "left_semi")
     return first_per_key(kept, ["canonical"], ["__captured"]).drop("__captured")
@@ -67,11 +70,11 @@ def run_harvest(
     frontier = build_frontier(results, jobs, max_pages=max_pages).withColumn("canonical", F.expr(canonical_url("url")))
     frontier = materialise(frontier, "frontier")
     corpus = corpus_by_url(pages, frontier)
-    # A page wanted by many jobs is rendered once and joined to them afterwards.
-    text = page_text(corpus, url="canonical").select("canonical", "markdown", "title", "reject")
-    read = frontier.select("job_id", "page_rank", "canonical").join(text, "canonical").withColumnRenamed("canonical", "url")
-    # One pass over the pages; what is written holds no page text.
-    seen = materialise(extract_candidates(read, spec, with_pages=True), "candidates")
+    # Candidates depend on the page and the schema alone: a page wanted by many
+    # jobs is rendered and read once, and only its candidates are joined to them.
+    read = extract_candidates(page_text(corpus, url="canonical"), spec, keys=(), url="canonical", with_pages=True)
+    seen = frontier.select("job_id", "page_rank", "canonical").join(read, "canonical").withColumnRenamed("canonical", "url")
+    seen = materialise(seen, "candidates")
     candidates, page_log = split_pages(seen)
     if given is not None and answered is not None:
         candidates = prefer_given(candidates, given, answered, ["job_id", "url"])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Row limits per window group up to this size are cut before the shuffle.
 _GROUP_LIMIT = 4096
+# Url lists up to this length (some 100 MB) are sent to every executor.
+BROADCAST_URLS = 1_000_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -71,41 +73,55 @@ def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[s
 def top_per_key(
     df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column], limit: int, rank: str
 ) -> DataFrame:
-    """First ``limit`` rows of every key with their 1-based rank."""
+    """First ``limit`` rows of every key with their 1-based rank.
+
+    The limit is cut inside the map tasks, so a hot key sends at most ``limit``
+    rows from each of them.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < limit:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(limit))
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= limit)
 
 
 def wide_row_number(
-    df: DataFrame, keys: Sequence[str], position: str, rank: str, ties: Sequence[str] = (), slices: int = 64
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    rank: str,
+    *,
+    ties: Sequence[str] = (),
+    hot_rows: int = 4_000_000,
+    slices: int = 1024,
 ) -> DataFrame:
     """``row_number`` per key for keys of any size.
 
-    A plain window sorts each key in one task.  Here every key is cut into
-    slices at approximate quantiles of the numeric column ``position``; slices
-    are ranked on their own and shifted by the number of rows before them, so a
-    key that holds a third of the table is still spread over many tasks.  Rows
-    with equal ``position`` share a slice; ``ties`` orders them.
+    A plain window sorts each key in one task.  Keys with more than ``hot_rows``
+    rows are cut into slices at approximate quantiles of the numeric column
+    ``position``; slices are ranked on their own and shifted by the number of
+    rows before them, so a key that holds a third of the table is spread over
+    many tasks.  Rows with equal ``position`` share a slice; ``ties`` orders
+    them.  The input is read more than once: hand in a written table when it is
+    expensive to compute.
     """
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(
-            F.col(position), F.array(*[F.lit(i / slices) for i in range(1, slices)]), 1000
-        ).alias("__cuts")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.filter(F.col("__n") > hot_rows).select(*keys)
+    quantiles = F.expr(f"array({', '.join(f'{i / slices}D' for i in range(1, slices))})")
+    cuts = (
+        df.select(*keys, position)
+        .join(hot, [*keys], "left_semi")
+        .groupBy(*keys)
+        .agg(F.percentile_approx(F.col(position), quantiles, 20_000).alias("__cuts"))
     )
-    sliced = (
-        df.join(cuts, [*keys])
-        .withColumn("__slice", F.size(F.filter("__cuts", lambda c: c < F.col(position))))
-        .drop("__cuts")
+    sliced = df.join(cuts, [*keys], "left").withColumn(
+        "__slice", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(position))), F.lit(0))
     )
+    sliced = sliced.drop("__cuts")
     sizes = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select(
-        *keys,
-        "__slice",
-        (
-            F.sum("__n").over(W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, 0))
-            - F.col("__n")
-        ).alias("__before"),
-    )
+    # At most ``slices`` rows per key.
+    running = F.sum("__n").over(W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, 0))
+    before = sizes.select(*keys, "__slice", (running - F.col("__n")).alias("__before"))
     within = F.row_number().over(W.partitionBy(*keys, "__slice").orderBy(position, *ties))
     return (
         sliced.withColumn("__rn", within)

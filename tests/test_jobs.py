@@ -212,7 +212,7 @@ def test_wide_row_number_on_a_hot_key(spark):
     rows = spark.range(5000).select(
         F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("k"), ((F.col("id") * 7919) % 977).alias("pos"), "id"
     )
-    got = {(r["k"], r["id"]): r["rn"] for r in wide_row_number(rows, ["k"], "pos", "rn", ties=["id"], slices=16).collect()}
+    got = {(r["k"], r["id"]): r["rn"] for r in wide_row_number(rows, ["k"], "pos", "rn", ties=["id"], hot_rows=1000, slices=16).collect()}
     want = {}
     data = [(r["k"], r["pos"], r["id"]) for r in rows.collect()]
     for key in ("hot", "cold"):
