@@ -107,17 +107,13 @@ def extract_candidates(
             f"transform({match_all('markdown', pattern)}, m -> named_struct("
             f"'k', {compact(strip(match('m', pattern, 1)))}, 'v', {strip(match('m', pattern, 2))}))"
         )
-    links = (
-        f"transform({match_all('markdown', MARKDOWN_LINK)}, m -> named_struct("
-        f"'label', lower({match('m', MARKDOWN_LINK, 1)}), 'href', {match('m', MARKDOWN_LINK, 2)}))"
-    )
     read = usable.select(
         *keys,
         url,
         (F.col("markdown").contains(F.col(url)) | (F.col("markdown") == "")).alias("may_fill"),
         F.split(F.nullif(block, F.lit("")), "\n").alias("__lines"),
         F.expr(f"filter(concat({', '.join(entries)}), e -> length(e.v) <= {KV_VALUE_CHARS})").alias("__kv"),
-        F.expr(links).alias("__links"),
+        F.expr(_page_links("markdown")).alias("__links"),
         F.nullif(F.regexp_extract("markdown", EMAIL, 0), F.lit("")).alias("__email"),
         F.expr(
             best_name("coalesce(title, '')", f"coalesce({name_heading('markdown')}, '')", f"`{url}`")
@@ -220,6 +216,35 @@ def candidates_from_maps(
     return rows.select(*keep, F.lit(source).alias("source"), F.struct(*fields).alias("raw"))
 
 
+def _page_links(markdown: str) -> str:
+    """Links of a page as ``array<struct<label, href>>``, labels in lower case."""
+    return (
+        f"transform({match_all(markdown, MARKDOWN_LINK)}, m -> named_struct("
+        f"'label', lower({match('m', MARKDOWN_LINK, 1)}), 'href', {match('m', MARKDOWN_LINK, 2)}))"
+    )
+
+
+def attach_pages(
+    given: DataFrame, text: DataFrame, spec: RecordSpec, *, url: str = "url", text_url: str = "url"
+) -> DataFrame:
+    """Give candidates from outside what extracted ones get from their page.
+
+    Adds ``page_link`` (the page's link that goes with a url value that is only a
+    label) and ``may_fill``.  The join carries links, not page text; a candidate
+    without its page keeps neither.
+    """
+    context = text.filter(F.col("reject").isNull()).select(
+        F.col(text_url).alias(url),
+        (F.col("markdown").contains(F.col(text_url)) | (F.col("markdown") == "")).alias("may_fill"),
+        F.expr(_page_links("markdown")).alias("__links"),
+    )
+    joined = given.drop("may_fill", "page_link").join(context, url, "left")
+    urls = [f.name for f in spec.fields if f.type == "url"]
+    links = [F.expr(f"cast({_link(f'raw.`{n}`')} AS STRING)").alias(n) for n in urls]
+    out = joined.withColumn("page_link", F.struct(*links)) if urls else joined
+    return out.withColumn("may_fill", F.coalesce("may_fill", F.lit(False))).drop("__links")
+
+
 def prefer_given(heuristic: DataFrame, given: DataFrame, answered: DataFrame, page_keys: Sequence[str]) -> DataFrame:
     """Candidates supplied from outside replace the extracted ones page by page.
 

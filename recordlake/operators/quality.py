@@ -70,15 +70,19 @@ def job_summary(
     frontier: DataFrame | None = None,
     skipped: DataFrame | None = None,
     queries: DataFrame | None = None,
+    pages: DataFrame | None = None,
+    outputs: DataFrame | None = None,
 ) -> DataFrame:
     """One row per job: status, counts, notes, error.
 
     A job with an empty intent, without a source page or without a record has
-    failed.  Queries are listed (at most ten per job); pages and skips are
-    counted, their rows stay in their own tables because a job may have any
-    number of them.
+    failed.  Queries are listed (at most ten per job), and so are outputs and,
+    from the page log of a capped frontier, the sources read: each job has at
+    most as many as the page cap.  Skips are counted; their rows stay in their
+    own table.  Jobs with a ``started_at`` get a duration.
     """
-    out = jobs.select("job_id", "intent").join(quality_note(stats), "job_id", "left")
+    started = [c for c in ("started_at",) if c in jobs.columns]
+    out = jobs.select("job_id", "intent", *started).join(quality_note(stats), "job_id", "left")
     out = out.join(
         exported.groupBy("job_id").agg(F.count(F.lit(1)).alias("records_exported")), "job_id", "left"
     )
@@ -91,6 +95,16 @@ def job_summary(
             F.array_sort(F.collect_list(F.struct("query_no", "query"))).alias("__q")
         )
         out = out.join(listed.select("job_id", F.transform("__q", lambda x: x["query"]).alias("queries")), "job_id", "left")
+    if pages is not None:
+        read = pages.filter(F.col("reject").isNull()).groupBy("job_id").agg(
+            F.array_sort(F.collect_list(F.struct("page_rank", "url"))).alias("__s")
+        )
+        out = out.join(read.select("job_id", F.transform("__s", lambda x: x["url"]).alias("sources_scraped")), "job_id", "left")
+    if outputs is not None:
+        written = outputs.groupBy("job_id").agg(
+            F.collect_list(F.struct(*[c for c in outputs.columns if c != "job_id"])).alias("outputs")
+        )
+        out = out.join(written, "job_id", "left")
     counts = [
         c for c in ("records_exported", "pages_queued", "pages_skipped", "candidates", "valid", "invalid", "duplicates")
         if c in out.columns
@@ -102,6 +116,9 @@ def job_summary(
         .when(no_source, "no source pages")
         .when(F.col("records_exported") == 0, NO_RECORDS)
     )
+    if started:
+        elapsed = F.current_timestamp().cast("double") - F.col("started_at").cast("timestamp").cast("double")
+        out = out.withColumn("duration_seconds", F.round(elapsed, 2))
     return out.withColumns(
         {
             "error": error,

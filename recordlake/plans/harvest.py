@@ -11,7 +11,7 @@ from ..constants import MAX_PAGES_PER_JOB, MAX_RECORDS_DEFAULT
 from ..functions.urls import canonical_url
 from ..operators.backfill import backfill_candidates, collect_leads, lead_pages, open_leads, page_contacts
 from ..operators.entities import dedupe_records, limit_records
-from ..operators.extract import extract_candidates, prefer_given, split_pages
+from ..operators.extract import attach_pages, extract_candidates, prefer_given, split_pages
 from ..operators.fetches import skip_report
 from ..operators.frontier import build_frontier
 from ..operators.page_text import page_text
@@ -64,19 +64,26 @@ def run_harvest(
     """Run all jobs that share one record schema.
 
     ``jobs``: job_id, intent, max_records.  ``results``: job_id, rank, title, url,
-    snippet, engine, query.  ``pages``: url, html.  ``given`` and ``answered``
-    replace the heuristic candidates of answered pages (see ``prefer_given``).
+    snippet, engine, query.  ``pages``: url, html.  ``given`` candidates replace
+    the heuristic ones of the ``answered`` pages, both by (job_id, canonical
+    url); see ``prefer_given``.
     """
     frontier = build_frontier(results, jobs, max_pages=max_pages).withColumn("canonical", F.expr(canonical_url("url")))
     frontier = materialise(frontier, "frontier")
     corpus = corpus_by_url(pages, frontier)
     # Candidates depend on the page and the schema alone: a page wanted by many
     # jobs is rendered and read once, and only its candidates are joined to them.
-    read = extract_candidates(page_text(corpus, url="canonical"), spec, keys=(), url="canonical", with_pages=True)
+    text = page_text(corpus, url="canonical")
+    if given is not None:
+        text = materialise(text, "text")  # read twice: by the heuristics and for the given candidates
+    read = extract_candidates(text, spec, keys=(), url="canonical", with_pages=True)
     seen = frontier.select("job_id", "page_rank", "canonical").join(read, "canonical").withColumnRenamed("canonical", "url")
     seen = materialise(seen, "candidates")
     candidates, page_log = split_pages(seen)
-    if given is not None and answered is not None:
+    if given is not None:
+        ranks = page_log.filter(F.col("reject").isNull()).select("job_id", "url", "page_rank")
+        given = attach_pages(given.drop("page_rank").join(ranks, ["job_id", "url"]), text, spec, text_url="canonical")
+        answered = given.select("job_id", "url") if answered is None else answered
         candidates = prefer_given(candidates, given, answered, ["job_id", "url"])
     validated = validate_records(candidates, spec).withColumn("wave", F.lit(1))
     order = ["wave", "page_rank", "cand_idx"]
@@ -110,5 +117,5 @@ def run_harvest(
     records = dedupe_records(accepted(everything), spec, order=order)
     stats = run_stats(everything, spec, page_log)
     limited = limit_records(records, jobs, order=order, default=MAX_RECORDS_DEFAULT)
-    summary = job_summary(jobs, stats, limited, frontier=frontier, skipped=skipped)
+    summary = job_summary(jobs, stats, limited, frontier=frontier, skipped=skipped, pages=page_log)
     return Harvest(frontier, limited, everything, leads, skipped, stats, summary)

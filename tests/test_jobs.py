@@ -42,7 +42,25 @@ def test_job_with_seeds_and_a_missing_page(spark):
     }
     stats = done.stats.first()
     assert (stats["pages"], stats["candidates"], stats["valid"], stats["validity_ratio"]) == (2, 4, 4, 1.0)
-    assert done.summary.first()["status"] == "completed"
+    summary = done.summary.first()
+    assert summary["status"] == "completed" and summary["pages_skipped"] == 2
+    assert summary["sources_scraped"] == ["https://dir.test/list", "https://heron.test/about"]
+
+
+def test_job_with_replies(spark):
+    """A reply replaces the heuristics of its page; an empty one gives no rows."""
+    page = "<title>Quay</title><p><a href='https://quay.io/home'>Quay Works</a> writes to x@quay.io</p>"
+    pages = corpus(spark, [("https://a.test/", page), ("https://b.test/", page), ("https://c.test/", "<title>Pier Ltd</title><p>hi@pier.io</p>")])
+    jobs = spark.createDataFrame([("j", "Find gauge makers with founder emails in Norway", 10)], JOB)
+    texts = [("j", "https://a.test/", '{"records": [{"company_name": "Quay Works", "email": "ask@quay.io", "website": "Quay Works"}]}'), ("j", "https://b.test/", '{"records": []}'), ("j", "https://c.test/", "sorry")]
+    parsed = parse_replies(spark.createDataFrame(texts, "job_id string, url string, text string")).filter("records IS NOT NULL")
+    given = reply_candidates(parsed, LEAD_SPEC, keys=["job_id", "url"])
+    done = run_harvest(LEAD_SPEC, jobs, seeds(spark, ["https://a.test/", "https://b.test/", "https://c.test/"]), pages, given=given, answered=parsed)
+    rows = done.records.orderBy("record_no").collect()
+    assert [(r["company_name"], r["email"], r["website"], r["candidate_source"]) for r in rows] == [
+        ("Quay Works", "ask@quay.io", "https://quay.io/home", "reply"),
+        ("Pier Ltd", "hi@pier.io", "https://c.test/", "bare"),
+    ]
 
 
 LISTING = """<title>Members</title><table><tr><th>Company Name</th><th>website</th></tr>

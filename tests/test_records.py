@@ -227,7 +227,11 @@ def test_job_summary_states(spark):
     validated = validate_records(candidate_frame(spark, [("a", "u", 1, {"email": "a@b.io"}), ("c", "u", 1, {"email": "no"})], spec), spec)
     exported = dedupe_records(accepted(validated), spec)
     queries = spark.createDataFrame([("a", 2, "two"), ("a", 1, "one")], "job_id string, query_no int, query string")
-    rows = {r["job_id"]: r for r in job_summary(jobs, run_stats(validated, spec), exported, queries=queries).collect()}
+    outputs = spark.createDataFrame([("a", "csv", 1)], "job_id string, format string, rows int")
+    timed = jobs.selectExpr("*", "current_timestamp() AS started_at")
+    summary = job_summary(timed, run_stats(validated, spec), exported, queries=queries, outputs=outputs)
+    rows = {r["job_id"]: r for r in summary.collect()}
+    assert rows["a"]["outputs"][0]["format"] == "csv" and rows["a"]["duration_seconds"] >= 0
     assert rows["a"]["status"] == "completed" and rows["a"]["queries"] == ["one", "two"]
     assert rows["b"]["error"] == "intent is empty"
     assert rows["c"]["status"] == "failed" and rows["c"]["error"].startswith("No valid records")
