@@ -172,7 +172,7 @@ def page_table_cells(spark, load):
 )
 def page_rejects(spark, load):
     """Pages that yield nothing: titles of error pages, bodies without content."""
-    pages = load("pages").select("page_id", "url", "html")
+    pages = spread(load("pages").select("page_id", "url", "html"))
     title = (
         F.when(F.col("page_id") % 10 == 0, "Access Denied")
         .when(F.col("page_id") % 10 == 1, "404 Not Found")
@@ -180,7 +180,7 @@ def page_rejects(spark, load):
     )
     retitled = F.regexp_replace("html", F.lit("(?is)<title>.*?</title>"), F.concat(F.lit("<title>"), title, F.lit("</title>")))
     html = F.when(F.col("page_id") % 10 == 4, "<html><nav>menu</nav></html>").when(title.isNotNull(), retitled).otherwise(F.col("html"))
-    text = page_text(spread(pages.withColumn("html", html)))
+    text = page_text(pages.withColumn("html", html))
     return text.filter(F.col("reject").isNotNull()).select("page_id", F.left("reject", F.lit(200)).alias("reason"))
 
 

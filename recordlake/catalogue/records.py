@@ -63,7 +63,7 @@ def customer_pages(load):
         "Founded": F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") % 5000).cast("int")), "d MMM yyyy"),
         "Tags": F.concat(F.lit("a"), (F.col("c_custkey") % 7).cast("string"), F.lit("; b | c"), key),
     }
-    return load("customer").select(
+    return spread(load("customer")).select(
         F.lit("customers").alias("job_id"),
         F.col("c_custkey").alias("page_rank"),
         F.concat(F.lit("https://www.c"), key, F.lit(".test/")).alias("url"),
@@ -82,7 +82,7 @@ def customer_pages(load):
 )
 def kv_extract(spark, load):
     """Profile pages to typed records; name and website come from page defaults."""
-    found = extract_candidates(page_text(spread(customer_pages(load))), CUSTOMERS)
+    found = extract_candidates(page_text(customer_pages(load)), CUSTOMERS)
     valid = accepted(validate_records(found, CUSTOMERS))
     return valid.select("page_rank", *[h for h in CUSTOMERS.headers if h != "tags"], F.array_join("tags", "/").alias("tags"))
 
@@ -106,13 +106,13 @@ def order_pages(spark, load):
         "Total": F.concat(F.lit("$"), F.format_number("o_totalprice", 2)),
         "Placed": F.date_format(F.col("o_orderdate").cast("date"), "d MMM yyyy"),
     }
-    pages = load("orders").select(
+    pages = spread(load("orders")).select(
         F.lit("orders").alias("job_id"),
         F.col("o_orderkey").alias("page_rank"),
         F.concat(F.lit("https://shop.test/orders/"), key).alias("url"),
         key_value_page(F.concat(F.lit("Order "), key), pairs).alias("html"),
     )
-    found = extract_candidates(page_text(spread(pages)), ORDERS)
+    found = extract_candidates(page_text(pages), ORDERS)
     return accepted(validate_records(found, ORDERS)).select(*ORDERS.headers)
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 _GROUP_LIMIT = 4096
 # Url lists up to this length (some 100 MB) are sent to every executor.
 BROADCAST_URLS = 1_000_000
+# Folders of local runs that name no shared one, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -42,10 +44,12 @@ def fence(df: DataFrame) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a local one only if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="recordlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="recordlake-")
+    return _LOCAL_ROOTS[app]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -136,7 +140,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     Rendering a page costs far more than moving it, and a file with one row group
     is read by one task.  A scan that already has enough partitions, as any large
-    corpus has, is left alone, so bodies are never shuffled at scale.
+    corpus has, is left alone, so bodies are never shuffled at scale.  Only for
+    plain scans: the number of partitions of anything else is not known before it
+    has run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     scanned = df._jdf.queryExecution().toRdd().getNumPartitions()

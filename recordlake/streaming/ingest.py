@@ -16,8 +16,6 @@ from ..plans.stages import first_per_key, top_per_key
 from ..constants import MAX_RECORDS_HARD
 from ..spec import RecordSpec
 
-_KEY_BUCKETS = 64
-
 
 def read_page_stream(spark: SparkSession, path: str, schema, *, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -63,7 +61,10 @@ class RecordTable:
     Records and their keys are written per micro-batch under ``batch=<id>``.  A
     batch that is run again after a failure overwrites its own folder and never
     sees itself as earlier data, so the table holds every record exactly once.
-    Keys are stored in hash buckets; only buckets that occur in a batch are read.
+    A batch is joined to the stored keys (job and a 32-byte digest, never records
+    or pages), so its cost grows with the number of entities; a stream that only
+    needs some row per key rather than the first runs ``stream_distinct`` instead,
+    whose cost per batch does not grow.
     """
 
     def __init__(self, spark: SparkSession, path: str, spec: RecordSpec, *, order: Sequence[str] = ("page_rank", "cand_idx")):
@@ -81,12 +82,10 @@ class RecordTable:
         """Add the new entities of one micro-batch, up to each job's target."""
         spark = rows.sparkSession
         keyed = accepted(rows).withColumn("__key", F.sha2(F.expr(entity_key(self.spec)), 256))
-        fresh = first_per_key(keyed, ["job_id", "__key"], self.order).withColumn(
-            "bucket", F.pmod(F.xxhash64("job_id", "__key"), F.lit(_KEY_BUCKETS)).cast("int")
-        )
-        key_schema = "job_id string, entity string, batch long, bucket int"
-        known = self._earlier("keys", key_schema, batch_id).select("job_id", F.col("entity").alias("__key"), "bucket")
-        fresh = fresh.join(known, ["bucket", "job_id", "__key"], "left_anti")
+        fresh = first_per_key(keyed, ["job_id", "__key"], self.order)
+        key_schema = "job_id string, entity string, batch long"
+        known = self._earlier("keys", key_schema, batch_id).select("job_id", F.col("entity").alias("__key"))
+        fresh = fresh.join(known, ["job_id", "__key"], "left_anti")
         if targets is not None:
             had = self._earlier("keys", key_schema, batch_id).groupBy("job_id").agg(F.count(F.lit(1)).alias("__had"))
             ranked = top_per_key(fresh, ["job_id"], self.order, MAX_RECORDS_HARD, "__no")
@@ -100,12 +99,12 @@ class RecordTable:
         staged = f"{self.path}/records/batch={batch_id}"
         fresh.write.mode("overwrite").parquet(staged)
         done = spark.read.parquet(staged)
-        done.select("job_id", F.col("__key").alias("entity"), "bucket").write.mode("overwrite").partitionBy(
-            "bucket"
-        ).parquet(f"{self.path}/keys/batch={batch_id}")
+        done.select("job_id", F.col("__key").alias("entity")).write.mode("overwrite").parquet(
+            f"{self.path}/keys/batch={batch_id}"
+        )
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/records").drop("__key", "bucket")
+        return self.spark.read.parquet(f"{self.path}/records").drop("__key", "batch")
 
 
 def write_records(
