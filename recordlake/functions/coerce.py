@@ -103,7 +103,7 @@ def to_array(text: str, kind: str | None = None, items: str | None = None) -> st
         # A second value behind the list would make the outer array longer.
         outer = f"try_variant_get(try_parse_json(concat('[', {t}, ',0]')), '$', 'array<variant>')"
         listed = bind(outer, lambda n: f"CASE WHEN size({n}) = 2 THEN try_variant_get({n}[0], '$', 'array<string>') END")
-        parts = f"filter(transform(split({t}, '[,;|]'), p -> {strip('p')}), p -> p <> '')"
+        parts = f"filter(transform(split(translate({t}, ';|', ',,'), ','), p -> {strip('p')}), p -> p <> '')"
         return (
             f"coalesce(CASE WHEN startswith({t}, '[') THEN transform({listed}, p -> {strip('p')}) END, "
             + bind(parts, lambda p: f"CASE WHEN size({p}) > 0 THEN {p} END")

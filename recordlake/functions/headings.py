@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .text import LINE_BREAK, extract, q, strip
+from .text import LINE_BREAK, cut, extract, strip
 
 
 def first_heading(markdown: str) -> str:
     """First level 1-3 heading, else the first non-blank line (120 characters)."""
-    line = f"left({strip(f'split({strip(markdown)}, {q(LINE_BREAK)}, 2)[0]')}, 120)"
+    line = f"left({strip(f'{cut(strip(markdown), LINE_BREAK)}[0]')}, 120)"
     return f"coalesce({strip(extract(markdown, HEADING_3, 1))}, {line})"
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from html.entities import name2codepoint
 
 from ..constants import BANNER_HINTS, SKIP_TAGS
-from .text import collapse, cut, let, match, match_all, q, replace, strip, text_map, weave
+from .text import CUT_MARK, collapse, cut, let, match, match_all, q, replace, strip, text_map, weave
 from .urls import PARTS
 
 # Control characters that mark structure while a page is being rendered.
@@ -19,7 +19,7 @@ _CELL_OPEN, _CELL_CLOSE = "\x01", "\x02"
 _ROW_OPEN, _ROW_CLOSE = "\x03", "\x04"
 _TABLE_OPEN, _TABLE_CLOSE = "\x05", "\x06"
 _HREF_OPEN, _HREF_CLOSE = "\x0e", "\x0f"
-_MARKS = _CELL_OPEN + _CELL_CLOSE + _ROW_OPEN + _ROW_CLOSE + _TABLE_OPEN + _TABLE_CLOSE + _HREF_OPEN + _HREF_CLOSE
+_MARKS = f"[{_CELL_OPEN}-{_TABLE_CLOSE}{_HREF_OPEN}{_HREF_CLOSE}{CUT_MARK}]"
 
 # Rest of a tag behind its name: quotes only count after an equals sign.
 _ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+"""
@@ -162,7 +162,7 @@ def drop_boilerplate(html: str, banner_scope: str = "element") -> str:
         "array_join(filter(tok.parts, (part, i) -> i = 0 OR get(kept, i - 1)), '')",
     )
     outside = let(chosen, "tok", f"CASE WHEN size(tok.tags) = 0 THEN page ELSE {joined} END")
-    return let(replace(f"translate({html}, {q(_MARKS)}, '')", _OPAQUE), "page", outside)
+    return let(replace(replace(html, _MARKS), _OPAQUE), "page", outside)
 
 
 # ---------------------------------------------------------------------- links
@@ -266,7 +266,7 @@ def _render_tables(text: str) -> str:
     )
     woven = weave(cut("x", _TABLE), f"transform({match_all('x', _TABLE, 1)}, body -> {table})")
     rendered = let(text, "x", f"CASE WHEN contains(x, {q(_TABLE_OPEN)}) THEN {woven} ELSE x END")
-    return f"translate({rendered}, {q(_MARKS)}, '')"
+    return replace(rendered, _MARKS)
 
 
 def _tidy(text: str) -> str:

@@ -59,8 +59,17 @@ def replace(text: str, pattern: str, by: str = "") -> str:
     return f"regexp_replace({text}, {q(pattern)}, {q(by)})"
 
 
+CUT_MARK = "\x10"
+
+
 def cut(text: str, pattern: str) -> str:
-    return f"split({text}, {q(pattern)}, -1)"
+    """Text between the matches of ``pattern``.
+
+    ``split`` compiles its pattern for every row unless it is one plain
+    character, so the matches are first replaced by a control character, which
+    page text never holds.
+    """
+    return f"split({replace(text, pattern, CUT_MARK)}, {q(CUT_MARK)}, -1)"
 
 
 def strip(text: str) -> str:

@@ -31,7 +31,7 @@ _KEY_VALUE = (
 
 
 def _cells(line: str) -> str:
-    return f"transform(split(btrim({strip(line)}, '|'), '[|]', -1), c -> {strip('c')})"
+    return f"transform(split(btrim({strip(line)}, '|'), {q(chr(92) + '|')}, -1), c -> {strip('c')})"
 
 
 def _link(text: str) -> str:

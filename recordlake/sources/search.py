@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MAX_RESULTS_PER_QUERY, MAX_RESULTS_SERVER
-from ..functions.text import LINE_BREAK, let, match_all, parse_json, q, strip
+from ..functions.text import LINE_BREAK, cut, let, match_all, parse_json, q, strip
 from ..functions.urls import canonical_url, is_http
 from ..plans.stages import top_per_key
 
@@ -77,7 +77,7 @@ def payload_items(payload: str) -> Column:
         f"ELSE coalesce({envelope}, cast(array() AS ARRAY<VARIANT>)) END"
     )
     by_line = (
-        f"filter(transform(filter(transform(split(t, {q(LINE_BREAK)}), l -> {strip('l')}), "
+        f"filter(transform(filter(transform({cut('t', LINE_BREAK)}, l -> {strip('l')}), "
         f"l -> startswith(l, '{{')), l -> {parse_json('l')}), o -> o IS NOT NULL)"
     )
     by_url = f"transform({match_all('t', _URLS)}, u -> parse_json(to_json(named_struct('url', u))))"
