@@ -25,7 +25,8 @@ for _tag in SKIP_TAGS[2:]:
 
 def _entities(text: str) -> str:
     for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        text = f"replace({text}, '&{name};', '{char}')"
+        # The semicolon may be missing: some titles are cut inside a reference.
+        text = f"replace(replace({text}, '&{name};', '{char}'), '&{name}', '{char}')"
     return text
 
 
