@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordlake.llm.lines import line_dedup
 from recordlake.llm.queries import LINE_PAGES, LINE_RATIO
-from recordlake.plans.stages import configure, materialise
+from recordlake.llm.session import prepared
+from recordlake.plans.stages import materialise
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written and read again."""
-    configure(spark)
+    prepared(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stages import configure
 from .bpe import bpe_decode, bpe_encode
+from .chat import chat_examples, conversation_digests
 from .lines import line_dedup
 from .packing import pack_documents
+from .quality import quality_rules
+from .session import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +24,7 @@ def query(table: str, sql: str | None = None):
 
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            configure(spark)
+            prepared(spark)
             return build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[build.__name__] = run
@@ -85,3 +87,81 @@ def op8_best_fit_packing(documents):
     """All documents in sequences of 1024 tokens."""
     ranks, library = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
     return pack_documents(documents, ranks, library, capacity=1024, end_id=2)
+
+
+_ESC = "replace(replace(replace({0}, '\\', '\\b'), '#', '\\h'), '<', '\\l')"
+
+
+@query(
+    "conversations",
+    f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, 14 + len(replace({_ESC.format("role")}, ':', '\\c')) + len({_ESC.format("text")}) AS size,
+         row_number() OVER t AS no, count(*) OVER (PARTITION BY conv_id) AS total
+  FROM rows WINDOW t AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+summed AS (
+  SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY no) AS upto FROM sized)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       coalesce(sum(upto) FILTER (role = 'assistant' OR no = total), 0)::BIGINT AS formatted_chars
+FROM summed GROUP BY conv_id
+""",
+)
+def op5_chat_format(conversations):
+    """Every assistant turn as an example; digests read back from the formatted texts and their masks."""
+    said = "\\### Assistant: </turn> ok"
+    spark = conversations.sparkSession
+    planted = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = conversations.select("conv_id", "turn", "role", "text").unionByName(planted)
+    return conversation_digests(chat_examples(turns))
+
+
+def _repeated(size: int) -> str:
+    return f"""
+  SELECT doc_id, count(DISTINCT pos) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + {size})) AS pos FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM (
+        SELECT doc_id, i, array_to_string(list_slice(words, i, i + {size - 1}), ' ') AS gram FROM (
+          SELECT doc_id, words, unnest(range(1, len(words) - {size - 2})) AS i FROM w WHERE len(words) >= {size})))
+    WHERE times > 1) GROUP BY doc_id"""
+
+
+#: Measures and verdicts of the quality rules, from any table ``docs`` with doc_id and text.
+QUALITY_SQL = rf"""
+w AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM docs),
+repeated AS ({_repeated(5)}),
+phrases AS ({_repeated(3)}),
+passages AS ({_repeated(41)}),
+base AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words,
+         coalesce(list_sum(list_transform(words, x -> len(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS inked,
+         coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(phrases.n, 0) AS covered, passages.n IS NULL AS short
+  FROM w LEFT JOIN repeated USING (doc_id) LEFT JOIN phrases USING (doc_id) LEFT JOIN passages USING (doc_id)),
+judged AS (
+  SELECT *, (len(inked) - len(list_distinct(inked)))::BIGINT AS n_dup_lines,
+         n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM base),
+quality AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+         NOT base_failed AND covered <= 0.25 * n_words AND short AS kept
+  FROM judged)
+"""
+
+
+@query("documents", f"WITH docs AS (SELECT doc_id, text FROM documents), {QUALITY_SQL} SELECT * FROM quality")
+def op6_quality_rules(documents):
+    """Measures and verdict for every text."""
+    fields = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    out = quality_rules(documents.select("doc_id", "text"), least_repeat=3, max_covered=0.25, max_longest=40)
+    return out.select("doc_id", *[f"quality.{f}" for f in fields])
