@@ -20,7 +20,7 @@ from .bytewise import Texts, blobs, small_slices
 from .pretokens import distinct_pieces
 
 #: Pieces whose ids a worker remembers; the memory is emptied when it is full.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Pieces of at most so many bytes are merged side by side, longer ones by a heap.
 BATCH_BYTES = 48
 

@@ -143,9 +143,9 @@ phrases AS ({_repeated(3)}),
 passages AS ({_repeated(41)}),
 base AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(words, x -> len(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(words, lambda x: len(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS inked,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS inked,
          coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(phrases.n, 0) AS covered, passages.n IS NULL AS short
   FROM w LEFT JOIN repeated USING (doc_id) LEFT JOIN phrases USING (doc_id) LEFT JOIN passages USING (doc_id)),
 judged AS (
