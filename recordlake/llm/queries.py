@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .chat import chat_examples, conversation_digests
+from .licenses import TEMPLATES, license_scan, needed, template_shingles, window_step, window_width
 from .lines import line_dedup
 from .packing import pack_documents
 from .quality import quality_rules
@@ -165,3 +166,35 @@ def op6_quality_rules(documents):
     fields = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
     out = quality_rules(documents.select("doc_id", "text"), least_repeat=3, max_covered=0.25, max_longest=40)
     return out.select("doc_id", *[f"quality.{f}" for f in fields])
+
+
+def _license_sql() -> str:
+    rows = []
+    for name, body in TEMPLATES.items():
+        grams = template_shingles(body)
+        width = window_width(len(grams))
+        rows += [
+            f"('{name}', '{gram}', {len(grams)}, {needed(len(grams), 0.8)}, {width}, {window_step(width)})" for gram in grams
+        ]
+    return f"""
+WITH templates(license_id, gram, n_shingles, needed, width, step) AS (VALUES {", ".join(rows)}),
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents),
+grams AS (
+  SELECT doc_id, pos, array_to_string(list_slice(words, pos + 1, pos + 5), ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(0, len(words) - 4)) AS pos FROM words WHERE len(words) >= 5)),
+hits AS (
+  SELECT doc_id, license_id, n_shingles, needed, step, gram,
+         unnest(range(greatest(0, (pos - width + step) // step), pos // step + 1)) AS w
+  FROM grams JOIN templates USING (gram)),
+windows AS (
+  SELECT doc_id, license_id, n_shingles, w * step AS start, count(DISTINCT gram) AS n_matched
+  FROM hits GROUP BY doc_id, license_id, n_shingles, needed, w * step HAVING count(DISTINCT gram) >= needed)
+SELECT doc_id, license_id, n_shingles::BIGINT AS n_shingles, max(n_matched)::BIGINT AS n_matched,
+       arg_min(start, -n_matched * 1000000000 + start)::BIGINT AS first_shingle
+FROM windows GROUP BY doc_id, license_id, n_shingles"""
+
+
+@query("documents", _license_sql())
+def op10_license_scan(documents):
+    """Known license notices in all documents."""
+    return license_scan(documents, TEMPLATES, containment=0.8)
