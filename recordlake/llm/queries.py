@@ -15,6 +15,7 @@ from .lines import line_dedup
 from .packing import pack_documents
 from .quality import quality_rules
 from .session import prepared
+from .substrings import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +199,12 @@ FROM windows GROUP BY doc_id, license_id, n_shingles"""
 def op10_license_scan(documents):
     """Known license notices in all documents."""
     return license_scan(documents, TEMPLATES, containment=0.8)
+
+
+@query("documents")
+def op3_suffix_dedup(documents):
+    """What is left of every text when strings of 50 bytes that earlier documents have are removed."""
+    out = suffix_dedup(documents.select("doc_id", "text"), length=50)
+    return out.select(
+        "doc_id", "deduped.n_bytes", "deduped.n_removed", "deduped.n_spans", F.sha2("deduped.kept", 256).alias("kept_sha256")
+    )
