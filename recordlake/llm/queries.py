@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .chat import chat_examples, conversation_digests
+from .jaccard import jaccard_groups
 from .licenses import TEMPLATES, license_scan, needed, template_shingles, window_step, window_width
 from .lines import line_dedup
 from .packing import pack_documents
@@ -208,3 +209,9 @@ def op3_suffix_dedup(documents):
     return out.select(
         "doc_id", "deduped.n_bytes", "deduped.n_removed", "deduped.n_spans", F.sha2("deduped.kept", 256).alias("kept_sha256")
     )
+
+
+@query("documents")
+def op2_jaccard_join(documents):
+    """Components of documents whose 4-word shingles overlap by 85 % or more."""
+    return jaccard_groups(documents, size=4, percent=85)

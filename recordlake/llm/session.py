@@ -14,8 +14,8 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 def prepared(spark: SparkSession) -> SparkSession:
     """Session settings, and the library's place for Python workers that start in another folder."""
     configure(spark)
-    # Texts are long: a few hundred rows fill an Arrow batch, and a worker holds several.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    # A worker holds several batches: bound them by bytes, as texts are of any length.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
