@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .quality import quality_rules
 from .session import prepared
 from .substrings import suffix_dedup
+from .wrappers import extract_main_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,3 +216,10 @@ def op3_suffix_dedup(documents):
 def op2_jaccard_join(documents):
     """Components of documents whose 4-word shingles overlap by 85 % or more."""
     return jaccard_groups(documents, size=4, percent=85)
+
+
+@query("pages")
+def op7_html_extract(pages):
+    """The main text of every page."""
+    out = extract_main_text(pages.select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.expr("CAST(length(text) AS BIGINT)").alias("n_chars"))
