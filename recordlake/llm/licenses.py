@@ -144,6 +144,8 @@ def license_scan(
         .select("doc_id", "__row", F.posexplode(F.expr(grams)).alias("__pos", "__gram"))
     )
     found = materialise(found, "shingles")
+    # A text's shingles lie together from here on: windows are formed without another shuffle.
+    together = found.repartition("__row")
 
     rows = [(name, s) for name, all_ in shingles.items() for s in all_]
     known = spark.createDataFrame(rows, "license_id string, __shingle string")
@@ -160,7 +162,7 @@ def license_scan(
         as_rows = F.posexplode(F.array(*[f"__b{band}" for band in range(bands)])).alias("__band", "__value")
         first, last = f"greatest(0, (__pos - {width} + {step}) DIV {step})", f"__pos DIV {step}"
         windows = (
-            found.withColumn("__window", F.explode(F.expr(f"sequence({first}, {last})")))
+            together.withColumn("__window", F.explode(F.expr(f"sequence({first}, {last})")))
             .groupBy("__row", "__window")
             .agg(*mins)
             .select("__row", "__window", as_rows)
