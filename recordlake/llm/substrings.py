@@ -4,9 +4,12 @@ Every string of ``length`` bytes belongs to its anchor, the position of the leas
 hash of a short gram inside it, the leftmost of equal ones.  Equal strings have equal
 anchors at equal distances, so strings can be sorted anchor by anchor.
 
-1. Anchors of all texts are shuffled by gram; those of a single document drop out.
-2. The documents that still have anchors send the text around each, the bytes of all
-   strings that belong to it, to the gram's shard.
+1. Texts are cut where a gram's hash says so, and a cut with the ``length`` - 1 bytes
+   after it is looked up by its hash (128 bits): copies of longer passages are covered
+   here at once, all but the ends of a passage.
+2. Anchors of all texts are shuffled by gram; those of a single document drop out.
+   Documents send the text around each anchor that is left and not yet covered, the
+   bytes of all strings that belong to it, to the gram's shard.
 3. A shard sorts suffixes by induction.  The suffixes at the anchors are the sample
    and are sorted directly, with the common prefixes of neighbours.  From level d, the
    suffixes d bytes before their anchors in order, level d + 1 is induced: the tuples
@@ -35,20 +38,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stages import materialise
 from .bytewise import Hashes, Texts, blobs, mix, small_slices
 
 #: Bytes of the grams that anchors are chosen by.
 GRAM = 20
+#: Mean bytes between the cuts of step 1.
+CUT_BYTES = 128
 #: Occurrences in a block, and of one gram that are still sorted together.
 BLOCK_ROWS, GRAM_ROWS = 60_000, 200_000
 _ROUTE = np.uint64(0xA5A5A5A5DEADBEEF)
 _U = np.uint64
+#: Grams travel by 48 bits: another gram under the same ones costs work, as bytes are compared.
+_SHORT = _U((1 << 48) - 1)
 
+_CUTS = "key long, rest long, doc long, first long, last long"
 _ANCHORS = "key long, doc long, anchor long"
-_SHARED = "doc long, anchor long"
+_SHARED = "doc long, anchor int"
 _CONTEXTS = "key long, doc long, at long, first long, last long, bytes binary"
 _ROUTED = "key long, doc long, first long, last long, bytes binary"
 _SPANS = "doc long, first long, last long"
@@ -90,7 +100,7 @@ class Anchored:
         begin = np.flatnonzero(new)
         self.first, self.last = p[begin], p[np.append(begin[1:], len(p)) - 1]
         self.at, self.row = anchor[begin], row[p[begin]]
-        self.key = grams[self.at]
+        self.key = grams[self.at] & _SHORT
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -106,6 +116,70 @@ def _docs_and_texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Texts,
         at += len(part)
 
 
+def find_cuts(length: int):
+    """(doc, text) to the hash of each cut with the bytes after it, and its first and last string starts.
+
+    Repetitions in later documents of a slice are covered at once and come out under
+    spread keys without the rest of the hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts, _ in _docs_and_texts(batch):
+                n = len(texts.data)
+                if n < length:
+                    continue
+                starts = np.arange(n - GRAM + 1)
+                grams = Hashes(texts.data).of(starts, starts + GRAM)
+                begin = np.union1d(np.flatnonzero(grams % _U(CUT_BYTES) == 0), texts.edges()[0])
+                row = texts.row_of(begin)
+                stop = np.minimum(np.append(begin[1:], n), texts.bounds[row + 1])
+                end = np.minimum(stop + length - 1, texts.bounds[row + 1])
+                use = end - begin >= length
+                begin, end, row = begin[use], end[use], row[use]
+                raw = texts.data.tobytes()
+                digest = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist())])
+                key, rest = np.frombuffer(digest, np.int64).reshape(-1, 2).T
+                doc, base = ids[row].astype(np.int64), texts.bounds[row]
+                order = np.lexsort((doc, rest, key))
+                new = np.ones(len(order), bool)
+                new[1:] = (key[order][1:] != key[order][:-1]) | (rest[order][1:] != rest[order][:-1])
+                least = np.empty(len(order), np.int64)
+                least[order] = np.repeat(doc[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
+                again = doc > least
+                first, last = begin - base, end - length - base
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(again, mix(begin.astype(_U) ^ mix(doc.view(_U))).view(np.int64), key)),
+                     pa.array(rest, mask=again), pa.array(doc), pa.array(first), pa.array(last)],
+                    names=["key", "rest", "doc", "first", "last"],
+                )
+
+    return run
+
+
+def repeated_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by key, rest and doc: the cuts that a smaller document has too."""
+    held = owner = None
+    for batch in batches:
+        again = batch.filter(batch.column(1).is_null())
+        if len(again):
+            yield again.select([2, 3, 4])
+        batch = batch.filter(batch.column(1).is_valid())
+        if not len(batch):
+            continue
+        key, rest, doc = (batch.column(i).to_numpy() for i in range(3))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (rest[1:] != rest[:-1])
+        first = doc[new]
+        if held == (key[0], rest[0]):
+            first[0] = owner
+        owners = np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(key))))
+        held, owner = (key[-1], rest[-1]), owners[-1]
+        found = batch.filter(pa.array(doc > owners))
+        if len(found):
+            yield found.select([2, 3, 4])
+
+
 def find_anchors(length: int):
     """(doc, text) to one row for each gram of a document, under the gram's hash.
 
@@ -144,6 +218,11 @@ def find_anchors(length: int):
     return run
 
 
+def _low(keys: np.ndarray) -> pa.Array:
+    """The low half of grams' hashes: enough to tell a document's own anchors apart, and a wrong one only costs work."""
+    return pa.array((keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32))
+
+
 def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by key and doc: the anchors that stand in two documents."""
     held_key = held_doc = None
@@ -151,7 +230,7 @@ def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         known = batch.filter(batch.column(2).is_valid())
         if len(known):
-            yield pa.RecordBatch.from_arrays([known.column(1), known.column(2)], names=["doc", "anchor"])
+            yield pa.RecordBatch.from_arrays([known.column(1), _low(known.column(2).to_numpy())], names=["doc", "anchor"])
         rows = batch.filter(batch.column(2).is_null())
         if not len(rows):
             continue
@@ -172,11 +251,18 @@ def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last group may go on: what it shares is told, its last row is kept back.
         held_key, held_doc, held_out = key[-1], doc[-1], bool(shared[-1])
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(key[out])], names=["doc", "anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), _low(key[out])], names=["doc", "anchor"])
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and values of a list column without nulls."""
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    return np.repeat(np.arange(len(lists)), np.diff(offsets)), values
 
 
 def cut_contexts(length: int):
-    """(doc, text, its shared anchors) to the text around each: the bytes from its first string's start on.
+    """(doc, text, shared anchors, covered cuts) to the text around anchors: the bytes from the first string's start on.
 
     A slice's repetitions of one context in later documents are covered at once and do
     not travel; their runs come out without a key.
@@ -184,16 +270,21 @@ def cut_contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
             for ids, texts, at in _docs_and_texts(batch):
-                mine = lists.slice(at, texts.rows)
-                offsets = mine.offsets.to_numpy()
-                wanted = mine.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(_U)
+                anchors, firsts, lasts = (batch.column(i).slice(at, texts.rows) for i in (2, 3, 4))
+                owner, wanted = _flat(anchors)
                 if not len(wanted):
                     continue
                 found = Anchored(texts, length)
-                owner = np.repeat(np.arange(texts.rows), np.diff(offsets)).astype(_U)
-                use = np.isin(found.key ^ mix(found.row.astype(_U)), wanted ^ mix(owner))
+                mine = (found.row.astype(_U) << _U(32)) | (found.key & _U(0xFFFFFFFF))
+                use = np.isin(mine, (owner.astype(_U) << _U(32)) | wanted.view(np.uint32).astype(_U))
+                # Strings that start in covered cuts are done.
+                done = np.zeros(len(texts.data) + 1, np.int64)
+                for spans, shift, sign in ((firsts, 0, 1), (lasts, 1, -1)):
+                    row, value = _flat(spans)
+                    np.add.at(done, np.minimum(texts.bounds[row] + value + shift, len(texts.data)), sign)
+                open_ = np.concatenate([[0], np.cumsum(np.cumsum(done[:-1]) <= 0)])
+                use &= open_[found.last + 1] > open_[found.first]
                 if not use.any():
                     continue
                 row, where, first, last, key = (x[use] for x in (found.row, found.at, found.first, found.last, found.key))
@@ -430,9 +521,7 @@ def remove_column():
                 at += len(part)
                 change = np.zeros(len(texts.data) + 1, np.int64)
                 for spans, sign in zip(lists, (1, -1)):
-                    offsets = spans.offsets.to_numpy()
-                    values = spans.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-                    row = np.repeat(np.arange(texts.rows), np.diff(offsets))
+                    row, values = _flat(spans)
                     np.add.at(change, np.minimum(texts.bounds[row] + values, texts.bounds[row + 1]), sign)
                 gone = np.cumsum(change)[:-1] > 0
                 opens = gone.copy()
@@ -452,17 +541,9 @@ def remove_column():
     return F.arrow_udf(remove, _DEDUPED).asNondeterministic()
 
 
-def covered_spans(docs: DataFrame, *, doc_id: str, text: str, length: int) -> DataFrame:
-    """(doc, first, last): byte runs of documents that earlier documents have too; last is past the end."""
-    base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    anchors = base.filter("doc IS NOT NULL").mapInArrow(find_anchors(length), _ANCHORS)
-    shared = anchors.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(keep_shared, _SHARED)
-    lists = shared.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
-    # A left join like the last one, so that both read one shuffled copy of the texts.
-    wanted = base.join(lists, "doc", "left").filter("anchors IS NOT NULL")
-    contexts = wanted.mapInArrow(cut_contexts(length), _CONTEXTS)
-    runs = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(sort_shard(length), _ROUTED)
-    return runs.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(match_strings(length), _SPANS)
+def _lists(rows: DataFrame, prefix: str) -> DataFrame:
+    """(doc, first, last) to one row for each document."""
+    return rows.groupBy("doc").agg(F.collect_list("first").alias(f"{prefix}first"), F.collect_list("last").alias(f"{prefix}last"))
 
 
 def suffix_dedup(
@@ -473,11 +554,34 @@ def suffix_dedup(
     A byte goes if a string of ``length`` bytes that covers it also starts in a document
     with a smaller id; all strings are judged on the input.
     """
-    spans = covered_spans(docs, doc_id=doc_id, text=text, length=length)
-    per_doc = spans.groupBy("doc").agg(F.collect_list("first").alias("__firsts"), F.collect_list("last").alias("__lasts"))
-    joined = docs.join(per_doc.withColumnRenamed("doc", "__doc"), F.col(doc_id).cast("long") == F.col("__doc"), "left")
-    none = F.expr("CAST(array() AS ARRAY<BIGINT>)")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    named = base.filter("doc IS NOT NULL")
+    cuts = named.mapInArrow(find_cuts(length), _CUTS).repartition("key").sortWithinPartitions("key", "rest", "doc")
+    cuts = materialise(_lists(cuts.mapInArrow(repeated_cuts, _SPANS), "__cut_"), "cuts")
+    anchors = named.mapInArrow(find_anchors(length), _ANCHORS)
+    shared = anchors.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(keep_shared, _SHARED)
+    shared = shared.groupBy("doc").agg(F.collect_list("anchor").alias("__anchors"))
+
+    none, few = "CAST(array() AS ARRAY<BIGINT>)", "CAST(array() AS ARRAY<INT>)"
+
+    def beside(left: DataFrame, rows: DataFrame) -> DataFrame:
+        # Both uses are left joins without a filter: where documents have no other columns,
+        # the texts are shuffled once for both.
+        right = rows.withColumnRenamed("doc", "__doc")
+        return left.join(right, left[doc_id].cast("long") == right["__doc"], "left").drop("__doc")
+
+    wanted = beside(docs.select(doc_id, text), shared.join(cuts, "doc", "left")).select(
+        F.col(doc_id).cast("long"), F.col(text).cast("string"), F.expr(f"coalesce(__anchors, {few})"),
+        F.expr(f"coalesce(__cut_first, {none})"), F.expr(f"coalesce(__cut_last, {none})"),
+    )
+    contexts = wanted.mapInArrow(cut_contexts(length), _CONTEXTS)
+    runs = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(sort_shard(length), _ROUTED)
+    runs = runs.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(match_strings(length), _SPANS)
+    found = _lists(runs, "__").join(cuts, "doc", "full")
+    ends = f"transform(coalesce(__cut_last, {none}), x -> x + {length})"
     out = remove_column()(
-        F.col(text).cast("string"), F.coalesce(F.col("__firsts"), none), F.coalesce(F.col("__lasts"), none)
+        F.col(text).cast("string"),
+        F.expr(f"concat(coalesce(__first, {none}), coalesce(__cut_first, {none}))"),
+        F.expr(f"concat(coalesce(__last, {none}), {ends})"),
     )
-    return joined.withColumn(into, out).drop("__doc", "__firsts", "__lasts")
+    return beside(docs, found).withColumn(into, out).drop("__first", "__last", "__cut_first", "__cut_last")
