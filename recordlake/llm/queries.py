@@ -13,6 +13,7 @@ from .chat import chat_examples, conversation_digests
 from .jaccard import jaccard_groups
 from .licenses import TEMPLATES, license_scan, needed, template_shingles, window_step, window_width
 from .lines import line_dedup
+from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .quality import quality_rules
 from .session import prepared
@@ -223,3 +224,9 @@ def op7_html_extract(pages):
     """The main text of every page."""
     out = extract_main_text(pages.select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.expr("CAST(length(text) AS BIGINT)").alias("n_chars"))
+
+
+@query("embeddings")
+def op9_nearest_neighbours(embeddings):
+    """The ten nearest rows of every row whose id is divisible by 100."""
+    return nearest_neighbours(embeddings, F.col("vec_id") % 100 == 0, k=10)
