@@ -7,13 +7,17 @@ number of times is searched once and its copies cannot crowd a neighbourhood.
    each and the distance to one more; runs of neighbours in that order are compared.
 2. NN-descent rounds: each node sends its vector to the nodes it is near to, and to its
    own neighbours (joins of neighbours with neighbours); there all that have met are
-   compared, and whoever is nearer than a node's worst neighbour becomes one.
-3. Search: a query starts at its own node, or at the nodes nearest among some fixed
-   entries, and takes the neighbours of its best nodes, round by round.
-
-A node has ``degree`` neighbours and meets at most ``meet`` others in a round, the
-nearest ones, as NN-descent works with bounded lists; every node is in the graph and
-every one can be found.  Recall is measured against brute force in the tests.
+   compared, unless both were there the round before, and whoever is nearer than a
+   node's worst neighbour becomes one.
+3. Search: a query starts at its own node and takes the neighbours of its best nodes,
+   round by round.  The distances of the pool that is left are taken exactly.
+
+Graph and search work on vectors of one byte a number, whose distances are whole
+numbers, so every task finds the same distance for a pair; scores come from the original
+doubles.  A node has ``degree`` neighbours and meets at most ``meet`` new and half as
+many known others in a round, drawn by hash, as NN-descent works with bounded lists;
+every node is in the graph and every one can be found.  Recall is measured against brute
+force in the tests.
 
 Contract of edge cases: vectors that are null, zero, or hold null or non-finite numbers,
 or whose length is not the most frequent one, and rows without an id, take no part;
@@ -37,15 +41,15 @@ from ..plans.stages import materialise
 
 #: Nodes compared with one another in the first graph.
 LEAF = 200
-_NODE = "id long, vector binary"
+_NODE = "id long, coarse binary"
 
 
 def valid_vectors(dimension: int):
-    """(id, list) to (id, packed doubles, hash), without rows that take no part."""
+    """(id, list) to (id, packed doubles, hash, sum of squares), without rows that take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors, hashes = [], [], []
+            ids, vectors, hashes, squares = [], [], [], []
             whole = batch.filter(batch.column(0).is_valid())
             column = whole.column(1)
             sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) if len(whole) else np.zeros(0)
@@ -60,22 +64,36 @@ def valid_vectors(dimension: int):
                 ids.append(i)
                 vectors.append(raw)
                 hashes.append(xxhash.xxh3_128_digest(raw))
+                squares.append(float(v @ v))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(hashes, pa.binary())],
-                names=["id", "vector", "hash"],
+                [pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(hashes, pa.binary()), pa.array(squares, pa.float64())],
+                names=["id", "vector", "hash", "squares"],
             )
 
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind: type = np.int8) -> np.ndarray:
+    """Packed vectors as rows, as doubles."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    return data.view(np.float64).reshape(len(column), -1)
+    return data.view(kind).reshape(len(column), -1).astype(np.float64)
+
+
+def coarse_column(scale: float):
+    """A column function: packed doubles to one byte a number, ``scale`` and more as the largest."""
+
+    def run(vectors: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.binary())
+        rounded = np.rint(np.clip(_matrix(vectors, np.float64) / scale, -1, 1) * 127).astype(np.int8)
+        return pa.array([row.tobytes() for row in rounded], pa.binary())
+
+    return F.arrow_udf(run, "binary")
 
 
 def place(tree: int, planes: int):
-    """(id, vector) with the sides of random hyperplanes, as a number, and a distance to sort by."""
+    """(id, coarse) with the sides of random hyperplanes, as a number, and a distance to sort by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,14 +105,15 @@ def place(tree: int, planes: int):
             cell = ((side[:, :planes] > 0) << np.arange(planes)).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(cell, pa.int64()), pa.array(side[:, planes])],
-                names=["id", "vector", "cell", "side"],
+                names=["id", "coarse", "cell", "side"],
             )
 
     return run
 
 
 def _square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+    # Whole numbers, so the products are exact.
+    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
 
 
 def compare_leaves(degree: int):
@@ -107,7 +126,7 @@ def compare_leaves(degree: int):
                 continue
             ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
             for part in np.array_split(np.arange(n), max(1, n // LEAF)):
-                near = np.concatenate([_square_distances(v[rows], v[part]) for rows in np.array_split(part, -(-len(part) // 32))])
+                near = _square_distances(v[part], v[part])
                 np.fill_diagonal(near, np.inf)
                 k = min(degree, len(part) - 1)
                 best = np.argpartition(near, k - 1, axis=1)[:, :k] if k < len(part) - 1 else np.argsort(near, axis=1)[:, :k]
@@ -121,43 +140,43 @@ def compare_leaves(degree: int):
 
 
 def compare_meetings(degree: int):
-    """Sorted by centre: (centre, id, worst, vector) to edges (u, v, d) nearer than u's worst neighbour."""
+    """Sorted by centre: (centre, id, worst, new, coarse) to edges (u, v, d) nearer than u's worst neighbour."""
 
-    def nearer(ids, worst, v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nearer(ids, worst, new, v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         near = _square_distances(v, v)
         np.fill_diagonal(near, np.inf)
-        near[near >= worst[:, None]] = np.inf
+        near[(near >= worst[:, None]) | ~(new[:, None] | new[None, :])] = np.inf
         k = min(degree, len(ids) - 1)
         best = np.argpartition(near, k - 1, axis=1)[:, :k]
         d = np.take_along_axis(near, best, 1)
         use = np.isfinite(d)
         return np.repeat(ids, use.sum(axis=1)), ids[best][use], d[use]
 
+    def told(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not len(batch):
+            return
+        centre, ids, worst, new = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        v = _matrix(batch.column(4))
+        cuts = np.flatnonzero(centre[1:] != centre[:-1]) + 1
+        out = [nearer(ids[a:b], worst[a:b], new[a:b], v[a:b]) for a, b in zip([0, *cuts], [*cuts, len(centre)]) if b - a > 1]
+        if out:
+            u, w, d = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(d)], names=["u", "v", "d"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
         for batch in batches:
             if held is not None and len(held):
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            centre = batch.column(0).to_numpy()
-            if not len(centre):
+            if not len(batch):
                 continue
+            centre = batch.column(0).to_numpy()
             cut = int(np.searchsorted(centre, centre[-1]))
             held = batch.slice(cut)
             yield from told(batch.slice(0, cut))
-        if held is not None and len(held):
+        if held is not None:
             yield from told(held)
 
-    def told(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not len(batch):
-            return
-        centre, ids, worst = (batch.column(i).to_numpy() for i in range(3))
-        v = _matrix(batch.column(3))
-        cuts = np.flatnonzero(centre[1:] != centre[:-1]) + 1
-        out = [nearer(ids[a:b], worst[a:b], v[a:b]) for a, b in zip([0, *cuts], [*cuts, len(centre)]) if b - a > 1]
-        if out:
-            u, w, d = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(d)], names=["u", "v", "d"])
-
     return run
 
 
@@ -167,75 +186,76 @@ def _nearest(edges: DataFrame, degree: int) -> DataFrame:
     return edges.groupBy("u").agg(near.alias("near"))
 
 
-def _edges(graph: DataFrame) -> DataFrame:
-    return graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d")
-
-
-def neighbour_graph(nodes: DataFrame, *, degree: int = 14, meet: int = 24, trees: int = 3, rounds: int = 2) -> DataFrame:
-    """(u, near) for written nodes (id, vector): each with its nearest nodes found, as sorted (d, v)."""
+def neighbour_graph(nodes: DataFrame, *, degree: int, meet: int, trees: int, rounds: int) -> DataFrame:
+    """(u, near) for written nodes (id, coarse): each with its nearest nodes found, as sorted (d, v)."""
     edges = None
     for tree in range(trees):
         placed = nodes.mapInArrow(place(tree, 10), _NODE + ", cell long, side double")
         parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ordered = placed.repartitionByRange(parts, "cell", "side").sortWithinPartitions("cell", "side")
-        found = ordered.select("id", "vector").mapInArrow(compare_leaves(degree), "u long, v long, d double")
+        found = ordered.select("id", "coarse").mapInArrow(compare_leaves(degree), "u long, v long, d double")
         edges = found if edges is None else edges.unionByName(found)
-    graph = materialise(_nearest(edges, degree), "graph")
-    for _ in range(rounds):
-        edges = _edges(graph)
-        both = edges.select("u", "v", "d").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
-        order = W.partitionBy("u").orderBy("d", "v")
-        met = both.distinct().withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= meet)
-        met = met.select(F.col("u").alias("centre"), F.col("v").alias("id"))
-        met = met.unionByName(graph.select(F.col("u").alias("centre"), F.col("u").alias("id")))
+    graph = materialise(_nearest(edges, degree).withColumn("old", F.expr("CAST(array() AS ARRAY<BIGINT>)")), "graph")
+    for number in range(rounds):
+        edges = graph.select("u", "old", F.explode("near").alias("e")).select(
+            "u", "e.v", "e.d", (~F.array_contains("old", F.col("e.v"))).alias("new")
+        )
+        back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "new")
+        met = edges.select("u", "v", "new").unionByName(back).groupBy("u", "v").agg(F.max("new").alias("new"))
+        draw = W.partitionBy("u", "new").orderBy(F.xxhash64("v", F.lit(number)))
+        met = met.withColumn("__n", F.row_number().over(draw)).filter(f"__n <= IF(new, {meet}, {meet // 2})")
+        met = met.withColumn("__any", F.max("new").over(W.partitionBy("u"))).filter("__any")
+        met = met.select(F.col("u").alias("centre"), F.col("v").alias("id"), "new")
+        met = met.unionByName(graph.select(F.col("u").alias("centre"), F.col("u").alias("id"), F.lit(False).alias("new")))
         full = F.size("near") >= degree
         worst = F.when(full, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf")))
         known = nodes.join(graph.select(F.col("u").alias("id"), worst.alias("worst")), "id")
-        sent = met.join(known, "id").select("centre", "id", "worst", "vector")
+        sent = met.join(known, "id").select("centre", "id", "worst", "new", "coarse")
         sent = sent.repartition("centre").sortWithinPartitions("centre", "id")
         better = sent.mapInArrow(compare_meetings(degree), "u long, v long, d double")
-        graph = materialise(_nearest(edges.unionByName(better), degree), "graph")
-    return graph
+        merged = _nearest(edges.select("u", "v", "d").unionByName(better), degree)
+        before = graph.select("u", F.expr("transform(near, e -> e.v)").alias("old"))
+        graph = materialise(merged.join(before, "u"), "graph")
+    return graph.select("u", "near")
 
 
-def _euclid(a: pa.Array, b: pa.Array) -> pa.Array:
-    if not len(a):
-        return pa.array([], pa.float64())
-    return pa.array(np.sqrt(((_matrix(a) - _matrix(b)) ** 2).sum(axis=1)))
+def _distance(kind: type, a: str, b: str) -> Column:
+    """The Euclidean distance of two columns of packed numbers."""
 
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        if not len(x):
+            return pa.array([], pa.float64())
+        return pa.array(np.sqrt(((_matrix(x, kind) - _matrix(y, kind)) ** 2).sum(axis=1)))
 
-def _distance(a: str, b: str) -> Column:
-    """The Euclidean distance of two columns of packed doubles."""
-    return F.arrow_udf(_euclid, "double")(F.col(a), F.col(b))
+    return F.arrow_udf(run, "double")(F.col(a), F.col(b))
 
 
 def greedy_search(
-    starts: DataFrame, graph: DataFrame, nodes: DataFrame, *, pool: int = 32, breadth: int = 8, rounds: int = 5
+    starts: DataFrame, graph: DataFrame, nodes: DataFrame, *, pool: int, breadth: int, rounds: int
 ) -> DataFrame:
-    """(query, found): for (query, at, vector) the ``pool`` nearest nodes seen, as sorted (d, v).
+    """(query, v): for (query, at, coarse) the ``pool`` nearest nodes seen.
 
     Each round opens a query's ``breadth`` best nodes that are not open yet and meets
     their neighbours.  A query that has no better node to open stays as it is.
     """
-    queries = materialise(starts.select("query", F.col("vector").alias("qv")).dropDuplicates(["query"]), "queries")
-    first = starts.select("query", F.col("at").alias("v"))
-    at = first.join(nodes.select(F.col("id").alias("v"), "vector"), "v").join(queries, "query")
-    seen = at.select("query", "v", _distance("qv", "vector").alias("d"), F.lit(False).alias("open"))
+    queries = materialise(starts.select("query", F.col("coarse").alias("asked")).dropDuplicates(["query"]), "queries")
+    near = F.expr("transform(near, e -> e.v)")
+    graph = graph.select("u", near.alias("near"))
+    seen = starts.select("query", F.col("at").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("open"))
     seen = materialise(seen, "seen")
     best = W.partitionBy("query").orderBy("d", "v")
     for _ in range(rounds):
-        ranked = seen.withColumn("__closed", F.when(~F.col("open"), 1).otherwise(0))
-        turn = F.sum("__closed").over(best.rowsBetween(W.unboundedPreceding, 0))
-        ranked = ranked.withColumn("now", (~F.col("open")) & (turn <= breadth))
-        steps = ranked.filter("now").select("query", F.col("v").alias("u")).join(graph, "u")
-        steps = steps.select("query", F.explode("near").alias("e")).select("query", "e.v").distinct()
-        fresh = steps.join(seen.select("query", "v"), ["query", "v"], "left_anti")
-        fresh = fresh.join(nodes.select(F.col("id").alias("v"), "vector"), "v").join(queries, "query")
-        fresh = fresh.select("query", "v", _distance("qv", "vector").alias("d"), F.lit(False).alias("open"))
-        opened = ranked.select("query", "v", "d", (F.col("open") | F.col("now")).alias("open"))
-        kept = opened.unionByName(fresh).withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= pool)
+        turn = F.sum(F.when(F.col("open"), 0).otherwise(1)).over(best.rowsBetween(W.unboundedPreceding, 0))
+        opened = seen.withColumn("now", (~F.col("open")) & (turn <= breadth))
+        steps = opened.filter("now").select("query", F.col("v").alias("u")).join(graph, "u")
+        steps = steps.select("query", F.explode("near").alias("v")).distinct()
+        fresh = steps.join(seen.select("query", "v"), ["query", "v"], "left_anti").join(queries, "query")
+        fresh = fresh.join(nodes.withColumnRenamed("id", "v"), "v")
+        fresh = fresh.select("query", "v", _distance(np.int8, "asked", "coarse").alias("d"), F.lit(False).alias("open"))
+        known = opened.select("query", "v", "d", (F.col("open") | F.col("now")).alias("open"))
+        kept = known.unionByName(fresh).withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= pool)
         seen = materialise(kept.drop("__n"), "seen")
-    return seen.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("found"))
+    return seen.select("query", "v")
 
 
 def nearest_neighbours(
@@ -245,37 +265,41 @@ def nearest_neighbours(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     k: int = 10,
-    degree: int = 14,
-    meet: int = 24,
-    trees: int = 3,
-    rounds: int = 2,
-    pool: int = 32,
-    breadth: int = 8,
-    search_rounds: int = 4,
+    degree: int = 24,
+    meet: int = 30,
+    trees: int = 6,
+    rounds: int = 4,
+    pool: int = 256,
+    breadth: int = 64,
+    search_rounds: int = 6,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query row's ``k`` nearest other rows found, by Euclidean distance."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("__query"))
     common = rows.filter("v IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c"))
     top = common.orderBy(F.desc("c"), "n").first()
     dimension = int(top["n"]) if top else 1
-    valid = rows.select("id", "v").mapInArrow(valid_vectors(dimension), "id long, vector binary, hash binary")
+    valid = rows.select("id", "v").mapInArrow(valid_vectors(dimension), "id long, vector binary, hash binary, squares double")
     valid = materialise(valid, "vectors")
-    named = valid.groupBy("hash").agg(F.min("id").alias("node"), F.first("vector").alias("vector"))
-    nodes = materialise(named.select(F.col("node").alias("id"), "vector", "hash"), "nodes")
+    mean = valid.agg(F.avg("squares").alias("m")).first()["m"] or 1.0
+    scale = 4 * (mean / dimension) ** 0.5
+    named = valid.groupBy("hash").agg(F.min("id").alias("id"), F.first("vector").alias("vector"))
+    nodes = materialise(named.withColumn("coarse", coarse_column(scale)("vector")), "nodes")
     copies = valid.select("id", "hash").join(nodes.select(F.col("id").alias("node"), "hash"), "hash").select("node", "id")
     copies = materialise(copies.distinct(), "copies")
 
-    plain = nodes.select("id", "vector")
+    plain = nodes.select("id", "coarse")
     graph = neighbour_graph(plain, degree=degree, meet=meet, trees=trees, rounds=rounds)
     asked = rows.filter("__query AND id IS NOT NULL").select(F.col("id").alias("query")).distinct()
-    starts = asked.join(copies.withColumnRenamed("id", "query"), "query").select("query", F.col("node").alias("at"))
-    starts = starts.join(plain.withColumnRenamed("id", "at"), "at")
+    asked = materialise(asked.join(copies.withColumnRenamed("id", "query"), "query").withColumnRenamed("node", "at"), "asked")
+    starts = asked.join(plain.withColumnRenamed("id", "at"), "at")
     found = greedy_search(starts, graph, plain, pool=pool, breadth=breadth, rounds=search_rounds)
 
+    exact = nodes.select(F.col("id").alias("v"), "vector")
+    own = asked.join(exact.withColumnRenamed("v", "at"), "at").select("query", F.col("vector").alias("own"))
+    scored = found.join(exact, "v").join(own, "query").select("query", "v", _distance(np.float64, "own", "vector").alias("d"))
     # The first k + 1 copies of a node are enough for any query, also for one of them.
     order = W.partitionBy("node").orderBy("id")
     some = copies.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k + 1).drop("__n")
-    each = found.select("query", F.explode("found").alias("f")).select("query", F.col("f.v").alias("node"), "f.d")
-    each = each.join(some, "node").filter("id <> query")
+    each = scored.withColumnRenamed("v", "node").join(some, "node").filter("id <> query")
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("d", "id"))).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("d").alias("score"))
