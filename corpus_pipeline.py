@@ -1,27 +1,79 @@
-"""Corpus pipeline: stages over documents, each reading all that the one before kept."""
+"""Corpus pipeline: stages over documents, each reading all that the one before kept.
+
+Every stage but the last returns the columns of documents; where a text changes, its
+``n_chars`` follows.  Rows without an id pass the stages that compare documents.  No
+single SQL text states the stages after the second; ``tests/llm`` holds the whole run
+against a plain computation.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from recordlake.llm.jaccard import jaccard_groups
 from recordlake.llm.lines import line_dedup
+from recordlake.llm.packing import pack_documents
+from recordlake.llm.quality import quality_rules
 from recordlake.llm.queries import LINE_PAGES, LINE_RATIO
 from recordlake.llm.session import prepared
+from recordlake.llm.substrings import suffix_dedup, valid_text
 from recordlake.plans.stages import materialise
 
 
+def _with_text(docs: DataFrame, text) -> DataFrame:
+    changed = docs.withColumn("text", text)
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    prepared(spark)
+    return quality_rules(docs).filter("quality.kept").select(*docs.columns)
+
+
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their sources' boilerplate lines."""
-    return line_dedup(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES).select(*docs.columns)
+    prepared(spark)
+    out = line_dedup(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES).select(*docs.columns)
+    return _with_text(out, F.col("text"))
 
 
-STAGES = [("line dedup", drop_boilerplate)]
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every component of near copies."""
+    prepared(spark)
+    groups = jaccard_groups(docs.select("doc_id", "text"), size=4, percent=85)
+    others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(materialise(others, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 50 bytes that earlier documents have; cut characters go."""
+    prepared(spark)
+    out = suffix_dedup(docs, length=50)
+    return _with_text(out, F.when(F.col("text").isNotNull(), valid_text("deduped.kept"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    prepared(spark)
+    ranks, library = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(docs, ranks, library, capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("quality rules", keep_good_texts),
+    ("line dedup", drop_boilerplate),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("suffix-array dedup", drop_repeated_strings),
+    ("best-fit packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written and read again."""
-    prepared(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))

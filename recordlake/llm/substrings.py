@@ -39,14 +39,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stages import materialise
 from .bytewise import Hashes, Texts, blobs, mix, small_slices
 
 #: Bytes of the grams that anchors are chosen by.
-GRAM = 20
+GRAM = 16
 #: Mean bytes between the cuts of step 1.
 CUT_BYTES = 128
 #: Occurrences in a block, and of one gram that are still sorted together.
@@ -205,8 +205,10 @@ def find_anchors(length: int):
                 begin = np.flatnonzero(new_key)
                 sizes = np.diff(np.append(begin, len(key)))
                 known = np.repeat(sizes > 1, sizes)
+                # In the order of documents, rows next to each other are alike and take less room.
+                lead = begin[np.argsort(doc[begin], kind="stable")]
                 yield pa.RecordBatch.from_arrays(
-                    [_longs(key[new_key]), _longs(doc[new_key]), pa.nulls(len(begin), pa.int64())],
+                    [_longs(key[lead]), _longs(doc[lead]), pa.nulls(len(begin), pa.int64())],
                     names=["key", "doc", "anchor"],
                 )
                 if known.any():
@@ -264,8 +266,10 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def cut_contexts(length: int):
     """(doc, text, shared anchors, covered cuts) to the text around anchors: the bytes from the first string's start on.
 
+    ``at`` and ``last`` count from ``first``.
+
     A slice's repetitions of one context in later documents are covered at once and do
-    not travel; their runs come out without a key.
+    not travel; their runs come out without bytes, ``last`` their end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +314,8 @@ def cut_contexts(length: int):
                 bounds = np.concatenate([[0], np.cumsum(size)])
                 source = np.repeat(first[rest] - bounds[:-1], size) + np.arange(bounds[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [_longs(key[rest]), _longs(doc[rest]), _longs((where - base)[rest]), _longs((first - base)[rest]),
-                     _longs((last - base)[rest]), blobs(texts.data[source], bounds)],
+                    [_longs(key[rest]), _longs(doc[rest]), _longs((where - first)[rest]), _longs((first - base)[rest]),
+                     _longs((last - first)[rest]), blobs(texts.data[source], bounds)],
                     names=["key", "doc", "at", "first", "last", "bytes"],
                 )
 
@@ -419,7 +423,7 @@ def sort_shard(length: int):
     def finish(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, doc, at, first, last = (table.column(i).to_numpy() for i in range(5))
         texts = Texts(table.column(5).combine_chunks())
-        rows, starts = equal_strings(key, doc, at, first, last, texts.data, texts.bounds, length)
+        rows, starts = equal_strings(key, doc, first + at, first, first + last, texts.data, texts.bounds, length)
         if len(rows):
             yield _span_batch(*_runs(doc[rows], starts, length))
 
@@ -427,7 +431,7 @@ def sort_shard(length: int):
         for batch in table.to_batches(max_chunksize=5000):
             doc, first, last = (batch.column(i).to_numpy() for i in (1, 3, 4))
             texts = Texts(batch.column(5))
-            count = last - first + 1
+            count = last + 1
             stop = np.cumsum(count)
             k = np.arange(stop[-1]) - np.repeat(stop - count, count)
             begin = np.repeat(texts.bounds[:-1], count) + k
@@ -585,3 +589,12 @@ def suffix_dedup(
         F.expr(f"concat(coalesce(__last, {none}), {ends})"),
     )
     return beside(docs, found).withColumn(into, out).drop("__first", "__last", "__cut_first", "__cut_last")
+
+
+def valid_text(column: str) -> Column:
+    """The text of UTF-8 bytes, without bytes that are no whole character."""
+
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(F.col(column))
