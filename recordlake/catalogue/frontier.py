@@ -9,7 +9,7 @@ from ..functions.urls import canonical_url, host_of, registrable_host, strip_www
 from ..operators.fetches import fetch_outcomes, first_answering_engine, skip_report
 from ..operators.frontier import build_frontier, frontier_funnel, intent_tokens, query_counts
 from ..operators.planning import plan_queries, with_targets
-from ..plans.stages import first_per_key, spread
+from ..plans.stages import first_per_key
 from ..sources.search import limit_results, load_search_results, seed_results
 from .registry import query
 
@@ -77,9 +77,9 @@ _TOKENS = ["reliable", "partners", "another", "thing", "entre", "queue", "databa
 
 
 def _results(load):
-    pages = spread(load("pages"))
+    pages = load("pages")
     title = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)
-    lead = F.regexp_extract("html", r"(?is)<p>\s*([^<]{0,300})", 1)
+    lead = F.regexp_extract("html", r"(?is)<p>\s*([^<]*)", 1)
     return pages.select(
         F.concat(F.lit("job-"), (F.col("page_id") % 3).cast("string")).alias("job_id"),
         F.col("page_id").alias("rank"),
@@ -103,7 +103,7 @@ _RESULTS_SQL = f"""
     WITH results AS (
       SELECT 'job-' || (page_id % 3) AS job_id, page_id AS rank, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
         CASE WHEN page_id % 17 = 0 THEN regexp_extract(url, '^(https?://[^/]+)', 1) || '/news/' || page_id ELSE url END AS url,
-        regexp_extract(html, '(?is)<p>\\s*([^<]{{0,300}})', 1) || CASE WHEN page_id % 5 = 0 THEN ' company directory' ELSE '' END AS snippet,
+        regexp_extract(html, '(?is)<p>\\s*([^<]*)', 1) || CASE WHEN page_id % 5 = 0 THEN ' company directory' ELSE '' END AS snippet,
         CASE WHEN page_id % 10 = 0 THEN 'seed' ELSE 'cli' END AS engine
       FROM pages),
     paths AS (SELECT *, title || ' ' || snippet || ' ' || coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') AS txt,
@@ -120,7 +120,7 @@ _RESULTS_SQL = f"""
     _RESULTS_SQL
     + """, firsts AS (SELECT * FROM keyed WHERE on_topic QUALIFY row_number() OVER (PARTITION BY job_id, url ORDER BY k1, k2, k3, rank) = 1)
     SELECT job_id, url, hits, is_seed, row_number() OVER (PARTITION BY job_id ORDER BY k1, k2, k3, rank, url) AS page_rank
-    FROM firsts QUALIFY page_rank <= 900
+    FROM firsts
     """
 )
 def frontier_ranked(spark, load):
@@ -209,7 +209,7 @@ def query_result_limit(spark, load):
         F.when(F.col("o_orderstatus") == "F", "server").otherwise("cli").alias("engine"),
         F.col("o_orderkey").alias("rank"),
     )
-    return limit_results(results)
+    return limit_results(results, 25, server_limit=20)
 
 
 @query("SELECT o_orderpriority AS job_id, o_orderstatus AS query, count(*) AS n_results FROM orders GROUP BY 1, 2")
@@ -221,7 +221,7 @@ def query_result_counts(spark, load):
 
 def _payload(load):
     """Search payloads in every accepted shape, one per page."""
-    page = spread(load("pages")).select("page_id", "url", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
+    page = load("pages").select("page_id", "url", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
     entry = F.to_json(F.struct("url", "title", F.lit("about").alias("snippet")))
     renamed = F.to_json(F.struct(F.col("url").alias("link"), F.col("title").alias("name"), F.lit("about").alias("description")))
     junk = F.to_json(F.struct(F.lit("ftp://files.test/x").alias("url")))
@@ -286,8 +286,8 @@ _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
     b AS (SELECT item_id, rtrim(t, '.!?') AS base FROM base),
     w AS (SELECT item_id, base, list_filter(regexp_extract_all(base, '[A-Za-z0-9][A-Za-z0-9+.#-]+'),
             lambda x: NOT list_contains({_STOP_SQL}, lower(x))) AS words FROM b),
-    c AS (SELECT item_id, base, coalesce(nullif(array_to_string(list_slice(words, 1, 8), ' '), ''), left(base, 80)) AS core FROM w),
-    q AS (SELECT item_id, [left(base, 150), core || ' directory', core || ' contact email', core || ' official website'] AS qs FROM c)
+    c AS (SELECT item_id, base, coalesce(nullif(array_to_string(words, ' '), ''), base) AS core FROM w),
+    q AS (SELECT item_id, [base, core || ' directory', core || ' contact email', core || ' official website'] AS qs FROM c)
     SELECT 'job-' || item_id AS job_id, unnest(range(1, len(qs) + 1)) AS query_no, unnest(qs) AS query FROM q
     """
 )
@@ -310,7 +310,7 @@ def planned_queries(spark, load):
 )
 def content_tokens(spark, load):
     """Distinct content words of every document."""
-    tokens = spread(load("documents")).select("doc_id", F.expr(intent_tokens("text")).alias("t"))
+    tokens = load("documents").select("doc_id", F.expr(intent_tokens("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
@@ -345,7 +345,7 @@ def intent_targets(spark, load):
 
 def _attempts(load):
     """Fetch log made of line items: one url per order, one attempt per item."""
-    item = spread(load("lineitem"))
+    item = load("lineitem")
     number = F.col("l_linenumber")
     engine = F.when(number <= 2, "cli").when(number <= 4, "server").otherwise("http")
     fate = (F.col("l_orderkey") * 7 + F.col("l_partkey") + number) % 10

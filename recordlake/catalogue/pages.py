@@ -9,7 +9,6 @@ from ..functions.headings import first_heading, name_heading
 from ..functions.contacts import emails
 from ..functions.names import best_name, is_org_name, trim_separator
 from ..operators.page_text import extractor_input, page_links, page_tables, page_text
-from ..plans.stages import spread
 from ..sources.corpora import directory_pages
 from .registry import query
 
@@ -50,7 +49,7 @@ TEXT_SQL = f"""
     WITH kept_pages AS (SELECT page_id, url, {_VISIBLE} AS kept FROM pages),
     text_pages AS (SELECT page_id, url, {_TITLE_SQL} AS title, {_MARKDOWN} AS markdown FROM kept_pages)
 """
-_FIRST_LINE = "left(trim(split_part(markdown, chr(10), 1)), 120)"
+_FIRST_LINE = "trim(split_part(markdown, chr(10), 1))"
 
 
 def _heading_sql(levels: str) -> str:
@@ -58,7 +57,7 @@ def _heading_sql(levels: str) -> str:
 
 
 def _text(load):
-    return page_text(spread(load("pages").select("page_id", "url", "html")))
+    return page_text(load("pages").select("page_id", "url", "html"))
 
 
 @query(TEXT_SQL + "SELECT page_id, url, markdown FROM text_pages")
@@ -85,14 +84,21 @@ def page_headings(spark, load):
     )
 
 
-@query(TEXT_SQL + "SELECT page_id, left(markdown, 12000) AS extractor_input, length(markdown) AS n_chars FROM text_pages")
+@query(
+    TEXT_SQL
+    + """SELECT page_id, CAST(unnest(range(0, greatest(length(markdown) - 1, 0) // 1500 + 1)) + 1 AS INTEGER) AS chunk_no,
+      substr(markdown, unnest(range(0, greatest(length(markdown) - 1, 0) // 1500 + 1)) * 1500 + 1, 1500) AS extractor_input,
+      length(markdown) AS n_chars FROM text_pages"""
+)
 def extractor_inputs(spark, load):
-    return extractor_input(_text(load)).select("page_id", "extractor_input", F.length("markdown").cast("long").alias("n_chars"))
+    """Whole pages in numbered pieces for an outside extractor."""
+    pieces = extractor_input(_text(load), 1500)
+    return pieces.select("page_id", "chunk_no", "extractor_input", F.length("markdown").cast("long").alias("n_chars"))
 
 
 def _linked(load):
     """Pages whose navigation list counts as content, so that links remain."""
-    return spread(load("pages")).select(
+    return load("pages").select(
         "page_id", "url", F.regexp_replace("html", "(?i)(</?)nav>", "$1section>").alias("html")
     )
 
@@ -166,14 +172,14 @@ def page_table_cells(spark, load):
       SELECT page_id, url, CASE page_id % 10 WHEN 0 THEN 'Access Denied' WHEN 1 THEN '404 Not Found'
              WHEN 2 THEN 'Just a moment...' WHEN 4 THEN '' ELSE title END AS title, page_id % 10 = 4 AS bare FROM text_pages)
     SELECT page_id, CASE WHEN bare THEN 'no extractable content: ' || url
-           ELSE 'error page (' || left(title, 60) || ')' END AS reason
+           ELSE 'error page (' || title || ')' END AS reason
     FROM rewritten WHERE bare OR regexp_matches(title, '"""
     + ERROR_TITLE
     + "')"
 )
 def page_rejects(spark, load):
     """Pages that yield nothing: titles of error pages, bodies without content."""
-    pages = spread(load("pages").select("page_id", "url", "html"))
+    pages = load("pages").select("page_id", "url", "html")
     title = (
         F.when(F.col("page_id") % 10 == 0, "Access Denied")
         .when(F.col("page_id") % 10 == 1, "404 Not Found")
@@ -182,7 +188,7 @@ def page_rejects(spark, load):
     retitled = F.regexp_replace("html", F.lit("(?is)<title>.*?</title>"), F.concat(F.lit("<title>"), title, F.lit("</title>")))
     html = F.when(F.col("page_id") % 10 == 4, "<html><nav>menu</nav></html>").when(title.isNotNull(), retitled).otherwise(F.col("html"))
     text = page_text(pages.withColumn("html", html))
-    return text.filter(F.col("reject").isNotNull()).select("page_id", F.left("reject", F.lit(200)).alias("reason"))
+    return text.filter(F.col("reject").isNotNull()).select("page_id", F.col("reject").alias("reason"))
 
 
 # Organisation names: one alternation per rule.
@@ -233,5 +239,5 @@ def page_names(spark, load):
 )
 def email_scan(spark, load):
     """Every e-mail address in every document, in order."""
-    found = spread(load("documents")).select("doc_id", F.posexplode_outer(F.expr(emails("text"))).alias("pos", "email"))
+    found = load("documents").select("doc_id", F.posexplode_outer(F.expr(emails("text"))).alias("pos", "email"))
     return found.filter(F.col("email").isNotNull()).select("doc_id", F.col("pos").cast("long").alias("pos"), "email")

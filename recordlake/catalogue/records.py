@@ -10,10 +10,10 @@ from ..operators.backfill import backfill_candidates, collect_leads, lead_pages,
 from ..operators.entities import dedupe_records, limit_records
 from ..operators.extract import candidates_from_maps, extract_candidates, split_pages
 from ..operators.page_text import page_text
-from ..operators.quality import quality_note, run_stats
+from ..operators.quality import NO_RECORDS, quality_note, run_stats
 from ..operators.validate import accepted, rejected, validate_records
 from ..plans.harvest import corpus_by_url, run_harvest
-from ..plans.stages import materialise, spread
+from ..plans.stages import materialise
 from ..sources.corpora import key_value_page
 from ..spec import FieldSpec, RecordSpec
 from .pages import supplier_cells, supplier_pages
@@ -63,7 +63,7 @@ def customer_pages(load):
         "Founded": F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") % 5000).cast("int")), "d MMM yyyy"),
         "Tags": F.concat(F.lit("a"), (F.col("c_custkey") % 7).cast("string"), F.lit("; b | c"), key),
     }
-    return spread(load("customer")).select(
+    return load("customer").select(
         F.lit("customers").alias("job_id"),
         F.col("c_custkey").alias("page_rank"),
         F.concat(F.lit("https://www.c"), key, F.lit(".test/")).alias("url"),
@@ -106,7 +106,7 @@ def order_pages(spark, load):
         "Total": F.concat(F.lit("$"), F.format_number("o_totalprice", 2)),
         "Placed": F.date_format(F.col("o_orderdate").cast("date"), "d MMM yyyy"),
     }
-    pages = spread(load("orders")).select(
+    pages = load("orders").select(
         F.lit("orders").alias("job_id"),
         F.col("o_orderkey").alias("page_rank"),
         F.concat(F.lit("https://shop.test/orders/"), key).alias("url"),
@@ -149,7 +149,7 @@ def coerce_types(spark, load):
         ("mail", "email"): F.concat(F.lit("mail: Buyer"), F.col("o_custkey").cast("string"), F.lit("@Shop.TEST now")),
         ("link", "url"): F.concat(F.lit("see https://shop.test/o/"), key.cast("string"), F.lit(".")),
     }
-    raw = spread(load("orders")).select("o_orderkey", *[text.alias(n) for (n, _), text in cells.items()])
+    raw = load("orders").select("o_orderkey", *[text.alias(n) for (n, _), text in cells.items()])
     typed = raw.select("o_orderkey", *[F.expr(coerce(FieldSpec(n, t), n)).alias(n) for n, t in cells])
     return typed.withColumn("listed", F.array_join("listed", "/"))
 
@@ -297,15 +297,15 @@ def validity_report(spark, load):
 @query(
     """
     SELECT 'segment-' || c_mktsegment AS job_id, c_custkey AS page_rank, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS record_no
-    FROM customer QUALIFY record_no <= CASE c_mktsegment WHEN 'BUILDING' THEN 5 WHEN 'MACHINERY' THEN 2000 ELSE 500 END
+    FROM customer QUALIFY record_no <= CASE c_mktsegment WHEN 'BUILDING' THEN 5 WHEN 'MACHINERY' THEN 2500 ELSE 1000000000 END
     """
 )
 def record_target(spark, load):
-    """Records up to each job's target, in order."""
+    """Records up to each job's target, in order; all of a job without one."""
     records = load("customer").select(
         F.concat(F.lit("segment-"), F.col("c_mktsegment")).alias("job_id"), F.col("c_custkey").alias("page_rank"), F.lit(0).alias("cand_idx")
     )
-    target = F.when(F.col("job_id") == "segment-BUILDING", 5).when(F.col("job_id") == "segment-MACHINERY", 2000)
+    target = F.when(F.col("job_id") == "segment-BUILDING", 5).when(F.col("job_id") == "segment-MACHINERY", 2500)
     jobs = records.select("job_id").distinct().withColumn("max_records", target)
     return limit_records(records, jobs).select("job_id", "page_rank", F.col("record_no").cast("long").alias("record_no"))
 
@@ -335,7 +335,7 @@ def _listing_pages(load):
 @query(
     """
     WITH leads AS (SELECT n_nationkey, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS no
-      FROM supplier JOIN nation ON s_nationkey = n_nationkey QUALIFY no <= 25)
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey)
     SELECT 'nation-' || n_nationkey AS job_id, 'Supplier ' || s_suppkey AS company_name, 'sales@s' || s_suppkey || '.test' AS email,
       'https://s' || s_suppkey || '.test' AS website FROM leads WHERE s_suppkey % 3 < 2
     """
@@ -366,7 +366,7 @@ def lead_backfill(spark, load):
 def email_preference(spark, load):
     """Preferred address of every document that has one."""
     host = F.when(F.col("doc_id") % 2 == 0, "www.example.com").otherwise("other.test")
-    best = spread(load("documents")).withColumn("host", host).select("doc_id", F.expr(preferred_email("text", "host")).alias("email"))
+    best = load("documents").withColumn("host", host).select("doc_id", F.expr(preferred_email("text", "host")).alias("email"))
     return best.filter(F.col("email").isNotNull())
 
 
@@ -393,9 +393,9 @@ def _harvest(load, spark):
 
 _HARVEST_SQL = """
     WITH leads AS (SELECT n_nationkey, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey // 100, s_suppkey) AS no
-      FROM supplier JOIN nation ON s_nationkey = n_nationkey QUALIFY no <= 25),
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey),
     hits AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY no) AS record_no FROM leads WHERE s_suppkey % 3 < 2),
-    kept AS (SELECT * FROM hits WHERE record_no <= CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 500 END)
+    kept AS (SELECT * FROM hits WHERE record_no <= CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1000000000 END)
 """
 
 
@@ -422,5 +422,5 @@ def harvest_records(spark, load):
 def harvest_summary(spark, load):
     """Summary row of every job, failed ones included."""
     summary = _harvest(load, spark).summary
-    error = F.when(F.col("error").startswith("No valid records"), "no valid records").otherwise(F.col("error"))
+    error = F.when(F.col("error") == NO_RECORDS, "no valid records").otherwise(F.col("error"))
     return summary.select("job_id", "pages_queued", "records_exported", "status", error.alias("error"))

@@ -60,9 +60,9 @@ def webhook_payloads(spark, load):
     """SELECT c_mktsegment AS segment, c_custkey AS k, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer"""
 )
 def wide_ranks(spark, load):
-    """Positions within jobs of any size, numbered slice by slice."""
+    """Positions within jobs of any size, numbered by range."""
     rows = load("customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("k"))
-    return wide_row_number(rows, ["segment"], "k", "rn")
+    return wide_row_number(rows, ["segment"], ["k"], "rn")
 
 
 @query(_FLAT_SQL + " FROM customer")

@@ -141,18 +141,8 @@ PROSE_MARKERS = (
 TRAILING_SEPARATOR = r"\s*[|\-–—·•]\s*$"
 
 # Limits.
-MAX_RECORDS_DEFAULT = 500
 MAX_RECORDS_HARD = 2000
-MAX_PAGES_PER_JOB = 900
-MAX_RESULTS_PER_QUERY = 25
-MAX_RESULTS_SERVER = 20
-MAX_QUERIES_PLANNED = 8
-MAX_QUERIES_REPLY = 10
-MAX_LEADS_PER_JOB = 25
 WEBHOOK_BATCH = 25
-REASON_CHARS = 200
-EXTRACTOR_INPUT_CHARS = 12000
-KV_VALUE_CHARS = 400
 VALIDITY_BAR = 0.9
 DESTINATIONS = ("csv", "json", "markdown", "sqlite", "google_sheets", "webhook")
 TERMINAL_STATES = ("completed", "failed")

@@ -6,8 +6,8 @@ from .text import LINE_BREAK, cut, extract, strip
 
 
 def first_heading(markdown: str) -> str:
-    """First level 1-3 heading, else the first non-blank line (120 characters)."""
-    line = f"left({strip(f'{cut(strip(markdown), LINE_BREAK)}[0]')}, 120)"
+    """First level 1-3 heading, else the first non-blank line."""
+    line = strip(f"{cut(strip(markdown), LINE_BREAK)}[0]")
     return f"coalesce({strip(extract(markdown, HEADING_3, 1))}, {line})"
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_LEADS_PER_JOB, MAX_RECORDS_DEFAULT
 from ..functions.coerce import coerce
 from ..functions.contacts import preferred_email
 from ..functions.text import blank_to_null, strip, strip_end
@@ -65,21 +64,19 @@ def open_leads(
     record_counts: DataFrame | None = None,
     targets: DataFrame | None = None,
     order: Sequence[str] = ("page_rank", "cand_idx"),
-    cap: int = MAX_LEADS_PER_JOB,
+    cap: int | None = None,
 ) -> DataFrame:
     """Leads worth a visit: job below its target, site not visited yet.
 
     ``visited`` is ``(job_id, url)`` of the pages already read, ``record_counts``
-    ``(job_id, n_records)``, ``targets`` ``(job_id, max_records)``.
+    ``(job_id, n_records)``, ``targets`` ``(job_id, max_records)``.  All leads are kept
+    unless the caller sets ``cap``; ``lead_no`` is their order in the job.
     """
     wanted = leads
-    if record_counts is not None:
-        counts = record_counts.select("job_id", "n_records")
-        wanted = wanted.join(counts, "job_id", "left")
-        if targets is not None:
-            wanted = wanted.join(targets.select("job_id", "max_records"), "job_id", "left")
-        limit = F.coalesce("max_records", F.lit(MAX_RECORDS_DEFAULT)) if targets is not None else F.lit(MAX_RECORDS_DEFAULT)
-        wanted = wanted.filter(F.coalesce("n_records", F.lit(0)) < limit).drop("n_records", "max_records")
+    if record_counts is not None and targets is not None:
+        had = targets.select("job_id", "max_records").join(record_counts.select("job_id", "n_records"), "job_id")
+        full = had.filter(F.col("n_records") >= F.col("max_records")).select("job_id")
+        wanted = wanted.join(full, "job_id", "left_anti")
     seen = visited.select("job_id", F.expr(canonical_url("url")).alias("__page")).distinct()
     pages = F.expr(f"transform({contact_urls('website')}, x -> {canonical_url('x')})")
     hit = (
@@ -89,7 +86,7 @@ def open_leads(
         .distinct()
     )
     fresh = wanted.join(hit, ["job_id", "website"], "left_anti")
-    return top_per_key(fresh, ["job_id"], order, cap, "lead_no")
+    return top_per_key(fresh, ["job_id"], [*order, "website"], cap, "lead_no")
 
 
 def lead_pages(leads: DataFrame) -> DataFrame:

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_RECORDS_DEFAULT, MAX_RECORDS_HARD
 from ..functions.text import bind, q, strip
 from ..functions.urls import email_domain, host_of, strip_www
-from ..plans.stages import first_per_key, top_per_key
+from ..plans.stages import first_per_key, top_per_key, wide_row_number
 from ..spec import FieldSpec, RecordSpec
 
 _ITEM_SEPARATOR = "\x1f"  # between the items of an array inside a key
@@ -77,15 +76,16 @@ def limit_records(
     *,
     job: str = "job_id",
     order: Sequence[str] = ("page_rank", "cand_idx"),
-    default: int = MAX_RECORDS_DEFAULT,
+    default: int | None = None,
 ) -> DataFrame:
-    """First ``max_records`` records of every job, in order.
+    """First ``max_records`` records of every job, in order, numbered in ``record_no``.
 
-    ``targets`` is ``(job_id, max_records)``.  The hard bound on a job's target
-    is applied first, so each map task forwards a bounded number of rows per job.
+    ``targets`` is ``(job_id, max_records)``; a job without a target gets ``default``
+    records, and all of them without one.
     """
-    capped = top_per_key(records, [job], order, MAX_RECORDS_HARD, "record_no")
     if targets is None:
-        return capped.filter(F.col("record_no") <= default)
-    wanted = targets.select(job, F.coalesce("max_records", F.lit(default)).alias("__target"))
-    return capped.join(wanted, job).filter(F.col("record_no") <= F.col("__target")).drop("__target")
+        return top_per_key(records, [job], order, default, "record_no")
+    numbered = wide_row_number(records, [job], order, "record_no")
+    wanted = targets.select(job, F.coalesce("max_records", F.lit(default).cast("int")).alias("__target"))
+    kept = numbered.join(wanted, job).filter(F.col("__target").isNull() | (F.col("record_no") <= F.col("__target")))
+    return kept.drop("__target")

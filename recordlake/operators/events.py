@@ -23,13 +23,13 @@ def replay(events: DataFrame, *, seq: str = "seq") -> DataFrame:
     """History of every job up to and including its first summary.
 
     The end of a job is one aggregated number, so no task ever holds all events
-    of a job; positions are numbered slice by slice.
+    of a job; ``seq`` is unique in a job.  Positions are written when this is called.
     """
     ends = events.filter(F.col("type") == "summary").groupBy("job_id").agg(F.min(seq).alias("__end"))
     kept = events.join(ends, "job_id", "left").filter(
         F.col("__end").isNull() | (F.col(seq) <= F.col("__end"))
     )
-    return wide_row_number(kept.drop("__end"), ["job_id"], seq, "replay_no")
+    return wide_row_number(kept.drop("__end"), ["job_id"], [seq], "replay_no")
 
 
 def latest_status(events: DataFrame, *, status: str = "status", seq: str = "seq") -> DataFrame:

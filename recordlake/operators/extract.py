@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import KV_VALUE_CHARS, MARKDOWN_LINK, URL_IN_TEXT
+from ..constants import MARKDOWN_LINK, URL_IN_TEXT
 from ..functions.contacts import EMAIL
 from ..functions.headings import name_heading
 from ..functions.names import best_name
@@ -112,7 +112,7 @@ def extract_candidates(
         url,
         (F.col("markdown").contains(F.col(url)) | (F.col("markdown") == "")).alias("may_fill"),
         F.split(F.nullif(block, F.lit("")), "\n").alias("__lines"),
-        F.expr(f"filter(concat({', '.join(entries)}), e -> length(e.v) <= {KV_VALUE_CHARS})").alias("__kv"),
+        F.expr(f"concat({', '.join(entries)})").alias("__kv"),
         F.expr(_page_links("markdown")).alias("__links"),
         F.nullif(F.regexp_extract("markdown", EMAIL, 0), F.lit("")).alias("__email"),
         F.expr(

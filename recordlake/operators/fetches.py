@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BLOCK_STATUS, BLOCKED_URL_PATTERNS, REASON_CHARS, STATUS_IN_TEXT
+from ..constants import BLOCK_STATUS, BLOCKED_URL_PATTERNS, STATUS_IN_TEXT
 from ..functions.text import bind, blank_to_null, extract, parse_json, strip
 from ..functions.urls import is_blocked_url
 from ..plans.stages import first_per_key
@@ -36,7 +36,7 @@ def service_reply(body: str) -> str:
             f"named_struct('markdown', CASE WHEN try_variant_get({v}, '$.data', 'map<string,variant>') IS NOT NULL "
             f"THEN coalesce({text('$.data.markdown')}, {text('$.data.content')}) ELSE {text('$.markdown')} END, "
             f"'error', CASE WHEN try_variant_get({v}, '$.success', 'boolean') = false "
-            f"THEN left(coalesce({text('$.error')}, 'scrape failed'), {REASON_CHARS}) END)"
+            f"THEN coalesce({text('$.error')}, 'scrape failed') END)"
         )
 
     return bind(parse_json(body), read)
@@ -73,7 +73,7 @@ def judge_attempts(attempts: DataFrame, *, block_status: Sequence[int] = BLOCK_S
             blocked,
             F.concat(
                 F.lit("blocked ("),
-                F.when(cli & (detail != ""), F.left(detail, F.lit(160))).otherwise(
+                F.when(cli & (detail != ""), detail).otherwise(
                     F.concat(F.lit("HTTP "), F.col("__status").cast("string"))
                 ),
                 F.lit(")"),
@@ -96,7 +96,7 @@ def judge_attempts(attempts: DataFrame, *, block_status: Sequence[int] = BLOCK_S
         *[c for c in attempts.columns if c not in ("body", "log", "exit_code")],
         "outcome",
         F.when(F.col("outcome") == "ok", F.col("__text")).alias("text"),
-        F.when(F.col("outcome") != "ok", F.left(reason, F.lit(REASON_CHARS))).alias("reason"),
+        F.when(F.col("outcome") != "ok", reason).alias("reason"),
     )
 
 
@@ -156,8 +156,6 @@ def skip_report(*parts: DataFrame, keys: Sequence[str] = ("job_id", "url")) -> D
     report = None
     for part in parts:
         reason = "reject" if "reject" in part.columns else "reason"
-        rows = part.filter(F.col(reason).isNotNull()).select(
-            *keys, F.left(F.col(reason), F.lit(REASON_CHARS)).alias("reason")
-        )
+        rows = part.filter(F.col(reason).isNotNull()).select(*keys, F.col(reason).alias("reason"))
         report = rows if report is None else report.unionByName(rows)
     return report

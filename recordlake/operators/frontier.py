@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..constants import (
     BLOCKED_URL_PATTERNS,
     DIRECTORY_HINT,
-    MAX_PAGES_PER_JOB,
     NEWS_HINT,
     STOP_WORDS,
 )
@@ -73,13 +72,13 @@ def build_frontier(
     jobs: DataFrame,
     *,
     blocked: Sequence[str] = BLOCKED_URL_PATTERNS,
-    max_pages: int = MAX_PAGES_PER_JOB,
+    max_pages: int | None = None,
 ) -> DataFrame:
     """Unique urls of every job in fetch order: ``page_rank`` 1, 2, …
 
     Filters run first; then the first result of every (job, url) and the first
-    ``max_pages`` of every job are kept, both cut inside the map tasks before
-    their shuffle.
+    ``max_pages`` of every job are kept, if the caller sets a number; small numbers are
+    cut inside the map tasks before their shuffle.
     """
     scored = score_results(fetchable(results, blocked), jobs).filter("on_topic").drop("tokens", "snippet")
     unique = first_per_key(scored, ["job_id", "url"], _ORDER)

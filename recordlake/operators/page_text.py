@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import EXTRACTOR_INPUT_CHARS
 from ..functions.headings import first_heading
 from ..functions.html import anchors, drop_boilerplate, page_title, table_rows, to_markdown
 from ..functions.names import is_error_title
@@ -37,7 +36,7 @@ def page_text(
     empty page or an error page.  Bodies that are not HTML pass through trimmed.
     """
     body = f"coalesce(`{html}`, '')"
-    marked_up = f"contains(substring({body}, 1, 512), '<')"
+    marked_up = f"contains({body}, '<')"
     if content_type is not None:
         marked_up = f"(coalesce(contains(`{content_type}`, 'html'), false) OR {marked_up})"
     keep = [c for c in pages.columns if c != html]
@@ -60,7 +59,7 @@ def page_text(
         "reject",
         F.expr(
             f"CASE WHEN markdown = '' THEN concat('no extractable content: ', `{url}`) "
-            f"WHEN {is_error_title('title')} THEN concat('error page (', left(title, 60), ')') END"
+            f"WHEN {is_error_title('title')} THEN concat('error page (', title, ')') END"
         ),
     )
     return fence(judged)
@@ -83,6 +82,11 @@ def page_tables(pages: DataFrame, *, html: str = "html") -> DataFrame:
     return rows.filter(F.col("cells").isNotNull())
 
 
-def extractor_input(text: DataFrame) -> DataFrame:
-    """The part of a page that is offered to an outside extractor."""
-    return text.withColumn("extractor_input", F.left("markdown", F.lit(EXTRACTOR_INPUT_CHARS)))
+def extractor_input(text: DataFrame, chunk_chars: int) -> DataFrame:
+    """The whole page in pieces that an outside extractor takes: ``chunk_no`` from 1, ``extractor_input``."""
+    starts = F.expr(f"sequence(0, greatest(length(markdown) - 1, 0) DIV {chunk_chars})")
+    return text.withColumn("__chunk", F.explode(starts)).select(
+        *text.columns,
+        (F.col("__chunk") + 1).cast("int").alias("chunk_no"),
+        F.expr(f"substring(markdown, CAST(__chunk * {chunk_chars} + 1 AS INT), {chunk_chars})").alias("extractor_input"),
+    )

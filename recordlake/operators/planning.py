@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import INTENT_COUNT, MAX_QUERIES_PLANNED, MAX_RECORDS_HARD, STOP_WORDS
+from ..constants import INTENT_COUNT, MAX_RECORDS_HARD, STOP_WORDS
 from ..functions.text import bind, blank_to_null, collapse, extract, match_all, one_of, strip_end
 
 _QUOTED = '"([^"]+)"|“([^”]+)”'
 
 
 def planned_queries(intent: str, wants_email: str, wants_url: str) -> str:
-    """Up to eight distinct queries of an intent, first spelling kept."""
+    """Distinct queries of an intent, first spelling kept; the whole intent is used."""
 
     def with_base(base: str) -> str:
         words = f"filter({match_all(base, '[A-Za-z0-9][A-Za-z0-9+.#-]+')}, w -> NOT {one_of('lower(w)', STOP_WORDS)})"
-        leading = f"array_join(slice({words}, 1, 8), ' ')"
-        return bind(f"coalesce({blank_to_null(leading)}, left({base}, 80))", lambda core: listed(base, core))
+        leading = f"array_join({words}, ' ')"
+        return bind(f"coalesce({blank_to_null(leading)}, {base})", lambda core: listed(base, core))
 
     def listed(base: str, core: str) -> str:
         quoted = f"coalesce({extract(intent, _QUOTED, 1)}, {extract(intent, _QUOTED, 2)})"
         queries = (
-            f"array(concat({quoted}, ' list'), left({base}, 150), concat({core}, ' directory'), "
+            f"array(concat({quoted}, ' list'), {base}, concat({core}, ' directory'), "
             f"CASE WHEN {wants_email} THEN concat({core}, ' contact email') END, "
             f"CASE WHEN {wants_url} THEN concat({core}, ' official website') END)"
         )
@@ -31,7 +31,7 @@ def planned_queries(intent: str, wants_email: str, wants_url: str) -> str:
     def distinct(queries: str) -> str:
         return bind(
             f"transform({queries}, x -> lower(x))",
-            lambda low: f"slice(filter({queries}, (x, i) -> array_position({low}, lower(x)) = i + 1), 1, {MAX_QUERIES_PLANNED})",
+            lambda low: f"filter({queries}, (x, i) -> array_position({low}, lower(x)) = i + 1)",
         )
 
     return bind(strip_end(collapse(intent), ".!?"), with_base)

@@ -9,10 +9,7 @@ from ..constants import VALIDITY_BAR
 from ..spec import RecordSpec
 from .entities import entity_key
 
-NO_RECORDS = (
-    "No valid records matched the schema. Sources were reached but content did not yield the "
-    "requested fields: try a more specific intent, looser required flags, or extra seed urls."
-)
+NO_RECORDS = "the pages that were read gave no record with all required fields"
 
 
 def validity_ratio(valid: Column, invalid: Column) -> Column:
@@ -76,10 +73,9 @@ def job_summary(
     """One row per job: status, counts, notes, error.
 
     A job with an empty intent, without a source page or without a record has
-    failed.  Queries are listed (at most ten per job), and so are outputs and,
-    from the page log of a capped frontier, the sources read: each job has at
-    most as many as the page cap.  Skips are counted; their rows stay in their
-    own table.  Jobs with a ``started_at`` get a duration.
+    failed.  Planned queries and outputs are listed, as a job has few; pages read and
+    skips are counted, and their rows stay in their own tables, as a job may have any
+    number of them.  Jobs with a ``started_at`` get a duration.
     """
     started = [c for c in ("started_at",) if c in jobs.columns]
     out = jobs.select("job_id", "intent", *started).join(quality_note(stats), "job_id", "left")
@@ -91,22 +87,20 @@ def job_summary(
     if skipped is not None:
         out = out.join(skipped.groupBy("job_id").agg(F.count(F.lit(1)).alias("pages_skipped")), "job_id", "left")
     if queries is not None:
-        listed = queries.filter("query_no <= 10").groupBy("job_id").agg(
+        listed = queries.groupBy("job_id").agg(
             F.array_sort(F.collect_list(F.struct("query_no", "query"))).alias("__q")
         )
         out = out.join(listed.select("job_id", F.transform("__q", lambda x: x["query"]).alias("queries")), "job_id", "left")
     if pages is not None:
-        read = pages.filter(F.col("reject").isNull()).groupBy("job_id").agg(
-            F.array_sort(F.collect_list(F.struct("page_rank", "url"))).alias("__s")
-        )
-        out = out.join(read.select("job_id", F.transform("__s", lambda x: x["url"]).alias("sources_scraped")), "job_id", "left")
+        read = pages.filter(F.col("reject").isNull()).groupBy("job_id").agg(F.count(F.lit(1)).alias("pages_scraped"))
+        out = out.join(read, "job_id", "left")
     if outputs is not None:
         written = outputs.groupBy("job_id").agg(
             F.collect_list(F.struct(*[c for c in outputs.columns if c != "job_id"])).alias("outputs")
         )
         out = out.join(written, "job_id", "left")
     counts = [
-        c for c in ("records_exported", "pages_queued", "pages_skipped", "candidates", "valid", "invalid", "duplicates")
+        c for c in ("records_exported", "pages_queued", "pages_skipped", "pages_scraped", "candidates", "valid", "invalid", "duplicates")
         if c in out.columns
     ]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})

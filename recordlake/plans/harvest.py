@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_PAGES_PER_JOB, MAX_RECORDS_DEFAULT
 from ..functions.urls import canonical_url
 from ..operators.backfill import backfill_candidates, collect_leads, lead_pages, open_leads, page_contacts
 from ..operators.entities import dedupe_records, limit_records
@@ -18,12 +17,12 @@ from ..operators.page_text import page_text
 from ..operators.quality import job_summary, run_stats
 from ..operators.validate import accepted, validate_records
 from ..spec import RecordSpec
-from .stages import BROADCAST_URLS, first_per_key, materialise
+from .stages import first_per_key, materialise
 
 
 @dataclass
 class Harvest:
-    """Result tables of a run; all lazy except the two written intermediates."""
+    """Result tables of a run.  Intermediate tables are written while the run is set up; these are lazy."""
 
     frontier: DataFrame
     records: DataFrame
@@ -37,17 +36,15 @@ class Harvest:
 def corpus_by_url(pages: DataFrame, wanted: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """One page per canonical url among the ``wanted`` ones.
 
-    ``wanted`` has the column ``canonical`` and is a written table, so counting its
-    urls is cheap.  A list of up to ``BROADCAST_URLS`` is sent to the scan tasks
-    and only wanted pages carry their body through an exchange; a longer list is
-    joined by shuffle, and the choice of one capture per url reuses that shuffle.
+    Which capture of a url is taken is decided on urls alone, and the choice is written.
+    Its size is known then: a small choice goes to the scan, a large one is joined by url.
+    ``wanted`` has the column ``canonical``.  A url is captured once in ``pages``.
     """
     needed = wanted.select("canonical").distinct()
-    if needed.count() <= BROADCAST_URLS:
-        needed = F.broadcast(needed)
-    found = pages.select(F.expr(canonical_url(f"`{url}`")).alias("canonical"), F.col(url).alias("__captured"), F.col(html).alias("html"))
-    kept = found.join(needed, "canonical", "left_semi")
-    return first_per_key(kept, ["canonical"], ["__captured"]).drop("__captured")
+    urls = pages.select(F.expr(canonical_url(f"`{url}`")).alias("canonical"), F.col(url).alias("__captured")).distinct()
+    chosen = materialise(first_per_key(urls.join(needed, "canonical", "left_semi"), ["canonical"], ["__captured"]), "captures")
+    found = pages.select(F.col(url).alias("__captured"), F.col(html).alias("html"))
+    return found.join(chosen, "__captured").select("canonical", "html")
 
 
 def run_harvest(
@@ -58,7 +55,7 @@ def run_harvest(
     *,
     given: DataFrame | None = None,
     answered: DataFrame | None = None,
-    max_pages: int = MAX_PAGES_PER_JOB,
+    max_pages: int | None = None,
     backfill: bool = True,
 ) -> Harvest:
     """Run all jobs that share one record schema.
@@ -116,6 +113,6 @@ def run_harvest(
         everything = validated.unionByName(second)
     records = dedupe_records(accepted(everything), spec, order=order)
     stats = run_stats(everything, spec, page_log)
-    limited = limit_records(records, jobs, order=order, default=MAX_RECORDS_DEFAULT)
+    limited = limit_records(records, jobs, order=order)
     summary = job_summary(jobs, stats, limited, frontier=frontier, skipped=skipped, pages=page_log)
     return Harvest(frontier, limited, everything, leads, skipped, stats, summary)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -11,17 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Row limits per window group up to this size are cut before the shuffle.
-_GROUP_LIMIT = 4096
-# Url lists up to this length (some 100 MB) are sent to every executor.
-BROADCAST_URLS = 1_000_000
-# Folders of local runs that name no shared one, by application.
-_LOCAL_ROOTS: dict[str, str] = {}
+GROUP_LIMIT = 4096
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on; all can change at run time."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(_GROUP_LIMIT))
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(GROUP_LIMIT))
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -42,28 +37,41 @@ def fence(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a local one only if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="recordlake-")
-    return _LOCAL_ROOTS[app]
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, else the warehouse.
+
+    Both are named by the deployment.  On a cluster a folder on one machine's disk would
+    be written and read in parts, so there a ``file:`` folder is an error; a local
+    session may use one.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and (root.startswith("file:") or "://" not in root):
+        raise ValueError(f"intermediate tables need a shared folder in spark.checkpoint.dir, not {root}")
+    return root
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once and read it back with a short lineage.
 
     The table is columnar, so later steps read only the columns they use, and it
-    outlives lost executors.
+    outlives lost executors.  ``discard_intermediates`` removes a session's tables.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/recordlake/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The session's own folder for intermediate tables."""
+    return f"{checkpoint_root(spark)}/recordlake/{spark.sparkContext.applicationId}"
+
+
+def discard_intermediates(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this session; no result that reads them works afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
     """First row of every key.
 
@@ -75,75 +83,43 @@ def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[s
 
 
 def top_per_key(
-    df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column], limit: int, rank: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None, rank: str
 ) -> DataFrame:
-    """First ``limit`` rows of every key with their 1-based rank.
+    """First ``limit`` rows of every key with their 1-based rank; all rows without a limit.
 
-    The limit is cut inside the map tasks, so a hot key sends at most ``limit``
-    rows from each of them.
+    A small limit is cut inside the map tasks, so a hot key sends at most ``limit`` rows
+    from each of them.  Larger ones number all rows.  ``order`` has to be unique.
     """
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < limit:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(limit))
+    if limit is None or limit > GROUP_LIMIT:
+        numbered = wide_row_number(df, keys, order, rank)
+        return numbered if limit is None else numbered.filter(F.col(rank) <= limit)
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= limit)
 
 
 def wide_row_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: str,
-    rank: str,
-    *,
-    ties: Sequence[str] = (),
-    hot_rows: int = 4_000_000,
-    slices: int = 1024,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str, *, total: str | None = None
 ) -> DataFrame:
-    """``row_number`` per key for keys of any size.
-
-    A plain window sorts each key in one task.  Keys with more than ``hot_rows``
-    rows are cut into slices at approximate quantiles of the numeric column
-    ``position``; slices are ranked on their own and shifted by the number of
-    rows before them, so a key that holds a third of the table is spread over
-    many tasks.  Rows with equal ``position`` share a slice; ``ties`` orders
-    them.  The input is read more than once: hand in a written table when it is
-    expensive to compute.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.filter(F.col("__n") > hot_rows).select(*keys)
-    quantiles = F.expr(f"array({', '.join(f'{i / slices}D' for i in range(1, slices))})")
-    cuts = (
-        df.select(*keys, position)
-        .join(hot, [*keys], "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(F.col(position), quantiles, 20_000).alias("__cuts"))
-    )
-    sliced = df.join(cuts, [*keys], "left").withColumn(
-        "__slice", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(position))), F.lit(0))
-    )
-    sliced = sliced.drop("__cuts")
-    sizes = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    # At most ``slices`` rows per key.
-    running = F.sum("__n").over(W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, 0))
-    before = sizes.select(*keys, "__slice", (running - F.col("__n")).alias("__before"))
-    within = F.row_number().over(W.partitionBy(*keys, "__slice").orderBy(position, *ties))
-    return (
-        sliced.withColumn("__rn", within)
-        .join(before, [*keys, "__slice"])
-        .withColumn(rank, F.col("__before") + F.col("__rn"))
-        .drop("__before", "__rn", "__slice")
-    )
+    """``row_number`` per key for keys of any size, and the key's number of rows in ``total``.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of a few small files one partition per core.
-
-    Rendering a page costs far more than moving it, and a file with one row group
-    is read by one task.  A scan that already has enough partitions, as any large
-    corpus has, is left alone, so bodies are never shuffled at scale.  Only for
-    plain scans: the number of partitions of anything else is not known before it
-    has run.
+    The rows are dealt by range of (keys, order), sorted and written once, each with its
+    place in its partition.  What a key has in the partitions before is a running sum
+    over one number for each key and partition.  ``order`` has to be unique within a key,
+    also to spread a key over partitions.  This writes when it is called.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    scanned = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if scanned < cores else df
+    ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # The upper bits are the partition, the lower 33 the place in it.
+    rows = materialise(ordered.withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__at", 33)
+    counts = rows.groupBy(*keys, part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__start"))
+    by_key = W.partitionBy(*keys)
+    running = F.sum("__n").over(by_key.orderBy("__part").rowsBetween(W.unboundedPreceding, 0))
+    starts = counts.select(
+        *keys, "__part", (running - F.col("__n") - F.col("__start") + 1).alias("__shift"), F.sum("__n").over(by_key).alias("__total")
+    )
+    starts = materialise(starts, "starts")
+    joined = rows.withColumn("__part", part).join(starts, [*keys, "__part"])
+    out = joined.withColumn(rank, F.col("__at") + F.col("__shift"))
+    if total is not None:
+        out = out.withColumn(total, F.col("__total"))
+    return out.select(*df.columns, rank, *([total] if total is not None else []))

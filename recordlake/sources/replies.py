@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_QUERIES_REPLY
 from ..functions.text import let, match, match_all, parse_json, q, strip
 from ..spec import RecordSpec
 
@@ -124,19 +123,18 @@ def json_payloads(text: str) -> str:
     return let(blocks, "found", f"CASE WHEN size(found) > 0 THEN found ELSE {container(text)} END")
 
 
-def reply_queries(replies: DataFrame, *, keys: Sequence[str] = ("job_id",), text: str = "text") -> DataFrame:
-    """Up to ten queries of a planner reply, in order."""
+def reply_queries(
+    replies: DataFrame, *, keys: Sequence[str] = ("job_id",), text: str = "text", limit: int | None = None
+) -> DataFrame:
+    """Queries of a planner reply in order, the first ``limit`` of them if it is set."""
     parsed = replies.select(*keys, F.expr(json_in_prose(f"`{text}`")).alias("__v"))
     listed = parsed.select(
         *keys,
-        F.slice(
-            F.filter(F.try_variant_get("__v", "$.queries", "array<string>"), lambda x: x.isNotNull() & (x != "")),
-            1,
-            MAX_QUERIES_REPLY,
-        ).alias("__queries"),
+        F.filter(F.try_variant_get("__v", "$.queries", "array<string>"), lambda x: x.isNotNull() & (x != "")).alias("__queries"),
     )
     rows = listed.select(*keys, F.posexplode_outer("__queries").alias("__pos", "query"))
-    return rows.filter(F.col("query").isNotNull()).select(*keys, (F.col("__pos") + 1).alias("query_no"), "query")
+    numbered = rows.filter(F.col("query").isNotNull()).select(*keys, (F.col("__pos") + 1).alias("query_no"), "query")
+    return numbered if limit is None else numbered.filter(F.col("query_no") <= limit)
 
 
 def parse_replies(replies: DataFrame, *, text: str = "text") -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import MAX_RESULTS_PER_QUERY, MAX_RESULTS_SERVER
 from ..functions.text import LINE_BREAK, cut, let, match_all, parse_json, q, strip
 from ..functions.urls import canonical_url, is_http
 from ..plans.stages import top_per_key
@@ -126,9 +125,9 @@ def load_search_results(
     )
 
 
-def limit_results(results: DataFrame, limit: int = MAX_RESULTS_PER_QUERY) -> DataFrame:
-    """First results of every query; the server engine gives at most 20."""
+def limit_results(results: DataFrame, limit: int, *, server_limit: int | None = None) -> DataFrame:
+    """First ``limit`` results of every query; those of the server engine may have a limit of their own."""
     ranked = top_per_key(results, ["job_id", "query"], ["rank"], limit, "__rn")
-    return ranked.filter(
-        (F.col("engine") != "server") | (F.col("__rn") <= MAX_RESULTS_SERVER)
-    ).drop("__rn")
+    if server_limit is not None:
+        ranked = ranked.filter((F.col("engine") != "server") | (F.col("__rn") <= server_limit))
+    return ranked.drop("__rn")

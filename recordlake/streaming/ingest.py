@@ -12,8 +12,7 @@ from ..operators.entities import entity_key
 from ..operators.extract import extract_candidates
 from ..operators.page_text import page_text
 from ..operators.validate import accepted, validate_records
-from ..plans.stages import first_per_key, top_per_key
-from ..constants import MAX_RECORDS_HARD
+from ..plans.stages import first_per_key, wide_row_number
 from ..spec import RecordSpec
 
 
@@ -88,12 +87,12 @@ class RecordTable:
         fresh = fresh.join(known, ["job_id", "__key"], "left_anti")
         if targets is not None:
             had = self._earlier("keys", key_schema, batch_id).groupBy("job_id").agg(F.count(F.lit(1)).alias("__had"))
-            ranked = top_per_key(fresh, ["job_id"], self.order, MAX_RECORDS_HARD, "__no")
-            room = F.coalesce("max_records", F.lit(MAX_RECORDS_HARD)) - F.coalesce("__had", F.lit(0))
+            ranked = wide_row_number(fresh, ["job_id"], [*self.order, "__key"], "__no")
+            room = F.col("max_records") - F.coalesce("__had", F.lit(0))
             fresh = (
                 ranked.join(targets.select("job_id", "max_records"), "job_id", "left")
                 .join(had, "job_id", "left")
-                .filter(F.col("__no") <= room)
+                .filter(room.isNull() | (F.col("__no") <= room))
                 .drop("__no", "max_records", "__had")
             )
         staged = f"{self.path}/records/batch={batch_id}"
@@ -124,5 +123,5 @@ def write_records(
 def skipped_pages(pages: DataFrame) -> DataFrame:
     """Pages of a stream that yield nothing, with the reason; never an exception."""
     return page_text(pages).filter(F.col("reject").isNotNull()).select(
-        *[c for c in pages.columns if c != "html"], F.left("reject", F.lit(200)).alias("reason")
+        *[c for c in pages.columns if c != "html"], F.col("reject").alias("reason")
     )
