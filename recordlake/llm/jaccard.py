@@ -3,11 +3,13 @@
 1. Texts become sets of shingle hashes (64 bits).  Texts of one set are a class; its
    smallest id stands for it.
 2. Candidates.  Two sets that link differ in at most D shingles, where D follows from
-   their sizes.  If shingles are dealt into more than D parts, at least one part is the
-   same in both, so documents only need to meet others under the hash of a part.  Sizes
-   fall into bands with a number of parts each; a set also uses the next band's parts
-   if a partner may be there.  Parts with one shingle or none are left out where enough
-   others must agree, and kept where not, so no link is lost.
+   their sizes.  Shingles are dealt into K > D parts, of which K - D at least are the
+   same in both.  So a document that shares fewer of its parts, by hash, with others has
+   no link; and of the others each may leave out all but one of the K - D parts it must
+   share, the last ones by hash, and still meets every partner in a part.  Sizes fall
+   into bands with a number of parts each; a set also uses the next band's parts if a
+   partner may be there.  Empty parts do not count, unless so many are empty that no
+   other part has to agree.
 3. Documents that meet, directly or through others, form a cluster; links never leave it.
 4. T-occurrence search inside clusters, in blocks of bounded size.  A set's needed
    overlap T is at least 85 % of its size.  Its longest inverted lists are set aside,
@@ -42,7 +44,7 @@ BLOCK_SHINGLES = 600_000
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 #: Growth of size bands, and parts beyond the least number of them.
-_GROWTH, _SLACK = 1.3, 0.12
+_GROWTH, _SLACK = 1.5, 0.35
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +100,8 @@ class Bands:
         return sizes * 100 // self.percent
 
 
-def part_hashes(value: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the parts under which each set must be found."""
+def part_hashes(value: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tag, hash) of each set's parts; a tag is the band and how many parts the set must share at least."""
     sizes = np.diff(bounds)
     rows = np.flatnonzero(sizes)
     own = bands.of(sizes[rows])
@@ -107,7 +109,7 @@ def part_hashes(value: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np
     set_row = np.concatenate([rows, rows[next_too]])
     band = np.concatenate([own, own[next_too] + 1])
     if not len(set_row):
-        return set_row, np.zeros(0, _U)
+        return set_row, set_row, np.zeros(0, _U)
     parts = bands.parts[band]
     first = np.cumsum(parts) - parts
     size = sizes[set_row]
@@ -121,14 +123,14 @@ def part_hashes(value: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np
     sums = np.zeros(total, _U)
     sums[filled] = np.add.reduceat(mix(shingle[order] + _ODD), (np.cumsum(count) - count)[filled])
     of_set = np.repeat(np.arange(len(set_row)), parts)
-    thin = count < 2
-    # Parts that must agree, less the thin ones: none left means the thin ones are needed.
-    agree = bands.parts[band] - bands.differ[band]
-    needs_thin = np.bincount(of_set[thin], minlength=len(set_row)) >= agree
-    use = ~thin | needs_thin[of_set]
+    empty = count == 0
+    must = parts - bands.differ[band] - np.bincount(of_set[empty], minlength=len(set_row))
+    # Where empty parts alone may agree, they are sent too, and any one of the parts will do.
+    use = ~empty | (must < 1)[of_set]
     number = np.arange(total) - first[of_set]
     key = mix(sums ^ mix(band[of_set].astype(_U) * _U(1 << 40) + number.astype(_U) + (count.astype(_U) << _U(20)) * _ODD))
-    return set_row[of_set[use]], key[use]
+    tag = (band << 40) + np.maximum(must, 1)
+    return set_row[of_set[use]], tag[of_set[use]], key[use]
 
 
 def _ids_and_texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Texts]]:
@@ -166,34 +168,92 @@ def set_summaries(size: int):
 
 
 def find_parts(size: int, percent: int):
-    """(doc, text) to (key, doc) under the hash of each part; meetings inside a slice come out as (spread key, doc, other)."""
+    """(doc, text) to (key, doc, tag, null) for each part of a document.
+
+    Of a slice's documents that share a part, one row without a tag travels for all, so
+    a common part is sent once for each slice; that they share it is known already, and
+    they travel as (spread key, doc, tag, part).
+    """
     bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in _ids_and_texts(batch):
-                row, key = part_hashes(*shingle_sets(texts, size), bands)
+                row, tag, key = part_hashes(*shingle_sets(texts, size), bands)
                 doc = ids.to_numpy(zero_copy_only=False)[row].astype(np.int64)
                 order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
                 new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
-                least = np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(key))))
-                met = np.flatnonzero(doc != least)
+                new[1:] = key[order][1:] != key[order][:-1]
+                begin = np.flatnonzero(new)
+                several = np.diff(np.append(begin, len(key))) > 1
+                lead, shared = order[begin], np.repeat(several, np.diff(np.append(begin, len(key))))
+                by_doc = np.argsort(doc[lead], kind="stable")  # alike rows together take less room
+                lead, several = lead[by_doc], several[by_doc]
                 yield pa.RecordBatch.from_arrays(
-                    [_longs(key[new]), _longs(doc[new]), pa.nulls(int(new.sum()), pa.int64())], names=["key", "doc", "other"]
+                    [_longs(key[lead]), _longs(doc[lead]), _longs(np.where(several, -1, tag[lead])), pa.nulls(len(lead), pa.int64())],
+                    names=["key", "doc", "tag", "part"],
                 )
-                if len(met):
-                    pair = np.unique(np.stack([least[met], doc[met]], axis=1), axis=0)
+                if shared.any():
+                    known = order[shared]
                     yield pa.RecordBatch.from_arrays(
-                        [_longs(mix(np.ascontiguousarray(pair[:, 1]).view(_U))),
-                         _longs(np.ascontiguousarray(pair[:, 0])), _longs(np.ascontiguousarray(pair[:, 1]))],
-                        names=["key", "doc", "other"],
+                        [_longs(mix(key[known] ^ mix(doc[known].view(_U)))), _longs(doc[known]), _longs(tag[known]), _longs(key[known])],
+                        names=["key", "doc", "tag", "part"],
                     )
 
     return run
 
 
+def shared_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by key: (doc, tag, part) of the parts that several documents, or slices, have."""
+    held: tuple | None = None  # key, doc, tag of the last row, and whether its part is shared
+    for batch in batches:
+        known = batch.filter(batch.column(3).is_valid())
+        if len(known):
+            yield known.select([1, 2, 3])
+        rows = batch.filter(batch.column(3).is_null())
+        if not len(rows):
+            continue
+        key, doc, tag = (rows.column(i).to_numpy() for i in range(3))
+        told = False
+        if held is not None:
+            key, doc, tag = np.append(held[0], key), np.append(held[1], doc), np.append(held[2], tag)
+            told = held[3]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(key)))
+        shared = np.repeat(size > 1, size)
+        if told:
+            shared[: size[0]] = True
+        out = shared & (tag >= 0)
+        if held is not None and told:
+            out[0] = False
+        held = (key[-1], doc[-1], tag[-1], bool(shared[-1]))
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(tag[out]), pa.array(key[out])], names=["doc", "tag", "part"])
+
+
+def meet_in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, doc) to (part, first doc, null) once for a batch, and its meetings as (spread key, first doc, doc)."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        key, doc = (batch.column(i).to_numpy() for i in range(2))
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        least = np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(key))))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[new]), pa.array(doc[new]), pa.nulls(int(new.sum()), pa.int64())], names=["key", "doc", "other"]
+        )
+        met = doc != least
+        if met.any():
+            pair = np.unique(np.stack([least[met], doc[met]], axis=1), axis=0)
+            first, other = np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
+            yield pa.RecordBatch.from_arrays([_longs(mix(other.view(_U))), _longs(first), _longs(other)], names=["key", "doc", "other"])
+
+
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by key and doc: each document with the first one of its key, once for each batch."""
     held_key = held_doc = None
@@ -380,8 +440,13 @@ def jaccard_groups(
     kinds = summaries.filter("n_shingles > 0 AND doc IS NOT NULL").groupBy("n_shingles", "h1", "h2")
     first = kinds.agg(F.min("doc").alias("first"))
 
-    parts = base.filter("doc IS NOT NULL").mapInArrow(find_parts(size, percent), "key long, doc long, other long")
-    met = parts.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meetings, "a long, b long")
+    parts = base.filter("doc IS NOT NULL").mapInArrow(find_parts(size, percent), "key long, doc long, tag long, part long")
+    shared = parts.repartition("key").sortWithinPartitions("key").mapInArrow(shared_parts, "doc long, tag long, part long")
+    must = F.expr("CAST(pmod(tag, 1L << 40) AS INT)")
+    own = shared.groupBy("doc", "tag").agg(F.array_sort(F.collect_set("part")).alias("parts")).withColumn("must", must)
+    own = own.filter("size(parts) >= must").select("doc", F.explode(F.expr("slice(parts, 1, size(parts) - must + 1)")).alias("part"))
+    met = own.select("part", "doc").mapInArrow(meet_in_batches, "key long, doc long, other long")
+    met = met.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meetings, "a long, b long")
     clusters = components(met)
 
     # One document of each set, with the clusters that hold several sets.
