@@ -7,7 +7,7 @@ from recordlake.operators.frontier import build_frontier, frontier_funnel
 from recordlake.operators.planning import plan_queries, with_targets
 from recordlake.sources.search import limit_results, load_search_results, read_payloads, read_seeds, seed_results
 
-INTENT = "Find 20 B2B SaaS startups in Norway with active hiring pages and founder emails"
+INTENT = "List organic cheese dairies near Bergamo that sell wheels wholesale"
 
 
 def frontier_of(spark, results, intent=INTENT, **options):
@@ -18,39 +18,41 @@ def frontier_of(spark, results, intent=INTENT, **options):
 
 
 def test_off_topic_results_are_dropped(spark):
-    noise = [
-        ("History of Norway", "https://en.wiki.test/wiki/History_of_Norway", "", "x"),
-        ("To-do list app", "https://lists.test/to-do", "", "x"),
-        ("Maps", "https://atlas.test/maps/norway", "", "x"),
+    """Two words of the intent, or their stems, have to occur in title, snippet or path."""
+    one_word = [
+        ("Bergamo airport arrivals", "https://fly.test/today", "", "x"),
+        ("How to true bicycle wheels", "https://spokes.test/guide", "", "x"),
     ]
-    gems = [
-        ("Top SaaS Companies in Norway", "https://suggest.test/blog/top-saas", "B2B SaaS startups list with contact emails", "x"),
-        ("B2B SaaS Startups", "https://growth.test/b2b-saas-startups", "Norway SaaS startup database", "x"),
+    two_words = [
+        ("Alpine dairies", "https://alp.test/cheese", "", "x"),
+        ("Shop", "https://shop.test/", "organically made, sold wholesale", "x"),
     ]
-    assert frontier_of(spark, noise + gems) == [g[1] for g in gems]
+    assert frontier_of(spark, [one_word[0], two_words[0], one_word[1], two_words[1]]) == [r[1] for r in two_words]
 
 
 def test_seeds_first_and_always(spark):
-    results = [("SaaS startups Norway", "https://a.test/", "", "x"), ("seed", "https://only.test/page", "", "seed")]
-    assert frontier_of(spark, results) == ["https://only.test/page", "https://a.test/"]
+    results = [("Organic cheese dairies", "https://first.test/", "", "x"), ("", "https://given.test/unrelated", "", "seed")]
+    assert frontier_of(spark, results) == ["https://given.test/unrelated", "https://first.test/"]
 
 
 def test_thin_intent_passes_everything_in_order(spark):
-    results = [("Anything", "https://b.test/", "", "x"), ("Other", "https://a.test/", "", "seed")]
-    assert frontier_of(spark, results, "find leads") == ["https://b.test/", "https://a.test/"]
+    results = [("Z", "https://z.test/", "", "x"), ("Y", "https://y.test/news/y", "", "seed"), ("X", "https://x.test/", "", "x")]
+    assert frontier_of(spark, results, "get cheese") == [r[1] for r in results]
 
 
 def test_site_search_dropped_and_news_last(spark):
+    title = "Organic cheese dairies"
     results = [
-        ("B2B SaaS startups Norway email", "https://imgs.test/search?q=B2B+SaaS+startups", "", "x"),
-        ("B2B SaaS startups struggle in Norway", "https://paper.test/news/saas", "", "x"),
-        ("B2B SaaS Startup Directory Norway", "https://dir.test/b2b-saas", "", "x"),
+        (title, "https://gazette.test/news/dairies", "", "x"),
+        (title, "https://pictures.test/search?q=cheese+dairies", "", "x"),
+        (title, "https://plain.test/", "", "x"),
+        (title + " directory", "https://register.test/", "", "x"),
     ]
-    assert frontier_of(spark, results) == ["https://dir.test/b2b-saas", "https://paper.test/news/saas"]
+    assert frontier_of(spark, results) == ["https://register.test/", "https://plain.test/", "https://gazette.test/news/dairies"]
 
 
 def test_url_filters_dedupe_and_cap(spark):
-    title = "B2B SaaS startups"
+    title = "Organic cheese dairies"
     results = [(title, u, "", "x") for u in (
         "https://a.test/1", "https://a.test/1", "ftp://a.test/2", "https://www.google.com/search?q=1",
         "https://a.test/x.pdf", "https://a.test/3", "https://a.test/4",
@@ -97,8 +99,9 @@ def test_readers_and_limits(spark, tmp_path):
     jobs = spark.createDataFrame([("j", [" https://a.test ", " "])], "job_id string, seed_urls array<string>")
     assert [r["url"] for r in seed_results(jobs).collect()] == ["https://a.test"]
     many = spark.range(40).select(F.lit("j").alias("job_id"), F.lit("q").alias("query"), F.lit("server").alias("engine"), F.col("id").alias("rank"))
-    assert limit_results(many).count() == 20
-    assert limit_results(many.withColumn("engine", F.lit("cli"))).count() == 25
+    assert limit_results(many, 25, server_limit=20).count() == 20
+    assert limit_results(many.withColumn("engine", F.lit("cli")), 25, server_limit=20).count() == 25
+    assert limit_results(many, 39).count() == 39
 
 
 def test_planned_queries(spark):

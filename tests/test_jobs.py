@@ -31,20 +31,21 @@ def corpus(spark, pages):
 
 
 def test_job_with_seeds_and_a_missing_page(spark):
-    pages = corpus(spark, [("https://dir.test/list", DIRECTORY), ("https://heron.test/about", PROFILE), ("https://no.test/", "<title>Just a moment...</title><p>a@b.io</p>")])
-    jobs = spark.createDataFrame([("j", "Find gauge makers with founder emails in Norway", 10)], JOB)
-    done = run_harvest(SPEC, jobs, seeds(spark, ["https://dir.test/list", "https://heron.test/about/", "https://gone.test/", "https://no.test/"]), pages)
+    pages = corpus(spark, [("https://register.test/lakes", DIRECTORY), ("https://lakes.test/kelda", PROFILE), ("https://no.test/", "<title>Just a moment...</title><p>a@b.io</p>")])
+    jobs = spark.createDataFrame([("j", "Find ferry operators with office emails on the lakes", 10)], JOB)
+    done = run_harvest(SPEC, jobs, seeds(spark, ["https://register.test/lakes", "https://lakes.test/kelda/", "https://gone.test/", "https://no.test/"]), pages, backfill=False)
     rows = done.records.orderBy("record_no").collect()
-    assert [r["company_name"] for r in rows] == ["Quay Works", "Pier Nine", "Buoy CRM", "Heron Gauges"]
+    assert [r["company_name"] for r in rows] == ["Lumen Crossing", "Grebe Line", "Skerry Rowers", "Kelda Pontoons"]
     assert {r["url"]: r["reason"] for r in done.skipped.collect()} == {
         "https://gone.test/": "page not in corpus",
         "https://no.test/": "error page (Just a moment...)",
     }
     stats = done.stats.first()
-    assert (stats["pages"], stats["candidates"], stats["valid"], stats["validity_ratio"]) == (2, 4, 4, 1.0)
+    assert (stats["pages"], stats["candidates"], stats["valid"], stats["invalid"], stats["duplicates"]) == (2, 6, 4, 1, 1)
+    assert stats["validity_ratio"] == 0.8
     summary = done.summary.first()
     assert summary["status"] == "completed" and summary["pages_skipped"] == 2
-    assert summary["sources_scraped"] == ["https://dir.test/list", "https://heron.test/about"]
+    assert summary["pages_scraped"] == 2
 
 
 def test_job_with_replies(spark):
@@ -95,9 +96,9 @@ def test_second_wave_stops_at_target_and_skips_visited(spark):
 
 
 def test_jobs_share_pages_but_not_records(spark):
-    jobs = spark.createDataFrame([("a", "find gauge makers in norway", 2), ("b", "find gauge makers in norway", None)], JOB)
-    results = seeds(spark, ["https://dir.test/list"], "a").union(seeds(spark, ["https://dir.test/list#x"], "b"))
-    done = run_harvest(SPEC, jobs, results, corpus(spark, [("https://dir.test/list", DIRECTORY)]))
+    jobs = spark.createDataFrame([("a", "find lake ferry operators", 2), ("b", "find lake ferry operators", None)], JOB)
+    results = seeds(spark, ["https://register.test/lakes"], "a").union(seeds(spark, ["https://register.test/lakes#x"], "b"))
+    done = run_harvest(SPEC, jobs, results, corpus(spark, [("https://register.test/lakes", DIRECTORY)]), backfill=False)
     counts = {r["job_id"]: r["count"] for r in done.records.groupBy("job_id").count().collect()}
     assert counts == {"a": 2, "b": 3}
 
@@ -152,7 +153,7 @@ def test_json_in_prose(value, text, want):
 
 def test_reply_queries_and_records(spark):
     replies = spark.createDataFrame([("j", json.dumps({"queries": [f"q{i}" for i in range(14)] + [""]}))], "job_id string, text string")
-    assert reply_queries(replies).count() == 10
+    assert reply_queries(replies).count() == 14 and reply_queries(replies, limit=10).count() == 10
     spec = RecordSpec.of([("company_name", "string", True), ("size", "integer"), ("ok", "boolean"), ("tags", "array")])
     texts = {
         "u1": json.dumps({"records": [{"Company Name": "Quay", "size": 7.9, "ok": True, "tags": ["a", " "]}, 3]}),
@@ -230,13 +231,36 @@ def test_wide_row_number_on_a_hot_key(spark):
     rows = spark.range(5000).select(
         F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("k"), ((F.col("id") * 7919) % 977).alias("pos"), "id"
     )
-    got = {(r["k"], r["id"]): r["rn"] for r in wide_row_number(rows, ["k"], "pos", "rn", ties=["id"], hot_rows=1000, slices=16).collect()}
+    got = {(r["k"], r["id"]): r["rn"] for r in wide_row_number(rows, ["k"], ["pos", "id"], "rn").collect()}
     want = {}
     data = [(r["k"], r["pos"], r["id"]) for r in rows.collect()]
     for key in ("hot", "cold"):
         for i, (_, _, n) in enumerate(sorted(d for d in data if d[0] == key)):
             want[(key, n)] = i + 1
     assert got == want
+    # All positions equal but for the last one, and the key's number of rows beside.
+    same = spark.range(3000).select(F.lit("k").alias("k"), F.lit(1).alias("pos"), "id")
+    numbered = wide_row_number(same, ["k"], ["pos", "id"], "rn", total="n")
+    assert numbered.filter("rn <> id + 1 OR n <> 3000").count() == 0
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 2
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    """A stand-in session, as no cluster is at hand."""
+    from types import SimpleNamespace
+
+    from recordlake.plans.stages import checkpoint_root
+
+    def session(master, **settings):
+        conf = SimpleNamespace(get=lambda key, default=None: settings.get(key.replace(".", "_"), default))
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert checkpoint_root(session("local[2]", spark_sql_warehouse_dir="file:/here")) == "file:/here"
+    shared = session("yarn", spark_checkpoint_dir="hdfs://a/b", spark_sql_warehouse_dir="file:/here")
+    assert checkpoint_root(shared) == "hdfs://a/b"
+    with pytest.raises(ValueError):
+        checkpoint_root(session("yarn", spark_sql_warehouse_dir="file:/here"))
 
 
 def test_events(spark, tmp_path):
@@ -257,12 +281,12 @@ def _stream(spark, table, checkpoint, source, schema, targets=None):
 
 
 def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
-    pages = page_frame(spark, [("j", 1, "https://dir.test/1", DIRECTORY), ("j", 2, "https://heron.test/", PROFILE), ("j", 3, "https://bad.test/", "<title>404 Not Found</title>x")])
+    pages = page_frame(spark, [("j", 1, "https://register.test/1", DIRECTORY), ("j", 2, "https://lakes.test/", PROFILE), ("j", 3, "https://bad.test/", "<title>404 Not Found</title>x")])
     source = str(tmp_path / "pages")
     pages.coalesce(1).write.parquet(source)
     table = RecordTable(spark, str(tmp_path / "table"), SPEC)
     _stream(spark, table, str(tmp_path / "state"), source, pages.schema)
-    again = page_frame(spark, [("j", 9, "https://dir.test/copy", DIRECTORY)])
+    again = page_frame(spark, [("j", 9, "https://register.test/copy", DIRECTORY)])
     again.coalesce(1).write.mode("append").parquet(source)
     _stream(spark, table, str(tmp_path / "state"), source, pages.schema)
     from recordlake.operators.extract import extract_candidates
@@ -281,7 +305,7 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
 
 
 def test_stream_stops_at_the_target(spark, tmp_path):
-    pages = page_frame(spark, [("j", 1, "https://dir.test/1", DIRECTORY), ("j", 2, "https://heron.test/", PROFILE)])
+    pages = page_frame(spark, [("j", 1, "https://register.test/1", DIRECTORY), ("j", 2, "https://lakes.test/", PROFILE)])
     source = str(tmp_path / "pages")
     pages.repartition(2, "page_rank").write.parquet(source)
     table = RecordTable(spark, str(tmp_path / "table"), SPEC)

@@ -10,6 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 # These run streams or write files while they are built.
 EAGER = {
     "stream_dedupe", "stream_status", "stream_records", "stream_counters", "csv_roundtrip", "json_roundtrip",
+    "record_target", "event_replay", "webhook_payloads", "wide_ranks",
     "markdown_roundtrip", "evolving_table", "harvest_records", "harvest_summary", "lead_backfill",
 }
 CHECKED = (
@@ -67,7 +68,7 @@ def test_dedupe_exchanges_once_and_limits_first(spark):
     )
     plan = plan_of(dedupe_records(rows, LEAD_SPEC))
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("WindowGroupLimit") == 2
-    assert plan_of(limit_records(rows)).count("WindowGroupLimit") == 2
+    assert plan_of(limit_records(rows, default=20)).count("WindowGroupLimit") == 2
 
 
 def test_narrow_scan_for_narrow_queries(spark):

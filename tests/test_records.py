@@ -27,19 +27,19 @@ def raws(spark, markdown, spec, title="", url="https://dir.test/"):
 
 
 def test_directory_page(spark):
-    rows = records_of(spark, [("j", 1, "https://dir.test/", DIRECTORY)], SPEC).orderBy("cand_idx").collect()
-    assert [r["company_name"] for r in rows] == ["Quay Works", "Pier Nine", "Buoy CRM"]
-    assert rows[0]["email"] == "ask@quayworks.io"
-    assert [r["founded"] for r in rows] == ["2020-05-06", "2018-01-01", "2021-02-07"]
-    assert [r["employees"] for r in rows] == [31, 1200, 18]
-    assert [r["hiring"] for r in rows] == [True, False, True]
-    assert rows[1]["tech_stack"] == ["Go", "Rust"]
+    rows = records_of(spark, [("j", 1, "https://register.test/lakes", DIRECTORY)], SPEC).orderBy("cand_idx").collect()
+    assert [r["company_name"] for r in rows] == ["Lumen Crossing", "Grebe Line", "LUMEN CROSSING", "Skerry Rowers"]
+    assert rows[1]["email"] == "office@grebeline.fi" and rows[1]["fare"] == 1040.0
+    assert [r["last_survey"] for r in rows] == ["2016-03-14", "2022-11-30", None, "2024-06-03"]
+    assert [r["vessels"] for r in rows] == [4, 2, 4, 1]
+    assert [r["carries_cars"] for r in rows] == [False, True, False, False]
+    assert [r["ports"] for r in rows] == [["Aske", "Brund"], ["Tvern"], ["Aske"], ["Aske", "Ilm", "Orn"]]
 
 
 def test_bold_key_with_inner_colon_is_no_pair(spark):
-    row = records_of(spark, [("j", 1, "https://heron.test/", PROFILE)], SPEC).first()
-    assert row["company_name"] == "Heron Gauges" and row["email"] == "boss@herongauges.dev"
-    assert row["website"] == "https://heron.test/" and row["founded"] is None
+    row = records_of(spark, [("j", 1, "https://lakes.test/kelda", PROFILE)], SPEC).first()
+    assert row["company_name"] == "Kelda Pontoons" and row["email"] == "quay@keldapontoons.is"
+    assert row["homepage"] == "https://lakes.test/kelda" and row["vessels"] is None
     assert row["candidate_source"] == "bare"
 
 
@@ -155,11 +155,15 @@ def test_zero_and_false_count_as_blank_in_keys(spark):
 @pytest.mark.parametrize(
     "raw, url, want",
     [
-        ({"company_name": "Best Mobile App & Website Company", "email": "hr@pixelworth.com"}, "https://x.test/", "Pixelworth"),
-        ({"email": "sales@deltaworks.com"}, "https://www.linkedin.com/company/d", "Deltaworks"),
-        ({"company_name": "Handset Solutions", "email": "deals@gmail.com"}, "https://www.linkedin.com/c", "Handset Solutions"),
-        ({"company_name": "Find Great Deals", "email": "deals@gmail.com", "website": "https://shop.io"}, "https://www.linkedin.com/c", "Shop"),
-        ({"company_name": "Find Great Deals", "email": "deals@gmail.com"}, "https://www.linkedin.com/c", "Find Great Deals"),
+        # A slogan gives way to the address's domain, also when the page is on a platform.
+        ({"company_name": "Top Rated Ferry Service in Town", "email": "crew@saltmarsh.fi"}, "https://lakes.test/", "Saltmarsh"),
+        ({"email": "tickets@ebbandflow.se"}, "https://www.linkedin.com/in/ebb", "Ebbandflow"),
+        # A plain name stays, whatever the address is.
+        ({"company_name": "Plover Barges", "email": "plover@yahoo.com"}, "https://www.linkedin.com/in/p", "Plover Barges"),
+        # Free mail says nothing; the website does.
+        ({"company_name": "Search Our Ferries Today", "email": "helm@gmail.com", "website": "https://tarn.is"}, "https://www.linkedin.com/in/t", "Tarn"),
+        # With neither, the given text is kept.
+        ({"company_name": "Search Our Ferries Today", "email": "helm@gmail.com"}, "https://www.linkedin.com/in/t", "Search Our Ferries Today"),
     ],
 )
 def test_name_derivation(spark, raw, url, want):
@@ -190,26 +194,34 @@ def test_reserved_names(spark):
 
 
 def test_leads(spark):
+    page = "https://register.test/open"
     rows = [
-        ("j", "https://dir.test/l", 1, {"Company Name": "Quay", "website": "https://quay.io"}),
-        ("j", "https://dir.test/l", 2, {"Company Name": "Quay 2", "website": "https://quay.io"}),
-        ("j", "https://dir.test/l", 3, {"Company Name": "Pier", "email": "hi@pier.io", "website": "https://pier.io"}),
-        ("j", "https://dir.test/l", 4, {"Company Name": "Buoy", "email": "verified@acme.io", "website": "buoy.io"}),
-        ("j", "https://dir.test/l", 5, {"Company Name": "Self", "website": "https://dir.test/l/"}),
-        ("j", "https://dir.test/l", 6, {"website": "https://noname.io"}),
-        ("j", "https://dir.test/l", 7, {"Company Name": "No site"}),
+        ("j", page, 3, {"Company Name": "Teal Launches", "website": "teal-launches.se"}),
+        ("j", page, 1, {"Company Name": "Teal", "website": "https://teal-launches.se"}),
+        ("j", page, 2, {"Company Name": "Complete Ltd", "email": "pier@complete.se", "website": "https://complete.se"}),
+        ("j", page, 4, {"Company Name": "Not An Address", "email": "ask at the pier", "website": "https://mole.is"}),
+        ("j", page, 5, {"Company Name": "The Register", "website": page + "/"}),
+        ("j", page, 6, {"Company Name": "  ", "website": "https://nameless.is"}),
+        ("j", page, 7, {"Company Name": "Nowhere"}),
+        ("k", page, 8, {"Company Name": "Other Job", "website": "https://teal-launches.se"}),
     ]
     leads = collect_leads(candidate_frame(spark, rows, LEAD_SPEC), LEAD_SPEC)
-    assert sorted((r["website"], r["company"]) for r in leads.collect()) == [("https://buoy.io", "Buoy"), ("https://quay.io", "Quay")]
-    no_email = RecordSpec.of([("company", "string"), ("website", "url")])
-    assert collect_leads(candidate_frame(spark, rows, no_email), no_email).count() == 0
+    assert sorted((r["job_id"], r["website"], r["company"]) for r in leads.collect()) == [
+        ("j", "https://mole.is", "Not An Address"), ("j", "https://teal-launches.se", "Teal"),
+        ("k", "https://teal-launches.se", "Other Job"),
+    ]
+    nothing_to_find = RecordSpec.of([("company", "string"), ("website", "url")])
+    assert collect_leads(candidate_frame(spark, rows, nothing_to_find), nothing_to_find).count() == 0
 
 
 def test_targets(spark):
     records = spark.createDataFrame([("a", i, 0) for i in range(8)] + [("b", i, 0) for i in range(3)], "job_id string, page_rank int, cand_idx int")
     jobs = spark.createDataFrame([("a", 2), ("b", None)], "job_id string, max_records int")
-    kept = limit_records(records, jobs, default=3).collect()
+    kept = limit_records(records, jobs).collect()
     assert sorted((r["job_id"], r["page_rank"]) for r in kept) == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("b", 2)]
+    kept = limit_records(records, jobs, default=1).collect()
+    assert sorted((r["job_id"], r["page_rank"]) for r in kept) == [("a", 0), ("a", 1), ("b", 0)]
+    assert limit_records(records).count() == 11 and limit_records(records, default=2).count() == 4
 
 
 def test_given_candidates_replace_heuristics(spark):
@@ -234,4 +246,4 @@ def test_job_summary_states(spark):
     assert rows["a"]["outputs"][0]["format"] == "csv" and rows["a"]["duration_seconds"] >= 0
     assert rows["a"]["status"] == "completed" and rows["a"]["queries"] == ["one", "two"]
     assert rows["b"]["error"] == "intent is empty"
-    assert rows["c"]["status"] == "failed" and rows["c"]["error"].startswith("No valid records")
+    assert rows["c"]["status"] == "failed" and rows["c"]["error"].startswith("the pages that were read")
