@@ -52,7 +52,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts without strings of 50 bytes that earlier documents have; cut characters go."""
     prepared(spark)
     out = suffix_dedup(docs, length=50)
-    return _with_text(out, F.when(F.col("text").isNotNull(), valid_text("deduped.kept"))).select(*docs.columns)
+    return _with_text(out, valid_text("deduped.kept")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -468,7 +468,7 @@ def jaccard_groups(
     by_doc = labels.join(final, "label").select(F.col("doc").alias("first"), "component_id").distinct()
     rows = summaries.join(first, ["n_shingles", "h1", "h2"], "left").join(by_doc, "first", "left")
     return rows.select(
-        F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component_id", "first", "doc").alias("component_id")
+        F.col("doc").alias("doc_id"), "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "first", "doc")).alias("component_id")
     )
 
 

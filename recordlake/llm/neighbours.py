@@ -189,13 +189,16 @@ def _nearest(edges: DataFrame, degree: int) -> DataFrame:
 def neighbour_graph(nodes: DataFrame, *, degree: int, meet: int, trees: int, rounds: int) -> DataFrame:
     """(u, near) for written nodes (id, coarse): each with its nearest nodes found, as sorted (d, v)."""
     edges = None
+    # Few nodes lie in few partitions, so that each has others to be compared with.
+    parts = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // (4 * LEAF)))
     for tree in range(trees):
         placed = nodes.mapInArrow(place(tree, 10), _NODE + ", cell long, side double")
-        parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ordered = placed.repartitionByRange(parts, "cell", "side").sortWithinPartitions("cell", "side")
         found = ordered.select("id", "coarse").mapInArrow(compare_leaves(degree), "u long, v long, d double")
         edges = found if edges is None else edges.unionByName(found)
-    graph = materialise(_nearest(edges, degree).withColumn("old", F.expr("CAST(array() AS ARRAY<BIGINT>)")), "graph")
+    found = nodes.select(F.col("id").alias("u")).join(_nearest(edges, degree), "u", "left")
+    near = F.expr("coalesce(near, CAST(array() AS ARRAY<STRUCT<d: DOUBLE, v: BIGINT>>))")
+    graph = materialise(found.select("u", near.alias("near"), F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("old")), "graph")
     for number in range(rounds):
         edges = graph.select("u", "old", F.explode("near").alias("e")).select(
             "u", "e.v", "e.d", (~F.array_contains("old", F.col("e.v"))).alias("new")
@@ -215,7 +218,8 @@ def neighbour_graph(nodes: DataFrame, *, degree: int, meet: int, trees: int, rou
         better = sent.mapInArrow(compare_meetings(degree), "u long, v long, d double")
         merged = _nearest(edges.select("u", "v", "d").unionByName(better), degree)
         before = graph.select("u", F.expr("transform(near, e -> e.v)").alias("old"))
-        graph = materialise(merged.join(before, "u"), "graph")
+        merged = before.join(merged, "u", "left").select("u", near.alias("near"), "old")
+        graph = materialise(merged, "graph")
     return graph.select("u", "near")
 
 

@@ -209,7 +209,7 @@ def op3_suffix_dedup(documents):
     """What is left of every text when strings of 50 bytes that earlier documents have are removed."""
     out = suffix_dedup(documents.select("doc_id", "text"), length=50)
     return out.select(
-        "doc_id", "deduped.n_bytes", "deduped.n_removed", "deduped.n_spans", F.sha2("deduped.kept", 256).alias("kept_sha256")
+        "doc_id", "deduped.n_bytes", "deduped.n_removed", "deduped.n_spans", F.sha2(F.coalesce("deduped.kept", F.lit(b"")), 256).alias("kept_sha256")
     )
 
 
