@@ -270,11 +270,11 @@ def nearest_neighbours(
     vector: str = "embedding",
     k: int = 10,
     degree: int = 24,
-    meet: int = 30,
+    meet: int = 36,
     trees: int = 6,
-    rounds: int = 4,
-    pool: int = 256,
-    breadth: int = 64,
+    rounds: int = 6,
+    pool: int = 400,
+    breadth: int = 100,
     search_rounds: int = 6,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query row's ``k`` nearest other rows found, by Euclidean distance."""
