@@ -49,6 +49,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from recordlake.catalogue import QUERIES
+    from recordlake.plans.stages import discard_intermediates
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -69,6 +70,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+    discard_intermediates(spark)
     spark.stop()
     print(
         json.dumps(
