@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .bytewise import Texts, blobs, small_slices
 from .pretokens import distinct_pieces
 
-#: Pieces whose ids a worker remembers; the memory is emptied when it is full.
+#: Pieces whose ids a worker remembers, twice: a full memory becomes the older one, whose
+#: pieces are taken over when they come again.
 CACHE_PIECES = 200_000
 #: Pieces of at most so many bytes are merged side by side, longer ones by a heap.
 BATCH_BYTES = 48
@@ -123,6 +124,7 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.joined = np.frombuffer(b"".join(strings), np.uint8)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.whole = {s: r.to_bytes(4, "little") for s, r in self.rank.items()}
         self.pairs = PairTable(self.rank)
 
@@ -135,15 +137,15 @@ class Vocabulary:
 
     def ids_of(self, pieces: list[bytes]) -> list[bytes]:
         """The packed ids of each piece (little-endian uint32)."""
-        known, whole = self.known, self.whole
-        if len(known) > CACHE_PIECES:
-            known.clear()
+        if len(self.known) > CACHE_PIECES:
+            self.known, self.older = {}, self.known
+        known, older, whole = self.known, self.older, self.whole
         out = [known.get(piece) for piece in pieces]
         new = [i for i, ids in enumerate(out) if ids is None]
         by_length: dict[int, list[int]] = {}
         for i in new:
             piece = pieces[i]
-            if (one := whole.get(piece)) is not None:
+            if (one := whole.get(piece)) is not None or (one := older.get(piece)) is not None:
                 out[i] = one
             elif len(piece) <= BATCH_BYTES:
                 by_length.setdefault(len(piece), []).append(i)
