@@ -457,7 +457,8 @@ def jaccard_groups(
     placed = members.join(sizes, "cluster").select(
         "doc", "cluster", F.expr("pmod(xxhash64(doc), __blocks)").alias("block"), "__blocks"
     )
-    sets = base.join(placed.select("doc", "cluster", "block"), "doc")
+    # Members grow with the table, so they are never sent whole to every executor.
+    sets = base.join(placed.select("doc", "cluster", "block").hint("merge"), "doc")
     sets = sets.mapInArrow(member_sets(size), "doc long, cluster long, block long, shingles array<long>")
     sets = materialise(sets, "member-sets")
     searched = sets.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "doc")
