@@ -34,9 +34,9 @@ def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their sources' boilerplate lines."""
+    """Texts without their sources' boilerplate lines; copies count once, as one of them is to stay whole."""
     prepared(spark)
-    out = line_dedup(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES).select(*docs.columns)
+    out = line_dedup(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES, copies_once=True).select(*docs.columns)
     return _with_text(out, F.col("text"))
 
 

@@ -3,8 +3,9 @@
 Contract of edge cases: a null text stays null and counts as a page without
 lines; rows without a host are no site and keep all lines; blank lines are
 neither counted nor dropped; a line counts once for a page however often it
-stands there; repeated rows are pages of their own; a page whose lines all go
-keeps its row with an empty text; other columns pass unchanged.
+stands there; repeated rows are pages of their own, or with ``copies_once`` all
+pages of a host with one text are one page, and null texts none; a page whose lines
+all go keeps its row with an empty text; other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -17,16 +18,21 @@ from ..plans.stages import materialise
 _DIGEST = "unhex(md5(CAST(l AS BINARY)))"
 
 
-def boilerplate_lines(docs: DataFrame, *, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate_lines(
+    docs: DataFrame, *, host: str, text: str, ratio: float, min_pages: int, copies_once: bool = False
+) -> DataFrame:
     """One row per host: digests of the lines on more than ``ratio`` of its pages and on ``min_pages`` at least.
 
     A host has at most (mean lines of a page) / ratio of them, so a row stays small.
     """
     pages = docs.select(F.col(host).alias("__host"), F.col(text).alias("__text")).filter("__host IS NOT NULL")
     digests = F.expr(f"array_distinct(transform(filter(split(__text, '\n', -1), l -> trim(l) <> ''), l -> {_DIGEST}))")
+    texts = pages.filter("__text IS NOT NULL").select("__host", "__text", digests.alias("__digests"))
+    if copies_once:
+        texts = texts.withColumn("__text", F.expr("unhex(md5(CAST(__text AS BINARY)))")).dropDuplicates(["__host", "__text"])
+        pages = texts
     counts = (
-        pages.filter("__text IS NOT NULL")
-        .select("__host", F.explode(digests).alias("__line"))
+        texts.select("__host", F.explode("__digests").alias("__line"))
         .groupBy("__host", "__line")
         .agg(F.count(F.lit(1)).alias("__pages"))
         .filter(F.col("__pages") >= min_pages)
@@ -41,7 +47,13 @@ def boilerplate_lines(docs: DataFrame, *, host: str, text: str, ratio: float, mi
 
 
 def line_dedup(
-    docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 3
+    docs: DataFrame,
+    *,
+    host: str = "source",
+    text: str = "text",
+    ratio: float = 0.05,
+    min_pages: int = 3,
+    copies_once: bool = False,
 ) -> DataFrame:
     """Drop each site's boilerplate lines; adds n_lines and n_dropped (long).
 
@@ -50,7 +62,8 @@ def line_dedup(
     small, and otherwise the pages go to it, where a host with many pages is split.
     """
     boilerplate = materialise(
-        boilerplate_lines(docs, host=host, text=text, ratio=ratio, min_pages=min_pages), "boilerplate"
+        boilerplate_lines(docs, host=host, text=text, ratio=ratio, min_pages=min_pages, copies_once=copies_once),
+        "boilerplate",
     )
     keep = f"split(`{text}`, '\n', -1)"
     kept = f"filter({keep}, l -> trim(l) = '' OR NOT array_contains(__lines, {_DIGEST}))"
