@@ -41,9 +41,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every component of near copies."""
+    """The document with the smallest id of every component whose 5-word shingles overlap by 80 % or more."""
     prepared(spark)
-    groups = jaccard_groups(docs.select("doc_id", "text"), size=4, percent=85)
+    groups = jaccard_groups(docs.select("doc_id", "text"), size=5, percent=80)
     others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(materialise(others, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -23,3 +23,17 @@ def test_one_of_many_copies_stays_whole(llm, tmp_path):
         docs = llm.read.parquet(str(tmp_path / str(k)))
     got = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert got == {0: copied} | {i: texts[i].split("\n", 1)[1] for i in range(30, 90)}
+
+
+def test_near_copies_of_the_pipeline(llm, tmp_path):
+    """Shingles of five words: similarities of 0.80 to 0.84 link, less does not."""
+    pick = random.Random(22)
+    rows = []
+    for added in (0.84, 0.82, 0.80, 0.79):
+        base = prose(pick, 204)  # 200 shingles
+        rows += [base, f"{base} {prose(pick, -(-200 * 100 // round(100 * added)) - 200 - (added >= 0.8))}"]
+    base = prose(pick, 204)
+    rows += [base, " ".join(base.split()[:164]), " ".join(base.split()[10:172])]  # 160 and 158 shingles
+    docs = llm.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(rows)], DOCUMENTS)
+    got = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(llm, docs, str(tmp_path)).collect()}
+    assert got == {0, 2, 4, 6, 7, 8}
