@@ -12,9 +12,10 @@ number of times is searched once and its copies cannot crowd a neighbourhood.
 3. Search: a query starts at its own node and takes the neighbours of its best nodes,
    round by round.  The distances of the pool that is left are taken exactly.
 
-Graph and search work on vectors of one byte a number, whose distances are whole
-numbers, so every task finds the same distance for a pair; scores come from the original
-doubles.  A node has ``degree`` neighbours and meets at most ``meet`` new and half as
+Graph, search and scores work on the original numbers, as floats if they are floats and
+else as doubles, so no two different vectors look alike and large ones leave the others'
+distances as they are.  Matrix products only choose; a distance that is kept is summed
+from differences, so every task finds the same one for a pair.  A node has ``degree`` neighbours and meets at most ``meet`` new and half as
 many known others in a round, drawn by hash, as NN-descent works with bounded lists;
 every node is in the graph and every one can be found.  Recall is measured against brute
 force in the tests.
@@ -41,15 +42,15 @@ from ..plans.stages import materialise
 
 #: Nodes compared with one another in the first graph.
 LEAF = 200
-_NODE = "id long, coarse binary"
+_NODE = "id long, vector binary"
 
 
-def valid_vectors(dimension: int):
-    """(id, list) to (id, packed doubles, hash, sum of squares), without rows that take no part."""
+def valid_vectors(dimension: int, kind: type):
+    """(id, list) to (id, packed numbers, hash), without rows that take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors, hashes, squares = [], [], [], []
+            ids, vectors, hashes = [], [], []
             whole = batch.filter(batch.column(0).is_valid())
             column = whole.column(1)
             sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) if len(whole) else np.zeros(0)
@@ -59,64 +60,54 @@ def valid_vectors(dimension: int):
             column = whole.column(1)
             values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
             good = np.isfinite(values).all(axis=1) & (values != 0).any(axis=1)
-            for i, v in zip(whole.column(0).to_numpy(zero_copy_only=False)[good].tolist(), values[good]):
+            for i, v in zip(whole.column(0).to_numpy(zero_copy_only=False)[good].tolist(), values[good].astype(kind)):
                 raw = v.tobytes()
                 ids.append(i)
                 vectors.append(raw)
                 hashes.append(xxhash.xxh3_128_digest(raw))
-                squares.append(float(v @ v))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(hashes, pa.binary()), pa.array(squares, pa.float64())],
-                names=["id", "vector", "hash", "squares"],
+                [pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(hashes, pa.binary())],
+                names=["id", "vector", "hash"],
             )
 
     return run
 
 
-def _matrix(column: pa.Array, kind: type = np.int8) -> np.ndarray:
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     """Packed vectors as rows, as doubles."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     return data.view(kind).reshape(len(column), -1).astype(np.float64)
 
 
-def coarse_column(scale: float):
-    """A column function: packed doubles to one byte a number, ``scale`` and more as the largest."""
-
-    def run(vectors: pa.Array) -> pa.Array:
-        if not len(vectors):
-            return pa.array([], pa.binary())
-        rounded = np.rint(np.clip(_matrix(vectors, np.float64) / scale, -1, 1) * 127).astype(np.int8)
-        return pa.array([row.tobytes() for row in rounded], pa.binary())
-
-    return F.arrow_udf(run, "binary")
-
-
-def place(tree: int, planes: int):
-    """(id, coarse) with the sides of random hyperplanes, as a number, and a distance to sort by."""
+def place(tree: int, planes: int, kind: type):
+    """(id, vector) with the sides of random hyperplanes, as a number, and a distance to sort by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            v = _matrix(batch.column(1))
+            v = _matrix(batch.column(1), kind)
             directions = np.random.default_rng(1000 + tree).standard_normal((v.shape[1], planes + 1))
             side = v @ directions
             cell = ((side[:, :planes] > 0) << np.arange(planes)).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(cell, pa.int64()), pa.array(side[:, planes])],
-                names=["id", "coarse", "cell", "side"],
+                names=["id", "vector", "cell", "side"],
             )
 
     return run
 
 
 def _square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    # Whole numbers, so the products are exact.
     return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
 
 
-def compare_leaves(degree: int):
+def _from_differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a - b) ** 2).sum(axis=1)
+
+
+def compare_leaves(degree: int, kind: type):
     """Sorted nodes to edges (u, v, d) with the nearest in each run of ``LEAF``; d is the squared distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,41 +115,48 @@ def compare_leaves(degree: int):
             n = len(batch)
             if n < 2:
                 continue
-            ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1), kind)
             for part in np.array_split(np.arange(n), max(1, n // LEAF)):
-                near = _square_distances(v[part], v[part])
+                # Near the origin, products keep the small differences of near copies.
+                middle = v[part] - np.median(v[part], axis=0)
+                near = _square_distances(middle, middle)
                 np.fill_diagonal(near, np.inf)
                 k = min(degree, len(part) - 1)
                 best = np.argpartition(near, k - 1, axis=1)[:, :k] if k < len(part) - 1 else np.argsort(near, axis=1)[:, :k]
-                u = np.repeat(ids[part], k)
+                u, w = np.repeat(part, k), part[best].ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(u), pa.array(ids[part][best].ravel()), pa.array(np.take_along_axis(near, best, 1).ravel())],
+                    [pa.array(ids[u]), pa.array(ids[w]), pa.array(_from_differences(v[u], v[w]))],
                     names=["u", "v", "d"],
                 )
 
     return run
 
 
-def compare_meetings(degree: int):
-    """Sorted by centre: (centre, id, worst, new, coarse) to edges (u, v, d) nearer than u's worst neighbour."""
+def compare_meetings(degree: int, kind: type):
+    """Sorted by centre: (centre, id, worst, new, vector) to edges (u, v, d) not farther than u's worst neighbour."""
 
-    def nearer(ids, worst, new, v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        near = _square_distances(v, v)
+    def nearer(centre, ids, worst, new, v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = v - v[np.argmax(ids == centre)]
+        squares = (own * own).sum(axis=1)
+        near = _square_distances(own, own)
         np.fill_diagonal(near, np.inf)
-        near[(near >= worst[:, None]) | ~(new[:, None] | new[None, :])] = np.inf
+        rounding = 1e-12 * (squares[:, None] + squares[None, :])
+        near[(near > worst[:, None] * (1 + 1e-9) + rounding) | ~(new[:, None] | new[None, :])] = np.inf
         k = min(degree, len(ids) - 1)
         best = np.argpartition(near, k - 1, axis=1)[:, :k]
-        d = np.take_along_axis(near, best, 1)
-        use = np.isfinite(d)
-        return np.repeat(ids, use.sum(axis=1)), ids[best][use], d[use]
+        u, at = np.nonzero(np.isfinite(np.take_along_axis(near, best, 1)))
+        w = best[u, at]
+        d = _from_differences(v[u], v[w])
+        use = d <= worst[u]
+        return ids[u[use]], ids[w[use]], d[use]
 
     def told(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not len(batch):
             return
         centre, ids, worst, new = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        v = _matrix(batch.column(4))
+        v = _matrix(batch.column(4), kind)
         cuts = np.flatnonzero(centre[1:] != centre[:-1]) + 1
-        out = [nearer(ids[a:b], worst[a:b], new[a:b], v[a:b]) for a, b in zip([0, *cuts], [*cuts, len(centre)]) if b - a > 1]
+        out = [nearer(centre[a], ids[a:b], worst[a:b], new[a:b], v[a:b]) for a, b in zip([0, *cuts], [*cuts, len(centre)]) if b - a > 1]
         if out:
             u, w, d = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(d)], names=["u", "v", "d"])
@@ -186,15 +184,17 @@ def _nearest(edges: DataFrame, degree: int) -> DataFrame:
     return edges.groupBy("u").agg(near.alias("near"))
 
 
-def neighbour_graph(nodes: DataFrame, *, degree: int, meet: int, trees: int, rounds: int) -> DataFrame:
-    """(u, near) for written nodes (id, coarse): each with its nearest nodes found, as sorted (d, v)."""
+def neighbour_graph(
+    nodes: DataFrame, *, kind: type, degree: int, meet: int, trees: int, rounds: int
+) -> DataFrame:
+    """(u, near) for written nodes (id, vector): each with its nearest nodes found, as sorted (d, v)."""
     edges = None
     # Few nodes lie in few partitions, so that each has others to be compared with.
     parts = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // (4 * LEAF)))
     for tree in range(trees):
-        placed = nodes.mapInArrow(place(tree, 10), _NODE + ", cell long, side double")
+        placed = nodes.mapInArrow(place(tree, 10, kind), _NODE + ", cell long, side double")
         ordered = placed.repartitionByRange(parts, "cell", "side").sortWithinPartitions("cell", "side")
-        found = ordered.select("id", "coarse").mapInArrow(compare_leaves(degree), "u long, v long, d double")
+        found = ordered.select("id", "vector").mapInArrow(compare_leaves(degree, kind), "u long, v long, d double")
         edges = found if edges is None else edges.unionByName(found)
     found = nodes.select(F.col("id").alias("u")).join(_nearest(edges, degree), "u", "left")
     near = F.expr("coalesce(near, CAST(array() AS ARRAY<STRUCT<d: DOUBLE, v: BIGINT>>))")
@@ -213,9 +213,9 @@ def neighbour_graph(nodes: DataFrame, *, degree: int, meet: int, trees: int, rou
         full = F.size("near") >= degree
         worst = F.when(full, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf")))
         known = nodes.join(graph.select(F.col("u").alias("id"), worst.alias("worst")), "id")
-        sent = met.join(known, "id").select("centre", "id", "worst", "new", "coarse")
+        sent = met.join(known, "id").select("centre", "id", "worst", "new", "vector")
         sent = sent.repartition("centre").sortWithinPartitions("centre", "id")
-        better = sent.mapInArrow(compare_meetings(degree), "u long, v long, d double")
+        better = sent.mapInArrow(compare_meetings(degree, kind), "u long, v long, d double")
         merged = _nearest(edges.select("u", "v", "d").unionByName(better), degree)
         before = graph.select("u", F.expr("transform(near, e -> e.v)").alias("old"))
         merged = before.join(merged, "u", "left").select("u", near.alias("near"), "old")
@@ -235,14 +235,14 @@ def _distance(kind: type, a: str, b: str) -> Column:
 
 
 def greedy_search(
-    starts: DataFrame, graph: DataFrame, nodes: DataFrame, *, pool: int, breadth: int, rounds: int
+    starts: DataFrame, graph: DataFrame, nodes: DataFrame, *, kind: type, pool: int, breadth: int, rounds: int
 ) -> DataFrame:
-    """(query, v): for (query, at, coarse) the ``pool`` nearest nodes seen.
+    """(query, v): for (query, at, vector) the ``pool`` nearest nodes seen.
 
     Each round opens a query's ``breadth`` best nodes that are not open yet and meets
     their neighbours.  A query that has no better node to open stays as it is.
     """
-    queries = materialise(starts.select("query", F.col("coarse").alias("asked")).dropDuplicates(["query"]), "queries")
+    queries = materialise(starts.select("query", F.col("vector").alias("asked")).dropDuplicates(["query"]), "queries")
     near = F.expr("transform(near, e -> e.v)")
     graph = graph.select("u", near.alias("near"))
     seen = starts.select("query", F.col("at").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("open"))
@@ -255,7 +255,7 @@ def greedy_search(
         steps = steps.select("query", F.explode("near").alias("v")).distinct()
         fresh = steps.join(seen.select("query", "v"), ["query", "v"], "left_anti").join(queries, "query")
         fresh = fresh.join(nodes.withColumnRenamed("id", "v"), "v")
-        fresh = fresh.select("query", "v", _distance(np.int8, "asked", "coarse").alias("d"), F.lit(False).alias("open"))
+        fresh = fresh.select("query", "v", _distance(kind, "asked", "vector").alias("d"), F.lit(False).alias("open"))
         known = opened.select("query", "v", "d", (F.col("open") | F.col("now")).alias("open"))
         kept = known.unionByName(fresh).withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= pool)
         seen = materialise(kept.drop("__n"), "seen")
@@ -278,29 +278,29 @@ def nearest_neighbours(
     search_rounds: int = 6,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query row's ``k`` nearest other rows found, by Euclidean distance."""
+    # Floats are packed as they are, all other numbers as doubles.
+    kind = np.float32 if vectors.schema[vector].dataType.elementType.typeName() == "float" else np.float64
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("__query"))
     common = rows.filter("v IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c"))
     top = common.orderBy(F.desc("c"), "n").first()
     dimension = int(top["n"]) if top else 1
-    valid = rows.select("id", "v").mapInArrow(valid_vectors(dimension), "id long, vector binary, hash binary, squares double")
+    valid = rows.select("id", "v").mapInArrow(valid_vectors(dimension, kind), "id long, vector binary, hash binary")
     valid = materialise(valid, "vectors")
-    mean = valid.agg(F.avg("squares").alias("m")).first()["m"] or 1.0
-    scale = 4 * (mean / dimension) ** 0.5
     named = valid.groupBy("hash").agg(F.min("id").alias("id"), F.first("vector").alias("vector"))
-    nodes = materialise(named.withColumn("coarse", coarse_column(scale)("vector")), "nodes")
+    nodes = materialise(named, "nodes")
     copies = valid.select("id", "hash").join(nodes.select(F.col("id").alias("node"), "hash"), "hash").select("node", "id")
     copies = materialise(copies.distinct(), "copies")
 
-    plain = nodes.select("id", "coarse")
-    graph = neighbour_graph(plain, degree=degree, meet=meet, trees=trees, rounds=rounds)
+    plain = nodes.select("id", "vector")
+    graph = neighbour_graph(plain, kind=kind, degree=degree, meet=meet, trees=trees, rounds=rounds)
     asked = rows.filter("__query AND id IS NOT NULL").select(F.col("id").alias("query")).distinct()
     asked = materialise(asked.join(copies.withColumnRenamed("id", "query"), "query").withColumnRenamed("node", "at"), "asked")
     starts = asked.join(plain.withColumnRenamed("id", "at"), "at")
-    found = greedy_search(starts, graph, plain, pool=pool, breadth=breadth, rounds=search_rounds)
+    found = greedy_search(starts, graph, plain, kind=kind, pool=pool, breadth=breadth, rounds=search_rounds)
 
     exact = nodes.select(F.col("id").alias("v"), "vector")
     own = asked.join(exact.withColumnRenamed("v", "at"), "at").select("query", F.col("vector").alias("own"))
-    scored = found.join(exact, "v").join(own, "query").select("query", "v", _distance(np.float64, "own", "vector").alias("d"))
+    scored = found.join(exact, "v").join(own, "query").select("query", "v", _distance(kind, "own", "vector").alias("d"))
     # The first k + 1 copies of a node are enough for any query, also for one of them.
     order = W.partitionBy("node").orderBy("id")
     some = copies.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k + 1).drop("__n")

@@ -2,7 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from recordlake.llm import neighbours
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,3 +42,24 @@ def test_near_copies_of_the_pipeline(llm, tmp_path):
     docs = llm.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(rows)], DOCUMENTS)
     got = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(llm, docs, str(tmp_path)).collect()}
     assert got == {0, 2, 4, 6, 7, 8}
+
+
+@pytest.mark.parametrize("case", ["near copies", "huge norms"])
+def test_neighbours_of_vectors_that_differ_little(llm, case):
+    """A third of the rows within a hundredth of one another; a few rows a million times as long as the others."""
+    rng = np.random.default_rng(8)
+    points = rng.standard_normal((2400, 16))
+    if case == "near copies":
+        points[::3] = points[0] + 0.003 * rng.standard_normal((800, 16))
+    else:
+        points[5:8] *= 1e6
+    points = points.astype(np.float32)
+    frame = llm.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest_neighbours(frame, F.col("vec_id") % 60 == 0).collect()
+    exact, hits = points.astype(np.float64), 0
+    for q in range(0, 2400, 60):
+        d = np.sqrt(((exact - exact[q]) ** 2).sum(axis=1))
+        mine = {r["vec_id"] for r in got if r["query_id"] == q}
+        assert len(mine) == 10
+        hits += len(mine & {*[int(i) for i in np.argsort(d) if i != q][:10]})
+    assert hits >= 0.95 * 400
