@@ -4,7 +4,7 @@ A page is read into a tree.  Siblings with one tag and class are one node, an
 iterator, so trees are as wide as their markup is various.  Trees of a host are
 aligned by simple tree matching and folded into a wrapper: for each node the texts
 that all pages have in it.  What all pages share is template; what varies is a slot.
-The text of a page is that of its main slot without template nodes and without parts
+The text of a page is that of its main slots without template nodes and without parts
 whose tag, role or class names them menu, header, footer, sidebar, notice, advert,
 form, script, style or reader comments.
 
@@ -66,11 +66,11 @@ _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Node:
-    __slots__ = ("tag", "mark", "names", "hidden", "kids", "print")
+    __slots__ = ("tag", "mark", "names", "whole", "hidden", "holds", "kids", "print")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.kids, self.names, self.hidden = tag, [], frozenset(), False
-        self.mark, self.print = tag, 0
+        self.mark, self.print, self.whole, self.holds = tag, 0, frozenset(), False
         if attributes and not attributes.isspace():
             found = {}
             for name, value in _ATTRIBUTE.findall(attributes):
@@ -80,6 +80,7 @@ class Node:
             words = f"{kind} {found.get('id', '')}".replace("_", "-").split()
             parts = {w for word in words for w in (word, *word.split("-"))}
             role = found.get("role", "")
+            self.whole = frozenset(words)
             self.names = frozenset(parts | ({role} if role else set()))
             style = found.get("style", "").replace(" ", "")
             self.hidden = (
@@ -98,6 +99,7 @@ def read_page(page: str) -> Node:
         if text:
             stack[-1].kids.append(text)
         if not m:
+            mark_holders(root)
             return root
         at = m.end()
         tag = (m[2] or "").lower()
@@ -144,12 +146,56 @@ def _close_before(stack: list[Node], tag: str) -> None:
 
 def is_part(node: Node, inside_main: bool) -> bool:
     """Whether an element is none of the article's own text."""
+    if node.holds:
+        return False
     if node.hidden or (node.tag in PARTS and not (node.tag == "header" and inside_main)):
         return True
     own = node.names & CLASSES
     return bool(own) and node.tag not in ("html", "body") and not (inside_main and own == {"header"})
 
 
+def mark_holders(root: Node) -> None:
+    """Set ``holds`` on elements that are named like a part but are around the article.
+
+    Such an element has more than half of the page's paragraph text (of all text, if there
+    are no paragraphs), and the article or main element with most of it is in there or
+    around it.  Without such an element in there, only forms and classes that name a part
+    within a longer name count.
+    """
+    weight: dict[int, int] = {}
+    named: list[tuple[Node, tuple[Node, ...]]] = []
+    mains: list[tuple[Node, tuple[Node, ...]]] = []
+
+    def weigh(node: Node, above: tuple[Node, ...], paragraph: bool) -> int:
+        total = 0
+        for kid in node.kids:
+            if isinstance(kid, str):
+                total += len(kid.strip()) if paragraph else 0
+            elif not kid.hidden and (kid.tag not in PARTS or kid.tag in ("form", "header")):
+                total += weigh(kid, (*above, node), paragraph or kid.tag == "p")
+        weight[id(node)] = total
+        if node.tag in ("article", "main") and not is_part(node, False):
+            mains.append((node, above))
+        elif node.tag == "form" or (node.names & CLASSES and node.tag not in PARTS):
+            named.append((node, above))
+        return total
+
+    whole = weigh(root, (), False)
+    if named and not whole:  # a page without paragraphs is measured by all its text
+        named.clear()
+        mains.clear()
+        whole = weigh(root, (), True)
+    if not named or not whole:
+        return
+    best, around = max(mains, key=lambda m: weight[id(m[0])], default=(None, ()))
+    for node, above in named:
+        if 2 * weight[id(node)] <= whole:
+            continue
+        inside = any(node is x for x in around)
+        loose = node.tag == "form" or not node.whole & CLASSES
+        node.holds = inside or (loose and (best is None or any(best is x for x in above)))
+
+
 def fingerprint(node: Node) -> int:
     """A hash of an element's visible text."""
     pieces = []
@@ -228,15 +274,15 @@ def fold_all(a: dict | None, b: dict) -> dict:
     }
 
 
-def main_slot(root: Node) -> Node:
-    """The element that holds the article."""
+def main_slots(root: Node) -> list[Node]:
+    """The elements that hold the article: the longest one and its siblings of that kind, in page order."""
 
     def walk(node: Node, test, found: list) -> list:
         for kid in node.kids:
-            if isinstance(kid, Node):
-                if test(kid) and not is_part(kid, False):
-                    found.append(kid)
-                elif not is_part(kid, False):
+            if isinstance(kid, Node) and not is_part(kid, False):
+                if test(kid):
+                    found.append((node, kid))
+                else:
                     walk(kid, test, found)
         return found
 
@@ -248,8 +294,9 @@ def main_slot(root: Node) -> Node:
     ):
         found = walk(root, test, [])
         if found:
-            return max(found, key=lambda n: sum(map(len, blocks_of(n, None))))
-    return root
+            parent, _ = max(found, key=lambda f: sum(map(len, blocks_of(f[1], None))))
+            return [n for above, n in found if above is parent]
+    return [root]
 
 
 def blocks_of(slot: Node, wrapper: list | None) -> list[str]:
@@ -318,7 +365,7 @@ def learn(page: str) -> dict:
     """One page's wrapper, with a hash of its main text."""
     root = read_page(page)
     fingerprint(root)
-    kind = xxhash.xxh64_intdigest("\n".join(blocks_of(main_slot(root), None))) >> 1
+    kind = xxhash.xxh64_intdigest("\n".join(x for n in main_slots(root) for x in blocks_of(n, None))) >> 1
     return {"tree": shape([root]), "kinds": [kind]}
 
 
@@ -327,12 +374,12 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     if not page:
         return ""
     root = read_page(page)
-    slot = main_slot(root)
-    node = None
+    slots = main_slots(root)
+    nodes: list[list | None] = [None] * len(slots)
     if wrapper is not None and len(wrapper["kinds"]) >= LEAST_VARIETY:
         fingerprint(root)
-        node = _wrapper_of(root, slot, wrapper["tree"])
-    return "\n".join(blocks_of(slot, node))
+        nodes = [_wrapper_of(root, slot, wrapper["tree"]) for slot in slots]
+    return "\n".join(x for slot, node in zip(slots, nodes) for x in blocks_of(slot, node))
 
 
 _PARTIAL = "host string, salt int, wrapper string"

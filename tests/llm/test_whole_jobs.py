@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordlake.llm import neighbours
+from recordlake.llm import neighbours, wrappers
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,3 +63,32 @@ def test_neighbours_of_vectors_that_differ_little(llm, case):
         assert len(mine) == 10
         hits += len(mine & {*[int(i) for i in np.argsort(d) if i != q][:10]})
     assert hits >= 0.95 * 400
+
+
+@pytest.mark.parametrize("around", ["div class='layout has-sidebar'", "div class=page-header-fixed", "div id=no-comments", "form", "div class=banner"])
+@pytest.mark.parametrize("main", ["article", "main", "div class=content"])
+def test_article_in_an_element_named_like_a_part(around, main):
+    if around == "div class=banner" and main == "div class=content":
+        return  # neither an article nor a longer name tells it from a banner
+    html = (
+        f"<body><div class=ad><p>Buy</p></div><{around}><{main}><p>The first paragraph.</p><p>The second one.</p></{main.split()[0]}>"
+        f"<div class=sidebar><p>Links</p></div></{around.split()[0]}><section id=comments><article class=comment><p>Nice!</p></article></section>"
+    )
+    assert wrappers.extract(html, None) == "The first paragraph.\nThe second one."
+
+
+@pytest.mark.parametrize("main", ["article", "div class=entry"])
+def test_sibling_articles_are_joined(main):
+    part = f"<{main}><p>{{}}</p></{main.split()[0]}>"
+    html = f"<body><nav>x</nav><div>{part.format('One.')}<aside>y</aside>{part.format('Number two.')}</div>"
+    assert wrappers.extract(html, None) == "One.\nNumber two."
+
+
+def test_a_part_stays_a_part():
+    long = "<p>" + "A long discussion. " * 9 + "</p>"
+    html = f"<body><article><p>Text.</p><div class=share-bar>Share!</div></article><div class=comments>{long}</div><div class=related-posts>{long}</div>"
+    assert wrappers.extract(html, None) == "Text."
+
+
+def test_a_form_around_a_page_without_paragraphs():
+    assert wrappers.extract("<body><form><div>All of the text</div></form>", None) == "All of the text"
