@@ -15,12 +15,13 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: Slices are polynomials over the field of this prime, taken at two points.
+_PRIME = (1 << 31) - 1
+_POINTS = (1_403_580_283, 905_148_461)
+_BYTE_VALUES = np.random.default_rng(20240607).choice(_PRIME - 1, (2, 256), replace=False).astype(np.uint64) + _U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,28 +33,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) <= n:
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same remainder: under 2^32 from one under 2^62."""
+    return (x & _U(_PRIME)) + (x >> _U(31))
+
+
+def _remainder(x: np.ndarray) -> np.ndarray:
+    """The remainder modulo the prime of any number under 2^63."""
+    x = _folded(_folded(_folded(x)))
+    return np.where(x >= _U(_PRIME), x - _U(_PRIME), x)
+
+
+def _power_table(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers up and down of both points, n and more of them."""
+    if not _powers or len(_powers[0][0]) <= n:
         size = max(n + 1, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=_U)
-    return _powers["up"], _powers["down"]
+        tables = []
+        for point in _POINTS:
+            both = []
+            for base in (point, pow(point, -1, _PRIME)):
+                table = np.ones(1, _U)
+                while len(table) < size:
+                    table = np.concatenate([table, _remainder(table * _U(pow(base, len(table), _PRIME)))])
+                both.append(table[:size].astype(np.uint32))
+            tables.append(tuple(both))
+        _powers[:] = tables
+    return _powers
 
 
 class Hashes:
-    """Hashes of any slices of one byte array from one running sum."""
+    """Hashes of any slices of one byte array from two running sums.
+
+    Two polynomials over a prime field: unlike sums modulo a power of two, they have no
+    texts that are equal under every base.
+    """
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _power_table(len(data))
-        self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(_BYTE_VALUE[data] * up[: len(data)], dtype=_U, out=self.sums[1:])
+        self.sums, self.down = [], []
+        for values, (up, down) in zip(_BYTE_VALUES, _power_table(len(data))):
+            sums = np.zeros(len(data) + 1, _U)
+            np.cumsum(_folded(values[data] * up[: len(data)]), dtype=_U, out=sums[1:])
+            self.sums.append(sums)
+            self.down.append(down)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(raw + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        one, two = (
+            _remainder(_remainder(sums[ends] - sums[starts]) * down[starts]) for sums, down in zip(self.sums, self.down)
+        )
+        return mix(((one << _U(32)) | two) + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different slices, the place of one of each among all, and each slice's number among them.
+
+    Equal hashes are compared byte by byte; where two differ, bytes decide alone.
+    """
+    raw = data.tobytes()
+    _, sample, number = np.unique(Hashes(data).of(starts, ends), return_index=True, return_inverse=True)
+    lengths, own = ends - starts, sample[number]
+    alike = bool((lengths == lengths[own]).all())
+    if alike and len(starts):
+        inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        alike = bool((data[np.repeat(starts, lengths) + inside] == data[np.repeat(starts[own], lengths) + inside]).all())
+    if not alike:
+        seen: dict[bytes, int] = {}
+        first: list[int] = []
+        number = np.empty(len(starts), np.int64)
+        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+            k = seen.setdefault(raw[a:b], len(first))
+            if k == len(first):
+                first.append(i)
+            number[i] = k
+        sample = np.array(first, np.int64)
+    return [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())], sample, number
 
 
 class Texts:

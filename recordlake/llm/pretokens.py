@@ -13,7 +13,7 @@ import unicodedata
 
 import numpy as np
 
-from .bytewise import Hashes, Texts
+from .bytewise import Texts, distinct_slices
 
 # Classes of code points, then the symbols that the automaton reads.
 _LETTER, _NUMBER, _OTHER, _WHITE = range(4)
@@ -162,7 +162,5 @@ def piece_bounds(texts: Texts) -> np.ndarray:
 def distinct_pieces(texts: Texts) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Piece bounds, the different pieces' bytes and each piece's number among them."""
     bounds = piece_bounds(texts)
-    starts, ends = bounds[:-1], bounds[1:]
-    _, sample, number = np.unique(Hashes(texts.data).of(starts, ends), return_index=True, return_inverse=True)
-    raw = texts.data.tobytes()
-    return bounds, [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())], number
+    pieces, _, number = distinct_slices(texts.data, bounds[:-1], bounds[1:])
+    return bounds, pieces, number

@@ -13,11 +13,14 @@ from .chat import chat_examples, conversation_digests
 from .jaccard import jaccard_groups
 from .licenses import TEMPLATES, license_scan, needed, template_shingles, window_step, window_width
 from .lines import line_dedup
+from .merkle import folded, merkle_manifest, merkle_proofs, proof_bytes, row_digest, to_hex
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
+from .pieces import piece_decode, piece_encode
 from .quality import quality_rules
 from .session import prepared
 from .substrings import suffix_dedup
+from .trie import numbered_turns, prefix_trie, with_shared_heads
 from .wrappers import extract_main_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +233,146 @@ def op7_html_extract(pages):
 def op9_nearest_neighbours(embeddings):
     """The ten nearest rows of every row whose id is divisible by 100."""
     return nearest_neighbours(embeddings, F.col("vec_id") % 100 == 0, k=10)
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB's way to the unsigned CRC-32 of ASCII text: one bit after the other."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: list_transform(range(8), lambda k: (ascii(c) >> k::INTEGER) & 1)))"
+    step = "xor(s >> 1, 3988292384 * (xor(s, b) & 1))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda s, b: {step}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Leaves, then level after level inside the sources and over them, and the siblings of every document's run on each."""
+
+    def field(sql: str) -> str:
+        return f"CASE WHEN {sql} IS NULL THEN '-' ELSE strlen({sql}::VARCHAR) || ':' || ({sql}::VARCHAR) END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(name: str, group: str) -> str:
+        """{name}0 has g, place, digest; {name}1 and so on each a sixteenth of it, a group with one node staying as it is."""
+        steps = []
+        for i in range(levels):
+            steps.append(f"""
+{name}{i}n AS (SELECT *, count(*) OVER (PARTITION BY {group}) AS n FROM {name}{i}),
+{name}{i + 1} AS (
+  SELECT {group}, place // 16 AS place, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY place)) ELSE any_value(digest) END AS digest
+  FROM {name}{i}n GROUP BY {group}, place // 16)""")
+        return ",".join(steps)
+
+    def climb(name: str, group: str, start: str, at: str, out: str) -> str:
+        """From ``start`` (a row per document, with {at}, folded and proof) up through all levels."""
+        steps, last = [], start
+        for i in range(levels):
+            steps.append(f"""
+{out}{i} AS (
+  SELECT any_value(COLUMNS(d.* EXCLUDE (folded, proof, {at}))), any_value(d.{at}) // 16 AS {at},
+         any_value(d.proof) || coalesce(string_agg(t.digest, '' ORDER BY t.place) FILTER (t.place <> d.{at}), '') AS proof,
+         CASE WHEN any_value(t.n) > 1 THEN sha256(string_agg(CASE WHEN t.place = d.{at} THEN d.folded ELSE t.digest END, '' ORDER BY t.place))
+              ELSE any_value(d.folded) END AS folded
+  FROM {last} d JOIN {name}{i}n t ON t.{group} = d.{group} AND t.place // 16 = d.{at} // 16
+  GROUP BY d.no)""")
+            last = f"{out}{i}"
+        return ",".join(steps)
+
+    return f"""
+WITH docs AS (
+  SELECT *, {leaf("text")} AS leaf, {_crc32_sql("doc_id::VARCHAR")} % 5 = 0 AS touched, {leaf(f"translate(text, {_LETTERS})")} AS changed,
+         coalesce('+' || source, '') AS g, 0 AS one
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER () AS no, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM docs),
+s0 AS (SELECT g, place, leaf AS digest FROM placed),{tree("s", "g")},
+r0 AS (SELECT 0 AS one, row_number() OVER (ORDER BY g) - 1 AS place, digest, g FROM s{levels}),
+{tree("r", "one").lstrip()},
+begin AS (SELECT no, g, one, doc_id, leaf, place, CASE WHEN touched THEN changed ELSE leaf END AS folded, '' AS proof FROM placed),
+{climb("s", "g", "begin", "place", "up").lstrip()},
+middle AS (SELECT up{levels - 1}.* EXCLUDE (place), r0.place AS spot, r0.digest AS subroot FROM up{levels - 1} JOIN r0 USING (g)),
+{climb("r", "one", "middle", "spot", "over").lstrip()}
+SELECT doc_id, leaf, subroot, (SELECT digest FROM r{levels}) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = (SELECT digest FROM r{levels}) AS verified
+FROM over{levels - 1}"""
+
+
+@query("documents", _merkle_sql())
+def op11_merkle_manifest(documents):
+    """A proof for every document, folded from a text that was tampered with where 5 divides the id's crc32."""
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    changed = row_digest([*fields, f"translate(text, {_LETTERS})"])
+    rows = documents.select(*fields, "text").select(
+        "doc_id",
+        "source",
+        row_digest([*fields, "text"]).alias("leaf"),
+        F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, changed).alias("claimed"),
+    )
+    proofs = merkle_proofs(merkle_manifest(rows, group="source", order="doc_id", digest="leaf"))
+    return proofs.select(
+        F.col("row.doc_id").alias("doc_id"),
+        to_hex("leaf").alias("leaf"),
+        to_hex("subroot").alias("subroot"),
+        to_hex("root").alias("root"),
+        F.expr(f"sha2(lower(hex({proof_bytes()})), 256)").alias("proof_sha256"),
+        to_hex(folded("coalesce(row.claimed, leaf)")).alias("folded_root"),
+    ).withColumn("verified", F.expr("folded_root = root"))
+
+
+@query("documents")
+def op12_sentence_pieces(documents):
+    """Encode every text into pieces, decode it again; digests of both."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = piece_decode(piece_encode(documents.select("doc_id", "text"), path), path)
+    return out.select(
+        "doc_id",
+        F.expr("CAST(size(pieces.ids) AS BIGINT)").alias("n_tokens"),
+        F.expr("sha2(concat_ws(',', CAST(pieces.ids AS ARRAY<STRING>)), 256)").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query(
+    "conversations",
+    rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (
+  SELECT conv_id, role, text, count(*) OVER (PARTITION BY conv_id) AS n,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) - 1 AS pos
+  FROM turns),
+every AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32_sql("conv_id::VARCHAR")} % 4 AS h, any_value(n) AS n
+  FROM numbered GROUP BY conv_id),
+plan AS (
+  SELECT e.*, least(e.h, coalesce(b.n, 0)) AS taken FROM every e LEFT JOIN every b ON b.conv_id = e.base),
+rebuilt AS (
+  SELECT plan.conv_id, pos + 1 AS depth, role, text FROM plan JOIN numbered ON numbered.conv_id = plan.base AND pos < h
+  UNION ALL
+  SELECT conv_id, pos - h + taken + 1, role, text FROM plan JOIN numbered USING (conv_id) WHERE pos >= h),
+said AS (
+  SELECT conv_id, depth, sha256(strlen(role) || ':' || role || text) AS turn, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM rebuilt),
+rows AS (
+  SELECT conv_id, depth, words, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM said
+  UNION ALL SELECT conv_id, 0, 0, '' FROM every),
+lengths AS (SELECT conv_id, max(depth) AS d FROM rows GROUP BY conv_id),
+nodes AS (
+  SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = d), '')) AS ends_sha256
+  FROM rows JOIN lengths USING (conv_id) GROUP BY node),
+links AS (
+  SELECT nodes.node, up.node AS parent, first.conv_id AS parent_conv_id
+  FROM nodes JOIN rows up ON up.conv_id = nodes.conv_id AND up.depth = nodes.depth - 1 JOIN nodes first ON first.node = up.node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM links GROUP BY parent),
+totals AS (
+  SELECT up.node, count(*) FILTER (c.node IS NULL) AS n_leaves, sum((n_convs - 1) * below.words)::BIGINT AS saved_tokens
+  FROM nodes below JOIN rows up ON up.conv_id = below.conv_id AND up.depth <= below.depth LEFT JOIN children c ON c.node = below.node
+  GROUP BY up.node)
+SELECT nodes.conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM nodes JOIN totals USING (node) LEFT JOIN links USING (node) LEFT JOIN children USING (node)""",
+)
+def op13_prefix_trie(conversations):
+    """All nodes of the prefix trie of conversations that share their families' first turns."""
+    return prefix_trie(*with_shared_heads(numbered_turns(conversations)))
