@@ -6,7 +6,9 @@ follows the longest single text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,27 @@ def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     return [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())], sample, number
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that hands the memory of its task back when it ends.
+
+    Workers stay for later tasks and stages, and what their allocators keep counts on
+    the executor all that time.
+    """
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library, which has no such call
+
+    return run
+
+
 class Texts:
     """Some rows of a text column: ``data`` holds their bytes, row i at bounds[i]:bounds[i+1]; nulls are empty."""
 

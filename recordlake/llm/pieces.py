@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BATCH_BYTES, CACHE_PIECES, PairTable
-from .bytewise import Texts, blobs, distinct_slices, small_slices
+from .bpe import BATCH_BYTES, PairTable
+from .bytewise import Texts, blobs, distinct_slices, small_slices, tidy
 from .pretokens import code_points
 
 ENCODED = "ids array<int>, starts array<int>, ends array<int>"
@@ -35,6 +35,8 @@ _MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: What the library writes for the unknown piece.
 _UNKNOWN_TEXT = " ⁇ "
+#: Bytes of text handled at once, and words whose pieces a worker remembers, twice; four workers share an executor.
+SLICE, CACHE_WORDS = 1 << 19, 100_000
 _loaded: dict[str, "PieceModel"] = {}
 
 
@@ -152,6 +154,25 @@ class PieceModel:
         if trainer.get(35, 0):
             self.byte_ids = [self.names.index(f"<0x{b:02X}>") for b in range(256)]
 
+        self.scores, self.merging = scores, False
+        strings = []
+        for name, kind in zip(self.names, self.kinds):
+            if kind == _BYTE:
+                strings.append(bytes([int(name[3:5], 16)]))
+            else:
+                strings.append({_CONTROL: "", _UNKNOWN: _UNKNOWN_TEXT}.get(kind, name.replace(_MARK, " ")).encode())
+        self.lengths = np.array([len(s) for s in strings], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.joined = np.frombuffer(b"".join(strings), np.uint8)
+        self.is_byte = np.array([k == _BYTE for k in self.kinds])
+        self.opens_with_space = np.array([k == _NORMAL and s[:1] == b" " for k, s in zip(self.kinds, strings)])
+        self.is_control = np.array([k == _CONTROL for k in self.kinds])
+
+    def prepare(self) -> None:
+        """The tables of merging, which a worker that only decodes does without."""
+        if self.merging:
+            return
+        self.merging, scores = True, self.scores
         # Pieces in the order in which pairs are merged; equal scores share their cost.
         normal = sorted((i for i, k in enumerate(self.kinds) if k == _NORMAL), key=lambda i: (-scores[i], i))
         self.rank = {self.names[i].replace(_MARK, " ").encode(): r for r, i in enumerate(normal)}
@@ -170,7 +191,7 @@ class PieceModel:
         self.cost = np.full(self.none + 1, np.iinfo(np.int32).max, np.int32)
         self.cost[:n] = cost
         # Characters without a piece have numbers of their own beyond all pieces.
-        self.of_char = np.arange(0x110000, dtype=np.int64) + self.none + 1
+        self.of_char = np.arange(0x110000, dtype=np.int32) + np.int32(self.none + 1)
         for s, r in self.rank.items():
             if len(text := s.decode()) == 1:
                 self.of_char[ord(text)] = r
@@ -179,27 +200,16 @@ class PieceModel:
         signs = {c: i + 1 for i, c in enumerate(sorted({c for t in texts for c in t}))}
         self.sign = np.zeros(0x110000, np.int32)
         self.sign[[ord(c) for c in signs]] = list(signs.values())
-        self.together = np.zeros((len(signs) + 1, len(signs) + 1), bool)
-        self.together[0, 0] = True  # several without a piece can become one unknown piece
+        self.width = len(signs) + 1
+        together = np.zeros((self.width, self.width), bool)
+        together[0, 0] = True  # several without a piece can become one unknown piece
         for t in texts:
             for a, b in zip(t, t[1:]):
-                self.together[signs[a], signs[b]] = True
+                together[signs[a], signs[b]] = True
+        self.together = np.packbits(together.ravel())
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-        strings = []
-        for name, kind in zip(self.names, self.kinds):
-            if kind == _BYTE:
-                strings.append(bytes([int(name[3:5], 16)]))
-            else:
-                strings.append({_CONTROL: "", _UNKNOWN: _UNKNOWN_TEXT}.get(kind, name.replace(_MARK, " ")).encode())
-        self.lengths = np.array([len(s) for s in strings], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.joined = np.frombuffer(b"".join(strings), np.uint8)
-        self.is_byte = np.array([k == _BYTE for k in self.kinds])
-        self.opens_with_space = np.array([k == _NORMAL and s[:1] == b" " for k, s in zip(self.kinds, strings)])
-        self.is_control = np.array([k == _CONTROL for k in self.kinds])
-
     @staticmethod
     def at(path: str) -> "PieceModel":
         """One per worker and file."""
@@ -263,7 +273,7 @@ class PieceModel:
 
     def pieces_of(self, words: list[bytes], ranks: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[bytes]:
         """Packed (id, bytes) pairs of each word, whose characters' numbers are ranks[first : first + count]."""
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         out = [known.get(w) for w in words]
@@ -277,7 +287,7 @@ class PieceModel:
             else:
                 out[i] = self._packed(self._merge_long(ranks[first[i] : first[i] + count[i]].tolist()))
         for length, group in by_length.items():
-            rows = ranks[first[group][:, None] + np.arange(length)]
+            rows = ranks[first[group][:, None] + np.arange(length)].astype(np.int64)
             for i, packed in zip(group, self._merge(rows)):
                 out[i] = packed
         known.update((words[i], out[i]) for i in new if len(words[i]) <= 4 * BATCH_BYTES)
@@ -371,6 +381,7 @@ class PieceModel:
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, where each starts and ends in its row's bytes, and row bounds."""
+        self.prepare()
         data, bounds, align = self.normalised(texts)
         if not len(data):
             none = np.zeros(0, np.int32)
@@ -379,7 +390,8 @@ class PieceModel:
         opens = np.zeros(len(at), bool)
         opens[np.searchsorted(at, bounds[:-1][np.diff(bounds) > 0])] = True
         sign = self.sign[value]
-        opens[1:] |= ~self.together[sign[:-1], sign[1:]]
+        pair = sign[:-1] * np.int64(self.width) + sign[1:]
+        opens[1:] |= (self.together[pair >> 3] >> (7 - (pair & 7)).astype(np.uint8)) & 1 == 0
         starts = at[opens]
         ends = np.append(starts[1:], len(data))
         words, sample, number = distinct_slices(data, starts, ends)
@@ -452,11 +464,12 @@ def _lists(values: np.ndarray, rows: np.ndarray) -> pa.Array:
 def encode_column(path: str):
     """A column function: text to a struct of ids and of the byte positions where each piece starts and ends."""
 
+    @tidy
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = PieceModel.at(path)
         for batch in batches:
             parts = []
-            for part in small_slices(batch):
+            for part in small_slices(batch, SLICE):
                 *columns, rows = model.encode(Texts(part))
                 parts.append(pa.StructArray.from_arrays([_lists(c, rows) for c in columns], names=["ids", "starts", "ends"]))
             empty = pa.StructArray.from_arrays([pa.array([], pa.list_(pa.int32()))] * 3, names=["ids", "starts", "ends"])
@@ -468,6 +481,7 @@ def encode_column(path: str):
 def decode_column(path: str):
     """A column function: ids to the text they stand for."""
 
+    @tidy
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = PieceModel.at(path)
         for batch in batches:
