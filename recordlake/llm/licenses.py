@@ -7,6 +7,10 @@ share s of the template has a Jaccard similarity of at least
 j = s m / (W + m - s m) with it; every band is one MinHash value, and a width has so
 many bands that a match goes unseen with a probability of at most ``miss``.
 
+A window's value in a band is the template's if it holds the template's smallest shingle
+of this band and nothing smaller.  So only windows around those few shingles are looked
+at, inside the row of their text: nothing is exploded, shuffled or written.
+
 Contract of edge cases: null and empty texts, and those of under five words, match
 nothing; a text is scanned whole; of windows that match a template equally well the
 first one counts; repeated rows are scanned one by one and each has its rows; an
@@ -19,10 +23,10 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stages import materialise
+from ..plans.stages import fence
 
 SHINGLE = 5
 
@@ -110,6 +114,43 @@ def marker_words(text: str, containment: float) -> list[str]:
     return chosen
 
 
+def _template_array(spark: SparkSession, templates: dict[str, str], containment: float, miss: float) -> tuple[str, list[int]]:
+    """SQL of an array with all templates, and the shingles that are smallest in any band.
+
+    The driver reads one row for each template and band.
+    """
+    shingles = {name: template_shingles(body) for name, body in templates.items()}
+    widths = {name: window_width(len(all_)) for name, all_ in shingles.items()}
+    bands = {}
+    for width in set(widths.values()):
+        names = [n for n in shingles if widths[n] == width]
+        bands[width] = bands_for([len(shingles[n]) for n in names], width, containment, miss)
+    rows = ", ".join(
+        f"({i}, {bands[widths[name]]}, '{gram}')" for i, (name, all_) in enumerate(shingles.items()) for gram in all_
+    )
+    minima = spark.sql(
+        f"""
+        WITH known AS (SELECT i, bands, xxhash64(gram) AS gram FROM VALUES {rows} AS t(i, bands, gram)),
+        valued AS (SELECT i, gram, band, xxhash64(gram, band) AS value FROM known LATERAL VIEW explode(sequence(0, bands - 1)) b AS band),
+        least AS (SELECT i, array_sort(collect_list(low)) AS lows FROM (SELECT i, struct(band, min(struct(value, gram)) AS at) AS low FROM valued GROUP BY i, band) GROUP BY i)
+        SELECT i, lows, grams FROM least JOIN (SELECT i, collect_list(gram) AS grams FROM known GROUP BY i) USING (i)
+        """
+    ).collect()
+    by_number = {r["i"]: r for r in minima}
+    structs, smallest = [], set()
+    for i, (name, all_) in enumerate(shingles.items()):
+        row = by_number[i]
+        lows = [(x["band"], x["at"]["gram"], x["at"]["value"]) for x in row["lows"]]
+        smallest |= {gram for _, gram, _ in lows}
+        low_array = ", ".join(f"struct({b} AS band, {g}L AS gram, {v}L AS value)" for b, g, v in lows)
+        structs.append(
+            f"struct('{name}' AS license_id, {len(all_)}L AS n_shingles, {needed(len(all_), containment)} AS needed, "
+            f"{widths[name]} AS width, {window_step(widths[name])} AS step, "
+            f"array({', '.join(f'{g}L' for g in row['grams'])}) AS grams, array({low_array}) AS lows)"
+        )
+    return f"array({', '.join(structs)})", sorted(smallest)
+
+
 def license_scan(
     docs: DataFrame,
     templates: dict[str, str] = TEMPLATES,
@@ -124,10 +165,9 @@ def license_scan(
     ``n_matched`` is the most shingles of the template in one window and
     ``first_shingle`` that window's start.  Texts without any marker word of any
     template cannot match and are left out before the shingles are made; this loses
-    nothing.  The shingles of the others are written once.  Everything is plain SQL.
+    nothing.  A narrow step of plain SQL.
     """
-    spark = docs.sparkSession
-    shingles = {name: template_shingles(body) for name, body in templates.items()}
+    array, smallest = _template_array(docs.sparkSession, templates, containment, miss)
     markers = sorted({w for body in templates.values() for w in marker_words(body, containment)})
     # A marker that contains another one is found by that.
     markers = [w for w in markers if not any(o != w and o in w for o in markers)]
@@ -137,67 +177,36 @@ def license_scan(
         "IF(size(__words) < 5, array(), transform(sequence(1, greatest(size(__words) - 4, 1)), "
         "i -> xxhash64(array_join(slice(__words, i, 5), ' '))))"
     )
-    found = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text).cast("string")).alias("__lower"))
-        .filter(spoken)
-        .select("doc_id", F.monotonically_increasing_id().alias("__row"), F.expr(words).alias("__words"))
-        .select("doc_id", "__row", F.posexplode(F.expr(grams)).alias("__pos", "__gram"))
+    seeds = (
+        "IF(size(__grams) = 0, array(), filter(sequence(0, greatest(size(__grams) - 1, 0)), "
+        f"i -> __grams[i] IN ({', '.join(f'{g}L' for g in smallest)})))"
     )
-    found = materialise(found, "shingles")
-    # A text's shingles lie together from here on: windows are formed without another shuffle.
-    together = found.repartition("__row")
-
-    rows = [(name, s) for name, all_ in shingles.items() for s in all_]
-    known = spark.createDataFrame(rows, "license_id string, __shingle string")
-    known = known.select("license_id", F.xxhash64("__shingle").alias("__gram"))
-    by_width: dict[int, list[str]] = {}
-    for name, all_ in shingles.items():
-        by_width.setdefault(window_width(len(all_)), []).append(name)
-
-    candidates = None
-    for width, names in sorted(by_width.items()):
-        bands = bands_for([len(shingles[n]) for n in names], width, containment, miss)
-        step = window_step(width)
-        mins = [F.expr(f"min(xxhash64(__gram, {band}))").alias(f"__b{band}") for band in range(bands)]
-        as_rows = F.posexplode(F.array(*[f"__b{band}" for band in range(bands)])).alias("__band", "__value")
-        first, last = f"greatest(0, (__pos - {width} + {step}) DIV {step})", f"__pos DIV {step}"
-        windows = (
-            together.withColumn("__window", F.explode(F.expr(f"sequence({first}, {last})")))
-            .groupBy("__row", "__window")
-            .agg(*mins)
-            .select("__row", "__window", as_rows)
-        )
-        wanted = known.filter(F.col("license_id").isin(names)).groupBy("license_id").agg(*mins).select("license_id", as_rows)
-        hits = (
-            windows.join(wanted, ["__band", "__value"])
-            .select("__row", "license_id", (F.col("__window") * step).alias("__start"))
-            .distinct()
-            .withColumn("__width", F.lit(width))
-        )
-        candidates = hits if candidates is None else candidates.unionByName(hits)
-
-    # Verify: the template's own shingles inside the candidate window, counted exactly.
-    sizes = spark.createDataFrame(
-        [(n, len(all_), needed(len(all_), containment)) for n, all_ in shingles.items()],
-        "license_id string, n_shingles long, __needed long",
+    # Numbers of a template's windows that hold one of its smallest shingles.
+    around = (
+        "array_distinct(flatten(transform(filter(__seeds, p -> exists(t.lows, b -> b.gram = __grams[p])), "
+        "p -> sequence(CAST(greatest(0, (p - t.width + t.step) DIV t.step) AS INT), CAST(p DIV t.step AS INT)))))"
     )
-    inside = (
-        found.join(known, "__gram")
-        .join(candidates, ["__row", "license_id"])
-        .filter("__pos >= __start AND __pos < __start + __width")
-        .groupBy("doc_id", "__row", "license_id", "__start")
-        .agg(F.countDistinct("__gram").alias("n_matched"))
+    window = "slice(__grams, w * t.step + 1, t.width)"
+    collides = (
+        f"exists(t.lows, b -> array_contains({window}, b.gram) "
+        f"AND NOT exists({window}, g -> xxhash64(g, b.band) < b.value))"
     )
-    best = (
-        inside.join(sizes, "license_id")
-        .filter("n_matched >= __needed")
-        .groupBy("doc_id", "__row", "license_id", "n_shingles")
-        .agg(F.max_by(F.struct("n_matched", "__start"), F.struct("n_matched", -F.col("__start"))).alias("__best"))
+    counted = f"transform(filter({around}, w -> {collides}), w -> struct(size(array_intersect({window}, t.grams)) AS n, -w * t.step AS back))"
+    found = (
+        docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text).cast("string")).alias("__lower"))
+        .filter(spoken)
+        .select("doc_id", F.expr(words).alias("__words"))
+        .select("doc_id", F.expr(grams).alias("__grams"))
     )
-    return best.select(
+    # Arrays are computed once: the row passes a generator, which later projections do not cross.
+    seeded = fence(found).withColumn("__seeds", F.expr(seeds))
+    seeded = fence(seeded).filter("size(__seeds) > 0")
+    best = f"transform({array}, t -> struct(t.license_id, t.n_shingles, t.needed, array_max({counted}) AS best))"
+    rows = seeded.select("doc_id", F.inline(F.expr(f"filter({best}, f -> f.best.n >= f.needed)")))
+    return rows.select(
         "doc_id",
         "license_id",
         "n_shingles",
-        F.col("__best.n_matched").alias("n_matched"),
-        F.col("__best.__start").cast("long").alias("first_shingle"),
+        F.col("best.n").cast("long").alias("n_matched"),
+        (-F.col("best.back")).cast("long").alias("first_shingle"),
     )
