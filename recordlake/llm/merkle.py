@@ -53,7 +53,8 @@ def row_digest(fields: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Manifest:
-    """``leaves`` have row (all columns of the rows), leaf, key, place, n; ``groups`` key, n, digest and their own place.
+    """``leaves`` have row (all columns of the rows), leaf, key, place, n; ``groups`` key, n, digest, their own place
+    and ``all``, the one key of the tree over them.
 
     ``below[h - 1]`` and ``above[h - 1]`` hold the records of height h, inside the groups
     and over them: key, place, n, digest, children (binary, 32 bytes each).
@@ -106,8 +107,8 @@ def merkle_manifest(rows: DataFrame, *, group: str, order: str, digest: str) ->
     below, tops = _levels(leaves.select("key", "place", "n", F.col("leaf").alias("digest")), "merkle-below")
     tops = materialise(tops.withColumn("all", F.lit("")), "merkle-groups")
     ordered = wide_row_number(tops, ["all"], ["key"], "place", total="n_groups")
-    groups = ordered.select("key", "n", "digest", (F.col("place") - 1).alias("place"), "n_groups")
-    over = groups.select(F.lit("").alias("key"), "place", F.col("n_groups").alias("n"), "digest")
+    groups = ordered.select("all", "key", "n", "digest", (F.col("place") - 1).alias("place"), "n_groups")
+    over = groups.select(F.col("all").alias("key"), "place", F.col("n_groups").alias("n"), "digest")
     above, roots = _levels(over, "merkle-above")
     root = roots.select("digest").first()
     return Manifest(leaves, groups, below, above, bytes(root[0]) if root else None)
@@ -151,10 +152,10 @@ def descend(starts: DataFrame, levels: list[DataFrame], requests: DataFrame) ->
 
 def merkle_proofs(manifest: Manifest) -> DataFrame:
     """row, leaf, subroot, root and path of all leaves: left and right siblings of every level, the leaf's own first."""
-    top = manifest.groups.agg(F.max("n_groups").alias("n")).filter("n IS NOT NULL")
-    top = top.select(F.lit("").alias("key"), "n", F.lit(manifest.root).cast("binary").alias("digest"), F.expr(_EMPTY_PATH).alias("path"))
+    top = manifest.groups.groupBy(F.col("all").alias("key")).agg(F.max("n_groups").alias("n"))
+    top = top.select("key", "n", F.lit(manifest.root).cast("binary").alias("digest"), F.expr(_EMPTY_PATH).alias("path"))
     places = manifest.groups.select(
-        F.lit("").alias("key"), "place", F.col("n_groups").alias("n"), F.col("key").alias("group"), F.col("n").alias("size"), "digest"
+        F.col("all").alias("key"), "place", F.col("n_groups").alias("n"), F.col("key").alias("group"), F.col("n").alias("size"), "digest"
     )
     over = descend(top, manifest.above, places)
     starts = materialise(over.select(F.col("group").alias("key"), F.col("size").alias("n"), "digest", "path"), "merkle-starts")
