@@ -2,8 +2,11 @@
 
 A page is read into a tree.  Siblings with one tag and class are one node, an
 iterator, so trees are as wide as their markup is various.  Trees of a host are
-aligned by simple tree matching and folded into a wrapper: for each node the texts
-that all pages have in it.  What all pages share is template; what varies is a slot.
+aligned by simple tree matching and folded into a wrapper: for each node how many
+pages have it, and how many of them with which text.  A text is template where at least
+``TEMPLATE_SHARE`` of a node's pages have it, with ``LEAST_VARIETY`` different main texts;
+what varies is a slot.  Copies of a page teach a task once, so a block that only the
+copies of one article have is no template.
 The text of a page is that of its main slots without template nodes and without parts
 whose tag, role or class names them menu, header, footer, sidebar, notice, advert,
 form, script, style or reader comments.
@@ -13,9 +16,10 @@ a host are folded in groups before they meet: no task sees all pages of a host.
 
 Contract of edge cases: a null or empty html gives an empty text; a page without a
 host in its url is read without a wrapper; a host teaches nothing until its pages have
-``LEAST_VARIETY`` different main texts; repeated rows are pages of their own; markup
-that is not closed or not opened is read as browsers do in the common cases; texts are
-taken whole; other columns pass unchanged, a column named like the output is replaced.
+``LEAST_VARIETY`` different main texts; repeated rows have their own results; markup
+that is not closed or not opened is read as browsers do in the common cases; elements
+nested deeper than ``DEEPEST`` lie side by side, their texts in order; texts are taken
+whole; other columns pass unchanged, a column named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +38,14 @@ from ..plans.stages import materialise
 
 #: Different main texts that a host must have before what its pages share is template.
 LEAST_VARIETY = 4
+#: Share of a node's pages that must have a text for it to be template.
+TEMPLATE_SHARE = 0.9
+#: Texts that fewer than half of so many pages have are no candidates any more.
+PRUNE_FROM = 8
+#: Levels of elements that are kept apart.
+DEEPEST = 150
+#: Quoted values and other pieces of one tag, after which the tag ends at its first ``>``.
+TAG_PIECES = 2000
 #: Groups in which parts of one host's wrapper are folded first.
 FOLD_GROUPS = 64
 
@@ -57,9 +69,8 @@ CLASSES = frozenset(
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 MAIN_NAMES = frozenset("article articlebody content entry main post story".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TAG_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _NAME = re.compile(r"[a-z]+")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -88,36 +99,92 @@ class Node:
             )
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag whose name ends at ``at`` has its ``>``, -1 for nowhere; a quote without its pair is a plain sign."""
+    begin = at
+    for _ in range(TAG_PIECES):
+        m = _TAG_MARK.search(page, at)
+        if m is None:
+            break
+        if m[0] == ">":
+            return m.start()
+        closed = page.find(m[0], m.end())
+        at = m.end() if closed < 0 else closed + 1
+    return page.find(">", begin)
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start and end of every comment and tag, with ``/`` for an end tag, its name and its attributes."""
+    at, last = 0, page.rfind(">")
+    while 0 <= (at := page.find("<", at)) <= last:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", "", ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+            yield at, end, "", "", ""
+        else:
+            m = _TAG.match(page, at)
+            stop = _tag_end(page, m.end()) if m else -1
+            if stop < 0:
+                at += 1
+                continue
+            end = stop + 1
+            jumped = yield at, end, m[1], m[2].lower(), page[m.end() : stop]
+            end = jumped or end
+        at = end
+
+
 def read_page(page: str) -> Node:
     """The element tree; texts are kept as they are written."""
     root = Node("#page")
     stack = [root]
-    at = 0
+    at, block = 0, None
+    tokens = _tokens(page)
+    token = next(tokens, None)
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        text = page[at : token[0]] if token else page[at:]
         if text:
-            stack[-1].kids.append(text)
-        if not m:
+            if len(stack) <= DEEPEST:
+                stack[-1].kids.append(text)
+            else:
+                # Texts of deeper elements lie side by side, apart where their blocks differ.
+                own = next((n for n in reversed(stack) if n.tag in BLOCKS), root)
+                if own is not block:
+                    stack[DEEPEST - 1].kids.append(Node("br"))
+                block = own
+                piece = Node("span")
+                piece.hidden = any(n.hidden or is_part(n, True) for n in stack[DEEPEST:])
+                piece.kids.append(text)
+                stack[DEEPEST - 1].kids.append(piece)
+        if not token:
             mark_holders(root)
             return root
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
+        _, at, ending, tag, attributes = token
+        jump = None
+        if tag and ending:
             _close(stack, tag)
-            continue
-        if tag == "p" or tag in BLOCKS:
-            _close_before(stack, tag)
-        node = Node(tag, m[3])
-        stack[-1].kids.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            node.kids.append(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+        elif tag:
+            if tag == "p" or tag in BLOCKS:
+                _close_before(stack, tag)
+            node = Node(tag, attributes)
+            if len(stack) < DEEPEST:
+                stack[-1].kids.append(node)
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                node.kids.append(page[at : end.start() if end else len(page)])
+                at = jump = end.end() if end else len(page)
+            elif tag not in VOID and not attributes.endswith("/"):
+                stack.append(node)
+        token = _advance(tokens, jump)
+
+
+def _advance(tokens, jump: int | None) -> tuple | None:
+    try:
+        return next(tokens) if jump is None else tokens.send(jump)
+    except StopIteration:
+        return None
 
 
 def _close(stack: list[Node], tag: str) -> None:
@@ -205,17 +272,17 @@ def fingerprint(node: Node) -> int:
     return node.print
 
 
-# A wrapper node is [mark, pages, texts shared by all of them, children].
+# A wrapper node is [mark, pages, {text: [pages, some main texts]}, children]; keys of a JSON object are strings.
 
 
-def shape(nodes: list[Node]) -> list:
-    """The wrapper of one page's siblings of one mark."""
+def shape(nodes: list[Node], kind: int = 0) -> list:
+    """The wrapper of one page's siblings of one mark; ``kind`` names the page's main text."""
     groups: dict[str, list[Node]] = {}
     for node in nodes:
         for kid in node.kids:
             if isinstance(kid, Node):
                 groups.setdefault(kid.mark, []).append(kid)
-    return [nodes[0].mark, 1, sorted({n.print for n in nodes}), [shape(g) for g in groups.values()]]
+    return [nodes[0].mark, 1, {str(n.print): [1, [kind]] for n in nodes}, [shape(g, kind) for g in groups.values()]]
 
 
 def match(a: list, b: list, memo: dict) -> int:
@@ -261,8 +328,13 @@ def align(left: list, right: list, memo: dict) -> list[tuple]:
 def fold(a: list, b: list, memo: dict) -> list:
     """The wrapper of all pages of two."""
     kids = [y if x is None else x if y is None else fold(x, y, memo) for x, y in align(a[3], b[3], memo)]
-    shared = a[2] if a[2] == b[2] else sorted(set(a[2]) & set(b[2]))
-    return [a[0], a[1] + b[1], shared, kids]
+    pages, texts = a[1] + b[1], dict(a[2])
+    for text, (n, kinds) in b[2].items():
+        have, known = texts.get(text, (0, []))
+        texts[text] = [have + n, known if len(known) >= LEAST_VARIETY else sorted({*known, *kinds})[:LEAST_VARIETY]]
+    if pages >= PRUNE_FROM:
+        texts = {t: e for t, e in texts.items() if 2 * e[0] >= pages}
+    return [a[0], pages, texts, kids]
 
 
 def fold_all(a: dict | None, b: dict) -> dict:
@@ -274,6 +346,13 @@ def fold_all(a: dict | None, b: dict) -> dict:
     }
 
 
+def templates(node: list) -> list:
+    """A wrapper with nothing but the texts that are template: [mark, pages, texts, children]."""
+    mark, pages, texts, kids = node
+    kept = [int(t) for t, (n, kinds) in texts.items() if len(kinds) >= LEAST_VARIETY and n >= TEMPLATE_SHARE * pages]
+    return [mark, pages, kept, [templates(kid) for kid in kids]]
+
+
 def main_slots(root: Node) -> list[Node]:
     """The elements that hold the article: the longest one and its siblings of that kind, in page order."""
 
@@ -319,7 +398,7 @@ def blocks_of(slot: Node, wrapper: list | None) -> list[str]:
                 continue
             same = known.get(kid.mark)
             block = kid.tag in BLOCKS
-            if same is not None and block and same[1] > 1 and kid.print in same[2] and kid.kids:
+            if same is not None and block and kid.print in same[2] and kid.kids:
                 continue
             if block or kid.tag == "br":
                 end()
@@ -336,16 +415,23 @@ def blocks_of(slot: Node, wrapper: list | None) -> list[str]:
     return out
 
 
-def _wrapper_of(root: Node, slot: Node, tree: list) -> list | None:
-    """The wrapper's node for the page's main slot, by aligning the page with the wrapper."""
+def _wrappers_of(root: Node, slots: list[Node], tree: list) -> list[list | None]:
+    """The wrapper's node for each main slot, by aligning the page with the wrapper once; slots are siblings."""
+    above = _path(root, slots[0])[:-1]
     page, memo = shape([root]), {}
-    path = _path(root, slot)
-    for mark in path:
-        pair = next((y for x, y in align(page[3], tree[3], memo) if x is not None and x[0] == mark), None)
+
+    def step(page: list, tree: list, mark: str) -> tuple[list, list] | None:
+        return next(((x, y) for x, y in align(page[3], tree[3], memo) if x is not None and y is not None and x[0] == mark), None)
+
+    for mark in above:
+        pair = step(page, tree, mark)
         if pair is None:
-            return None
-        page, tree = next(x for x in page[3] if x[0] == mark), pair
-    return tree
+            return [None] * len(slots)
+        page, tree = pair
+    if slots[0] is root:
+        return [tree]
+    found = {mark: step(page, tree, mark) for mark in {slot.mark for slot in slots}}
+    return [found[slot.mark] and found[slot.mark][1] for slot in slots]
 
 
 def _path(root: Node, target: Node) -> list[str]:
@@ -366,11 +452,11 @@ def learn(page: str) -> dict:
     root = read_page(page)
     fingerprint(root)
     kind = xxhash.xxh64_intdigest("\n".join(x for n in main_slots(root) for x in blocks_of(n, None))) >> 1
-    return {"tree": shape([root]), "kinds": [kind]}
+    return {"tree": shape([root], kind % (1 << 31)), "kinds": [kind]}
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
-    """The main text of one page."""
+    """The main text of one page; the wrapper's tree holds templates."""
     if not page:
         return ""
     root = read_page(page)
@@ -378,7 +464,7 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     nodes: list[list | None] = [None] * len(slots)
     if wrapper is not None and len(wrapper["kinds"]) >= LEAST_VARIETY:
         fingerprint(root)
-        nodes = [_wrapper_of(root, slot, wrapper["tree"]) for slot in slots]
+        nodes = _wrappers_of(root, slots, wrapper["tree"])
     return "\n".join(x for slot, node in zip(slots, nodes) for x in blocks_of(slot, node))
 
 
@@ -387,12 +473,15 @@ _PARTIAL = "host string, salt int, wrapper string"
 
 def learn_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, html) to one folded wrapper for each host of a batch."""
+    taught: set[tuple[str, int]] = set()  # main texts of this task, 8 bytes and a host's name each
     for batch in batches:
         hosts: dict[str, dict] = {}
         for host, page in zip(batch.column(0), batch.column(1)):
             if page.is_valid and len(page.as_buffer()):
-                name = host.as_py()
-                hosts[name] = fold_all(hosts.get(name), learn(page.as_py()))
+                name, one = host.as_py(), learn(page.as_py())
+                if (name, one["kinds"][0]) not in taught:
+                    taught.add((name, one["kinds"][0]))
+                    hosts[name] = fold_all(hosts.get(name), one)
         texts = [json.dumps(w) for w in hosts.values()]
         salts = [xxhash.xxh32_intdigest(t) % FOLD_GROUPS for t in texts]
         yield pa.RecordBatch.from_arrays(
@@ -401,15 +490,16 @@ def learn_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fold_wrappers(keys: int):
-    """Sorted by its first ``keys`` columns: one wrapper for each value of them."""
+def fold_wrappers(keys: int, last: bool = False):
+    """Sorted by its first ``keys`` columns: one wrapper for each value of them, with templates alone if it is the ``last`` fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, wrapper = None, None
 
         def told() -> pa.RecordBatch:
+            done = {**wrapper, "tree": templates(wrapper["tree"])} if last else wrapper
             return pa.RecordBatch.from_arrays(
-                [pa.array([held[0]], pa.string()), pa.array([0], pa.int32()), pa.array([json.dumps(wrapper)], pa.string())],
+                [pa.array([held[0]], pa.string()), pa.array([0], pa.int32()), pa.array([json.dumps(done)], pa.string())],
                 names=["host", "salt", "wrapper"],
             )
 
@@ -454,7 +544,7 @@ def induce_wrappers(pages: DataFrame, *, url: str = "url", html: str = "html") -
     hosts = pages.select(F.lower(F.regexp_extract(url, _HOST, 1)).alias("host"), F.col(html).cast("string").alias("html"))
     parts = hosts.filter("host <> ''").mapInArrow(learn_pages, _PARTIAL)
     groups = parts.repartition("host", "salt").sortWithinPartitions("host", "salt").mapInArrow(fold_wrappers(2), _PARTIAL)
-    whole = groups.repartition("host").sortWithinPartitions("host").mapInArrow(fold_wrappers(1), _PARTIAL)
+    whole = groups.repartition("host").sortWithinPartitions("host").mapInArrow(fold_wrappers(1, last=True), _PARTIAL)
     return whole.select("host", "wrapper")
 
 

@@ -1,6 +1,7 @@
 """Operators that compare rows, and the pipeline, against plain computations."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -133,14 +134,63 @@ def test_main_text(llm):
 
 
 def test_tree_matching():
-    a = ["body", 1, [1], [["h1", 1, [2], []], ["p", 1, [3, 4], [["b", 1, [5], []]]]]]
-    b = ["body", 1, [1], [["div.x", 1, [9], []], ["p", 1, [4, 7], [["b", 1, [6], []]]]]]
+    def texts(*prints):
+        return {str(p): [1, [p]] for p in prints}
+
+    a = ["body", 1, texts(1), [["h1", 1, texts(2), []], ["p", 1, texts(3, 4), [["b", 1, texts(5), []]]]]]
+    b = ["body", 1, texts(1), [["div.x", 1, texts(9), []], ["p", 1, texts(4, 7), [["b", 1, texts(6), []]]]]]
     assert wrappers.match(a, b, {}) == 3
     folded = wrappers.fold(a, b, {})
-    assert [k[0] for k in folded[3]] == ["div.x", "h1", "p"] and folded[3][2][1:3] == [2, [4]]
+    assert [k[0] for k in folded[3]] == ["div.x", "h1", "p"] and folded[3][2][1:3] == [2, {"3": [1, [3]], "4": [2, [4]], "7": [1, [7]]}]
     assert wrappers.match(folded, a, {}) == 4
 
 
+def taught(pages):
+    wrapper = None
+    for page in pages:
+        wrapper = wrappers.fold_all(wrapper, wrappers.learn(page))
+    return {**wrapper, "tree": wrappers.templates(wrapper["tree"])}
+
+
+def article(i, more=""):
+    return f"<body><article><h1>Title {i}</h1><p>Text number {i} of this page.</p>{more}<p>Its end, {i}.</p></article>"
+
+
+def test_blocks_of_the_copies_of_one_article_stay():
+    copy = article(99, "<blockquote>A quotation only this article has.</blockquote><table><tr><td>cell</table>")
+    wrapper = taught([article(i) for i in range(6)] + [copy, copy])
+    assert wrappers.extract(copy, wrapper).split("\n") == ["Title 99", "Text number 99 of this page.", "A quotation only this article has.", "cell", "Its end, 99."]
+
+
+def test_notice_on_nearly_all_pages_is_template():
+    notice = "<div class=x17>We have moved to another house.</div>"
+    wrapper = taught([article(i, notice if i != 50 else "") for i in range(100)])
+    assert wrappers.extract(article(3, notice), wrapper) == "Title 3\nText number 3 of this page.\nIts end, 3."
+    half = taught([article(i, notice if i % 2 else "<div class=x17>Other</div>") for i in range(100)])
+    assert "We have moved" in wrappers.extract(article(3, notice), half)
+
+
+@pytest.mark.parametrize("depth", [100, 1200, 100_000])
+def test_deep_nesting(depth):
+    page = "<body><article><p>Before.</p>" + "<div>" * depth + "In the deep.<p>Its second.</p><nav><ul><li>menu</ul></nav>end" + "</div>" * depth + "<p>After.</p></article>"
+    assert wrappers.extract(page, taught([page] + [article(i) for i in range(5)])) == "Before.\nIn the deep.\nIts second.\nend\nAfter."
+
+
+@pytest.mark.parametrize("piece", ['<a "b ', "<a 'b ", "<a \"b' > ", "<", "<!-", "<a href='x\" "])
+def test_unclosed_quotes_are_linear(piece):
+    start = time.perf_counter()
+    wrappers.extract("<body><p>Text.</p>" + piece * (1_000_000 // len(piece)), None)
+    assert time.perf_counter() - start < 20
+
+
+def test_many_sibling_articles():
+    page = "<body><div>" + "".join(f"<article><p>Part {i}.</p></article>" for i in range(1000)) + "</div>"
+    wrapper = taught([page] + [page.replace("Part", w) for w in ("Bit", "Piece", "Share")])
+    start = time.perf_counter()
+    assert wrappers.extract(page, wrapper).count("\n") == 999
+    assert time.perf_counter() - start < 5
+
+
 VECTORS = "vec_id long, embedding array<float>"
 
 
