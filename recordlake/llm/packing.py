@@ -9,6 +9,7 @@ documents other than id and text are not carried.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ..plans.stages import materialise
 from .bpe import Vocabulary, flatten_ids
-from .bytewise import Texts, blobs, small_slices
+from .bytewise import Texts, blobs, small_slices, tidy
 
 #: Search steps for one sequence's fillings, and for all of them together.
-FILLING_STEPS, SEARCH_STEPS = 3000, 400_000
+FILLING_STEPS, SEARCH_STEPS = 1000, 1_000_000
 #: Parts in which pieces of one length are numbered.
 NUMBERING_PARTS = 4096
 
@@ -30,6 +31,7 @@ NUMBERING_PARTS = 4096
 def ids_column(ranks_path: str, library_path: str, end_id: int):
     """A column function: text to packed ids (little-endian uint32) with ``end_id`` after the last."""
 
+    @tidy
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, library = Vocabulary.at(ranks_path), None
         for batch in batches:
@@ -107,82 +109,100 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return [x for group in open_.values() for x in group]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, keep: int) -> list[tuple[int, Filling]]:
-    """Undominated ways to fill ``room``, the least waste first.
+def fillings(counts: dict[int, int], room: int) -> tuple[list[Filling], int]:
+    """Undominated ways to fill ``room``, the least waste first, and the steps that took.
 
-    Lengths are tried from the longest, so of two fillings with the same sum the one
-    with longer pieces, which the other cannot improve on, comes first; a filling
-    that leaves room for a piece still at hand is dominated by the one with it.
+    They are all there are, unless that takes more than ``FILLING_STEPS``.  A filling is
+    dominated if a piece at hand fits beside it, or fits where a shorter piece of it
+    lies.  Of equal waste, the one with longer pieces comes first.
     """
-    found: dict[int, Filling] = {}
+    lengths = sorted((x for x in counts if x <= room), reverse=True)
+    falling, rising = [-x for x in lengths], lengths[::-1]
+    found: list[tuple[int, Filling]] = []
     steps = 0
 
-    def search(at: int, left: int, chosen: Filling) -> bool:
+    def dominated(left: int, chosen: Filling) -> bool:
+        if not left:
+            return False
+        used = dict(chosen)
+
+        def at_hand(above: int, upto: int) -> bool:
+            for i in range(bisect_right(rising, above), len(rising)):
+                if rising[i] > upto:
+                    return False
+                if counts[rising[i]] > used.get(rising[i], 0):
+                    return True
+            return False
+
+        return at_hand(0, left) or any(at_hand(x, x + left) for x in used)
+
+    def search(at: int, left: int, chosen: Filling) -> None:
         nonlocal steps
-        steps += 1
-        extendable = False
-        for i in range(at, len(lengths)):
+        for i in range(max(at, bisect_left(falling, -left)), len(lengths)):
             length = lengths[i]
-            if length > left:
-                continue
-            most = min(counts[length], left // length)
-            if most:
-                extendable = True
-                if search(i + 1, left - most * length, (*chosen, (length, most))):
-                    return True
-                if most > 1 and search(i + 1, left - length, (*chosen, (length, 1))):
-                    return True
-            if steps > FILLING_STEPS:
-                return True
-        if not extendable:
-            found.setdefault(left, chosen)
-        return left == 0
+            for k in range(min(counts[length], left // length), 0, -1):
+                steps += 1
+                if steps > FILLING_STEPS:
+                    return
+                search(i + 1, left - k * length, (*chosen, (length, k)))
+        if not dominated(left, chosen):
+            found.append((left, chosen))
 
     search(0, room, ())
-    return sorted(found.items())[:keep] or [(room, ())]
+    found.sort(key=lambda f: f[0])
+    return [chosen for _, chosen in found] or [()], steps
 
 
 def bin_completion(counts: dict[int, int], capacity: int) -> Packing:
     """As few sequences as found: branch and bound over the fillings around the longest piece.
 
-    A branch takes the longest piece left, an undominated filling of its room, and as
-    many copies of both as there are pieces for.  It is cut when the sequences so far
-    and the least number that the rest needs reach the incumbent, at first the
-    best-fit packing.  Equal lengths are counted, not listed, so the work follows the
+    A branch takes the longest piece left and an undominated filling of its room, at
+    first as many copies of both as there are pieces for, then one.  Branches are
+    tried depth first, the least waste first, and cut when the sequences so far and the
+    least number that the rest needs reach the incumbent, at first the best-fit packing.
+    The search ends when the incumbent reaches the least number for all, or after
+    ``SEARCH_STEPS``.  Equal lengths are counted, not listed, so the work follows the
     capacity and not the number of documents.
     """
-    total = sum(k * n for k, n in counts.items())
-    bound = -(-total // capacity)
+    left, tokens = dict(counts), sum(k * n for k, n in counts.items())
+    bound = -(-tokens // capacity)
     best = best_fit(counts, capacity)
     fewest = sum(n for _, n in best)
-    steps = 0
-    stack: list[tuple[dict[int, int], Packing, int, int]] = [(dict(counts), [], 0, total)]
-    while stack and fewest > bound and steps < SEARCH_STEPS:
-        left, packing, used, tokens = stack.pop()
-        while left and steps < SEARCH_STEPS:
-            if used - (-tokens // capacity) >= fewest:
-                break
+    # What is packed now, and for each of it the options that are left to try.
+    packing: Packing = []
+    open_options: list[list[tuple[Filling, int]]] = []
+    used = steps = 0
+    while fewest > bound:
+        if not left and used < fewest:
+            best, fewest = list(packing), used
+        options: list[tuple[Filling, int]] = []
+        if left and used - (-tokens // capacity) < fewest and steps < SEARCH_STEPS:
             longest = max(left)
-            lengths = sorted(left, reverse=True)
-            left[longest] -= 1
-            ways = fillings(left, lengths, capacity - longest, 2)
-            left[longest] += 1
-            steps += len(lengths)
-            options = []
-            for _, chosen in ways:
-                filling: dict[int, int] = {longest: 1}
+            rest = _without(left, ((longest, 1),), 1)
+            ways, taken = fillings(rest, capacity - longest)
+            steps += len(rest) + taken
+            for chosen in ways:
+                filling = {longest: 1}
                 for length, k in chosen:
                     filling[length] = filling.get(length, 0) + k
-                options.append((tuple(sorted(filling.items(), reverse=True)), min(left[k] // n for k, n in filling.items())))
-            for filling, copies in options[1:]:
-                stack.append((_without(left, filling, copies), [*packing, (filling, copies)], used + copies, tokens - copies * _sum(filling)))
-            filling, copies = options[0]
-            left = _without(left, filling, copies)
-            packing = [*packing, (filling, copies)]
-            used += copies
-            tokens -= copies * _sum(filling)
-        if not left and used < fewest:
-            best, fewest = packing, used
+                whole = tuple(sorted(filling.items(), reverse=True))
+                copies = min(left[length] // k for length, k in whole)
+                options += [(whole, copies)] + ([(whole, 1)] if copies > 1 else [])
+            options.reverse()
+        # Back to the last branch that has another option.
+        while not options and packing:
+            filling, copies = packing.pop()
+            for length, k in filling:
+                left[length] = left.get(length, 0) + k * copies
+            used, tokens = used - copies, tokens + copies * _sum(filling)
+            options = open_options.pop()
+        if not options:
+            break
+        filling, copies = options.pop()
+        left = _without(left, filling, copies)
+        used, tokens = used + copies, tokens - copies * _sum(filling)
+        packing.append((filling, copies))
+        open_options.append(options)
     return best
 
 

@@ -1,6 +1,7 @@
 """Operators that work text by text, against plain computations."""
 
 import base64
+import collections
 import random
 
 import numpy as np
@@ -97,10 +98,19 @@ def test_bin_completion_is_optimal_on_small_cases():
         return best[0]
 
     pick = random.Random(4)
-    for _ in range(30):
-        items = sorted((pick.randint(3, 20) for _ in range(9)), reverse=True)
+    cases = [([50, 47, 41, 33, 30, 29, 25, 25, 20], 100)]
+    cases += [([pick.randint(3, 20) for _ in range(9)], 24) for _ in range(100)]
+    cases += [([pick.randint(5, 60) for _ in range(pick.randint(1, 12))], 100) for _ in range(1000)]
+    for items, capacity in cases:
+        items = sorted(items, reverse=True)
         counts = {x: items.count(x) for x in items}
-        assert sum(n for _, n in bin_completion(counts, 24)) == fewest(items, 24), items
+        packing = bin_completion(counts, capacity)
+        assert sum(n for _, n in packing) == fewest(items, capacity), items
+        used = collections.Counter()
+        for filling, copies in packing:
+            assert sum(length * k for length, k in filling) <= capacity
+            used.update({length: k * copies for length, k in filling})
+        assert used == counts
 
 
 def test_pieces_have_places_of_their_own(llm):
