@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stages import materialise
-from .bytewise import Hashes, Texts, lower_ascii, mix, small_slices
+from .bytewise import Hashes, Texts, lower_ascii, mix, small_slices, tidy
 from .components import components
 
 #: Shingles in a block of the T-occurrence search.
@@ -155,6 +155,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def set_summaries(size: int):
     """(doc, text) to doc, n_shingles and two hashes of the whole set."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in _ids_and_texts(batch):
@@ -176,6 +177,7 @@ def find_parts(size: int, percent: int):
     """
     bands = Bands(percent)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in _ids_and_texts(batch):
@@ -203,6 +205,7 @@ def find_parts(size: int, percent: int):
     return run
 
 
+@tidy
 def shared_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by key: (doc, tag, part) of the parts that several documents, or slices, have."""
     held: tuple | None = None  # key, doc, tag of the last row, and whether its part is shared
@@ -233,6 +236,7 @@ def shared_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(tag[out]), pa.array(key[out])], names=["doc", "tag", "part"])
 
 
+@tidy
 def meet_in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, doc) to (part, first doc, null) once for a batch, and its meetings as (spread key, first doc, doc)."""
     for batch in batches:
@@ -254,6 +258,7 @@ def meet_in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([_longs(mix(other.view(_U))), _longs(first), _longs(other)], names=["key", "doc", "other"])
 
 
+@tidy
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by key and doc: each document with the first one of its key, once for each batch."""
     held_key = held_doc = None
@@ -283,6 +288,7 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def member_sets(size: int):
     """(doc, text, cluster, block) to its set."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -398,6 +404,7 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 def search_blocks(percent: int):
     """Sorted by (cluster, block): doc, cluster, block, shingles to (doc, cluster, label), the label an id of the block."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches, (1, 2)):
             doc = table.column(0).to_numpy()
@@ -412,6 +419,7 @@ def search_blocks(percent: int):
 def search_across(percent: int):
     """Sorted by (cluster, block): doc, cluster, block, shingles, label, query to links (a, b) between labels."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches, (1, 2)):
             sets, label, query = _lists(table.column(3)), table.column(4).to_numpy(), table.column(5).to_numpy(zero_copy_only=False)

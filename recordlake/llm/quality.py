@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewise import Hashes, Texts, mix, small_slices
+from .bytewise import Hashes, Texts, mix, small_slices, tidy
 from .suffixes import SuffixArray, covered
 
 #: Words of the repeats that the base rule counts.
@@ -70,6 +70,7 @@ def measure(texts: Texts, least: int) -> list[np.ndarray]:
 def measures_column(least: int):
     """A column function: text to a struct of its measures."""
 
+    @tidy
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = [field.split()[0] for field in _FIELDS.split(", ")]
         for batch in batches:

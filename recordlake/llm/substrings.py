@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stages import materialise
-from .bytewise import Hashes, Texts, blobs, mix, small_slices
+from .bytewise import Hashes, Texts, blobs, mix, small_slices, tidy
 
 #: Bytes of the grams that anchors are chosen by.
 GRAM = 16
@@ -136,6 +136,7 @@ def find_cuts(length: int):
     spread keys without the rest of the hash.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts, _ in _docs_and_texts(batch):
@@ -170,6 +171,7 @@ def find_cuts(length: int):
     return run
 
 
+@tidy
 def repeated_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by key, rest and doc: the cuts that a smaller document has too."""
     held = owner = None
@@ -201,6 +203,7 @@ def find_anchors(length: int):
     already, and they travel under spread keys.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts, _ in _docs_and_texts(batch):
@@ -238,6 +241,7 @@ def _low(keys: np.ndarray) -> pa.Array:
     return pa.array((keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32))
 
 
+@tidy
 def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by key and doc: the anchors that stand in two documents."""
     held_key = held_doc = None
@@ -285,6 +289,7 @@ def cut_contexts(length: int):
     not travel; their runs come out without bytes, ``last`` their end.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unpacked = pa.RecordBatch.from_arrays([batch.column(0), _unpack(batch.column(1))], names=["doc", "text"])
@@ -458,6 +463,7 @@ def sort_shard(length: int):
                 names=["key", "doc", "first", "last", "bytes"],
             )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         rows, crowded = 0, None
@@ -503,6 +509,7 @@ def sort_shard(length: int):
 def match_strings(length: int):
     """Sorted by key and doc: single strings to covered runs; what is a run already passes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, owners = None, {}
         for batch in batches:
@@ -530,6 +537,7 @@ _DEDUPED = "n_bytes long, n_removed long, n_spans long, kept binary"
 def remove_column():
     """A column function: (packed text, runs as two lists) to counts and the bytes that are left, null for a null text."""
 
+    @tidy
     def remove(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, firsts, lasts in batches:
             counts, kept, at = [], [], 0
