@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..constants import BLOCKED_URL_PATTERNS, DIRECTORY_HINT, NEWS_HINT, STOP_WORDS
 from ..functions.urls import canonical_url, host_of, registrable_host, strip_www, unwrap_redirect
+from ..operators.blocklist import url_matches
 from ..operators.fetches import fetch_outcomes, first_answering_engine, skip_report
 from ..operators.frontier import build_frontier, frontier_funnel, intent_tokens, query_counts
 from ..operators.planning import plan_queries, with_targets
-from ..plans.stages import first_per_key
+from ..plans.stages import first_per_key, spread
 from ..sources.search import limit_results, load_search_results, seed_results
 from .registry import query
 
@@ -76,7 +77,7 @@ _DIRECTORY = DIRECTORY_HINT.replace("(?i)", "").replace("\\d", "[0-9]")
 _TOKENS = ["reliable", "partners", "another", "thing", "entre", "queue", "database"]
 
 
-def _results(load):
+def results_of(load):
     pages = load("pages")
     title = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)
     lead = F.regexp_extract("html", r"(?is)<p>\s*([^<]*)", 1)
@@ -93,13 +94,13 @@ def _results(load):
     )
 
 
-def _jobs(results):
+def jobs_of(results):
     """Two jobs with a full intent and one whose intent says too little."""
     intent = F.when(F.col("job_id") == "job-2", "find leads").otherwise(_INTENT)
     return results.select("job_id").distinct().withColumn("intent", intent)
 
 
-_RESULTS_SQL = f"""
+RESULTS_SQL = f"""
     WITH results AS (
       SELECT 'job-' || (page_id % 3) AS job_id, page_id AS rank, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
         CASE WHEN page_id % 17 = 0 THEN regexp_extract(url, '^(https?://[^/]+)', 1) || '/news/' || page_id ELSE url END AS url,
@@ -117,7 +118,7 @@ _RESULTS_SQL = f"""
 
 
 @query(
-    _RESULTS_SQL
+    RESULTS_SQL
     + """, firsts AS (SELECT * FROM keyed WHERE on_topic QUALIFY row_number() OVER (PARTITION BY job_id, url ORDER BY k1, k2, k3, rank) = 1)
     SELECT job_id, url, hits, is_seed, row_number() OVER (PARTITION BY job_id ORDER BY k1, k2, k3, rank, url) AS page_rank
     FROM firsts
@@ -125,22 +126,22 @@ _RESULTS_SQL = f"""
 )
 def frontier_ranked(spark, load):
     """Ranked frontier of three jobs over all pages."""
-    results = _results(load)
-    ranked = build_frontier(results, _jobs(results))
+    results = results_of(load)
+    ranked = build_frontier(results, jobs_of(results))
     return ranked.select(
         "job_id", "url", F.col("hits").cast("long").alias("hits"), "is_seed", F.col("page_rank").cast("long").alias("page_rank")
     )
 
 
 @query(
-    _RESULTS_SQL
+    RESULTS_SQL
     + """SELECT job_id, count(*) AS raw_results, count(*) FILTER (on_topic) AS on_topic_results,
     count(DISTINCT url) FILTER (on_topic) AS unique_queued FROM keyed GROUP BY job_id"""
 )
 def frontier_counts(spark, load):
     """Funnel per job: raw, on-topic, unique."""
-    results = _results(load)
-    return frontier_funnel(results, _jobs(results))
+    results = results_of(load)
+    return frontier_funnel(results, jobs_of(results))
 
 
 @query(
@@ -343,9 +344,9 @@ def intent_targets(spark, load):
     return with_targets(jobs).select("job_id", F.col("max_records").cast("long").alias("max_records"))
 
 
-def _attempts(load):
+def attempts_of(load):
     """Fetch log made of line items: one url per order, one attempt per item."""
-    item = load("lineitem")
+    item = spread(load("lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey")
     number = F.col("l_linenumber")
     engine = F.when(number <= 2, "cli").when(number <= 4, "server").otherwise("http")
     fate = (F.col("l_orderkey") * 7 + F.col("l_partkey") + number) % 10
@@ -363,7 +364,7 @@ def _attempts(load):
     )
 
 
-_ATTEMPTS_SQL = """
+ATTEMPTS_SQL = """
     WITH a AS (
       SELECT 'https://shop.test/' || l_orderkey AS url, CASE WHEN l_linenumber <= 2 THEN 'cli' WHEN l_linenumber <= 4 THEN 'server' ELSE 'http' END AS engine,
         CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS attempt, (l_orderkey * 7 + l_partkey + l_linenumber) % 10 AS fate, 'item ' || l_partkey AS body FROM lineitem),
@@ -376,16 +377,16 @@ _ATTEMPTS_SQL = """
 """
 
 
-@query(_ATTEMPTS_SQL + "SELECT url, state, engine, attempt, text, reason FROM o")
+@query(ATTEMPTS_SQL + "SELECT url, state, engine, attempt, text, reason FROM o")
 def fetch_results(spark, load):
     """The attempt that settled every url."""
-    return fetch_outcomes(_attempts(load)).select("url", "state", "engine", "attempt", "text", "reason")
+    return fetch_outcomes(attempts_of(load)).select("url", "state", "engine", "attempt", "text", "reason")
 
 
-@query(_ATTEMPTS_SQL + "SELECT 'shop' AS job_id, url, reason FROM o WHERE reason IS NOT NULL")
+@query(ATTEMPTS_SQL + "SELECT 'shop' AS job_id, url, reason FROM o WHERE reason IS NOT NULL")
 def skipped_urls(spark, load):
     """Skip report of the fetch log."""
-    return skip_report(fetch_outcomes(_attempts(load)).withColumn("job_id", F.lit("shop")))
+    return skip_report(fetch_outcomes(attempts_of(load)).withColumn("job_id", F.lit("shop")))
 
 
 @query(
@@ -405,3 +406,30 @@ def engine_precedence(spark, load):
         F.col("o_orderkey").alias("rank"),
     )
     return first_answering_engine(answers).select("job_id", "query", "engine", "rank")
+
+
+_LISTED = "CASE k % 4 WHEN 0 THEN '/' || k WHEN 1 THEN 'EN/' || (k % 1000) WHEN 2 THEN substr(c_name, 3, 9) || '.example' ELSE 'th' || chr((97 + k % 26)::INTEGER) || 're' END"
+
+
+@query(
+    f"""
+    WITH listed AS (SELECT DISTINCT lower({_LISTED}) AS pattern FROM (SELECT c_custkey AS k, c_name FROM customer)
+      UNION SELECT * FROM (VALUES ('-farm'), ('?'), ('spam'), ('example.org/fr/'))),
+    hits AS (SELECT url, count(*) AS n, min(pattern) AS first FROM (SELECT DISTINCT url FROM pages) JOIN listed ON contains(lower(url), pattern) GROUP BY url)
+    SELECT page_id, pages.url, coalesce(n, 0) AS n_patterns, first AS first_pattern FROM pages LEFT JOIN hits USING (url)
+    """
+)
+def blocked_by_list(spark, load):
+    """Urls against a block list that grows with the data: patterns of every length met at their rarest part."""
+    k = F.col("c_custkey")
+    pattern = (
+        F.when(k % 4 == 0, F.concat(F.lit("/"), k.cast("string")))
+        .when(k % 4 == 1, F.concat(F.lit("EN/"), (k % 1000).cast("string")))
+        .when(k % 4 == 2, F.concat(F.substring("c_name", 3, 9), F.lit(".example")))
+        .otherwise(F.concat(F.lit("th"), F.char(97 + k % 26), F.lit("re")))
+    )
+    fixed = spark.sql("SELECT * FROM VALUES ('-farm'), ('?'), ('Spam '), ('example.org/fr/'), (' '), (NULL) AS t(pattern)")
+    listed = load("customer").select(pattern.alias("pattern")).unionByName(fixed)
+    pages = load("pages").select("page_id", "url")
+    hits = url_matches(pages, listed).groupBy("url").agg(F.count(F.lit(1)).alias("n_patterns"), F.min("pattern").alias("first_pattern"))
+    return pages.join(hits, "url", "left").select("page_id", "url", F.coalesce("n_patterns", F.lit(0)).alias("n_patterns"), "first_pattern")

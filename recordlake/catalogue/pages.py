@@ -166,7 +166,7 @@ def page_table_cells(spark, load):
 
 
 
-@query(
+REJECTS_SQL = (
     TEXT_SQL
     + """, rewritten AS (
       SELECT page_id, url, CASE page_id % 10 WHEN 0 THEN 'Access Denied' WHEN 1 THEN '404 Not Found'
@@ -177,9 +177,10 @@ def page_table_cells(spark, load):
     + ERROR_TITLE
     + "')"
 )
-def page_rejects(spark, load):
-    """Pages that yield nothing: titles of error pages, bodies without content."""
-    pages = load("pages").select("page_id", "url", "html")
+
+
+def spoiled_pages(pages):
+    """The raw pages, some with titles of error pages, some without content."""
     title = (
         F.when(F.col("page_id") % 10 == 0, "Access Denied")
         .when(F.col("page_id") % 10 == 1, "404 Not Found")
@@ -187,7 +188,13 @@ def page_rejects(spark, load):
     )
     retitled = F.regexp_replace("html", F.lit("(?is)<title>.*?</title>"), F.concat(F.lit("<title>"), title, F.lit("</title>")))
     html = F.when(F.col("page_id") % 10 == 4, "<html><nav>menu</nav></html>").when(title.isNotNull(), retitled).otherwise(F.col("html"))
-    text = page_text(pages.withColumn("html", html))
+    return pages.select("page_id", "url", html.alias("html"))
+
+
+@query(REJECTS_SQL)
+def page_rejects(spark, load):
+    """Pages that yield nothing: titles of error pages, bodies without content."""
+    text = page_text(spoiled_pages(load("pages")))
     return text.filter(F.col("reject").isNotNull()).select("page_id", F.col("reject").alias("reason"))
 
 

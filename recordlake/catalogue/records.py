@@ -13,7 +13,7 @@ from ..operators.page_text import page_text
 from ..operators.quality import NO_RECORDS, quality_note, run_stats
 from ..operators.validate import accepted, rejected, validate_records
 from ..plans.harvest import corpus_by_url, run_harvest
-from ..plans.stages import materialise
+from ..plans.stages import materialise, spread
 from ..sources.corpora import key_value_page
 from ..spec import FieldSpec, RecordSpec
 from .pages import supplier_cells, supplier_pages
@@ -63,7 +63,7 @@ def customer_pages(load):
         "Founded": F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") % 5000).cast("int")), "d MMM yyyy"),
         "Tags": F.concat(F.lit("a"), (F.col("c_custkey") % 7).cast("string"), F.lit("; b | c"), key),
     }
-    return load("customer").select(
+    return spread(load("customer").select("c_custkey", "c_mktsegment"), "c_custkey").select(
         F.lit("customers").alias("job_id"),
         F.col("c_custkey").alias("page_rank"),
         F.concat(F.lit("https://www.c"), key, F.lit(".test/")).alias("url"),
@@ -106,7 +106,8 @@ def order_pages(spark, load):
         "Total": F.concat(F.lit("$"), F.format_number("o_totalprice", 2)),
         "Placed": F.date_format(F.col("o_orderdate").cast("date"), "d MMM yyyy"),
     }
-    pages = load("orders").select(
+    orders = spread(load("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), "o_orderkey")
+    pages = orders.select(
         F.lit("orders").alias("job_id"),
         F.col("o_orderkey").alias("page_rank"),
         F.concat(F.lit("https://shop.test/orders/"), key).alias("url"),
@@ -149,7 +150,8 @@ def coerce_types(spark, load):
         ("mail", "email"): F.concat(F.lit("mail: Buyer"), F.col("o_custkey").cast("string"), F.lit("@Shop.TEST now")),
         ("link", "url"): F.concat(F.lit("see https://shop.test/o/"), key.cast("string"), F.lit(".")),
     }
-    raw = load("orders").select("o_orderkey", *[text.alias(n) for (n, _), text in cells.items()])
+    orders = spread(load("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus"), "o_orderkey")
+    raw = orders.select("o_orderkey", *[text.alias(n) for (n, _), text in cells.items()])
     typed = raw.select("o_orderkey", *[F.expr(coerce(FieldSpec(n, t), n)).alias(n) for n, t in cells])
     return typed.withColumn("listed", F.array_join("listed", "/"))
 
@@ -174,7 +176,7 @@ def customer_candidates(load):
         F.lit("url"),
         F.when(k % 11 == 0, F.lit(None)).otherwise(F.concat(F.lit("https://u"), key, F.lit(".test"))),
     )
-    rows = load("customer").select(
+    rows = spread(load("customer").select("c_custkey", "c_nationkey"), "c_custkey").select(
         F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("job_id"),
         F.concat(F.lit("https://www.linkedin.com/company/"), key).alias("url"),
         k.alias("page_rank"),
@@ -225,7 +227,8 @@ _ENTITY_SPEC = RecordSpec.of([("company_name", "string", True), ("email", "email
 def supplier_candidates(load):
     """Suppliers seen three times: as is, with changed case and title, on another site."""
     key = F.col("s_suppkey").cast("string")
-    copies = load("supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("copy"))
+    suppliers = spread(load("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey")
+    copies = suppliers.select("s_suppkey", "s_nationkey", "s_acctbal", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("copy"))
     name = F.when(F.col("copy") == 1, F.concat(F.lit("SUPPLIER "), key, F.lit(" Ltd"))).otherwise(F.concat(F.lit("Supplier "), key))
     email = F.when(
         F.col("s_suppkey") % 10 == 0, F.lit("")
@@ -310,10 +313,10 @@ def record_target(spark, load):
     return limit_records(records, jobs).select("job_id", "page_rank", F.col("record_no").cast("long").alias("record_no"))
 
 
-_LEADS = RecordSpec.of([("Company Name", "string", True), ("email", "email", True), ("website", "url")])
+LEADS = RecordSpec.of([("Company Name", "string", True), ("email", "email", True), ("website", "url")])
 
 
-def _site_pages(load):
+def site_pages(load):
     """Company sites: a third name an e-mail at home, a third on /contact, a third nowhere."""
     key = F.col("s_suppkey").cast("string")
     site = F.concat(F.lit("https://s"), key, F.lit(".test"))
@@ -323,10 +326,10 @@ def _site_pages(load):
     contact = F.struct(
         F.concat(site, F.lit("/contact")).alias("url"), F.when(F.col("s_suppkey") % 3 == 1, text).otherwise(plain).alias("html")
     )
-    return load("supplier").select(F.inline(F.array(home, contact)))
+    return spread(load("supplier").select("s_suppkey"), "s_suppkey").select(F.inline(F.array(home, contact)))
 
 
-def _listing_pages(load):
+def listing_pages(load):
     cells = supplier_cells()
     cells["Website"] = F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".test"))
     return supplier_pages(load, {k: cells[k] for k in ("Company Name", "Website")})
@@ -342,14 +345,14 @@ def _listing_pages(load):
 )
 def lead_backfill(spark, load):
     """Listings without e-mails, completed from the companies' own pages."""
-    seen = materialise(extract_candidates(page_text(_listing_pages(load)), _LEADS, with_pages=True), "listing")
+    seen = materialise(extract_candidates(page_text(listing_pages(load)), LEADS, with_pages=True), "listing")
     found, visited = split_pages(seen)
-    counts = dedupe_records(accepted(validate_records(found, _LEADS)), _LEADS).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_records"))
-    leads = materialise(open_leads(collect_leads(found, _LEADS), visited, record_counts=counts), "leads")
-    visits = corpus_by_url(_site_pages(load), lead_pages(leads))
+    counts = dedupe_records(accepted(validate_records(found, LEADS)), LEADS).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_records"))
+    leads = materialise(open_leads(collect_leads(found, LEADS), visited, record_counts=counts), "leads")
+    visits = corpus_by_url(site_pages(load), lead_pages(leads))
     contacts = page_contacts(page_text(visits, url="canonical"), url="canonical")
-    completed = validate_records(backfill_candidates(leads, contacts, _LEADS), _LEADS)
-    return dedupe_records(accepted(completed), _LEADS).select("job_id", *_LEADS.headers)
+    completed = validate_records(backfill_candidates(leads, contacts, LEADS), LEADS)
+    return dedupe_records(accepted(completed), LEADS).select("job_id", *LEADS.headers)
 
 
 @query(
@@ -372,7 +375,7 @@ def email_preference(spark, load):
 
 def _harvest(load, spark):
     """Jobs per nation over rendered listings and company sites."""
-    listing = _listing_pages(load)
+    listing = listing_pages(load)
     results = listing.select(
         "job_id",
         F.col("page_rank").alias("rank"),
@@ -387,8 +390,8 @@ def _harvest(load, spark):
         F.lit("Find supplier companies with wholesale contact partners").alias("intent"),
         F.when(F.col("n_nationkey") % 2 == 0, 2).cast("int").alias("max_records"),
     )
-    pages = listing.select("url", "html").unionByName(_site_pages(load))
-    return run_harvest(_LEADS, jobs, results, pages)
+    pages = listing.select("url", "html").unionByName(site_pages(load))
+    return run_harvest(LEADS, jobs, results, pages)
 
 
 _HARVEST_SQL = """
@@ -407,7 +410,7 @@ _HARVEST_SQL = """
 def harvest_records(spark, load):
     """The whole job: results, frontier, pages, extraction, second wave, target."""
     harvest = _harvest(load, spark)
-    return harvest.records.select("job_id", F.col("record_no").cast("long").alias("record_no"), *_LEADS.headers)
+    return harvest.records.select("job_id", F.col("record_no").cast("long").alias("record_no"), *LEADS.headers)
 
 
 @query(

@@ -6,8 +6,22 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..plans.stages import checkpoint_root, wide_row_number
-from ..sinks.export import flatten_records, manifest, read_table, sheet_rows, webhook_batches, write_csv, write_json, write_markdown, write_table
+from ..constants import DESTINATIONS
+from ..plans.stages import run_folder, wide_row_number
+from ..sinks.export import (
+    export,
+    flatten_records,
+    grid,
+    manifest,
+    read_table,
+    sheet_rows,
+    table_versions,
+    webhook_batches,
+    write_csv,
+    write_json,
+    write_markdown,
+    write_table,
+)
 from ..spec import RecordSpec
 from .registry import query
 
@@ -32,7 +46,7 @@ _FLAT_SQL = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custk
 
 def _folder(spark, name: str) -> str:
     """A new folder next to the other intermediate tables of the run."""
-    return f"{checkpoint_root(spark)}/recordlake/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(
@@ -141,3 +155,67 @@ def sheet_value_rows(spark, load):
     """Header and value rows for a sheet."""
     rows = sheet_rows(_records(load), ["c_custkey", "c_name", "vip"], position="c_custkey")
     return rows.select("row_no", F.array_join("values", ";").alias("cells"))
+
+
+@query(
+    """
+    WITH v AS (SELECT * FROM (VALUES (0, 1, 'job_id,s_name,source_at'), (1, 2, 'job_id,s_name,source_at,email')) t(version, n_folders, columns)),
+    n AS (SELECT count(*) AS rows FROM supplier)
+    SELECT version::BIGINT AS version, n_folders::BIGINT AS n_folders, columns, (version + 1) * rows AS n_rows,
+      (version + 1) * rows - CASE WHEN version = 1 THEN rows ELSE 0 END AS without_email FROM v, n
+    """
+)
+def table_snapshots(spark, load):
+    """Versions of an evolving table; an append that fails midway or is repeated leaves no trace."""
+    root, rows = _folder(spark, "snapshots"), load("supplier").select("s_name")
+    first = rows.withColumn("job_id", F.lit("first"))
+    write_table(first, ["s_name"], root, append_id="one")
+    broken = first.withColumn("s_name", F.expr("IF(s_name IS NULL, s_name, raise_error('broken'))"))
+    try:
+        write_table(broken, ["s_name"], root, append_id="two")
+    except Exception as error:
+        if "broken" not in str(error):
+            raise
+    second = rows.withColumn("job_id", F.lit("second")).withColumn("email", F.concat("s_name", F.lit("@x.test")))
+    for _ in range(2):
+        write_table(second, ["s_name", "email"], root, append_id="two")
+    out = None
+    for version in (0, 1):
+        table = read_table(spark, root, version=version)
+        email = F.col("email") if "email" in table.columns else F.lit(None)
+        counts = table.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(email.isNull()).alias("without_email"))
+        counts = counts.withColumn("version", F.lit(version).cast("long"))
+        out = counts if out is None else out.unionByName(counts)
+    versions = table_versions(spark, root).withColumn("columns", F.array_join("columns", ","))
+    return versions.join(out, "version")
+
+
+@query(
+    """
+    WITH n AS (SELECT count(*) AS rows FROM customer),
+    routes AS (SELECT * FROM (VALUES ('csv', 'csv', true), ('json', 'json', true), ('markdown', 'markdown', true), ('sqlite', 'sqlite', true),
+      ('webhook', 'json', true), ('webhook', 'webhook', true), ('google_sheets', 'json', true), ('google_sheets', 'google_sheets', true),
+      ('failed', 'json', false)) t(destination, format, works))
+    SELECT destination, format, CASE WHEN works THEN rows ELSE 0 END AS n_rows, NOT works AS failed,
+      CASE WHEN format = 'json' AND works THEN rows END AS n_mirrored FROM routes, n
+    UNION ALL SELECT 'grid', 'c_custkey,c_name,c_acctbal,vip,tags', rows, false, NULL FROM n
+    """
+)
+def export_routes(spark, load):
+    """Every destination with its outputs, the mirrors of remote ones, a sink that fails and the plain grid."""
+    records, root, outputs = _records(load), _folder(spark, "routes"), []
+    for destination in DESTINATIONS:
+        for out in export(records, _SPEC, destination, f"{root}/{destination}", job_id="job-1", order=["c_custkey"]):
+            outputs.append((destination, out))
+    # A folder cannot be made below a file.
+    blocked = spark.read.text(f"{root}/csv").inputFiles()[0]
+    outputs += [("failed", out) for out in export(records, _SPEC, "json", f"{blocked}/below")]
+    rows = []
+    for destination, out in outputs:
+        mirrored = None
+        if out["format"] == "json" and "error" not in out:
+            mirrored = spark.read.json(f"{out['path']}/records").count()
+        rows.append((destination, out["format"], out["rows"], "error" in out, mirrored))
+    flat = grid(records, _SPEC)
+    rows.append(("grid", ",".join(flat.columns), flat.count(), False, None))
+    return spark.createDataFrame(rows, "destination string, format string, n_rows long, failed boolean, n_mirrored long")

@@ -8,7 +8,7 @@ depth of dropped elements is walked in order.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from ..constants import BANNER_HINTS, SKIP_TAGS
 from .text import CUT_MARK, collapse, cut, let, match, match_all, q, replace, strip, text_map, weave
@@ -73,10 +73,10 @@ def _windows_1252() -> dict[str, str]:
 
 
 def unescape(text: str) -> str:
-    """Named (HTML 4) and numeric character references decoded."""
-    named = {**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"}
-    # Latin-1 names also count without the semicolon.
-    bare = {n: chr(c) for n, c in name2codepoint.items() if c < 256}
+    """Named (HTML 5) and numeric character references decoded."""
+    named = {n.removesuffix(";"): c for n, c in html5.items() if n.endswith(";")}
+    # Old names also count without the semicolon, the longest one that the text starts with.
+    bare = {n: c for n, c in html5.items() if not n.endswith(";")}
     hexadecimal = "^&#[xX]([0-9A-Fa-f]+)"
     number = (
         f"CASE WHEN e RLIKE {q(hexadecimal)} THEN try_cast(conv({match('e', hexadecimal)}, 16, 10) AS BIGINT) "
@@ -213,6 +213,73 @@ def _resolve_marked(text: str, base: str) -> str:
 
 
 # ----------------------------------------------------------------- rendering
+def _scan(codes: str, start: dict[str, int], step: dict[str, str], out: str) -> str:
+    """Walk ``codes`` in order with a state of integers: ``out`` after every code ``c``.
+
+    ``step`` has each field's next value from ``s.<field>`` and ``c``; ``out`` reads the new
+    state as ``z.<field>`` and the old one as ``s.<field>``.  Blocks keep the appending cheap.
+    """
+    fields = ", ".join(f"'{f}', {sql}" for f, sql in step.items())
+    kept = ", ".join(f"'{f}', z.{f}" for f in step)
+    walk = let(f"named_struct({fields})", "z", f"named_struct({kept}, 'k', concat(s.k, array(CAST({out} AS INT))))")
+    begin = ", ".join(f"'{f}', o.{f}" for f in step)
+    inner = f"aggregate(slice(codes, blk * {_BLOCK} + 1, {_BLOCK}), named_struct({begin}, 'k', CAST(array() AS ARRAY<INT>)), (s, c) -> {walk})"
+    ended = ", ".join(f"'{f}', w.{f}" for f in step)
+    outer = let(inner, "w", f"named_struct({ended}, 'k', concat(o.k, array(w.k)))")
+    first = ", ".join(f"'{f}', {v}" for f, v in start.items())
+    whole = (
+        f"flatten(aggregate(sequence(0, CAST((greatest(size(codes), 1) - 1) DIV {_BLOCK} AS INT)), "
+        f"named_struct({first}, 'k', CAST(array() AS ARRAY<ARRAY<INT>>)), (o, blk) -> {outer}).k)"
+    )
+    return let(codes, "codes", whole)
+
+
+# What a tag does to lists and tables.  Rows, cells and tables are closed by what a parser holds open that has one
+# of each: a cell that opens drops the one before, a table that opens drops the rows so far.
+_LIST, _LIST_END, _CELL_TAG, _CELL_END, _ROW_TAG, _ROW_END, _TABLE_TAG, _TABLE_END, _ITEM = range(1, 10)
+_NOT_OPEN, _INNER_ITEM, _LOST = 10, 11, 10  # numbers of lost opening and closing tags are theirs plus ten
+
+
+def _list_depths(codes: str) -> str:
+    """1 for an item inside a list, else 0."""
+    depth = f"CASE c WHEN {_LIST} THEN s.d + 1 WHEN {_LIST_END} THEN greatest(s.d - 1, 0) ELSE s.d END"
+    return _scan(codes, {"d": 0}, {"d": depth}, f"IF(c = {_ITEM} AND z.d > 0, 1, 0)")
+
+
+def _table_events(codes: str) -> str:
+    """The codes that count: ends of what is open, and 10 more than its own for all that belongs to a dropped table."""
+    effective = _scan(
+        codes,
+        {"t": 0, "r": 0, "c": 0},
+        {
+            "t": f"CASE c WHEN {_TABLE_TAG} THEN 1 WHEN {_TABLE_END} THEN 0 ELSE s.t END",
+            "r": f"CASE WHEN c = {_ROW_TAG} THEN 1 WHEN c = {_ROW_END} AND s.t = 1 THEN 0 ELSE s.r END",
+            "c": f"CASE WHEN c = {_CELL_TAG} THEN 1 WHEN c = {_CELL_END} AND s.r = 1 THEN 0 ELSE s.c END",
+        },
+        f"CASE WHEN c = {_CELL_END} AND (s.c = 0 OR s.r = 0) THEN 0 WHEN c = {_ROW_END} AND (s.r = 0 OR s.t = 0) THEN 0 "
+        f"WHEN c = {_TABLE_END} AND s.t = 0 THEN {_NOT_OPEN} WHEN c IN ({_LIST}, {_LIST_END}, {_ITEM}) THEN 0 ELSE c END",
+    )
+    # Backwards: does the next end of a table, row or cell come before the next start?
+    last = _scan(
+        f"reverse({effective})",
+        {"t": 0, "r": 0, "c": 0},
+        {
+            "t": f"CASE c WHEN {_TABLE_END} THEN 1 WHEN {_TABLE_TAG} THEN 0 ELSE s.t END",
+            "r": f"CASE c WHEN {_ROW_END} THEN s.t WHEN {_ROW_TAG} THEN 0 ELSE s.r END",
+            "c": f"CASE c WHEN {_CELL_END} THEN s.r WHEN {_CELL_TAG} THEN 0 ELSE s.c END",
+        },
+        f"CASE WHEN c IN ({_TABLE_TAG}, {_ROW_END}) THEN c + {_LOST} * (1 - s.t) WHEN c IN ({_ROW_TAG}, {_CELL_END}) THEN c + {_LOST} * (1 - s.r) "
+        f"WHEN c = {_CELL_TAG} THEN c + {_LOST} * (1 - s.c) ELSE c END",
+    )
+    return f"reverse({last})"
+
+
+def _dropped_text(events: str) -> str:
+    """1 where the text behind a tag lies in a cell that is dropped."""
+    lost = f"CASE WHEN c = {_CELL_TAG + _LOST} THEN 1 WHEN c IN ({_CELL_TAG}, {_CELL_END}, {_CELL_END + _LOST}) THEN 0 ELSE s.w END"
+    return _scan(events, {"w": 0}, {"w": lost}, "z.w")
+
+
 def _render_tags(text: str) -> str:
     alt = ", ".join(
         f"nullif({match('g', alt_pattern)}, '')"
@@ -220,17 +287,31 @@ def _render_tags(text: str) -> str:
             r"(?i)\salt\s*=\s*" + quoted for quoted in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")
         )
     )
-    # A list item is indented once a list has been opened before it.
-    literal = let(
-        f"lower({match('g', r'^<(/?[A-Za-z][^' + chr(92) + 's/>]*)')})",
-        "n",
+    code = (
+        f"CASE WHEN n IN ('ul', 'ol') THEN {_LIST} WHEN n IN ('/ul', '/ol') THEN {_LIST_END} WHEN n = 'li' THEN {_ITEM} "
+        f"WHEN n IN ('td', 'th') THEN {_CELL_TAG} WHEN n IN ('/td', '/th') THEN {_CELL_END} WHEN n = 'tr' THEN {_ROW_TAG} "
+        f"WHEN n = '/tr' THEN {_ROW_END} WHEN n = 'table' THEN {_TABLE_TAG} WHEN n = '/table' THEN {_TABLE_END} ELSE 0 END"
+    )
+    names = f"transform(tags, g -> lower({match('g', r'^<(/?[A-Za-z][^' + chr(92) + 's/>]*)')}))"
+    codes = f"transform(names, n -> {code})"
+    # Items are indented inside a list; pages with one table need no look at how tables lie in each other.
+    inner = f"CASE WHEN array_contains(names, 'li') THEN {_list_depths(codes)} END"
+    several = "size(filter(names, n -> n = 'table')) > 1"
+    events = f"CASE WHEN {several} THEN {_table_events(codes)} END"
+    dropped = f"CASE WHEN events IS NOT NULL THEN {_dropped_text('events')} END"
+    literal = (
         f"CASE WHEN n = 'img' THEN coalesce(concat('![', coalesce({alt}), ']'), '') "
-        "WHEN n = 'li' THEN CASE WHEN at > 0 AND i >= at THEN '\n - ' ELSE '\n- ' END "
-        f"ELSE coalesce(try_element_at({text_map(_TAG_TEXT)}, n), '') END",
+        "WHEN n = 'li' THEN IF(inner[i] = 1, '\n - ', '\n- ') "
+        f"WHEN events[i] >= {_LOST} THEN IF(events[i] IN ({_NOT_OPEN}, {_TABLE_TAG + _LOST}), '\n\n', '') "
+        f"WHEN n IN ('/td', '/th', '/tr') AND events[i] = 0 THEN '' "
+        f"ELSE coalesce(try_element_at({text_map(_TAG_TEXT)}, n), '') END"
     )
-    woven = weave(cut("x", _TAG), f"transform(tags, (g, i) -> {literal})")
-    first_list = f"array_position(transform(tags, g -> g RLIKE {q('(?i)^<[uo]l')}), true)"
-    return let(text, "x", let(match_all("x", _TAG), "tags", let(first_list, "at", woven)))
+    # Inside a dropped cell only the marks of rows, cells and tables stay.
+    shown = f"IF(i > 0 AND dropped[i - 1] = 1 AND coalesce(events[i], 0) = 0, '', {let('names[i]', 'n', literal)})"
+    pieces = f"CASE WHEN dropped IS NULL THEN {cut('x', _TAG)} ELSE transform({cut('x', _TAG)}, (p, i) -> IF(i > 0 AND dropped[i - 1] = 1, '', p)) END"
+    woven = weave(pieces, f"transform(tags, (g, i) -> {shown})")
+    bound = let(names, "names", let(inner, "inner", let(events, "events", let(dropped, "dropped", woven))))
+    return let(text, "x", let(match_all("x", _TAG), "tags", bound))
 
 
 _TABLE = f"{_TABLE_OPEN}([^{_TABLE_OPEN}{_TABLE_CLOSE}]*){_TABLE_CLOSE}"

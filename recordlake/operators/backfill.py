@@ -23,11 +23,22 @@ def collect_leads(
     The website is not the page itself; the first company name seen for a website
     wins.  Without an e-mail, a name and a url field there are no leads.
     """
+    return first_per_key(near_misses(candidates, spec, order=order, url=url), ["job_id", "website"], order)
+
+
+def near_misses(
+    candidates: DataFrame,
+    spec: RecordSpec,
+    *,
+    order: Sequence[str] = ("page_rank", "cand_idx"),
+    url: str = "url",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """All candidates that lack only an e-mail: job, order, ``keep``, website and company.  A narrow step."""
     email, name, site = spec.first("email"), spec.name_field, spec.first("url")
     if not (email and name and site):
-        return candidates.limit(0).select(
-            "job_id", F.lit("").alias("website"), F.lit("").alias("company"), *order
-        )
+        none = candidates.filter(F.lit(False))
+        return none.select("job_id", *order, *keep, F.lit("").alias("website"), F.lit("").alias("company"))
     have = set(candidates.columns)
 
     def value(f):
@@ -43,18 +54,18 @@ def collect_leads(
     read = candidates.select(
         "job_id",
         *order,
+        *keep,
         url,
         value(email).alias("__email"),
         F.expr(blank_to_null(strip(f"raw.`{name.name}`"))).alias("company"),
         value(site).alias("website"),
     )
-    near = read.filter(
+    return read.filter(
         F.expr(
             "__email IS NULL AND company IS NOT NULL AND website IS NOT NULL "
             f"AND {strip_end('website', '/')} <> {strip_end(f'`{url}`', '/')}"
         )
-    ).select("job_id", *order, "website", "company")
-    return first_per_key(near, ["job_id", "website"], order)
+    ).select("job_id", *order, *keep, "website", "company")
 
 
 def open_leads(
@@ -89,10 +100,11 @@ def open_leads(
     return top_per_key(fresh, ["job_id"], [*order, "website"], cap, "lead_no")
 
 
-def lead_pages(leads: DataFrame) -> DataFrame:
+def lead_pages(leads: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The pages to look at, site before contact page: ``page`` and its order."""
     return leads.select(
         "job_id",
+        *keep,
         "website",
         "company",
         "lead_no",
@@ -100,13 +112,14 @@ def lead_pages(leads: DataFrame) -> DataFrame:
     ).withColumn("canonical", F.expr(canonical_url("page")))
 
 
-def page_contacts(text: DataFrame, *, url: str = "url") -> DataFrame:
+def page_contacts(text: DataFrame, *, url: str = "url", keep: Sequence[str] = ()) -> DataFrame:
     """Preferred e-mail of every usable page: ``canonical`` and ``email``.
 
     Computed next to the page text; only the address is shuffled.
     """
     usable = text.filter(F.col("reject").isNull())
     found = usable.select(
+        *keep,
         F.expr(canonical_url(f"`{url}`")).alias("canonical"),
         F.expr(preferred_email("markdown", host_of(f"`{url}`"))).alias("email"),
     )
@@ -115,11 +128,16 @@ def page_contacts(text: DataFrame, *, url: str = "url") -> DataFrame:
 
 def backfill_candidates(leads: DataFrame, contacts: DataFrame, spec: RecordSpec) -> DataFrame:
     """Candidates completed with the address found on the lead's own pages."""
-    email, name, site = spec.first("email"), spec.name_field, spec.first("url")
     one = contacts.groupBy("canonical").agg(F.min("email").alias("email"))
     found = first_per_key(
         lead_pages(leads).join(one, "canonical"), ["job_id", "website"], ["page_no"]
     )
+    return completed_candidates(found, spec)
+
+
+def completed_candidates(found: DataFrame, spec: RecordSpec) -> DataFrame:
+    """Candidates from leads with their ``email``: job_id, lead_no, website, company, email."""
+    email, name, site = spec.first("email"), spec.name_field, spec.first("url")
     values = {name.name: "company", email.name: "email", site.name: "website"} if email and name and site else {}
     return found.select(
         "job_id",

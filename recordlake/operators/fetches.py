@@ -100,6 +100,22 @@ def judge_attempts(attempts: DataFrame, *, block_status: Sequence[int] = BLOCK_S
     )
 
 
+def settled_attempts(
+    attempts: DataFrame, *, order: Sequence[str], block_status: Sequence[int], blocked: Sequence[str]
+) -> DataFrame:
+    """Judged attempts with ``__rank``, the place of their engine in ``order``; blocked urls are refused.  A narrow step."""
+    judged = judge_attempts(attempts, block_status=block_status)
+    by_pattern = F.expr(is_blocked_url("url", blocked))
+    return judged.withColumns(
+        {
+            "__rank": engine_rank(F.col("engine"), order),
+            "outcome": F.when(by_pattern, "blocked").otherwise(F.col("outcome")),
+            "reason": F.when(by_pattern, "blocked (domain pattern blocked)").otherwise(F.col("reason")),
+            "text": F.when(~by_pattern, F.col("text")),
+        }
+    ).filter("__rank > 0")
+
+
 def fetch_outcomes(
     attempts: DataFrame,
     *,
@@ -114,16 +130,7 @@ def fetch_outcomes(
     url at once; otherwise the last error is reported.  Failed attempts carry no
     body, so only usable bodies are shuffled, one per url and map task.
     """
-    judged = judge_attempts(attempts, block_status=block_status)
-    by_pattern = F.expr(is_blocked_url("url", blocked))
-    settled = judged.withColumns(
-        {
-            "__rank": engine_rank(F.col("engine"), order),
-            "outcome": F.when(by_pattern, "blocked").otherwise(F.col("outcome")),
-            "reason": F.when(by_pattern, "blocked (domain pattern blocked)").otherwise(F.col("reason")),
-            "text": F.when(~by_pattern, F.col("text")),
-        }
-    ).filter("__rank > 0")
+    settled = settled_attempts(attempts, order=order, block_status=block_status, blocked=blocked)
     final = F.col("outcome") != "error"
     # The first settled attempt counts, or the last failed one.
     direction = F.when(final, 1).otherwise(-1)

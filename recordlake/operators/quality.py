@@ -59,6 +59,12 @@ def quality_note(stats: DataFrame) -> DataFrame:
     )
 
 
+def listed_outputs(outputs: DataFrame) -> DataFrame:
+    """The outputs of every job as a list, in the order of their columns; a job has a few."""
+    one = F.struct(*[c for c in outputs.columns if c != "job_id"])
+    return outputs.groupBy("job_id").agg(F.array_sort(F.collect_list(one)).alias("outputs"))
+
+
 def job_summary(
     jobs: DataFrame,
     stats: DataFrame,
@@ -95,10 +101,7 @@ def job_summary(
         read = pages.filter(F.col("reject").isNull()).groupBy("job_id").agg(F.count(F.lit(1)).alias("pages_scraped"))
         out = out.join(read, "job_id", "left")
     if outputs is not None:
-        written = outputs.groupBy("job_id").agg(
-            F.collect_list(F.struct(*[c for c in outputs.columns if c != "job_id"])).alias("outputs")
-        )
-        out = out.join(written, "job_id", "left")
+        out = out.join(listed_outputs(outputs), "job_id", "left")
     counts = [
         c for c in ("records_exported", "pages_queued", "pages_skipped", "pages_scraped", "candidates", "valid", "invalid", "duplicates")
         if c in out.columns

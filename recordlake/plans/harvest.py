@@ -14,7 +14,7 @@ from ..operators.extract import attach_pages, extract_candidates, prefer_given,
 from ..operators.fetches import skip_report
 from ..operators.frontier import build_frontier
 from ..operators.page_text import page_text
-from ..operators.quality import job_summary, run_stats
+from ..operators.quality import job_summary, listed_outputs, run_stats
 from ..operators.validate import accepted, validate_records
 from ..spec import RecordSpec
 from .stages import first_per_key, materialise
@@ -32,6 +32,10 @@ class Harvest:
     stats: DataFrame
     summary: DataFrame
 
+    def report(self, outputs: DataFrame) -> DataFrame:
+        """The summary with each job's outputs (job_id, format, path, rows, error)."""
+        return self.summary.join(listed_outputs(outputs), "job_id", "left")
+
 
 def corpus_by_url(pages: DataFrame, wanted: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """One page per canonical url among the ``wanted`` ones.
@@ -55,6 +59,7 @@ def run_harvest(
     *,
     given: DataFrame | None = None,
     answered: DataFrame | None = None,
+    queries: DataFrame | None = None,
     max_pages: int | None = None,
     backfill: bool = True,
 ) -> Harvest:
@@ -63,7 +68,8 @@ def run_harvest(
     ``jobs``: job_id, intent, max_records.  ``results``: job_id, rank, title, url,
     snippet, engine, query.  ``pages``: url, html.  ``given`` candidates replace
     the heuristic ones of the ``answered`` pages, both by (job_id, canonical
-    url); see ``prefer_given``.
+    url); see ``prefer_given``.  ``queries`` (job_id, query_no, query) are listed in the
+    summary.
     """
     frontier = build_frontier(results, jobs, max_pages=max_pages).withColumn("canonical", F.expr(canonical_url("url")))
     frontier = materialise(frontier, "frontier")
@@ -82,7 +88,8 @@ def run_harvest(
         given = attach_pages(given.drop("page_rank").join(ranks, ["job_id", "url"]), text, spec, text_url="canonical")
         answered = given.select("job_id", "url") if answered is None else answered
         candidates = prefer_given(candidates, given, answered, ["job_id", "url"])
-    validated = validate_records(candidates, spec).withColumn("wave", F.lit(1))
+    # Read by the first wave, the records and the counters.
+    validated = materialise(validate_records(candidates, spec).withColumn("wave", F.lit(1)), "validated")
     order = ["wave", "page_rank", "cand_idx"]
 
     missing = (
@@ -114,5 +121,5 @@ def run_harvest(
     records = dedupe_records(accepted(everything), spec, order=order)
     stats = run_stats(everything, spec, page_log)
     limited = limit_records(records, jobs, order=order)
-    summary = job_summary(jobs, stats, limited, frontier=frontier, skipped=skipped, pages=page_log)
+    summary = job_summary(jobs, stats, limited, frontier=frontier, skipped=skipped, queries=queries, pages=page_log)
     return Harvest(frontier, limited, everything, leads, skipped, stats, summary)

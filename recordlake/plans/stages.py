@@ -36,6 +36,16 @@ def fence(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(row)))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deal narrow rows by key before each of them becomes a page or an expensive value.
+
+    A table with few row groups is read by few tasks, however much work its rows mean.
+    Only key columns pass this shuffle; page bodies that are read stay where they are.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *keys)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir``, else the warehouse.
 
