@@ -80,6 +80,8 @@ def event_type_counts(spark, load):
 
 #: Micro-batches in which a whole table passes as a stream.
 BATCHES = 20
+#: Buckets of the keyed tables, which live as long as a query here.
+BUCKETS = 8
 
 
 def _place(spark, name: str) -> str:
@@ -152,7 +154,7 @@ def stream_status(spark, load):
 def stream_replay(spark, load):
     """The history of every job, numbered while its events arrive; one batch is delivered twice."""
     base = _place(spark, "stream-replay")
-    table = ReplayTable(spark, f"{base}/table")
+    table = ReplayTable(spark, f"{base}/table", buckets=BUCKETS)
 
     def write(rows, batch_id):
         table.write_batch(rows, batch_id)
@@ -189,7 +191,7 @@ def _page_stream(spark, load, cells=None, batches: int = BATCHES):
 
 def _recorded(spark, load, name: str, targets=None, cells=None, batches: int = BATCHES) -> RecordTable:
     base = _place(spark, name)
-    table = RecordTable(spark, f"{base}/table", _SPEC)
+    table = RecordTable(spark, f"{base}/table", _SPEC, buckets=BUCKETS)
     candidates = stream_candidates(_page_stream(spark, load, cells, batches), _SPEC)
     write_records(candidates, table, checkpoint=f"{base}/state", targets=targets).trigger(availableNow=True).start().awaitTermination()
     return table
@@ -259,7 +261,7 @@ def stream_fetch_results(spark, load):
     # Something that comes much later ends the last pause.
     last = log.limit(1).withColumn("at", F.timestamp_seconds(F.lit(4_000_000_000))).withColumn("url", F.lit("https://later.test/"))
     base = _place(spark, "stream-attempts")
-    table = AttemptTable(spark, f"{base}/table", pause="1 hour")
+    table = AttemptTable(spark, f"{base}/table", pause="1 hour", buckets=BUCKETS)
     stream = _stream_of(spark, timed.unionByName(last), "attempt-stream", "at", batches=6)
     _drain(stream.writeStream.foreachBatch(table.write_batch), base)
     out = table.read().filter("url <> 'https://later.test/'")

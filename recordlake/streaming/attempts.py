@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,10 @@ class AttemptTable:
     its own urls; a batch that is delivered again changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *, pause: str = "30 minutes", at: str = "at"):
+    def __init__(self, spark: SparkSession, path: str, *, pause: str = "30 minutes", at: str = "at", buckets: int = 64):
         self.spark, self.path, self.pause, self.at = spark, path, pause, at
-        self.target = StreamTarget(spark, path, [_SESSIONS])
+        self.tables = [replace(_SESSIONS, buckets=buckets)]
+        self.target = StreamTarget(spark, path, self.tables)
 
     def write_batch(
         self,
@@ -46,7 +48,7 @@ class AttemptTable:
         blocked: Sequence[str] = BLOCKED_URL_PATTERNS,
     ) -> None:
         """Add one micro-batch of a fetch log with an event time."""
-        target = StreamTarget(attempts.sparkSession, self.path, [_SESSIONS])
+        target = StreamTarget(attempts.sparkSession, self.path, self.tables)
         batch = target.begin(batch_id)
         if batch is None:
             return

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,19 +69,23 @@ class RecordTable:
     Tables: ``records``, ``skipped`` (pages that gave nothing, with the reason), ``keys``
     (every entity seen, as a digest) and ``counters`` (what each batch adds).  All of a
     batch appears at once, and a batch that is delivered again changes nothing.  A batch
-    reads the key buckets that it touches, not all earlier keys.
+    reads the key buckets that it touches, not all earlier keys.  ``buckets`` is chosen
+    once, so that a bucket's keys are some files of a usual size.
     """
 
-    def __init__(self, spark: SparkSession, path: str, spec: RecordSpec, *, order: Sequence[str] = ("page_rank", "cand_idx")):
+    def __init__(
+        self, spark: SparkSession, path: str, spec: RecordSpec, *, order: Sequence[str] = ("page_rank", "cand_idx"), buckets: int = 64
+    ):
         self.spark, self.path, self.spec, self.order = spark, path, spec, list(order)
-        self.target = StreamTarget(spark, path, [_KEYS, _COUNTERS])
+        self.tables = [replace(t, buckets=buckets) for t in (_KEYS, _COUNTERS)]
+        self.target = StreamTarget(spark, path, self.tables)
 
     def write_batch(self, rows: DataFrame, batch_id: int, targets: DataFrame | None = None) -> None:
         """Add one micro-batch of ``stream_candidates``: new entities, up to each job's target, and counters.
 
         Counters cover all rows, also those beyond a job's target.
         """
-        target = StreamTarget(rows.sparkSession, self.path, [_KEYS, _COUNTERS])
+        target = StreamTarget(rows.sparkSession, self.path, self.tables)
         batch = target.begin(batch_id)
         if batch is None:
             return
@@ -171,12 +176,13 @@ class ReplayTable:
     history of no replay.  A batch that is delivered again keeps its numbers.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *, seq: str = "seq"):
+    def __init__(self, spark: SparkSession, path: str, *, seq: str = "seq", buckets: int = 64):
         self.path, self.seq = path, seq
-        self.target = StreamTarget(spark, path, [_LEDGER])
+        self.tables = [replace(_LEDGER, buckets=buckets)]
+        self.target = StreamTarget(spark, path, self.tables)
 
     def write_batch(self, events: DataFrame, batch_id: int) -> None:
-        target = StreamTarget(events.sparkSession, self.path, [_LEDGER])
+        target = StreamTarget(events.sparkSession, self.path, self.tables)
         batch = target.begin(batch_id)
         if batch is None:
             return
