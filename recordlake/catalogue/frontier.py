@@ -433,3 +433,38 @@ def blocked_by_list(spark, load):
     pages = load("pages").select("page_id", "url")
     hits = url_matches(pages, listed).groupBy("url").agg(F.count(F.lit(1)).alias("n_patterns"), F.min("pattern").alias("first_pattern"))
     return pages.join(hits, "url", "left").select("page_id", "url", F.coalesce("n_patterns", F.lit(0)).alias("n_patterns"), "first_pattern")
+
+
+_MANY_JOBS = ("urgent delivery partner", "medium shipping clerk", "specified high delivery", "low")
+
+
+@query(
+    f"""
+    WITH r AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 1000 END AS j, o_orderkey AS rank, o_orderpriority AS title,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'delivery service' ELSE 'shipping clerk' END AS snippet,
+        'https://h' || (o_custkey % 50) || '.test/o/' || (o_orderkey % 4000) AS url FROM orders),
+    t AS (SELECT *, string_split([{", ".join(f"'{i}'" for i in _MANY_JOBS)}][1 + j % 4], ' ') AS tokens, lower(title || ' ' || snippet) AS txt FROM r),
+    s AS (SELECT *, len(tokens) < 3 AS thin, len(list_filter(tokens, lambda w: contains(txt, w) OR (length(w) >= 5 AND contains(txt, left(w, 5))))) AS hits FROM t),
+    k AS (SELECT *, CASE WHEN thin THEN 0 ELSE -hits END AS k1 FROM s WHERE thin OR hits >= 2),
+    firsts AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY j, url ORDER BY k1, rank) = 1)
+    SELECT 'job-' || j AS job_id, url, hits, row_number() OVER (PARTITION BY j ORDER BY k1, rank, url) AS page_rank FROM firsts
+    """
+)
+def frontier_many_jobs(spark, load):
+    """Ranked frontiers of 1 000 jobs, of which one holds a third of all results."""
+    orders = spread(load("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
+    number = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_orderkey") % 1000)
+    results = orders.select(
+        F.concat(F.lit("job-"), number.cast("string")).alias("job_id"),
+        F.col("o_orderkey").alias("rank"),
+        F.col("o_orderpriority").alias("title"),
+        F.concat(F.lit("https://h"), (F.col("o_custkey") % 50).cast("string"), F.lit(".test/o/"), (F.col("o_orderkey") % 4000).cast("string")).alias("url"),
+        F.when(F.col("o_orderkey") % 2 == 0, "delivery service").otherwise("shipping clerk").alias("snippet"),
+        F.lit("cli").alias("engine"),
+        F.lit("q").alias("query"),
+    )
+    intents = F.array(*[F.lit(i) for i in _MANY_JOBS])
+    kind = F.regexp_extract("job_id", "([0-9]+)$", 1).cast("int") % 4
+    jobs = results.select("job_id").distinct().withColumn("intent", F.get(intents, kind))
+    ranked = build_frontier(results, jobs)
+    return ranked.select("job_id", "url", F.col("hits").cast("long").alias("hits"), F.col("page_rank").cast("long").alias("page_rank"))

@@ -17,6 +17,9 @@ from ..functions.text import match_all, one_of, q, strip
 from ..functions.urls import is_binary_url, is_blocked_url, is_http, is_site_search, path_of
 from ..plans.stages import first_per_key, top_per_key
 
+#: Parts into which the results of one job are dealt when they meet its intent.
+JOB_PARTS = 32
+
 _ORDER = ["__hits_key", "__hint_key", "__news_key", "rank"]
 
 
@@ -39,10 +42,16 @@ def score_results(results: DataFrame, jobs: DataFrame) -> DataFrame:
 
     Adds ``tokens``, ``hits``, ``is_seed``, ``thin`` (fewer than three tokens:
     too little to judge by), ``on_topic`` and the sort keys.
+
+    Intents are one narrow row for each job.  Few of them go to the results; many are
+    copied to ``JOB_PARTS`` parts of their job, which are told apart by url, so that no
+    task gets a large job whole.
     """
     intents = jobs.select("job_id", F.expr(intent_tokens("intent")).alias("tokens"))
+    intents = intents.select("*", F.explode(F.sequence(F.lit(0), F.lit(JOB_PARTS - 1))).alias("__part"))
+    part = F.pmod(F.xxhash64("url"), F.lit(JOB_PARTS)).cast("int")
     text = f"concat_ws(' ', coalesce(title, ''), coalesce(snippet, ''), {path_of('url')})"
-    read = results.join(intents, "job_id").select(
+    read = results.withColumn("__part", part).join(intents, ["job_id", "__part"]).drop("__part").select(
         "*",
         F.lower(F.expr(text)).alias("__text"),
         (F.col("engine") == "seed").alias("is_seed"),

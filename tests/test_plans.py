@@ -13,7 +13,7 @@ EAGER = {
     "record_target", "event_replay", "webhook_payloads", "wide_ranks",
     "markdown_roundtrip", "evolving_table", "harvest_records", "harvest_summary", "lead_backfill",
     "stream_replay", "stream_targets", "stream_skips", "stream_fetch_results", "stream_backfill", "event_log",
-    "table_snapshots", "export_routes", "visited_leads", "seeded_frontier", "harvest_waves", "harvest_report",
+    "table_snapshots", "export_routes", "frontier_many_jobs", "visited_leads", "seeded_frontier", "harvest_waves", "harvest_report",
 }
 CHECKED = (
     "page_body_text", "page_names", "frontier_ranked", "search_payloads", "fetch_results", "directory_extract",
@@ -73,6 +73,29 @@ def test_dedupe_exchanges_once_and_limits_first(spark):
     assert plan_of(limit_records(rows, default=20)).count("WindowGroupLimit") == 2
 
 
+def test_a_large_job_is_spread_over_tasks(spark):
+    """One of 400 jobs holds a third of all results; no task that scores them has more than four times the usual."""
+    from pyspark.sql import functions as F
+
+    from recordlake.operators.frontier import score_results
+
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(60_000).selectExpr(
+            "concat('job-', IF(id % 3 = 0, 0, id % 400)) AS job_id", "id AS rank", "'reliable partners' AS title",
+            "concat('https://h.test/', id) AS url", "'queue' AS snippet", "'cli' AS engine", "'q' AS query",
+        )
+        jobs = rows.select("job_id").distinct().withColumn("intent", F.lit("reliable partners of the queue"))
+        sizes = [r["count"] for r in score_results(rows, jobs).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 60_000 and max(sizes) <= 4 * sorted(sizes)[len(sizes) // 2]
+
+
 def test_narrow_scan_for_narrow_queries(spark):
     plan = plan_of(QUERIES["canonical_urls"](spark, SF))
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan
