@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from ..operators.backfill import completed_candidates
 from ..operators.entities import dedupe_records
 from ..operators.events import append_events, event_counts, is_terminal, latest_status, replay
+from ..operators.extract import extract_candidates, split_pages
+from ..operators.page_text import page_text
+from ..operators.quality import run_stats
 from ..operators.validate import accepted, validate_records
-from ..plans.stages import run_folder
+from ..plans.stages import materialise, run_folder
 from ..spec import RecordSpec
 from ..streaming.attempts import AttemptTable
 from ..streaming.ingest import (
@@ -225,18 +228,29 @@ def _gappy_cells():
     return {**supplier_cells(), "Email": F.when(F.col("s_suppkey") % 10 == 0, "").otherwise(supplier_cells()["Email"])}
 
 
-@query(
-    """SELECT 'nation-' || n_nationkey AS job_id, 2 * count(DISTINCT s_suppkey // 100) AS pages, 2 * count(*) AS candidates,
+_COUNTERS_SQL = """SELECT 'nation-' || n_nationkey AS job_id, 2 * count(DISTINCT s_suppkey // 100) AS pages, 2 * count(*) AS candidates,
       count(*) FILTER (s_suppkey % 10 <> 0) AS valid, 2 * count(*) FILTER (s_suppkey % 10 = 0) AS invalid,
       count(*) FILTER (s_suppkey % 10 <> 0) AS duplicates,
       coalesce(round(count(*) FILTER (s_suppkey % 10 <> 0) / (count(*) + count(*) FILTER (s_suppkey % 10 = 0)), 4), 0) AS validity_ratio
     FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey"""
-)
+
+
+@query(_COUNTERS_SQL)
 def stream_counters(spark, load):
     """All counters of a job while its pages arrive: incomplete rows are invalid, pages seen again give duplicates."""
     return _recorded(spark, load, "stream-counters", cells=_gappy_cells(), batches=6).counters().drop("written")
 
 
+@query(_COUNTERS_SQL)
+def page_counters(spark, load):
+    """The same counters from all pages at once: invalid rows, duplicates and pages that were read."""
+    pages = supplier_pages(load, _gappy_cells()).select("job_id", "page_rank", "url", "html")
+    again = pages.withColumn("page_rank", F.col("page_rank") + 1_000_000)
+    seen = materialise(extract_candidates(page_text(pages.unionByName(again)), _SPEC, with_pages=True), "counted")
+    found, log = split_pages(seen)
+    return run_stats(validate_records(found, _SPEC), _SPEC, log)
+
+
 @query(REJECTS_SQL)
 def stream_skips(spark, load):
     """Raw pages as a stream: those that yield nothing, with the reason; the stream goes on."""

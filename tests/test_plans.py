@@ -13,7 +13,7 @@ EAGER = {
     "record_target", "event_replay", "webhook_payloads", "wide_ranks",
     "markdown_roundtrip", "evolving_table", "harvest_records", "harvest_summary", "lead_backfill",
     "stream_replay", "stream_targets", "stream_skips", "stream_fetch_results", "stream_backfill", "event_log",
-    "table_snapshots", "export_routes", "frontier_many_jobs", "visited_leads", "seeded_frontier", "harvest_waves", "harvest_report",
+    "table_snapshots", "export_routes", "frontier_many_jobs", "page_counters", "visited_leads", "seeded_frontier", "harvest_waves", "harvest_report",
 }
 CHECKED = (
     "page_body_text", "page_names", "frontier_ranked", "search_payloads", "fetch_results", "directory_extract",
