@@ -18,7 +18,7 @@
    is searched in turn among those not yet found.
 5. Blocks of one cluster are joined by their components' first documents, and if
    several components are left, all documents outside the largest are searched in every
-   block.
+   block of sizes that can link; blocks hold sets of one class of sizes.
 
 Contract of edge cases: a null text, or one without words, has no shingles and is its
 own component; under four words the whole sequence is one shingle; a null id has a null
@@ -28,6 +28,7 @@ are taken whole; an empty table gives an empty result; other columns are not rea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ from .components import components
 
 #: Shingles in a block of the T-occurrence search.
 BLOCK_SHINGLES = 600_000
+#: A block's number: its class of set sizes above, its place among the class's blocks in so many lower bits.
+CLASS_BITS = 40
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 #: Growth of size bands, and parts beyond the least number of them.
@@ -462,8 +465,13 @@ def jaccard_groups(
     members = materialise(alone.join(clusters.toDF("doc", "cluster"), "doc"), "members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("__docs"), F.sum("n_shingles").alias("__all"))
     sizes = sizes.filter("__docs > 1").withColumn("__blocks", F.expr(f"1 + __all DIV {BLOCK_SHINGLES}"))
-    placed = members.join(sizes, "cluster").select(
-        "doc", "cluster", F.expr("pmod(xxhash64(doc), __blocks)").alias("block"), "__blocks"
+    # Sets link only if their sizes differ by less than a class, so large clusters are cut by class first.
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
+    of_size = F.expr(f"IF(__blocks > 1, CAST(floor(ln(n_shingles) / {step!r}D) AS BIGINT), 0L)")
+    classed = members.join(sizes, "cluster").withColumn("__class", of_size)
+    per_class = classed.groupBy("cluster", "__class").agg(F.expr(f"1 + sum(n_shingles) DIV {BLOCK_SHINGLES}").alias("__in"))
+    placed = classed.join(per_class, ["cluster", "__class"]).select(
+        "doc", "cluster", F.expr(f"shiftleft(__class, {CLASS_BITS}) + pmod(xxhash64(doc), __in)").alias("block")
     )
     # Members grow with the table, so they are never sent whole to every executor.
     sets = base.join(placed.select("doc", "cluster", "block").hint("merge"), "doc")
@@ -490,10 +498,12 @@ def _join_blocks(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         return plain
     # The first documents of all components of a cluster, searched as blocks of their own.
     pivots = wide.groupBy("cluster", "label").agg(F.min("doc").alias("doc"))
-    chosen = sets.join(pivots, ["cluster", "doc"])
-    amount = chosen.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("__all"))
-    amount = amount.withColumn("__blocks", F.expr(f"1 + __all DIV {BLOCK_SHINGLES}"))
-    chosen = chosen.join(amount, "cluster").withColumn("block", F.expr("pmod(xxhash64(doc), __blocks)"))
+    of_class = F.shiftright("block", CLASS_BITS)
+    chosen = sets.join(pivots, ["cluster", "doc"]).withColumn("__class", of_class)
+    amount = chosen.groupBy("cluster", "__class").agg(F.sum(F.size("shingles")).alias("__all"))
+    amount = amount.withColumn("__in", F.expr(f"1 + __all DIV {BLOCK_SHINGLES}"))
+    chosen = chosen.join(amount, ["cluster", "__class"])
+    chosen = chosen.withColumn("block", F.expr(f"shiftleft(__class, {CLASS_BITS}) + pmod(xxhash64(doc), __in)"))
     chosen = chosen.select("doc", "cluster", "block", "shingles", "label")
     grouped = chosen.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "doc")
     merged = grouped.select("doc", "cluster", "block", "shingles").mapInArrow(
@@ -504,14 +514,15 @@ def _join_blocks(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     labels = _relabel(wide, components(links.select(F.col("label").alias("a"), F.col("other_label").alias("b"))))
     labels = materialise(labels, "labels")
 
-    # Whatever is outside a cluster's largest component is searched in all its blocks.
+    # Whatever is outside a cluster's largest component is searched in all its blocks of sizes that can link.
     counts = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("__n"))
     main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("__n", "label")).alias("__main"), F.count(F.lit(1)).alias("__labels"))
     main = main.filter("__labels > 1")
     open_ = sets.join(labels.select("doc", "label"), "doc").join(main, "cluster")
     blocks = open_.select("cluster", F.col("block").alias("__to")).distinct()
     columns = ["doc", "cluster", "block", "shingles", "label"]
-    asked = open_.filter("label <> __main").join(blocks, "cluster").withColumn("block", F.col("__to"))
+    near = F.abs(F.shiftright("block", CLASS_BITS) - F.shiftright("__to", CLASS_BITS)) <= 1
+    asked = open_.filter("label <> __main").join(blocks, "cluster").filter(near).withColumn("block", F.col("__to"))
     both = open_.select(*columns, F.lit(False).alias("query")).unionByName(asked.select(*columns, F.lit(True).alias("query")))
     ordered = both.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "query", "doc")
     more = ordered.mapInArrow(search_across(percent), "a long, b long")
