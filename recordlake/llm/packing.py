@@ -161,7 +161,8 @@ def bin_completion(counts: dict[int, int], capacity: int) -> Packing:
     tried depth first, the least waste first, and cut when the sequences so far and the
     least number that the rest needs reach the incumbent, at first the best-fit packing.
     The search ends when the incumbent reaches the least number for all, or after
-    ``SEARCH_STEPS``.  Equal lengths are counted, not listed, so the work follows the
+    ``SEARCH_STEPS``, but not before its first way down, of which every step uses up a
+    length.  Equal lengths are counted, not listed, so the work follows the
     capacity and not the number of documents.
     """
     left, tokens = dict(counts), sum(k * n for k, n in counts.items())
@@ -172,11 +173,13 @@ def bin_completion(counts: dict[int, int], capacity: int) -> Packing:
     packing: Packing = []
     open_options: list[list[tuple[Filling, int]]] = []
     used = steps = 0
+    first = True
     while fewest > bound:
         if not left and used < fewest:
             best, fewest = list(packing), used
         options: list[tuple[Filling, int]] = []
-        if left and used - (-tokens // capacity) < fewest and steps < SEARCH_STEPS:
+        first = first and bool(left) and used - (-tokens // capacity) < fewest
+        if left and used - (-tokens // capacity) < fewest and (first or steps < SEARCH_STEPS):
             longest = max(left)
             rest = _without(left, ((longest, 1),), 1)
             ways, taken = fillings(rest, capacity - longest)
