@@ -28,7 +28,9 @@ def url_matches(urls: DataFrame, patterns: DataFrame, *, url: str = "url", patte
 
     Blank patterns match nothing.  How often a gram occurs is counted over all urls,
     among the grams of the patterns alone; a pattern with a gram that no url has is out.
-    The driver reads the few lengths that patterns have.
+    The driver reads the few lengths that patterns have.  Grams never pass through it:
+    there are several to a pattern, which Spark's size estimates do not see, so both
+    sides of their joins are dealt by gram.
     """
     listed = patterns.select(F.lower(F.trim(F.col(pattern))).alias("pattern")).filter("pattern <> ''").distinct()
     listed = listed.withColumn("size", F.least(F.length("pattern"), F.lit(GRAM)))
@@ -39,15 +41,16 @@ def url_matches(urls: DataFrame, patterns: DataFrame, *, url: str = "url", patte
     met = low.select("url", "low", F.explode(F.expr(_grams("low", lengths))).alias("gram"))
     own = F.explode(F.expr("array_distinct(transform(sequence(1, length(pattern) - size + 1), i -> substr(pattern, i, size)))"))
     held = listed.select("pattern", own.alias("gram"))
-    frequent = met.select("gram").join(held.select("gram").distinct(), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = held.select("gram").distinct().hint("merge")
+    frequent = met.select("gram").join(asked, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
-        held.join(frequent, "gram", "left")
+        held.join(frequent.hint("merge"), "gram", "left")
         .groupBy("pattern")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("at"))
         .filter("at.n > 0")
         .select("pattern", F.col("at.gram").alias("gram"))
     )
-    return met.join(rarest, "gram").filter("contains(low, pattern)").select("url", "pattern")
+    return met.join(rarest.hint("merge"), "gram").filter("contains(low, pattern)").select("url", "pattern")
 
 
 def without_blocked(rows: DataFrame, patterns: DataFrame, *, url: str = "url", pattern: str = "pattern") -> DataFrame:
