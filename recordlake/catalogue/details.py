@@ -17,7 +17,7 @@ from ..operators.page_text import page_tables, page_text
 from ..operators.planning import plan_queries
 from ..operators.validate import accepted, validate_records
 from ..plans.harvest import run_harvest
-from ..plans.stages import materialise
+from ..plans.stages import materialise, spread
 from ..sources.search import seed_results
 from ..spec import RecordSpec
 from .frontier import RESULTS_SQL, _STOP_SQL, jobs_of, results_of
@@ -36,6 +36,11 @@ def _page(title, body):
     return _text("<html><head><title>", title, "</title></head><body>", body, "</body></html>")
 
 
+def _parts(load):
+    """Keys of the parts, dealt before each of them becomes a page."""
+    return spread(load("part").select("p_partkey"), "p_partkey")
+
+
 @query(
     """
     SELECT p_partkey, 'Part ' || p_partkey || ' ' || CASE p_partkey % 5 WHEN 0 THEN '![Photo of ' || p_partkey || ']'
@@ -52,7 +57,7 @@ def page_media(spark, load):
         .when(F.col("p_partkey") % 5 == 3, '<img src="a.png" alt="">')
         .otherwise('<img src="a.png">')
     )
-    pages = load("part").select("p_partkey", F.lit("https://p.test/").alias("url"), _text("<p>Part ", key, " ", image, "end</p>").alias("html"))
+    pages = _parts(load).select("p_partkey", F.lit("https://p.test/").alias("url"), _text("<p>Part ", key, " ", image, "end</p>").alias("html"))
     return page_text(pages).select("p_partkey", "markdown")
 
 
@@ -61,7 +66,7 @@ def page_banners(spark, load):
     """Banner elements dropped up to their own end, or with the rest of the page."""
     key = F.col("p_partkey").cast("string")
     body = _text("<p>before ", key, '</p><div id="top" class="x cookie-bar"><div>we use</div>cookies</div><p>after</p>')
-    pages = load("part").select("p_partkey", F.lit("https://p.test/").alias("url"), body.alias("html"))
+    pages = _parts(load).select("p_partkey", F.lit("https://p.test/").alias("url"), body.alias("html"))
     element = page_text(pages).select("p_partkey", F.col("markdown").alias("element_scope"))
     rest = page_text(pages, banner_scope="rest").select("p_partkey", F.col("markdown").alias("rest_scope"))
     return element.join(rest, "p_partkey")
@@ -72,7 +77,7 @@ def page_lists(spark, load):
     """Lists in lists, and an item behind all of them."""
     key = F.col("p_partkey").cast("string")
     body = _text("<ul><li>a ", key, "<UL><li>b<ol><li>c</li></ol></li></UL></li></ul><li>stray</li></ul>")
-    pages = load("part").select("p_partkey", F.lit("https://p.test/").alias("url"), body.alias("html"))
+    pages = _parts(load).select("p_partkey", F.lit("https://p.test/").alias("url"), body.alias("html"))
     return page_text(pages).select("p_partkey", "markdown")
 
 
@@ -88,7 +93,7 @@ def page_nested_tables(spark, load):
         "<table><tr><td>outer ", key, "</td><td>before <table><tr><td>mid</td><td>x <table><tr><td>in ", key,
         "</td><td>deep</td></tr></table> after in</td></tr></table> after mid</td></tr><tr><td>lost</td></tr></table><table><tr><th>next</th></tr></table>",
     )
-    pages = load("part").select("p_partkey", F.lit("https://p.test/").alias("url"), body.alias("html"))
+    pages = _parts(load).select("p_partkey", F.lit("https://p.test/").alias("url"), body.alias("html"))
     cells = page_tables(pages).groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("table_idx", "row_idx", "cells"))).alias("rows"))
     listed = F.array_join(F.transform("rows", lambda r: F.array_join(r["cells"], "/")), ";")
     return page_text(pages).select("p_partkey", "markdown").join(cells.select("p_partkey", listed.alias("cells")), "p_partkey")

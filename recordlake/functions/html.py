@@ -24,6 +24,7 @@ _MARKS = f"[{_CELL_OPEN}-{_TABLE_CLOSE}{_HREF_OPEN}{_HREF_CLOSE}{CUT_MARK}]"
 # Rest of a tag behind its name: quotes only count after an equals sign.
 _ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+"""
 _TAG = rf"</?[A-Za-z]{_ATTRIBUTES}>"
+_TAG_NAME = rf"<(?=(/?[A-Za-z][^\s/>]*))/?[A-Za-z]{_ATTRIBUTES}>"  # the same tags, their names as a group
 _OPAQUE = (
     r"(?is)<!--.*?-->"
     r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1[^>]*>|\z)"
@@ -246,38 +247,86 @@ def _list_depths(codes: str) -> str:
     return _scan(codes, {"d": 0}, {"d": depth}, f"IF(c = {_ITEM} AND z.d > 0, 1, 0)")
 
 
+def _states(start: dict[str, int]) -> list[dict[str, int]]:
+    """All states of fields that are 0 or 1; the number of a state is its place."""
+    return [{f: n >> i & 1 for i, f in enumerate(start)} for n in range(1 << len(start))]
+
+
+_FIRST = 24  # the character of state 0 with output 0
+
+
+def _walk(codes: str, n_codes: int, fields: str, move) -> str:
+    """Walk ``codes`` (0 to ``n_codes`` - 1) in order: the output after every one of them.
+
+    ``move(state, code)`` is the next state, with fields of 0 or 1 that start as 0, and the
+    output.  All moves are looked up in one text, as a page has many tags: a character is an
+    output and the state behind it.  Blocks keep the appending cheap.
+    """
+    states = _states(dict.fromkeys(fields, 0))
+    table = ""
+    for state in states:
+        for code in range(n_codes):
+            after, out = move(state, code)
+            table += chr(_FIRST + out * len(states) + states.index(after))
+    if max(map(ord, table)) > 126:
+        raise ValueError("too many states and outputs for one character each")
+    value = f"(ascii(substr(k, -1, 1)) - {_FIRST})"
+    step = f"concat(k, substr({q(table)}, {value} % {len(states)} * {n_codes} + c + 1, 1))"
+    inner = f"aggregate(slice(codes, blk * {_BLOCK} + 1, {_BLOCK}), substr(element_at(o, -1), -1, 1), (k, c) -> {step})"
+    blocks = (
+        f"aggregate(sequence(0, CAST((greatest(size(codes), 1) - 1) DIV {_BLOCK} AS INT)), "
+        f"array({q(chr(_FIRST))}), (o, blk) -> concat(o, array(substr({inner}, 2))))"
+    )
+    walked = let(blocks, "walked", "array_join(slice(walked, 2, size(walked) - 1), '')")
+    outs = f"transform(split({walked}, ''), v -> CAST((ascii(v) - {_FIRST}) DIV {len(states)} AS INT))"
+    return let(codes, "codes", f"CASE WHEN size(codes) > 0 THEN {outs} ELSE CAST(array() AS ARRAY<INT>) END")
+
+
+def _open_move(s: dict[str, int], c: int) -> tuple[dict[str, int], int]:
+    """Forward, with what is open of (t)able, (r)ow and (c)ell: the codes of ends that close nothing go."""
+    after = {
+        "t": {_TABLE_TAG: 1, _TABLE_END: 0}.get(c, s["t"]),
+        "r": 1 if c == _ROW_TAG else 0 if c == _ROW_END and s["t"] else s["r"],
+        "c": 1 if c == _CELL_TAG else 0 if c == _CELL_END and s["r"] else s["c"],
+    }
+    if c == _TABLE_END and not s["t"]:
+        return after, _NOT_OPEN
+    closes_nothing = c == _CELL_END and not (s["c"] and s["r"]) or c == _ROW_END and not (s["r"] and s["t"])
+    return after, 0 if closes_nothing or c in (_LIST, _LIST_END, _ITEM) else c
+
+
+# Codes that are left, and their places in what the backward walk puts out: with ten more for lost ones.
+_EVENTS = (0, _CELL_TAG, _CELL_END, _ROW_TAG, _ROW_END, _TABLE_TAG, _TABLE_END, _NOT_OPEN)
+_LOST_EVENTS = tuple(c + _LOST for c in (_CELL_TAG, _CELL_END, _ROW_TAG, _ROW_END, _TABLE_TAG))
+
+
+def _lost_move(s: dict[str, int], c: int) -> tuple[dict[str, int], int]:
+    """Backward: does the next end of a table, row or cell come before the next start?"""
+    after = {
+        "t": {_TABLE_END: 1, _TABLE_TAG: 0}.get(c, s["t"]),
+        "r": s["t"] if c == _ROW_END else 0 if c == _ROW_TAG else s["r"],
+        "c": s["r"] if c == _CELL_END else 0 if c == _CELL_TAG else s["c"],
+    }
+    ended = "t" if c in (_TABLE_TAG, _ROW_END) else "r" if c in (_ROW_TAG, _CELL_END) else "c" if c == _CELL_TAG else None
+    return after, (_EVENTS + _LOST_EVENTS).index(c + _LOST if ended and not s[ended] else c) if c in _EVENTS else 0
+
+
 def _table_events(codes: str) -> str:
     """The codes that count: ends of what is open, and 10 more than its own for all that belongs to a dropped table."""
-    effective = _scan(
-        codes,
-        {"t": 0, "r": 0, "c": 0},
-        {
-            "t": f"CASE c WHEN {_TABLE_TAG} THEN 1 WHEN {_TABLE_END} THEN 0 ELSE s.t END",
-            "r": f"CASE WHEN c = {_ROW_TAG} THEN 1 WHEN c = {_ROW_END} AND s.t = 1 THEN 0 ELSE s.r END",
-            "c": f"CASE WHEN c = {_CELL_TAG} THEN 1 WHEN c = {_CELL_END} AND s.r = 1 THEN 0 ELSE s.c END",
-        },
-        f"CASE WHEN c = {_CELL_END} AND (s.c = 0 OR s.r = 0) THEN 0 WHEN c = {_ROW_END} AND (s.r = 0 OR s.t = 0) THEN 0 "
-        f"WHEN c = {_TABLE_END} AND s.t = 0 THEN {_NOT_OPEN} WHEN c IN ({_LIST}, {_LIST_END}, {_ITEM}) THEN 0 ELSE c END",
-    )
-    # Backwards: does the next end of a table, row or cell come before the next start?
-    last = _scan(
-        f"reverse({effective})",
-        {"t": 0, "r": 0, "c": 0},
-        {
-            "t": f"CASE c WHEN {_TABLE_END} THEN 1 WHEN {_TABLE_TAG} THEN 0 ELSE s.t END",
-            "r": f"CASE c WHEN {_ROW_END} THEN s.t WHEN {_ROW_TAG} THEN 0 ELSE s.r END",
-            "c": f"CASE c WHEN {_CELL_END} THEN s.r WHEN {_CELL_TAG} THEN 0 ELSE s.c END",
-        },
-        f"CASE WHEN c IN ({_TABLE_TAG}, {_ROW_END}) THEN c + {_LOST} * (1 - s.t) WHEN c IN ({_ROW_TAG}, {_CELL_END}) THEN c + {_LOST} * (1 - s.r) "
-        f"WHEN c = {_CELL_TAG} THEN c + {_LOST} * (1 - s.c) ELSE c END",
-    )
-    return f"reverse({last})"
+    effective = _walk(codes, _ITEM + 1, "trc", _open_move)
+    last = _walk(f"reverse({effective})", _NOT_OPEN + 1, "trc", _lost_move)
+    named = f"array({', '.join(map(str, _EVENTS + _LOST_EVENTS))})"
+    return f"transform(reverse({last}), e -> {named}[e])"
 
 
 def _dropped_text(events: str) -> str:
     """1 where the text behind a tag lies in a cell that is dropped."""
-    lost = f"CASE WHEN c = {_CELL_TAG + _LOST} THEN 1 WHEN c IN ({_CELL_TAG}, {_CELL_END}, {_CELL_END + _LOST}) THEN 0 ELSE s.w END"
-    return _scan(events, {"w": 0}, {"w": lost}, "z.w")
+
+    def move(s: dict[str, int], c: int) -> tuple[dict[str, int], int]:
+        w = 1 if c == _CELL_TAG + _LOST else 0 if c in (_CELL_TAG, _CELL_END, _CELL_END + _LOST) else s["w"]
+        return {"w": w}, w
+
+    return _walk(events, 2 * _LOST, "w", move)
 
 
 def _render_tags(text: str) -> str:
@@ -292,26 +341,31 @@ def _render_tags(text: str) -> str:
         f"WHEN n IN ('td', 'th') THEN {_CELL_TAG} WHEN n IN ('/td', '/th') THEN {_CELL_END} WHEN n = 'tr' THEN {_ROW_TAG} "
         f"WHEN n = '/tr' THEN {_ROW_END} WHEN n = 'table' THEN {_TABLE_TAG} WHEN n = '/table' THEN {_TABLE_END} ELSE 0 END"
     )
-    names = f"transform(tags, g -> lower({match('g', r'^<(/?[A-Za-z][^' + chr(92) + 's/>]*)')}))"
+    names = f"transform({match_all('x', _TAG_NAME, 1)}, n -> lower(n))"
     codes = f"transform(names, n -> {code})"
     # Items are indented inside a list; pages with one table need no look at how tables lie in each other.
     inner = f"CASE WHEN array_contains(names, 'li') THEN {_list_depths(codes)} END"
     several = "size(filter(names, n -> n = 'table')) > 1"
     events = f"CASE WHEN {several} THEN {_table_events(codes)} END"
     dropped = f"CASE WHEN events IS NOT NULL THEN {_dropped_text('events')} END"
+    image = f"coalesce(concat('![', coalesce({alt}), ']'), '')"
     literal = (
-        f"CASE WHEN n = 'img' THEN coalesce(concat('![', coalesce({alt}), ']'), '') "
+        f"CASE WHEN n = 'img' THEN {let('tags[i]', 'g', image)} "
         "WHEN n = 'li' THEN IF(inner[i] = 1, '\n - ', '\n- ') "
         f"WHEN events[i] >= {_LOST} THEN IF(events[i] IN ({_NOT_OPEN}, {_TABLE_TAG + _LOST}), '\n\n', '') "
         f"WHEN n IN ('/td', '/th', '/tr') AND events[i] = 0 THEN '' "
         f"ELSE coalesce(try_element_at({text_map(_TAG_TEXT)}, n), '') END"
     )
     # Inside a dropped cell only the marks of rows, cells and tables stay.
-    shown = f"IF(i > 0 AND dropped[i - 1] = 1 AND coalesce(events[i], 0) = 0, '', {let('names[i]', 'n', literal)})"
+    shown = f"IF(i > 0 AND dropped[i - 1] = 1 AND coalesce(events[i], 0) = 0, '', {literal})"
     pieces = f"CASE WHEN dropped IS NULL THEN {cut('x', _TAG)} ELSE transform({cut('x', _TAG)}, (p, i) -> IF(i > 0 AND dropped[i - 1] = 1, '', p)) END"
-    woven = weave(pieces, f"transform(tags, (g, i) -> {shown})")
-    bound = let(names, "names", let(inner, "inner", let(events, "events", let(dropped, "dropped", woven))))
-    return let(text, "x", let(match_all("x", _TAG), "tags", bound))
+    woven = weave(pieces, f"transform(names, (n, i) -> {shown})")
+    tags = f"CASE WHEN array_contains(names, 'img') THEN {match_all('x', _TAG)} END"
+    nested = let(tags, "tags", let(inner, "inner", let(events, "events", let(dropped, "dropped", woven))))
+    # Most pages have no tag whose text depends on others or on its attributes.
+    alone = weave(cut("x", _TAG), f"transform(names, n -> coalesce(try_element_at({text_map(_TAG_TEXT)}, n), ''))")
+    bound = let(names, "names", f"CASE WHEN {several} OR arrays_overlap(names, array('img', 'li')) THEN {nested} ELSE {alone} END")
+    return let(text, "x", bound)
 
 
 _TABLE = f"{_TABLE_OPEN}([^{_TABLE_OPEN}{_TABLE_CLOSE}]*){_TABLE_CLOSE}"

@@ -233,3 +233,20 @@ def test_skip_depth_against_a_counter(spark):
     rows = spark.createDataFrame([(p,) for p in pages], "h string")
     got = [r[0] for r in rows.select(F.expr(drop_boilerplate("h"))).collect()]
     assert got == [counted(p) for p in pages]
+
+
+def test_walk_over_blocks(value):
+    """States carry over the edges of blocks; a page without tags has no outputs."""
+    from recordlake.functions.html import _BLOCK, _walk
+
+    def move(s, c):
+        return {"a": c if c < 2 else s["a"], "b": 1 - s["b"] if c == 3 else s["b"]}, 2 * s["a"] + s["b"]
+
+    n = 3 * _BLOCK + 7
+    codes, state, want = [i * i % 7 % 4 for i in range(n)], {"a": 0, "b": 0}, []
+    for c in codes:
+        state, out = move(state, c)
+        want.append(out)
+    text = f"array_join({_walk(f'transform(sequence(0, {n - 1}), i -> CAST(i * i % 7 % 4 AS INT))', 4, 'ab', move)}, '')"
+    assert value(text) == "".join(map(str, want))
+    assert value(f"CAST(size({_walk('CAST(array() AS ARRAY<INT>)', 4, 'ab', move)}) AS STRING)") == "0"

@@ -34,6 +34,14 @@ def duck():
     return con
 
 
+@pytest.mark.parametrize("name", ["page_media", "page_banners", "page_lists", "page_nested_tables"])
+def test_keys_are_dealt_before_they_become_pages(spark, name):
+    """A table of one row group would be rendered by one task."""
+    plan = plan_of(QUERIES[name](spark, SF))
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Scan parquet") or "ReusedExchange" in plan
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_every_query_has_its_sql():
     assert set(ORACLES) == set(QUERIES)
 
