@@ -49,8 +49,10 @@ from .bytewise import Hashes, Texts, blobs, mix, small_slices, tidy
 
 #: Bytes of the grams that anchors are chosen by.
 GRAM = 16
-#: Mean bytes between the cuts of step 1.
+#: Mean bytes between the cuts of step 1, a power of two.
 CUT_BYTES = 128
+#: Positions whose grams are hashed at once.
+HASH_BLOCK = 1 << 14
 #: Occurrences in a block, and of one gram that are still sorted together.
 BLOCK_ROWS, GRAM_ROWS = 60_000, 200_000
 _ROUTE = np.uint64(0xA5A5A5A5DEADBEEF)
@@ -76,33 +78,66 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each position on.
+
+    Taken from the bytes themselves, as two words.  Two grams under one hash cost work
+    only: what is covered is decided by whole bytes.
+    """
+    n = len(data) - GRAM + 1
+    words = np.ndarray((n + 8,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(_U)
+    words += _U(0x2545F4914F6CDD1D)
+    words *= _U(0xBF58476D1CE4E5B9)
+    words ^= words >> _U(32)
+    words *= _U(0x94D049BB133111EB)
+    out = words[:n] ^ (words[:n] >> _U(29))
+    out *= _U(0x9E3779B97F4A7C15)
+    out += words[8:]
+    out ^= out >> _U(30)
+    out *= _U(0xD6E8FEB86659FD93)
+    out ^= out >> _U(32)
+    return out
+
+
+def blocks_of(n: int) -> Iterator[tuple[int, int]]:
+    """Runs of positions that stay in a core's cache with what is computed for them."""
+    for begin in range(0, n, HASH_BLOCK):
+        yield begin, min(n, begin + HASH_BLOCK)
+
+
 class Anchored:
     """Runs of string starts with one anchor: rows, anchor positions, first and last starts, gram hashes."""
 
-    def __init__(self, texts: Texts, length: int, hashes: Hashes | None = None):
-        n = len(texts.data)
+    def __init__(self, texts: Texts, length: int):
+        n = len(texts.data) - length + 1
         none = np.zeros(0, np.int64)
         self.row = self.at = self.first = self.last = none
         self.key = np.zeros(0, _U)
-        if n < length:
-            return
-        hashes = hashes or Hashes(texts.data)
-        starts = np.arange(n - GRAM + 1)
-        grams = hashes.of(starts, starts + GRAM)
-        ordered = (grams & _U(0xFFFFFFFF00000000)) | starts.astype(_U)
-        anchor = (sliding_least(ordered, length - GRAM + 1) & _U(0xFFFFFFFF)).astype(np.int64)
-        row = np.repeat(np.arange(texts.rows), np.diff(texts.bounds))
-        whole = row[: n - length + 1] == row[length - 1 :]
-        p = np.flatnonzero(whole)
-        if not len(p):
+        if n < 1:
             return
-        anchor = anchor[p]
-        new = np.ones(len(p), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (row[p[1:]] != row[p[:-1]])
-        begin = np.flatnonzero(new)
-        self.first, self.last = p[begin], p[np.append(begin[1:], len(p)) - 1]
-        self.at, self.row = anchor[begin], row[p[begin]]
-        self.key = grams[self.at] & _SHORT
+        opens = texts.edges()[0]
+        begins, anchors, keys = [], [], []
+        for begin, end in blocks_of(n):
+            # One start more on the left tells whether the first one here goes on with its anchor.
+            low = max(begin - 1, 0)
+            grams = gram_hashes(texts.data[low : end + length - 1])
+            ordered = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=_U)
+            anchor = (sliding_least(ordered, length - GRAM + 1) & _U(0xFFFFFFFF)).astype(np.int64)
+            new = np.ones(end - low, bool)
+            new[1:] = anchor[1:] != anchor[:-1]
+            new[opens[np.searchsorted(opens, low) : np.searchsorted(opens, end)] - low] = True
+            new[: begin - low] = False
+            at = np.flatnonzero(new)
+            begins.append(at + low)
+            anchors.append(anchor[at] + low)
+            keys.append(grams[anchor[at]])
+        first, at, key = np.concatenate(begins), np.concatenate(anchors), np.concatenate(keys)
+        row = texts.row_of(first)
+        # Strings end in their row.
+        last = np.minimum(np.append(first[1:], n) - 1, texts.bounds[row + 1] - length)
+        use = first <= last
+        self.row, self.at, self.first, self.last = row[use], at[use], first[use], last[use]
+        self.key = key[use] & _SHORT
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -143,9 +178,11 @@ def find_cuts(length: int):
                 n = len(texts.data)
                 if n < length:
                     continue
-                starts = np.arange(n - GRAM + 1)
-                grams = Hashes(texts.data).of(starts, starts + GRAM)
-                begin = np.union1d(np.flatnonzero(grams % _U(CUT_BYTES) == 0), texts.edges()[0])
+                cuts = [
+                    np.flatnonzero((gram_hashes(texts.data[a : b + GRAM - 1]) & _U(CUT_BYTES - 1)) == 0) + a
+                    for a, b in blocks_of(n - GRAM + 1)
+                ]
+                begin = np.union1d(np.concatenate(cuts), texts.edges()[0])
                 row = texts.row_of(begin)
                 stop = np.minimum(np.append(begin[1:], n), texts.bounds[row + 1])
                 end = np.minimum(stop + length - 1, texts.bounds[row + 1])

@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,34 @@ def test_suffix_dedup(llm, monkeypatch, block, gram):
     assert substrings.suffix_dedup(docs.limit(0)).count() == 0
 
 
+def test_grams_are_hashed_from_their_bytes(monkeypatch):
+    """Cuts and anchors need no running polynomials, and do not depend on the blocks they are found in."""
+    rng = np.random.default_rng(5)
+    passage = bytes(rng.integers(97, 101, 300, np.uint8))
+    texts = [None, b"", b"x" * 49, b"\0" * 130, passage, b"ab" + passage[20:250], bytes(rng.integers(97, 123, 5000, np.uint8)), b"x" * 50]
+    column = pa.array([None if t is None else t.decode() for t in texts])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), column], names=["doc", "text"])
+
+    def refuse(*_):
+        raise AssertionError("polynomials of every position")
+
+    def found():
+        made = substrings.Anchored(substrings.Texts(column), 50)
+        return [x.tolist() for x in (made.row, made.at, made.first, made.last, made.key)]
+
+    monkeypatch.setattr(substrings, "Hashes", refuse)
+    whole, cuts = found(), [list(substrings.find_cuts(50)(iter([batch]))), list(substrings.find_anchors(50)(iter([batch])))]
+    # Every string of 50 bytes of every text lies under one anchor inside it.
+    strings = [(r, p) for r, _, first, last, _ in zip(*whole) for p in range(first, last + 1)]
+    bounds = np.cumsum([0, *[len(t or b"") for t in texts]])
+    assert sorted(strings) == [(r, p) for r, t in enumerate(texts) for p in range(bounds[r], bounds[r] + len(t or b"") - 49)]
+    assert all(first <= at <= first + 34 and last <= at <= last + 34 for _, at, first, last, _ in zip(*whole))
+    for block in (1, 7, 64):
+        monkeypatch.setattr(substrings, "HASH_BLOCK", block)
+        assert found() == whole
+        assert [list(substrings.find_cuts(50)(iter([batch]))), list(substrings.find_anchors(50)(iter([batch])))] == cuts
+
+
 def test_induced_sorting_equals_comparison():
     pick = random.Random(3)
     strings = ["".join(pick.choice("ab") for _ in range(30)) for _ in range(120)]
