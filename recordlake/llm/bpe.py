@@ -16,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewise import Texts, blobs, small_slices
-from .pretokens import distinct_pieces
+from .bytewise import Texts, blobs, distinct_slices, small_slices
+from .pretokens import piece_bounds
 
 #: Pieces whose ids a worker remembers, twice: a full memory becomes the older one, whose
 #: pieces are taken over when they come again.
 CACHE_PIECES = 200_000
 #: Pieces of at most so many bytes are merged side by side, longer ones by a heap.
 BATCH_BYTES = 48
+#: Places for pieces of up to ``WORD_BYTES`` bytes whose ids are looked up all at once.
+PIECE_SLOTS, WORD_BYTES = 1 << 21, 15
 
 ENCODED = "ids binary, ends binary"
 _loaded: dict[str, "Vocabulary"] = {}
@@ -109,6 +111,95 @@ class PairTable:
         return done
 
 
+class PieceTable:
+    """Where the ids of short pieces lie in ``pool``, by the pieces' own bytes, as an open hash table in arrays.
+
+    A table that is half full is forgotten when the next slice begins.
+    """
+
+    _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def __init__(self):
+        self.bits = PIECE_SLOTS.bit_length() - 1
+        self.low, self.high = np.zeros(PIECE_SLOTS, np.uint64), np.zeros(PIECE_SLOTS, np.uint64)
+        self.first, self.count = np.zeros(PIECE_SLOTS, np.int32), np.zeros(PIECE_SLOTS, np.uint8)
+        self.pool, self.used, self.filled = np.zeros(PIECE_SLOTS, np.uint32), 0, 0
+
+    def words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each piece as two words: its bytes, then its length, so that a place without a piece is zero."""
+        load = np.ndarray((len(data) + 9,), "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+        low = load[starts] & self._MASKS[np.minimum(lengths, 8)]
+        high = load[np.minimum(starts + 8, len(data))] & self._MASKS[np.clip(lengths - 8, 0, 7)]
+        return low, high | (np.minimum(lengths, WORD_BYTES + 1).astype(np.uint64) << np.uint64(56))
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        x = low * np.uint64(0xBF58476D1CE4E5B9) + high * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        return ((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The place of each piece, or -1."""
+        slot = self._slot(low, high)
+        there = self.high[slot]
+        hit = (there == high) & (self.low[slot] == low)
+        out = np.where(hit, slot, -1)
+        on = np.flatnonzero(~hit & (there != 0))
+        slot = slot[on]
+        while len(on):
+            slot = (slot + 1) % len(self.high)
+            there = self.high[slot]
+            hit = (there == high[on]) & (self.low[slot] == low[on])
+            out[on[hit]] = slot[hit]
+            left = ~hit & (there != 0)
+            on, slot = on[left], slot[left]
+        return out
+
+    def add(self, low: np.ndarray, high: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        """Different pieces that are not in the table."""
+        self.filled += len(low)
+        slot = self._slot(low, high)
+        while len(low):
+            free = np.flatnonzero(self.high[slot] == 0)
+            taken, which = np.unique(slot[free], return_index=True)
+            new = free[which]
+            self.low[taken], self.high[taken] = low[new], high[new]
+            self.first[taken], self.count[taken] = first[new], count[new]
+            rest = np.ones(len(low), bool)
+            rest[new] = False
+            low, high, first, count = low[rest], high[rest], first[rest], count[rest]
+            slot = (slot[rest] + 1) % len(self.high)
+
+    def places(self, data: np.ndarray, bounds: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in one array, and where each piece between the bounds has its own and how many; ``encode`` gives new ones."""
+        if 2 * self.filled > len(self.high):
+            self.__init__()
+        lengths = np.diff(bounds)
+        low, high = self.words(data, bounds[:-1], lengths)
+        slot = self.find(low, high)
+        first, count = self.first[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            pieces, sample, number = distinct_slices(data, bounds[new], bounds[new + 1])
+            ids = encode(pieces)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            at = new[sample]
+            stay = np.flatnonzero(lengths[at] <= WORD_BYTES)[: len(self.high) * 3 // 4 - self.filled]
+            # What stays comes first; what lies behind it is written over by the next slice.
+            goes = np.ones(len(ids), bool)
+            goes[stay] = False
+            order = np.concatenate([stay, np.flatnonzero(goes)])
+            begin = np.empty(len(ids), np.int64)
+            begin[order] = self.used + np.cumsum(sizes[order]) - sizes[order]
+            end = self.used + int(sizes.sum())
+            if end > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(2 * end - self.used, np.uint32)])
+            self.pool[self.used : end] = np.frombuffer(b"".join([ids[i] for i in order.tolist()]), "<u4")
+            first[new], count[new] = begin[number], sizes[number]
+            self.add(low[at[stay]], high[at[stay]], begin[stay], sizes[stay])
+            self.used += int(sizes[stay].sum())
+        return self.pool, first, count
+
+
 class Vocabulary:
     """Ranks of byte strings, read from a file of base64 strings and ranks."""
 
@@ -127,6 +218,7 @@ class Vocabulary:
         self.older: dict[bytes, bytes] = {}
         self.whole = {s: r.to_bytes(4, "little") for s, r in self.rank.items()}
         self.pairs = PairTable(self.rank)
+        self.table = PieceTable()
 
     @staticmethod
     def at(path: str) -> "Vocabulary":
@@ -187,18 +279,17 @@ class Vocabulary:
         return np.array(out, "<u4").tobytes()
 
 
-def flatten_ids(texts: Texts, encode, spare: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows one after the other (uint32), and row bounds; ``spare`` places stay free after each row."""
+def flatten_ids(texts: Texts, encode, spare: int = 0, table: PieceTable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows one after the other (uint32), and row bounds; ``spare`` places stay free after each row.
+
+    ``table`` remembers what ``encode`` gave for short pieces of earlier slices.
+    """
     if not len(texts.data):
         return np.zeros(spare * texts.rows, np.uint32), np.arange(texts.rows + 1, dtype=np.int64) * spare
-    bounds, pieces, number = distinct_pieces(texts)
-    ids = encode(pieces)
-    counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    first = np.cumsum(counts) - counts
-    n = counts[number]
+    bounds = piece_bounds(texts)
+    flat, first, n = (table or PieceTable()).places(texts.data, bounds, encode)
     ends = np.cumsum(n)
-    taken = np.repeat(first[number] - (ends - n), n) + np.arange(ends[-1])
+    taken = np.repeat(first - (ends - n), n) + np.arange(ends[-1])
     before = np.concatenate([[0], ends])
     rows = before[np.searchsorted(bounds, texts.bounds)]
     if not spare:
@@ -219,7 +310,7 @@ def encode_column(path: str):
             ids, ends = [], []
             for part in small_slices(batch):
                 texts = Texts(part)
-                flat, rows = flatten_ids(texts, vocabulary.ids_of)
+                flat, rows = flatten_ids(texts, vocabulary.ids_of, table=vocabulary.table)
                 # Every byte is in exactly one token, so ends within a row are running lengths less the row's start.
                 stops = np.cumsum(vocabulary.lengths[flat])
                 stops -= np.repeat(texts.bounds[:-1], np.diff(rows))

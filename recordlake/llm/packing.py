@@ -38,7 +38,7 @@ def ids_column(ranks_path: str, library_path: str, end_id: int):
             out = []
             for part in small_slices(batch):
                 texts = Texts(part)
-                flat, rows = flatten_ids(texts, vocabulary.ids_of, spare=1)
+                flat, rows = flatten_ids(texts, vocabulary.ids_of, spare=1, table=vocabulary.table)
                 flat[rows[1:] - 1] = end_id
                 if b"<|" in texts.data.tobytes():
                     # Control strings: the library cuts the text at them first.

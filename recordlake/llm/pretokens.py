@@ -13,7 +13,7 @@ import unicodedata
 
 import numpy as np
 
-from .bytewise import Texts, distinct_slices
+from .bytewise import Texts
 
 # Classes of code points, then the symbols that the automaton reads.
 _LETTER, _NUMBER, _OTHER, _WHITE = range(4)
@@ -157,10 +157,3 @@ def piece_bounds(texts: Texts) -> np.ndarray:
     before = _states_before(basis[symbol + 8 * first.astype(np.uint8)], maps, then)
     starts = at[np.take(cut.ravel(), symbol * np.uint8(8) + before) | first]
     return np.append(starts, len(texts.data))
-
-
-def distinct_pieces(texts: Texts) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Piece bounds, the different pieces' bytes and each piece's number among them."""
-    bounds = piece_bounds(texts)
-    pieces, _, number = distinct_slices(texts.data, bounds[:-1], bounds[1:])
-    return bounds, pieces, number

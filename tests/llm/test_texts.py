@@ -39,6 +39,32 @@ def test_encoding_equals_the_library():
             assert flat[a:b].tolist() == own.encode_ordinary(text or ""), repr(text)
 
 
+@pytest.mark.parametrize("slots", [16, 1 << 12])
+def test_known_pieces_are_found_without_a_word_by_word_look(monkeypatch, slots):
+    """Also when the table is full, and for pieces that differ in their length or in zero bytes only."""
+    monkeypatch.setattr(bpe, "PIECE_SLOTS", slots)
+    vocabulary, table = bpe.Vocabulary.at(MULTI), bpe.PieceTable()
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.rank, special_tokens={})
+    edges = ["!", "!\0", "!\0\0", "x" * 8, "x" * 9, "x" * 15, "x" * 16, "x" * 17, "é" * 8]
+    texts = ODD + edges + fuzz(4, 400, "abst' \né1.\0", 40)
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return vocabulary.ids_of(pieces)
+
+    for _ in range(2):
+        asked.clear()
+        for part in small_slices(pa.array(texts, pa.string()), 2000):
+            flat, rows = bpe.flatten_ids(Texts(part), encode, spare=1, table=table)
+            for text, a, b in zip(part.to_pylist(), rows[:-1], rows[1:]):
+                assert flat[a : b - 1].tolist() == own.encode_ordinary(text or ""), repr(text)
+    # The second time, a table with room for all short pieces leaves the long ones alone to be asked for.
+    assert table.filled <= slots * 3 // 4
+    if slots > 16:
+        assert asked and min(map(len, asked)) > 15
+
+
 def test_round_trip_in_spark(llm):
     rows = [(i, t) for i, t in enumerate(ODD + ["<|endoftext|> is text"] + ODD)]
     docs = llm.createDataFrame(rows, "doc_id int, text string").withColumn("ids", F.lit("own column"))
