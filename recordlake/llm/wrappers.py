@@ -140,6 +140,8 @@ def read_page(page: str) -> Node:
     """The element tree; texts are kept as they are written."""
     root = Node("#page")
     stack = [root]
+    # Of each element below the deepest level: its block, and whether it or one around it there is no text.
+    around: list[tuple[Node, bool]] = []
     at, block = 0, None
     tokens = _tokens(page)
     token = next(tokens, None)
@@ -150,12 +152,12 @@ def read_page(page: str) -> Node:
                 stack[-1].kids.append(text)
             else:
                 # Texts of deeper elements lie side by side, apart where their blocks differ.
-                own = next((n for n in reversed(stack) if n.tag in BLOCKS), root)
+                own, hidden = around[-1]
                 if own is not block:
                     stack[DEEPEST - 1].kids.append(Node("br"))
                 block = own
                 piece = Node("span")
-                piece.hidden = any(n.hidden or is_part(n, True) for n in stack[DEEPEST:])
+                piece.hidden = hidden
                 piece.kids.append(text)
                 stack[DEEPEST - 1].kids.append(piece)
         if not token:
@@ -165,9 +167,13 @@ def read_page(page: str) -> Node:
         jump = None
         if tag and ending:
             _close(stack, tag)
+            if around:
+                del around[max(len(stack) - DEEPEST, 0) :]
         elif tag:
             if tag == "p" or tag in BLOCKS:
                 _close_before(stack, tag)
+                if around:
+                    del around[max(len(stack) - DEEPEST, 0) :]
             node = Node(tag, attributes)
             if len(stack) < DEEPEST:
                 stack[-1].kids.append(node)
@@ -176,6 +182,9 @@ def read_page(page: str) -> Node:
                 node.kids.append(page[at : end.start() if end else len(page)])
                 at = jump = end.end() if end else len(page)
             elif tag not in VOID and not attributes.endswith("/"):
+                if len(stack) >= DEEPEST:
+                    own, hidden = around[-1] if around else (next((n for n in reversed(stack) if n.tag in BLOCKS), root), False)
+                    around.append((node if tag in BLOCKS else own, hidden or node.hidden or is_part(node, True)))
                 stack.append(node)
         token = _advance(tokens, jump)
 

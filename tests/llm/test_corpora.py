@@ -212,6 +212,28 @@ def test_unclosed_quotes_are_linear(piece):
     assert time.perf_counter() - start < 20
 
 
+def test_texts_below_the_deepest_level_are_linear(monkeypatch):
+    """Whether a deep text is hidden is told by its element, not by all elements around it."""
+    asked = []
+    own = wrappers.is_part
+    monkeypatch.setattr(wrappers, "is_part", lambda node, inside: asked.append(node) or own(node, inside))
+    deep = wrappers.DEEPEST + 200
+    page = "<body>" + "<b>" * deep + "one <nav>two <b>three</b></nav> four<div> five</div>" + "<b> x" * 2000
+    root = wrappers.read_page(page)
+    assert len(asked) < 3 * (deep + 2000)
+    texts = []
+
+    def walk(node, hidden):
+        for kid in node.kids:
+            if isinstance(kid, str):
+                texts.append((kid, hidden))
+            else:
+                walk(kid, hidden or kid.hidden)
+
+    walk(root, False)
+    assert texts[:5] == [("one ", False), ("two ", True), ("three", True), (" four", False), (" five", False)]
+
+
 def test_many_sibling_articles():
     page = "<body><div>" + "".join(f"<article><p>Part {i}.</p></article>" for i in range(1000)) + "</div>"
     wrapper = taught([page] + [page.replace("Part", w) for w in ("Bit", "Piece", "Share")])
