@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewise import Texts, blobs, distinct_slices, small_slices
+from .bytewise import Texts, blobs, distinct_slices, small_slices, tidy
 from .pretokens import piece_bounds
 
 #: Pieces whose ids a worker remembers, twice: a full memory becomes the older one, whose
@@ -25,7 +25,7 @@ CACHE_PIECES = 200_000
 #: Pieces of at most so many bytes are merged side by side, longer ones by a heap.
 BATCH_BYTES = 48
 #: Places for pieces of up to ``WORD_BYTES`` bytes whose ids are looked up all at once.
-PIECE_SLOTS, WORD_BYTES = 1 << 21, 15
+PIECE_SLOTS, WORD_BYTES = 1 << 20, 15
 
 ENCODED = "ids binary, ends binary"
 _loaded: dict[str, "Vocabulary"] = {}
@@ -227,6 +227,10 @@ class Vocabulary:
             _loaded[path] = Vocabulary(path)
         return _loaded[path]
 
+    def forget(self) -> None:
+        """Drop what texts have taught: a worker that waits for its next task keeps the file's ranks alone."""
+        self.known, self.older, self.table = {}, {}, PieceTable()
+
     def ids_of(self, pieces: list[bytes]) -> list[bytes]:
         """The packed ids of each piece (little-endian uint32)."""
         if len(self.known) > CACHE_PIECES:
@@ -304,22 +308,26 @@ def flatten_ids(texts: Texts, encode, spare: int = 0, table: PieceTable | None =
 def encode_column(path: str):
     """A column function: text to packed ids and packed byte ends of the tokens, both little-endian uint32."""
 
+    @tidy
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = Vocabulary.at(path)
-        for batch in batches:
-            ids, ends = [], []
-            for part in small_slices(batch):
-                texts = Texts(part)
-                flat, rows = flatten_ids(texts, vocabulary.ids_of, table=vocabulary.table)
-                # Every byte is in exactly one token, so ends within a row are running lengths less the row's start.
-                stops = np.cumsum(vocabulary.lengths[flat])
-                stops -= np.repeat(texts.bounds[:-1], np.diff(rows))
-                ids.append(blobs(flat.view(np.uint8), rows * 4))
-                ends.append(blobs(stops.astype("<u4").view(np.uint8), rows * 4))
-            yield pa.StructArray.from_arrays(
-                [pa.concat_arrays(ids) if ids else pa.array([], pa.binary()), pa.concat_arrays(ends) if ends else pa.array([], pa.binary())],
-                names=["ids", "ends"],
-            )
+        try:
+            for batch in batches:
+                ids, ends = [], []
+                for part in small_slices(batch):
+                    texts = Texts(part)
+                    flat, rows = flatten_ids(texts, vocabulary.ids_of, table=vocabulary.table)
+                    # Every byte is in exactly one token, so ends within a row are running lengths less the row's start.
+                    stops = np.cumsum(vocabulary.lengths[flat])
+                    stops -= np.repeat(texts.bounds[:-1], np.diff(rows))
+                    ids.append(blobs(flat.view(np.uint8), rows * 4))
+                    ends.append(blobs(stops.astype("<u4").view(np.uint8), rows * 4))
+                yield pa.StructArray.from_arrays(
+                    [pa.concat_arrays(ids) if ids else pa.array([], pa.binary()), pa.concat_arrays(ends) if ends else pa.array([], pa.binary())],
+                    names=["ids", "ends"],
+                )
+        finally:
+            vocabulary.forget()
 
     return F.arrow_udf(encode, ENCODED).asNondeterministic()
 
@@ -330,6 +338,7 @@ def decode_column(path: str):
     The ends say where each token's bytes go, so all tokens are placed at once.
     """
 
+    @tidy
     def decode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         vocabulary = Vocabulary.at(path)
         for ids_batch, ends_batch in batches:

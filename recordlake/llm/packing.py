@@ -34,26 +34,29 @@ def ids_column(ranks_path: str, library_path: str, end_id: int):
     @tidy
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, library = Vocabulary.at(ranks_path), None
-        for batch in batches:
-            out = []
-            for part in small_slices(batch):
-                texts = Texts(part)
-                flat, rows = flatten_ids(texts, vocabulary.ids_of, spare=1, table=vocabulary.table)
-                flat[rows[1:] - 1] = end_id
-                if b"<|" in texts.data.tobytes():
-                    # Control strings: the library cuts the text at them first.
-                    if library is None:
-                        from tokenizers import Tokenizer
-
-                        library = Tokenizer.from_file(library_path)
-                        controls = [t.content for t in library.get_added_tokens_decoder().values()]
-                    for i, text in enumerate(part.to_pylist()):
-                        if text and any(c in text for c in controls):
-                            own = np.array([*library.encode(text, add_special_tokens=False).ids, end_id], np.uint32)
-                            flat = np.concatenate([flat[: rows[i]], own, flat[rows[i + 1] :]])
-                            rows[i + 1 :] += len(own) - (rows[i + 1] - rows[i])
-                out.append(blobs(flat.view(np.uint8), rows * 4))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.binary())
+        try:
+            for batch in batches:
+                out = []
+                for part in small_slices(batch):
+                    texts = Texts(part)
+                    flat, rows = flatten_ids(texts, vocabulary.ids_of, spare=1, table=vocabulary.table)
+                    flat[rows[1:] - 1] = end_id
+                    if b"<|" in texts.data.tobytes():
+                        # Control strings: the library cuts the text at them first.
+                        if library is None:
+                            from tokenizers import Tokenizer
+
+                            library = Tokenizer.from_file(library_path)
+                            controls = [t.content for t in library.get_added_tokens_decoder().values()]
+                        for i, text in enumerate(part.to_pylist()):
+                            if text and any(c in text for c in controls):
+                                own = np.array([*library.encode(text, add_special_tokens=False).ids, end_id], np.uint32)
+                                flat = np.concatenate([flat[: rows[i]], own, flat[rows[i + 1] :]])
+                                rows[i + 1 :] += len(own) - (rows[i + 1] - rows[i])
+                    out.append(blobs(flat.view(np.uint8), rows * 4))
+                yield pa.concat_arrays(out) if out else pa.array([], pa.binary())
+        finally:
+            vocabulary.forget()
 
     return F.arrow_udf(encode, "binary").asNondeterministic()
 

@@ -65,6 +65,17 @@ def test_known_pieces_are_found_without_a_word_by_word_look(monkeypatch, slots):
         assert asked and min(map(len, asked)) > 15
 
 
+@pytest.mark.parametrize("column", [lambda: bpe.encode_column(MULTI), lambda: ids_column(MULTI, "", 2)])
+def test_a_task_leaves_nothing_learned_in_its_worker(spark, column):
+    vocabulary = bpe.Vocabulary.at(MULTI)
+    texts = pa.array(fuzz(5, 300, "abst' \n", 40) + ["x" * 30], pa.string())
+    first, again = (pa.concat_arrays(list(column().func(iter([texts, texts])))) for _ in range(2))
+    assert first.equals(again) and len(first) == 2 * len(texts)
+    assert not vocabulary.known and not vocabulary.older
+    assert not vocabulary.table.filled and not vocabulary.table.used
+
+
+
 def test_round_trip_in_spark(llm):
     rows = [(i, t) for i, t in enumerate(ODD + ["<|endoftext|> is text"] + ODD)]
     docs = llm.createDataFrame(rows, "doc_id int, text string").withColumn("ids", F.lit("own column"))
