@@ -11,7 +11,7 @@ from __future__ import annotations
 from html.entities import html5
 
 from ..constants import BANNER_HINTS, SKIP_TAGS
-from .text import CUT_MARK, collapse, cut, let, match, match_all, q, replace, strip, text_map, weave
+from .text import CUT_MARK, collapse, cut, let, match, match_all, one_of, q, replace, strip, text_map, weave
 from .urls import PARTS
 
 # Control characters that mark structure while a page is being rendered.
@@ -26,11 +26,15 @@ _ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+"""
 _TAG = rf"</?[A-Za-z]{_ATTRIBUTES}>"
 _TAG_NAME = rf"<(?=(/?[A-Za-z][^\s/>]*))/?[A-Za-z]{_ATTRIBUTES}>"  # the same tags, their names as a group
 _OPAQUE = (
-    r"(?is)<!--.*?-->"
-    r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1[^>]*>|\z)"
-    r"|<![^>]*>|<\?[^>]*>"
+    r"(?is)<(?:!--.*?-->"
+    r"|(script|style)(?=[\s/>])[^>]*>.*?(?:</\1[^>]*>|\z)"
+    r"|![^>]*>|\?[^>]*>)"
 )
-_SKIP = rf"(?i)</?(?:{'|'.join(SKIP_TAGS)})(?=[\s/>]){_ATTRIBUTES}>"
+_SKIP_NAME = rf"(?:{'|'.join(SKIP_TAGS)})(?=[\s/>]){_ATTRIBUTES}"
+_SKIP = rf"(?i)</?{_SKIP_NAME}>"
+# What lies before the next skip tag, then a skip element that holds no other; each right behind the last one.
+_TO_SKIP = rf"(?:[^<]++|(?!</?{_SKIP_NAME}>)<)*+"
+_FLAT_SKIP = rf"(?i)\G({_TO_SKIP})<{_SKIP_NAME}(?<!/)>{_TO_SKIP}</{_SKIP_NAME}>"
 _SKIP_OR_DIV = rf"(?i)</?(?:{'|'.join(SKIP_TAGS)}|div)(?=[\s/>]){_ATTRIBUTES}>"
 _BANNER = rf"""(?i)^<div(?=[\s/>]).*?\s(?:class|id)\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)(?:{'|'.join(BANNER_HINTS)})"""
 _BANNER_ANYWHERE = (
@@ -39,14 +43,15 @@ _BANNER_ANYWHERE = (
 _ANCHOR = (
     r"""(?is)<a(?=[\s/>])(?:[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?[^>]*>(.*?)</a\s*>"""
 )
+_NESTING = r"(?i)<(?:img|li|table)[\s/>]"  # tags whose text may depend on others or on its attributes
 _TITLE = r"(?is)<title(?=[\s/>])[^>]*>(.*?)</title\s*>"
 
 _BLOCK = 256  # skip tags walked per inner fold
 
 _TAG_TEXT = {
+    "p": "\n\n", "/p": "\n\n", "br": "\n",
     **{f"h{n}": "\n\n" + "#" * n + " " for n in range(1, 7)},
     **{f"/h{n}": "\n\n" for n in range(1, 7)},
-    "p": "\n\n", "/p": "\n\n", "br": "\n",
     "strong": "**", "/strong": "**", "b": "**", "/b": "**",
     "em": "*", "/em": "*", "i": "*", "/i": "*",
     "code": "`", "/code": "`", "pre": "\n\n```\n", "/pre": "\n\n",
@@ -162,8 +167,14 @@ def drop_boilerplate(html: str, banner_scope: str = "element") -> str:
         "kept",
         "array_join(filter(tok.parts, (part, i) -> i = 0 OR get(kept, i - 1)), '')",
     )
-    outside = let(chosen, "tok", f"CASE WHEN size(tok.tags) = 0 THEN page ELSE {joined} END")
-    return let(replace(replace(html, _MARKS), _OPAQUE), "page", outside)
+    walked = let(chosen, "tok", f"CASE WHEN size(tok.tags) = 0 THEN page ELSE {joined} END")
+    # Most pages have skip elements side by side alone: what is left without them needs no walk.
+    flat = let(
+        replace("page", _FLAT_SKIP, "$1"),
+        "flat",
+        f"CASE WHEN flat RLIKE {q(_SKIP)} OR page RLIKE {q(_BANNER_ANYWHERE)} THEN {walked} ELSE flat END",
+    )
+    return let(replace(replace(html, _MARKS), _OPAQUE), "page", flat)
 
 
 # ---------------------------------------------------------------------- links
@@ -365,7 +376,13 @@ def _render_tags(text: str) -> str:
     # Most pages have no tag whose text depends on others or on its attributes.
     alone = weave(cut("x", _TAG), f"transform(names, n -> coalesce(try_element_at({text_map(_TAG_TEXT)}, n), ''))")
     bound = let(names, "names", f"CASE WHEN {several} OR arrays_overlap(names, array('img', 'li')) THEN {nested} ELSE {alone} END")
-    return let(text, "x", bound)
+    # Without them one pass is enough: every second piece is a tag's name.
+    marked = f"split({replace('x', _TAG_NAME, f'{CUT_MARK}$1{CUT_MARK}')}, {q(CUT_MARK)}, -1)"
+    # A map is searched from its first key on; most tags have no text.
+    text_of = let("lower(p)", "n", f"IF({one_of('n', _TAG_TEXT)}, try_element_at({text_map(_TAG_TEXT)}, n), '')")
+    named = f"IF(i % 2 = 1, {text_of}, p)"
+    plain = f"array_join(transform({marked}, (p, i) -> {named}), '')"
+    return let(text, "x", f"CASE WHEN x RLIKE {q(_NESTING)} THEN {bound} ELSE {plain} END")
 
 
 _TABLE = f"{_TABLE_OPEN}([^{_TABLE_OPEN}{_TABLE_CLOSE}]*){_TABLE_CLOSE}"

@@ -104,8 +104,8 @@ def extract_candidates(
     entries = []
     for pattern in _KEY_VALUE:
         entries.append(
-            f"transform({match_all('markdown', pattern)}, m -> named_struct("
-            f"'k', {compact(strip(match('m', pattern, 1)))}, 'v', {strip(match('m', pattern, 2))}))"
+            f"zip_with({match_all('markdown', pattern, 1)}, {match_all('markdown', pattern, 2)}, (k, v) -> named_struct("
+            f"'k', {compact(strip('k'))}, 'v', {strip('v')}))"
         )
     read = usable.select(
         *keys,

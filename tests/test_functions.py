@@ -1,11 +1,16 @@
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from recordlake import FieldSpec, RecordSpec
+from recordlake.functions import html
 from recordlake.functions.contacts import emails, preferred_email
 from recordlake.functions.headings import first_heading, name_heading
 from recordlake.functions.html import drop_boilerplate, to_markdown, unescape
 from recordlake.functions.names import best_name, is_error_title, is_org_name
-from recordlake.functions.text import compact, parse_json, strip
+from recordlake.functions.text import compact, parse_json, replace, strip
 from recordlake.functions.urls import (
     canonical_url,
     host_name,
@@ -250,3 +255,41 @@ def test_walk_over_blocks(value):
     text = f"array_join({_walk(f'transform(sequence(0, {n - 1}), i -> CAST(i * i % 7 % 4 AS INT))', 4, 'ab', move)}, '')"
     assert value(text) == "".join(map(str, want))
     assert value(f"CAST(size({_walk('CAST(array() AS ARRAY<INT>)', 4, 'ab', move)}) AS STRING)") == "0"
+
+
+def _outside_skipped(page):
+    """The page by a walk over its skip tags."""
+    out, depth, at = "", 0, 0
+    for tag in re.finditer(html._SKIP, page, re.A):
+        out += page[at : tag.start()] if depth == 0 else ""
+        at = tag.end()
+        if tag[0].startswith("</"):
+            depth = max(depth - 1, 0)
+        elif not tag[0].endswith("/>"):
+            depth += 1
+    return out + (page[at:] if depth == 0 else "")
+
+
+def test_skip_elements_side_by_side_need_no_walk(value):
+    page = "a<nav x='>'>b</nav>c<FORM><p>d</p></footer>e"
+    assert value(replace("page", html._FLAT_SKIP, "$1"), page=page) == "ace" == _outside_skipped(page)
+
+
+def test_skip_elements_equal_the_walk(spark):
+    pick = random.Random(3)
+    parts = ["<nav>", "</nav>", "<nav/>", "<NAV x>", '<form a="<nav></nav>">', "</footer >", "<", "<na", "v>", "a", '"', ">", "='", "<p>", "<nav a="]
+    pages = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 12))) for _ in range(1500)]
+    rows = spark.createDataFrame([(p,) for p in pages], "page string")
+    for r in rows.select("page", F.expr(html.drop_boilerplate("page")).alias("kept")).collect():
+        assert r["kept"] == _outside_skipped(r["page"]), r["page"]
+
+
+def test_text_of_tags_is_the_same_in_one_pass(spark):
+    """Pages with and without a tag that needs the longer way."""
+    pick = random.Random(4)
+    parts = ["<p>", "</P>", "<b>", "</b>", "<h2 id=1>", "</h2>", "<br/>", "<x>", "<", "a ", "<code >", "</a>", "<imgx>", "<tr>", "<td>", "</td>"]
+    pages = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 12))) for _ in range(600)]
+    rows = spark.createDataFrame([(p + "> ", p + "> <li>") for p in pages], "short string, long string")
+    both = [F.expr(html._render_tags(c)).alias(c) for c in ("short", "long")]
+    for r in rows.select(F.col("short").alias("page"), *both).collect():
+        assert r["long"] == r["short"] + "\n- ", r["page"]
