@@ -17,9 +17,9 @@ from recordlake.llm.lines import line_dedup
 from recordlake.llm.packing import pack_documents
 from recordlake.llm.quality import quality_rules
 from recordlake.llm.queries import LINE_PAGES, LINE_RATIO
-from recordlake.llm.session import prepared
+from recordlake.llm.session import prepared, settled
 from recordlake.llm.substrings import suffix_dedup, valid_text
-from recordlake.plans.stages import materialise
+from recordlake.plans.stages import discard
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -45,7 +45,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     prepared(spark)
     groups = jaccard_groups(docs.select("doc_id", "text"), size=5, percent=80)
     others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(materialise(others, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(settled(others, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written and read again."""
+    """All stages over documents, each result written and read again; what the next stage has read goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        last, docs = docs, settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stages import materialise
+from ..plans.stages import discard
+from .session import passing_shuffles, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     grouped minimum, combined before the shuffle, and a join that splits skewed nodes;
     its links are written, so lineage stays short.  The driver sees two numbers a round.
     """
-    edges = materialise(_down(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+    edges = settled(_down(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,8 +25,10 @@ def components(links: DataFrame) -> DataFrame:
         large = _down(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(_down(small.unionByName(down.withColumnRenamed("m", "v"))), "links")
-        state = edges.agg(F.count(F.lit(1)), F.expr("sum(CAST(xxhash64(u, v) AS DECIMAL(38, 0)))")).first()
+        last, edges = edges, settled(_down(small.unionByName(down.withColumnRenamed("m", "v"))), "links")
+        discard(last)
+        with passing_shuffles(edges.sparkSession):
+            state = edges.agg(F.count(F.lit(1)), F.expr("sum(CAST(xxhash64(u, v) AS DECIMAL(38, 0)))")).first()
         if state == before:
             break
         before = state

@@ -11,6 +11,11 @@
    partner may be there.  Empty parts do not count, unless so many are empty that no
    other part has to agree.
 3. Documents that meet, directly or through others, form a cluster; links never leave it.
+   Parts of many documents tie clusters together that hold no common link, the more the
+   larger the table.  So in a cluster of more than one block shingles are put in the order
+   of how many of its documents have them: of two sets that link, the first common shingle
+   is among the rarest of both, those that do not fit into the overlap they need.  Members
+   that share one of these meet anew, and the others have no link.
 4. T-occurrence search inside clusters, in blocks of bounded size.  A set's needed
    overlap T is at least 85 % of its size.  Its longest inverted lists are set aside,
    the short ones merged, and documents that occur often enough there are probed in the
@@ -33,18 +38,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stages import materialise
+from ..plans.stages import discard
 from .bytewise import Hashes, Texts, lower_ascii, mix, small_slices, tidy
 from .components import components
+from .session import passing_shuffles, settled
 
 #: Shingles in a block of the T-occurrence search.
 BLOCK_SHINGLES = 600_000
 #: A block's number: its class of set sizes above, its place among the class's blocks in so many lower bits.
 CLASS_BITS = 40
+#: Documents from which on shingles count as equally common: rows of one shingle that are held until they are counted.
+COMMON = 1 << 12
 _U = np.uint64
+#: Parts travel by 48 bits: another part under the same ones costs work only, as sets are compared.
+_SPARE = _U(16)
 _ODD = _U(0x9E3779B97F4A7C15)
 #: Growth of size bands, and parts beyond the least number of them.
 _GROWTH, _SLACK = 1.5, 0.35
@@ -133,7 +144,7 @@ def part_hashes(value: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np
     number = np.arange(total) - first[of_set]
     key = mix(sums ^ mix(band[of_set].astype(_U) * _U(1 << 40) + number.astype(_U) + (count.astype(_U) << _U(20)) * _ODD))
     tag = (band << 40) + np.maximum(must, 1)
-    return set_row[of_set[use]], tag[of_set[use]], key[use]
+    return set_row[of_set[use]], tag[of_set[use]], key[use] >> _SPARE
 
 
 def _ids_and_texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Texts]]:
@@ -201,7 +212,7 @@ def find_parts(size: int, percent: int):
                 if shared.any():
                     known = order[shared]
                     yield pa.RecordBatch.from_arrays(
-                        [_longs(mix(key[known] ^ mix(doc[known].view(_U)))), _longs(doc[known]), _longs(tag[known]), _longs(key[known])],
+                        [_longs(mix(key[known] ^ mix(doc[known].view(_U))) >> _SPARE), _longs(doc[known]), _longs(tag[known]), _longs(key[known])],
                         names=["key", "doc", "tag", "part"],
                     )
 
@@ -289,7 +300,7 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def member_sets(size: int):
-    """(doc, text, cluster, block) to its set."""
+    """(doc, text, cluster) to its set."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,13 +309,62 @@ def member_sets(size: int):
             for ids, texts in _ids_and_texts(batch):
                 value, bounds = shingle_sets(texts, size)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _longs(value))
-                rest = [batch.column(i).slice(at, len(ids)) for i in (2, 3)]
+                cluster = batch.column(2).slice(at, len(ids))
                 at += len(ids)
-                yield pa.RecordBatch.from_arrays([ids, *rest, lists], names=["doc", "cluster", "block", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids, cluster, lists], names=["doc", "cluster", "shingles"])
 
     return run
 
 
+@tidy
+def cluster_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, cluster, shingles) to (key, doc) for each shingle, the key telling clusters apart."""
+    for batch in batches:
+        for at in range(0, len(batch), 200):
+            part = batch.slice(at, 200)
+            sizes = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+            value = part.column(2).flatten().to_numpy(zero_copy_only=False).view(_U)
+            cluster = mix(part.column(1).to_numpy().view(_U))
+            yield pa.RecordBatch.from_arrays(
+                [_longs(mix(value ^ np.repeat(cluster, sizes))), _longs(np.repeat(part.column(0).to_numpy(), sizes))], names=["key", "doc"]
+            )
+
+
+@tidy
+def common_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by key: (doc, often, key) of the shingles that several documents have; ``often`` ends at ``COMMON``."""
+
+    def told(key: np.ndarray, doc: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+        use = often > 1
+        if use.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[use]), pa.array(often[use], pa.int32()), pa.array(key[use])], names=["doc", "often", "key"])
+
+    key = doc = np.zeros(0, np.int64)
+    crowded = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key, doc = np.append(key, batch.column(0).to_numpy()), np.append(doc, batch.column(1).to_numpy())
+        # All but the last shingle, which may go on.
+        cut = int(np.searchsorted(key, key[-1], side="left"))
+        if cut:
+            yield from told(key[:cut], doc[:cut], _often(key[:cut], crowded))
+        key, doc = key[cut:], doc[cut:]
+        if len(key) >= COMMON or key[0] == crowded:
+            yield from told(key, doc, np.full(len(key), COMMON))
+            crowded, key, doc = key[0], key[:0], doc[:0]
+    if len(key):
+        yield from told(key, doc, _often(key, crowded))
+
+
+def _often(key: np.ndarray, crowded: int | None) -> np.ndarray:
+    """For each of sorted keys how many there are, ``COMMON`` at most."""
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(begin, len(key)))
+    many = np.where(key[begin] == crowded, COMMON, np.minimum(size, COMMON)) if crowded is not None else np.minimum(size, COMMON)
+    return np.repeat(many, size)
+
+
 class Index:
     """Inverted lists over some sets: T-occurrence search by DivideSkip."""
 
@@ -444,10 +504,11 @@ def jaccard_groups(
     """doc_id, n_shingles, component_id: the smallest id that links reach, for every row.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets.
+    Steps are written, and what nothing reads any more goes.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     summaries = base.mapInArrow(set_summaries(size), "doc long, n_shingles long, h1 long, h2 long")
-    summaries = materialise(summaries, "sets")
+    summaries = settled(summaries, "sets")
     kinds = summaries.filter("n_shingles > 0 AND doc IS NOT NULL").groupBy("n_shingles", "h1", "h2")
     first = kinds.agg(F.min("doc").alias("first"))
 
@@ -455,44 +516,86 @@ def jaccard_groups(
     shared = parts.repartition("key").sortWithinPartitions("key").mapInArrow(shared_parts, "doc long, tag long, part long")
     must = F.expr("CAST(pmod(tag, 1L << 40) AS INT)")
     own = shared.groupBy("doc", "tag").agg(F.array_sort(F.collect_set("part")).alias("parts")).withColumn("must", must)
-    own = own.filter("size(parts) >= must").select("doc", F.explode(F.expr("slice(parts, 1, size(parts) - must + 1)")).alias("part"))
-    met = own.select("part", "doc").mapInArrow(meet_in_batches, "key long, doc long, other long")
-    met = met.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meetings, "a long, b long")
-    clusters = components(met)
+    own = settled(own.filter("size(parts) >= must").select("doc", F.expr("slice(parts, 1, size(parts) - must + 1)").alias("parts")), "parts")
+    clusters = _met(own.select(F.explode("parts").alias("part"), "doc"))
+    discard(own)
 
     # One document of each set, with the clusters that hold several sets.
     alone = summaries.join(first, ["n_shingles", "h1", "h2"]).filter("doc = first").select("doc", "n_shingles").distinct()
-    members = materialise(alone.join(clusters.toDF("doc", "cluster"), "doc"), "members")
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("__docs"), F.sum("n_shingles").alias("__all"))
-    sizes = sizes.filter("__docs > 1").withColumn("__blocks", F.expr(f"1 + __all DIV {BLOCK_SHINGLES}"))
-    # Sets link only if their sizes differ by less than a class, so large clusters are cut by class first.
-    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
-    of_size = F.expr(f"IF(__blocks > 1, CAST(floor(ln(n_shingles) / {step!r}D) AS BIGINT), 0L)")
-    classed = members.join(sizes, "cluster").withColumn("__class", of_size)
-    per_class = classed.groupBy("cluster", "__class").agg(F.expr(f"1 + sum(n_shingles) DIV {BLOCK_SHINGLES}").alias("__in"))
-    placed = classed.join(per_class, ["cluster", "__class"]).select(
-        "doc", "cluster", F.expr(f"shiftleft(__class, {CLASS_BITS}) + pmod(xxhash64(doc), __in)").alias("block")
-    )
+    clustered = settled(alone.join(clusters.toDF("doc", "cluster"), "doc"), "members")
+    several = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("__docs")).filter("__docs > 1").drop("__docs")
+    members = clustered.join(several, "cluster")
     # Members grow with the table, so they are never sent whole to every executor.
-    sets = base.join(placed.select("doc", "cluster", "block").hint("merge"), "doc")
-    sets = sets.mapInArrow(member_sets(size), "doc long, cluster long, block long, shingles array<long>")
-    sets = materialise(sets, "member-sets")
+    sets = base.join(members.select("doc", "cluster").hint("merge"), "doc")
+    sets = settled(sets.mapInArrow(member_sets(size), "doc long, cluster long, shingles array<long>"), "member-sets")
+    wide = _sizes(members).filter("__blocks > 1").select("cluster")
+    with passing_shuffles(docs.sparkSession):
+        fits = wide.isEmpty()
+    if fits:
+        sets = sets.withColumn("block", F.lit(0).cast("long"))
+    else:
+        finer = _met_again(sets.join(wide, "cluster"), members, percent)
+        members = members.join(wide, "cluster", "left_anti").unionByName(members.drop("cluster").join(finer, "doc"))
+        whole, placed = sets, _placed(members, percent)
+        sets = whole.drop("cluster").join(placed.hint("merge"), "doc").select("doc", "cluster", "shingles", "block")
+        sets = settled(sets, "member-sets")
+        discard(whole)
+    sets = sets.select("doc", "cluster", "block", "shingles")
     searched = sets.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "doc")
-    found = materialise(searched.mapInArrow(search_blocks(percent), "doc long, cluster long, label long"), "found")
+    found = settled(searched.mapInArrow(search_blocks(percent), "doc long, cluster long, label long"), "found")
 
     labels = _join_blocks(sets, found, percent)
     final = labels.groupBy("label").agg(F.min("doc").alias("component_id"))
-    by_doc = labels.join(final, "label").select(F.col("doc").alias("first"), "component_id").distinct()
+    by_doc = settled(labels.join(final, "label").select(F.col("doc").alias("first"), "component_id").distinct(), "components")
+    discard(clustered, sets, found)
     rows = summaries.join(first, ["n_shingles", "h1", "h2"], "left").join(by_doc, "first", "left")
     return rows.select(
         F.col("doc").alias("doc_id"), "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "first", "doc")).alias("component_id")
     )
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """(key, doc) to the clusters of documents that have keys in common."""
+    met = rows.mapInArrow(meet_in_batches, "key long, doc long, other long")
+    return components(met.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meetings, "a long, b long"))
+
+
+def _met_again(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(doc, cluster) of the members of large clusters that meet by their rarest shingles, in clusters of their own."""
+    keys = sets.select("doc", "cluster", "shingles").mapInArrow(cluster_shingles, "key long, doc long")
+    common = keys.repartition("key").sortWithinPartitions("key").mapInArrow(common_shingles, "doc long, often int, key long")
+    lists = common.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("often", "key"))).alias("common"))
+    # A set's rarest shingles are those it has alone; they and the first common ones are as many as an overlap may lack, and one.
+    lists = lists.join(members.select("doc", "n_shingles"), "doc")
+    rarest = lists.withColumn("__n", F.expr(f"CAST(size(common) - ({percent} * n_shingles + 99) DIV 100 + 1 AS INT)")).filter("__n > 0")
+    rarest = settled(rarest.select("doc", F.expr("slice(common.key, 1, __n)").alias("keys")), "rarest")
+    clusters = settled(_met(rarest.select(F.explode("keys").alias("key"), "doc")).toDF("doc", "cluster"), "finer")
+    discard(rarest)
+    return clusters
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    """Clusters with the number of blocks that their sets fill."""
+    amounts = members.groupBy("cluster").agg(F.sum("n_shingles").alias("__all"))
+    return amounts.select("cluster", F.expr(f"1 + __all DIV {BLOCK_SHINGLES}").alias("__blocks"))
+
+
+def _placed(members: DataFrame, percent: int) -> DataFrame:
+    """(doc, cluster, block) of the members of clusters."""
+    # Sets link only if their sizes differ by less than a class, so large clusters are cut by class first.
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
+    of_size = F.expr(f"IF(__blocks > 1, CAST(floor(ln(n_shingles) / {step!r}D) AS BIGINT), 0L)")
+    classed = members.join(_sizes(members), "cluster").withColumn("__class", of_size)
+    per_class = classed.groupBy("cluster", "__class").agg(F.expr(f"1 + sum(n_shingles) DIV {BLOCK_SHINGLES}").alias("__in"))
+    return classed.join(per_class, ["cluster", "__class"]).select(
+        "doc", "cluster", F.expr(f"shiftleft(__class, {CLASS_BITS}) + pmod(xxhash64(doc), __in)").alias("block")
+    )
+
+
 def _join_blocks(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """(doc, label) with one label for each component of a cluster, also across its blocks."""
     several = sets.groupBy("cluster").agg(F.countDistinct("block").alias("n")).filter("n > 1").select("cluster")
-    wide = materialise(found.join(several, "cluster"), "wide")
+    wide = settled(found.join(several, "cluster"), "wide")
     plain = found.select("doc", "label")
     if wide.isEmpty():
         return plain
@@ -512,7 +615,7 @@ def _join_blocks(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     links = merged.withColumnRenamed("label", "other").join(pivots.select("doc", "label"), "doc")
     links = links.join(pivots.select(F.col("doc").alias("other"), F.col("label").alias("other_label")), "other")
     labels = _relabel(wide, components(links.select(F.col("label").alias("a"), F.col("other_label").alias("b"))))
-    labels = materialise(labels, "labels")
+    labels = settled(labels, "labels")
 
     # Whatever is outside a cluster's largest component is searched in all its blocks of sizes that can link.
     counts = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("__n"))

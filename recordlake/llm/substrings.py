@@ -7,7 +7,9 @@ anchors at equal distances, so strings can be sorted anchor by anchor.
 1. Texts are cut where a gram's hash says so, and a cut with the ``length`` - 1 bytes
    after it is looked up by its hash (128 bits): copies of longer passages are covered
    here at once, all but the ends of a passage.
-2. Anchors of all texts are shuffled by gram; those of a single document drop out.
+2. A string reaches far to the left or to the right of its anchor, so two equal ones
+   share the two grams from the anchor on, or the two that end with the anchor's.  Hashes
+   of these sides are shuffled; anchors whose sides stand in a single document drop out.
    Documents send the text around each anchor that is left and not yet covered, the
    bytes of all strings that belong to it, to the gram's shard.
 3. A shard sorts suffixes by induction.  The suffixes at the anchors are the sample
@@ -21,8 +23,8 @@ anchors at equal distances, so strings can be sorted anchor by anchor.
 Shards of any size pass through Spark's sort, whose runs are on disk, as a stream;
 memory holds a block of whole grams.  A gram with more occurrences than a block may
 hold sends its strings on, each under its own hash, and is dealt with by step 3b, which
-needs no memory but one string for each hash.  Everything is one plan made of shuffles, so a lost executor costs
-the stages it held.
+needs no memory but one string for each hash.  What a step found is written, and the step's shuffle files go, so
+disk holds the shuffles of one step; inside a step a lost executor costs the stages it held.
 
 Contract of edge cases: a null text is empty; a document id names one text, repeated
 rows of it are alike and do not cover each other; rows without an id take no part and
@@ -44,8 +46,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stages import materialise
+from ..plans.stages import discard
 from .bytewise import Hashes, Texts, blobs, mix, small_slices, tidy
+from .session import settled
 
 #: Bytes of the grams that anchors are chosen by.
 GRAM = 16
@@ -140,6 +143,23 @@ class Anchored:
         self.key = key[use] & _SHORT
 
 
+def side_keys(texts: Texts, found: Anchored, length: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """For the right and the left side of anchors: which of them have strings that reach far there, and the sides' hashes.
+
+    Strings up to ``half`` bytes before their anchor reach to the right, the others to the
+    left; equal strings lie alike, so they share the side they reach to.
+    """
+    half = (length - GRAM) // 2
+    out = []
+    for far, step in ((found.at - found.last <= half, min(GRAM, length - half - GRAM)), (found.at - found.first > half, -min(GRAM, half + 1))):
+        use = np.flatnonzero(far)
+        words = np.ndarray((max(len(texts.data) - 7, 0),), "<u8", np.ascontiguousarray(texts.data), strides=(1,))
+        beside = found.at[use] + step
+        key = mix(words[beside] ^ mix(words[beside + 8] + found.key[use] * _U(0x9E3779B97F4A7C15)) ^ _U(step & 0xFF))
+        out.append((use, key & _SHORT))
+    return tuple(out)
+
+
 def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64) if values.dtype == _U else values, pa.int64())
 
@@ -233,10 +253,10 @@ def repeated_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def find_anchors(length: int):
-    """(doc, text) to one row for each gram of a document, under the gram's hash.
+    """(doc, text) to one row for each side of a document's anchors, under the side's hash.
 
-    Of the documents of a slice that share a gram only the first one travels under it,
-    so a common gram is sent once for each slice; that the others share theirs is known
+    Of the documents of a slice that share a side only the first one travels under it,
+    so a common side is sent once for each slice; that the others share theirs is known
     already, and they travel under spread keys.
     """
 
@@ -247,9 +267,10 @@ def find_anchors(length: int):
                 found = Anchored(texts, length)
                 if not len(found.key):
                     continue
-                doc = ids[found.row].astype(np.int64)
-                order = np.lexsort((doc, found.key))
-                key, doc = found.key[order], doc[order]
+                (right, key), (left, more) = side_keys(texts, found, length)
+                key, doc = np.concatenate([key, more]), ids[found.row[np.concatenate([right, left])]].astype(np.int64)
+                order = np.lexsort((doc, key))
+                key, doc = key[order], doc[order]
                 new_key = np.ones(len(key), bool)
                 new_key[1:] = key[1:] != key[:-1]
                 new = new_key.copy()
@@ -274,13 +295,13 @@ def find_anchors(length: int):
 
 
 def _low(keys: np.ndarray) -> pa.Array:
-    """The low half of grams' hashes: enough to tell a document's own anchors apart, and a wrong one only costs work."""
+    """The low half of sides' hashes: enough to tell a document's own anchors apart, and a wrong one only costs work."""
     return pa.array((keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32))
 
 
 @tidy
 def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by key and doc: the anchors that stand in two documents."""
+    """Sorted by key and doc: the sides of anchors that stand in two documents."""
     held_key = held_doc = None
     held_out = False
     for batch in batches:
@@ -336,8 +357,9 @@ def cut_contexts(length: int):
                 if not len(wanted):
                     continue
                 found = Anchored(texts, length)
-                mine = (found.row.astype(_U) << _U(32)) | (found.key & _U(0xFFFFFFFF))
-                use = np.isin(mine, (owner.astype(_U) << _U(32)) | wanted.view(np.uint32).astype(_U))
+                shared, use = (owner.astype(_U) << _U(32)) | wanted.view(np.uint32).astype(_U), np.zeros(len(found.key), bool)
+                for side, key in side_keys(texts, found, length):
+                    use[side] |= np.isin((found.row[side].astype(_U) << _U(32)) | (key & _U(0xFFFFFFFF)), shared)
                 # Strings that start in covered cuts are done.
                 done = np.zeros(len(texts.data) + 1, np.int64)
                 for spans, shift, sign in ((firsts, 0, 1), (lasts, 1, -1)):
@@ -622,17 +644,15 @@ def suffix_dedup(
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     named = base.filter("doc IS NOT NULL")
     cuts = named.mapInArrow(find_cuts(length), _CUTS).repartition("key").sortWithinPartitions("key", "rest", "doc")
-    cuts = materialise(_lists(cuts.mapInArrow(repeated_cuts, _SPANS), "__cut_"), "cuts")
+    cuts = settled(_lists(cuts.mapInArrow(repeated_cuts, _SPANS), "__cut_"), "cuts")
     anchors = named.mapInArrow(find_anchors(length), _ANCHORS)
     shared = anchors.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(keep_shared, _SHARED)
-    shared = shared.groupBy("doc").agg(F.collect_list("anchor").alias("__anchors"))
+    shared = settled(shared.groupBy("doc").agg(F.collect_list("anchor").alias("__anchors")), "anchors")
 
     packed = docs.withColumn("__packed", F.arrow_udf(_pack_batch, "binary")(F.col(text).cast("string")))
     none, few = "CAST(array() AS ARRAY<BIGINT>)", "CAST(array() AS ARRAY<INT>)"
 
     def beside(left: DataFrame, rows: DataFrame) -> DataFrame:
-        # Both uses are left joins without a filter: where documents have no other columns,
-        # the texts are shuffled once for both.
         right = rows.withColumnRenamed("doc", "__doc")
         return left.join(right, left[doc_id].cast("long") == right["__doc"], "left").drop("__doc")
 
@@ -643,7 +663,8 @@ def suffix_dedup(
     contexts = wanted.mapInArrow(cut_contexts(length), _CONTEXTS)
     runs = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(sort_shard(length), _ROUTED)
     runs = runs.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(match_strings(length), _SPANS)
-    found = _lists(runs, "__").join(cuts, "doc", "full")
+    found = settled(_lists(runs, "__").join(cuts, "doc", "full"), "runs")
+    discard(shared, cuts)
     ends = f"transform(coalesce(__cut_last, {none}), x -> x + {length})"
     out = remove_column()(
         F.col("__packed"),

@@ -78,6 +78,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` wrote and that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        own = f"/recordlake/{spark.sparkContext.applicationId}/"
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if own in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run_folder(spark: SparkSession) -> str:
     """The session's own folder for intermediate tables."""
     return f"{checkpoint_root(spark)}/recordlake/{spark.sparkContext.applicationId}"
