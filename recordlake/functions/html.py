@@ -26,8 +26,8 @@ _ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+"""
 _TAG = rf"</?[A-Za-z]{_ATTRIBUTES}>"
 _TAG_NAME = rf"<(?=(/?[A-Za-z][^\s/>]*))/?[A-Za-z]{_ATTRIBUTES}>"  # the same tags, their names as a group
 _OPAQUE = (
-    r"(?is)<(?:!--.*?-->"
-    r"|(script|style)(?=[\s/>])[^>]*>.*?(?:</\1[^>]*>|\z)"
+    r"(?is)<!--.*?-->"
+    r"|<(?:(script|style)(?=[\s/>])[^>]*>.*?(?:</\1[^>]*>|\z)"
     r"|![^>]*>|\?[^>]*>)"
 )
 _SKIP_NAME = rf"(?:{'|'.join(SKIP_TAGS)})(?=[\s/>]){_ATTRIBUTES}"
